@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygauge.llm import bpe, langid, mixing, quality, simhash
+from skygauge.llm import bpe, embdedup, langid, mixing, quality, simhash
 from skygauge.llm.common import table
 
 
@@ -40,12 +40,17 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "rate")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_mix_sources": op6_mix_sources,
+    "op7_embedding_dedup": op7_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {}
