@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygauge.llm import bpe, embdedup, langid, mixing, quality, simhash
+from skygauge.llm import bpe, embdedup, langid, mixing, quality, simhash, suffixdedup
 from skygauge.llm.common import table
 
 
@@ -44,6 +44,12 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_mix_sources": op6_mix_sources,
     "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {}
