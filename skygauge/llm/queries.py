@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygauge.llm import bpe, embdedup, langid, mixing, quality, simhash, suffixdedup
+from skygauge.llm import bpe, chat, embdedup, langid, linededup, mixing, packing, quality, simhash, suffixdedup
 from skygauge.llm.common import table
 
 
@@ -19,6 +19,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = linededup.remove_repeated_units(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.zip_with("starts", "ends", lambda a, b: F.concat(a.cast("string"), F.lit(":"), b.cast("string"))), ",")
+    return cut.select("doc_id", "n_units", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), spans.alias("spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,14 +56,32 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    made = chat.preferences(turns, chat.neighbours(turns))
+    digests = [F.sha2(x, 256).alias(f"{x}_sha256") for x in ("prompt", "chosen", "rejected")]
+    return made.select("pair_id", "chosen_id", "rejected_id", "n_prompt_turns", *digests, "chosen_mask", "rejected_mask")
+
+
+def op10_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packed.select("block", "row", "n_tokens", "doc_ids", "piece_starts", "cu_seqlens", F.sha2("input_ids", 256).alias("ids_sha256"), F.sha2("position_ids", 256).alias("positions_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
+    "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_mix_sources": op6_mix_sources,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_preference_format": op9_preference_format,
+    "op10_pack_tokens": op10_pack_tokens,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": linededup.SQL,
+    "op9_preference_format": chat.SQL,
+}
