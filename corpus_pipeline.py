@@ -1,21 +1,51 @@
-"""The corpus pipeline: each stage works on what its predecessor kept, written as Parquet between."""
+"""The corpus pipeline: each stage works on what its predecessor kept, written as Parquet between.
+
+Quality rules reject documents; of near duplicates the one with the smallest id stays;
+substrings that an earlier document has are cut out, and a document goes if nothing is left
+of it; each remaining document is repeated or dropped as the mix of sources asks; and all
+are encoded, decoded and digested. All but the last stage return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skygauge.llm import quality
+from skygauge.llm import bpe, mixing, quality, simhash, suffixdedup
 from skygauge.llm.common import materialize, table
+from skygauge.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_filter(docs, table(spark, sf_dir, "labels"))
 
 
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_first(docs)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts may part a character; its remaining bytes go too. n_chars is counted anew."""
+    return suffixdedup.without_repeats(docs, count_col="n_chars")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.repeat_rows(docs, mixing.mix(docs))
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_and_decode(docs, tokenizer_path())
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_stage),
+    ("SimHash near-dedup", simhash_stage),
+    ("suffix-array dedup", suffix_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("BPE encoding and decoding", bpe_stage),
 ]
 
 #: Binomial cutoffs, induced suffix order and Newton steps have no SQL form.

@@ -463,3 +463,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     snippets = blocks.cogroup(info.union(flags).groupBy("block")).applyInPandas(lambda a, b: _block_snippets(a, b, parts), PACKED)
     spans = snippets.groupBy("part").applyInPandas(_sorted_part, PACKED)
     return blocks.cogroup(info.union(spans).groupBy("block")).applyInPandas(_cut_block, OUT)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """docs with repeated substrings cut from the text, all columns kept; documents of which nothing is left go.
+
+    A character that a cut parts goes as a whole. count_col, if given, is set to the new
+    number of code points. Texts that were null or empty from the start stay as empty ones.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    cut = remove_repeats(docs, id_col, text_col, tuple(others))
+    text = F.pandas_udf(lambda s: s.map(lambda b: bytes(b).decode("utf-8", "ignore")), "string")("kept")
+    kept = cut.where((F.size("starts") == 0) | (F.length("kept") > 0)).select(text.alias("text"), F.from_json("extra", docs.select(*(f"`{c}`" for c in others)).schema).alias("x"))
+    columns = {c: F.col("x")[c] for c in others} | {text_col: F.col("text")}
+    if count_col:
+        columns[count_col] = F.length("text").cast(docs.schema[count_col].dataType)
+    return kept.select(*(columns[c].alias(c) for c in docs.columns))
