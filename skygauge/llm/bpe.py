@@ -37,6 +37,8 @@ from skygauge.llm.common import schema, text_batches
 
 BLOCK_WORDS = 300_000
 BLOCK_TOKENS = 4_000_000
+#: Words given to the library at a time.
+ENCODE_WORDS = 8192
 #: Characters of a text that are split at a time.
 PIECE = 1 << 20
 
@@ -91,7 +93,10 @@ class Vocabulary:
                 at = end
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        out = []
+        for at in range(0, len(words), ENCODE_WORDS):  # the library's results are large; keep few of them at a time
+            out += [e.ids for e in self.tokenizer.encode_batch(words[at : at + ENCODE_WORDS], add_special_tokens=False)]
+        return out
 
     @functools.cached_property
     def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from skygauge.llm.bpe import ragged, vocabulary
 from skygauge.llm.common import schema, text_batches
 
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -116,7 +116,7 @@ def _pack(batches: Iterator[pd.DataFrame], path: str, config: PackConfig) -> Ite
     def flush() -> pd.DataFrame:
         coded = vocab.encode_words(list(local))
         sizes = np.array([len(x) for x in coded], np.int64)
-        flat = np.fromiter(itertools.chain.from_iterable(coded), np.int64, int(sizes.sum()))
+        flat = np.fromiter(itertools.chain.from_iterable(coded), "<u4", int(sizes.sum()))
         starts = np.cumsum(sizes) - sizes
         docs = [(doc, np.append(flat[ragged(starts[seq], sizes[seq])], config.end_id).astype("<u4")) for doc, seq in held]
         return pack_block((task << 32) + next(ordinal), docs, config)
@@ -124,8 +124,8 @@ def _pack(batches: Iterator[pd.DataFrame], path: str, config: PackConfig) -> Ite
     for batch in batches:
         ids = batch["id"].astype(object).where(batch["id"].notna(), None)
         for doc, text in zip(ids, batch["text"], strict=True):
-            seq = [np.fromiter(map(local.__getitem__, words), np.int64, len(words)) for words in vocab.split(text or "")]
-            held.append((None if doc is None else int(doc), np.concatenate([*seq, np.zeros(0, np.int64)])))
+            seq = [np.fromiter(map(local.__getitem__, words), "<u4", len(words)) for words in vocab.split(text or "")]
+            held.append((None if doc is None else int(doc), np.concatenate([*seq, np.zeros(0, "<u4")])))
             total += len(held[-1][1])
             if total >= BLOCK_TOKENS:
                 yield flush()
