@@ -1,7 +1,7 @@
 """Packing documents' token ids into rows of equal length.
 
-Every document becomes its byte-level BPE ids and one end token, so even an empty one has a
-place. Documents over the row length are cut into whole rows and a rest; nothing is lost, and
+Every document becomes its byte-level BPE ids (by tiktoken; the names of special tokens are
+ordinary text in it) and one end token, so even an empty one has a place. Documents over the row length are cut into whole rows and a rest; nothing is lost, and
 each piece remembers where in its document it began. Pieces are packed best fit decreasing:
 from the longest on, each goes into the fullest row that has room, which a segment tree over
 the rooms finds in a logarithmic number of steps.
@@ -16,8 +16,9 @@ columns are read. Equal lengths keep the order in which they came. An empty tabl
 
 from __future__ import annotations
 
+import base64
+import functools
 import itertools
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skygauge.llm.bpe import ragged, vocabulary
-from skygauge.llm.common import schema, text_batches
+from skygauge.llm.bpe import ragged
+from skygauge.llm.common import give_back, schema, text_batches
 
 BLOCK_TOKENS = 2_000_000
 
@@ -40,6 +41,20 @@ class PackConfig:
     pad_id: int = 50256
 
 
+#: Fixed value: the word pattern of byte-level BPE.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str):  # noqa: ANN201
+    """The encoding of a file of base64 tokens and ranks, loaded once in each process."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+
 class RoomTree:
     """Rows by the room they have left; a segment tree over rooms 0..most that hold any row."""
 
@@ -109,29 +124,21 @@ def pack_block(block: int, docs: list[tuple[int | None, np.ndarray]], config: Pa
 
 
 def _pack(batches: Iterator[pd.DataFrame], path: str, config: PackConfig) -> Iterator[pd.DataFrame]:
-    vocab, task = vocabulary(path), TaskContext.get().partitionId()
-    ordinal = itertools.count()
-    local, held, total = defaultdict(itertools.count().__next__), [], 0
-
-    def flush() -> pd.DataFrame:
-        coded = vocab.encode_words(list(local))
-        sizes = np.array([len(x) for x in coded], np.int64)
-        flat = np.fromiter(itertools.chain.from_iterable(coded), "<u4", int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        docs = [(doc, np.append(flat[ragged(starts[seq], sizes[seq])], config.end_id).astype("<u4")) for doc, seq in held]
-        return pack_block((task << 32) + next(ordinal), docs, config)
-
+    encode, task = encoder(path).encode_ordinary, TaskContext.get().partitionId()
+    ordinal, held, total = itertools.count(), [], 0
     for batch in batches:
         ids = batch["id"].astype(object).where(batch["id"].notna(), None)
         for doc, text in zip(ids, batch["text"], strict=True):
-            seq = [np.fromiter(map(local.__getitem__, words), "<u4", len(words)) for words in vocab.split(text or "")]
-            held.append((None if doc is None else int(doc), np.concatenate([*seq, np.zeros(0, "<u4")])))
-            total += len(held[-1][1])
+            tokens = encode(text or "")
+            tokens.append(config.end_id)
+            held.append((None if doc is None else int(doc), np.array(tokens, "<u4")))
+            total += len(tokens)
             if total >= BLOCK_TOKENS:
-                yield flush()
-                local, held, total = defaultdict(itertools.count().__next__), [], 0
+                yield pack_block((task << 32) + next(ordinal), held, config)
+                held, total = [], 0
     if held:
-        yield flush()
+        yield pack_block((task << 32) + next(ordinal), held, config)
+    give_back()
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", config: PackConfig | None = None) -> DataFrame:
