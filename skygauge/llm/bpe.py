@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skygauge.llm.common import schema, text_batches
+from skygauge.llm.common import give_back, schema, text_batches
 
-BLOCK_WORDS = 300_000
-BLOCK_TOKENS = 4_000_000
+BLOCK_WORDS = 200_000
+BLOCK_TOKENS = 2_500_000
 #: Words given to the library at a time.
 ENCODE_WORDS = 8192
 #: Characters of a text that are split at a time.
@@ -180,6 +180,8 @@ def _blocks(batches: Iterator[pd.DataFrame], path: str, parts: int, sequences: b
                 local, ids, texts, total = defaultdict(itertools.count().__next__), [], [], 0
     if ids:
         yield flush()
+    del local, ids, texts
+    give_back()
 
 
 def _encode_part(group: pd.DataFrame, path: str) -> pd.DataFrame:
@@ -215,6 +217,8 @@ def _join_block(docs: pd.DataFrame, words: pd.DataFrame, path: str) -> pd.DataFr
         end += n
         ids = flat[ragged(starts[own], lengths[own])]
         out.append((doc, len(ids), ids.astype("<u4").tobytes(), vocab.decode(ids)))
+    del seq, flat
+    give_back()
     return pd.DataFrame(out, columns=["id", "n_tokens", "ids", "decoded"])
 
 

@@ -40,16 +40,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygauge.llm.common import materialize, schema, text_batches, utf8
+from skygauge.llm.common import give_back, materialize, schema, text_batches, utf8
 
 LENGTH = 50
 GRAM = 24
 CROWD = 200
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 BLOCK_DOCS = 60_000
 #: Bytes of a document whose anchors are found at a time, and of snippets that are sorted at a time.
 PIECE = 1 << 20
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -261,6 +261,8 @@ def _texts(batches: Iterator[pd.DataFrame], copies_only: bool) -> Iterator[pd.Da
                 ids, extras, texts, total = [], [], [], 0
     if ids:
         yield flush()
+    del ids, extras, texts
+    give_back()
 
 
 def _documents(texts: pd.DataFrame) -> tuple[int, np.ndarray, list[bytes]]:
@@ -418,9 +420,10 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 OUT = schema("doc_id long, extra string, n_bytes long, starts long[], ends long[], kept binary")
+OUT_TEXT = schema("doc_id long, extra string, n_bytes long, starts long[], ends long[], kept string")
 
 
-def _cut_block(texts: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
+def _cut_block(texts: pd.DataFrame, info: pd.DataFrame, as_text: bool) -> pd.DataFrame:
     """Every document of a block with its spans cut out."""
     if not len(texts):
         return pd.DataFrame(columns=OUT.names)
@@ -437,14 +440,26 @@ def _cut_block(texts: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
         if not firsts[i] and len(data) >= LENGTH:
             a, b = np.array([0]), np.array([len(data)])
         kept = b"".join(data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True))
-        rows.append((None if ids[i] == LAST else int(ids[i]), texts["extras"].iloc[0][i], len(data), a, b, kept))
+        rows.append((None if ids[i] == LAST else int(ids[i]), texts["extras"].iloc[0][i], len(data), a, b, kept.decode("utf-8", "ignore") if as_text else kept))
     return pd.DataFrame(rows, columns=OUT.names)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def _pair(run):  # noqa: ANN001, ANN202
+    """run on both sides of a block, with memory given back afterwards."""
+
+    def wrapped(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = run(a, b)
+        give_back()
+        return out
+
+    return wrapped
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """doc_id, extra, n_bytes, starts and ends of removed spans, and kept bytes of each document.
 
-    extra holds the columns named in carry as a JSON object, or null.
+    extra holds the columns named in carry as a JSON object, or null. as_text: what is kept
+    as a text, without characters that a cut has parted.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -458,11 +473,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = marked.select("block", "place", "n", (F.col("id") == F.col("least")).alias("first"))
     info = materialize(firsts.groupBy("block").applyInPandas(_pack_firsts, PACKED))
     blocks = rows.mapInPandas(lambda it: _texts(it, False), TEXTS).groupBy("block")
-    met = blocks.cogroup(info.groupBy("block")).applyInPandas(lambda a, b: _block_anchors(a, b, parts), PACKED)
+    met = blocks.cogroup(info.groupBy("block")).applyInPandas(_pair(lambda a, b: _block_anchors(a, b, parts)), PACKED)
     flags = met.groupBy("part").applyInPandas(_shared_anchors, PACKED)
-    snippets = blocks.cogroup(info.union(flags).groupBy("block")).applyInPandas(lambda a, b: _block_snippets(a, b, parts), PACKED)
+    snippets = blocks.cogroup(info.union(flags).groupBy("block")).applyInPandas(_pair(lambda a, b: _block_snippets(a, b, parts)), PACKED)
     spans = snippets.groupBy("part").applyInPandas(_sorted_part, PACKED)
-    return blocks.cogroup(info.union(spans).groupBy("block")).applyInPandas(_cut_block, OUT)
+    return blocks.cogroup(info.union(spans).groupBy("block")).applyInPandas(_pair(lambda a, b: _cut_block(a, b, as_text)), OUT_TEXT if as_text else OUT)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -472,9 +487,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     number of code points. Texts that were null or empty from the start stay as empty ones.
     """
     others = [c for c in docs.columns if c != text_col]
-    cut = remove_repeats(docs, id_col, text_col, tuple(others))
-    text = F.pandas_udf(lambda s: s.map(lambda b: bytes(b).decode("utf-8", "ignore")), "string")("kept")
-    kept = cut.where((F.size("starts") == 0) | (F.length("kept") > 0)).select(text.alias("text"), F.from_json("extra", docs.select(*(f"`{c}`" for c in others)).schema).alias("x"))
+    cut = remove_repeats(docs, id_col, text_col, tuple(others), as_text=True)
+    kept = cut.where((F.size("starts") == 0) | (F.length("kept") > 0)).select(F.col("kept").alias("text"), F.from_json("extra", docs.select(*(f"`{c}`" for c in others)).schema).alias("x"))
     columns = {c: F.col("x")[c] for c in others} | {text_col: F.col("text")}
     if count_col:
         columns[count_col] = F.length("text").cast(docs.schema[count_col].dataType)
