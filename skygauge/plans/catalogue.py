@@ -1,10 +1,416 @@
-"""Registered telemetry queries and their DuckDB equivalents."""
+"""Registered telemetry queries, over readings derived from the event table."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from skygauge.functions.config import CHANNELS, CleaningConfig, StatisticalThresholds
+from skygauge.operators import clean, correction, features, health, iforest, injection, kalman, physics, report, rules, sequence, serving, statistical
+from skygauge.plans import chunks, telemetry
+from skygauge.plans.oracles import ORACLES
+from skygauge.sources import readings, synthetic
+from skygauge.streaming import live
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+KEYS = ("station_id", "row_id")
+LIMITS = StatisticalThresholds()
+
+__all__ = ["ORACLES", "QUERIES"]
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _physics(spark: SparkSession, d: str) -> DataFrame:
+    return physics.check(readings.from_events(spark, d))
+
+
+def _flagged(spark: SparkSession, d: str) -> DataFrame:
+    return statistical.check(_physics(spark, d))
+
+
+def _flags(kind: str) -> list[str]:
+    return [statistical.flag(c, kind) for c in CHANNELS]
+
+
+def _rounded(n: int, *names: str) -> list[Column]:
+    return [F.round(x, n).alias(x) for x in names]
+
+
+@query
+def readings_(spark: SparkSession, d: str) -> DataFrame:
+    return readings.from_events(spark, d).select(*KEYS, *CHANNELS)
+
+
+QUERIES["readings"] = QUERIES.pop("readings_")
+
+
+@query
+def thermo_derived(spark: SparkSession, d: str) -> DataFrame:
+    """Where a sentinel stands for the temperature the quantities are astronomically large, and are left out."""
+    df = physics.derived(readings.from_events(spark, d)).where("temperature > -100 OR temperature IS NULL")
+    es, e, td, ah = physics.DERIVED
+    return df.select(*KEYS, F.round(es, 6).alias("es"), F.round(e, 6).alias("e"), F.round(td, 6).alias("td"), F.round(ah, 6).alias("ah"), F.round(F.col("temperature") - F.col(td), 6).alias("depression"))
+
+
+@query
+def physics_flags(spark: SparkSession, d: str) -> DataFrame:
+    return _physics(spark, d).select(*KEYS, *physics.FLAGS)
+
+
+@query
+def physics_counts_by_station(spark: SparkSession, d: str) -> DataFrame:
+    return report.physics_counts(_physics(spark, d))
+
+
+@query
+def missing_sentinel_flags(spark: SparkSession, d: str) -> DataFrame:
+    df = readings.from_events(spark, d)
+    return df.select(*KEYS, *(statistical.missing(F.col(c), LIMITS.sentinels).alias(statistical.flag(c, "missing")) for c in CHANNELS))
+
+
+@query
+def iqr_bounds(spark: SparkSession, d: str) -> DataFrame:
+    found = statistical.fences(readings.from_events(spark, d), LIMITS)
+    return found.select("station_id", *_rounded(6, *(f"{c}_{x}" for c in CHANNELS for x in ("q1", "q3", "lower", "upper"))))
+
+
+@query
+def iqr_outliers(spark: SparkSession, d: str) -> DataFrame:
+    return statistical.iqr_flags(readings.from_events(spark, d), LIMITS).select(*KEYS, *_flags("iqr_outlier"))
+
+
+def _rows(spark: SparkSession, d: str, limits: StatisticalThresholds = LIMITS) -> DataFrame:
+    reach = statistical.halo(limits)
+    return chunks.cores(statistical.row_flags(chunks.chunked(chunks.numbered(readings.from_events(spark, d)), reach), limits))
+
+
+@query
+def rolling_mad_zscore(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(spark, d).select(*KEYS, *_flags("zscore_outlier"))
+
+
+@query
+def rolling_mean_zscore(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(spark, d, StatisticalThresholds(robust=False)).select(*KEYS, *_flags("zscore_outlier"))
+
+
+@query
+def step_spikes(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(spark, d).select(*KEYS, *_flags("spike"))
+
+
+@query
+def stuck_sensors(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(spark, d).select(*KEYS, *_flags("stuck"))
+
+
+@query
+def sensor_validity(spark: SparkSession, d: str) -> DataFrame:
+    return clean.validity(_flagged(spark, d)).select(*KEYS, *clean.VALID, "is_all_valid")
+
+
+def _imputed(strategy: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = clean.validity(_flagged(spark, d))
+        df = clean.imputed({c: F.when(F.col(f"is_valid_{c}"), F.col(c)) for c in CHANNELS}, df, CleaningConfig(strategy))
+        return df.select(*KEYS, *(F.round(f"{c}_filled", 6).alias(c) for c in CHANNELS))
+
+    return run
+
+
+QUERIES |= {"impute_linear": _imputed("interpolate"), "impute_ffill": _imputed("ffill"), "impute_bfill": _imputed("bfill"), "impute_forward": _imputed("forward")}
+
+
+@query
+def cleaned_dataset(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.quality_control(readings.from_events(spark, d)).select(*KEYS, *(f"{c}_cleaned" for c in CHANNELS))
+
+
+@query
+def unified_dataset(spark: SparkSession, d: str) -> DataFrame:
+    return clean.unified(telemetry.quality_control(readings.from_events(spark, d)))
+
+
+@query
+def channel_summary(spark: SparkSession, d: str) -> DataFrame:
+    return report.channel_summary(_flagged(spark, d))
+
+
+@query
+def statistical_counts(spark: SparkSession, d: str) -> DataFrame:
+    return report.statistical_counts(_flagged(spark, d))
+
+
+@query
+def overall_quality(spark: SparkSession, d: str) -> DataFrame:
+    df = _flagged(spark, d)
+    ends = df.groupBy(F.col("station_id").alias("s")).agg(F.min_by("row_id", F.struct("ts", "row_id")).alias("first_row"), F.max_by("row_id", F.struct("ts", "row_id")).alias("last_row"))
+    return report.overall(df).join(ends, F.col("station_id") == F.col("s")).drop("s", "time_start", "time_end")
+
+
+@query
+def incident_log(spark: SparkSession, d: str) -> DataFrame:
+    return report.incidents(_flagged(spark, d)).select(*KEYS, "seq", "sensor", "category", "rule")
+
+
+@query
+def incident_topk(spark: SparkSession, d: str) -> DataFrame:
+    return report.top_incidents(report.incidents(_flagged(spark, d))).select(*KEYS, "seq", "sensor", "category", "rule")
+
+
+@query
+def rule_violations(spark: SparkSession, d: str) -> DataFrame:
+    found = rules.exploded(rules.violations(_flagged(spark, d)))
+    return found.select(*KEYS, F.col("seq").cast("long").alias("seq"), "rule_id", "severity", "alert_level", "confidence", F.array_join("affected_sensors", ", ").alias("sensors"), "recommended_action")
+
+
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    return rules.fuse(rules.violations(_flagged(spark, d)))
+
+
+@query
+def fusion_rules_only(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d).select(*KEYS, "is_anomaly", "anomaly_type", "severity", "confidence", "affected_sensors", "recommended_action")
+
+
+@query
+def alert_min_severity(spark: SparkSession, d: str) -> DataFrame:
+    return rules.alerts(_fused(spark, d), "WARNING").select(*KEYS, "anomaly_type", "severity")
+
+
+def _alerts(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d).where("is_anomaly").select(*KEYS, "ts", "anomaly_type", "severity", "sensors", "recommended_action")
+
+
+@query
+def alert_numbering(spark: SparkSession, d: str) -> DataFrame:
+    return correction.number_alerts(_alerts(spark, d)).select(*KEYS, F.col("alert_seq").cast("long").alias("alert_seq"), "alert_id")
+
+
+@query
+def alert_severity_counts(spark: SparkSession, d: str) -> DataFrame:
+    return correction.severity_counts(_alerts(spark, d))
+
+
+@query
+def alert_recurrence_72h(spark: SparkSession, d: str) -> DataFrame:
+    return correction.recurrence(correction.number_alerts(_alerts(spark, d))).select(*KEYS, F.col("alert_seq").cast("long").alias("alert_seq"), "earlier", "historical_context")
+
+
+@query
+def alert_search(spark: SparkSession, d: str) -> DataFrame:
+    log = correction.recurrence(correction.number_alerts(_alerts(spark, d))).withColumn("affected_parameters", F.col("sensors"))
+    return correction.search(log, "warning", "Anemometer").select(*KEYS, F.col("alert_seq").cast("long").alias("alert_seq"), "severity")
+
+
+@query
+def kalman_dt(spark: SparkSession, d: str) -> DataFrame:
+    return kalman.minutes_since(readings.from_events(spark, d)).select(*KEYS, F.col("rn").cast("long").alias("rn"), F.round("dt", 8).alias("dt"))
+
+
+def _states(tracked: DataFrame) -> DataFrame:
+    return tracked.select("station_id", "rn", F.inline(F.array(*(F.struct(F.lit(c).alias("sensor"), *(F.col(f"{c}_{k}").alias(k) for k in kalman.ESTIMATES)) for c in CHANNELS))))
+
+
+@query
+def kalman_states(spark: SparkSession, d: str) -> DataFrame:
+    rows = _states(kalman.track(readings.from_events(spark, d)))
+    return rows.select("station_id", "sensor", "rn", F.round("true", 5).alias("true_value"), F.round("rate", 6).alias("rate"), F.round("bias", 5).alias("bias"), *_rounded(5, "true_std", "bias_std", "innovation"), F.round("post_fit_residual", 5).alias("post_fit"))
+
+
+@query
+def kalman_nis(spark: SparkSession, d: str) -> DataFrame:
+    return kalman.track(readings.from_events(spark, d)).select("station_id", "rn", F.round("nis", 3).alias("nis"))
+
+
+@query
+def kalman_summary(spark: SparkSession, d: str) -> DataFrame:
+    found = kalman.summary(kalman.track(readings.from_events(spark, d)))
+    return found.select("station_id", "sensor", *_rounded(5, "residual_mean", "residual_std", "residual_rmse", "final_bias"))
+
+
+@query
+def auto_correction_ci(spark: SparkSession, d: str) -> DataFrame:
+    """With a bias of 0.25 and a deviation of 0.2 in every channel."""
+    df, out = readings.from_events(spark, d), {}
+    for c in CHANNELS:
+        out |= correction.corrected_columns(c, F.col(c), F.lit(0.25), F.lit(0.2))
+    return df.select(*KEYS, *(v.alias(k) for k, v in out.items() if not k.endswith(("bias_est", "uncertainty_std"))))
+
+
+def _health(spark: SparkSession, d: str) -> DataFrame:
+    return health.score(health.measures(_flagged(spark, d).drop("rn", "chunk")), readings.profiles(spark))
+
+
+@query
+def health_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return _health(spark, d).select("station_id", "sensor", "total_expected", "total_received", "completeness_pct", "noise_std", "days_since_calibration", "calibration_status", "anomaly_incidents",
+        *(f"{k}_subscore" for k in health.WEIGHTS), "health_score", "health_grade", "is_degraded", "predicted_rul_days", "maintenance_status")
+
+
+@query
+def maintenance_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return health.maintenance_alerts(_health(spark, d)).select("station_id", "sensor", "urgency", "current_health_score", "predicted_rul_days")
+
+
+@query
+def health_noise_fallback(spark: SparkSession, d: str) -> DataFrame:
+    return health.measures(readings.from_events(spark, d)).select("station_id", "sensor", F.round("noise", 6).alias("noise"))
+
+
+@query
+def station_average_health(spark: SparkSession, d: str) -> DataFrame:
+    return health.station_average(_health(spark, d))
+
+
+@query
+def drift_slope(spark: SparkSession, d: str) -> DataFrame:
+    """The drift of a bias series; here the temperature stands for one."""
+    df = readings.from_events(spark, d).withColumn("temperature_bias", F.col("temperature"))
+    return health.measures(df).where("sensor = 'temperature'").select("station_id", F.round("drift", 5).alias("drift"))
+
+
+@query
+def iforest_features(spark: SparkSession, d: str) -> DataFrame:
+    return features.point_features(readings.from_events(spark, d)).select(*KEYS, *_rounded(4, *features.FEATURES))
+
+
+@query
+def sequence_windows(spark: SparkSession, d: str) -> DataFrame:
+    found = features.sequences(readings.from_events(spark, d))
+    return found.select(*KEYS, F.round(F.aggregate("window", F.lit(0.0), lambda a, b: a + b), 4).alias("window_sum"))
+
+
+@query
+def iforest_scores(spark: SparkSession, d: str) -> DataFrame:
+    points = features.point_features(readings.from_events(spark, d))
+    return iforest.predict(points, iforest.fit(points)).select(*KEYS, "iforest_score", "iforest_flag", "iforest_conf")
+
+
+@query
+def seq_recon_error(spark: SparkSession, d: str) -> DataFrame:
+    df = readings.from_events(spark, d)
+    return sequence.predict(df, sequence.fit(df))
+
+
+@query
+def hybrid_full(spark: SparkSession, d: str) -> DataFrame:
+    df = readings.from_events(spark, d)
+    return telemetry.detect(df, _flagged(spark, d)).select(*KEYS, "is_anomaly", "anomaly_type", "severity", "confidence", "affected_sensors", "recommended_action", "description", "iforest_flag", "iforest_conf", "lstm_flag", "lstm_conf")
+
+
+@query
+def corrected_dataset(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.correct_and_alert(readings.from_events(spark, d))["corrected"]
+
+
+@query
+def actionable_alerts(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.correct_and_alert(readings.from_events(spark, d))["alerts"]
+
+
+@query
+def health_from_kalman(spark: SparkSession, d: str) -> DataFrame:
+    df = readings.from_events(spark, d)
+    return telemetry.correct_and_alert(df, events=rules.fuse(rules.violations(df, statistical=False)))["health"]
+
+
+@query
+def live_buffer(spark: SparkSession, d: str) -> DataFrame:
+    """Every station's buffer at its registered step; the station table has one row a station."""
+    df = chunks.numbered(readings.from_events(spark, d)).join(readings.stations(spark).select("station_id", "step_index"), "station_id")
+    return serving.live_buffer(df, F.col("step_index")).select(*KEYS, F.col("rn").cast("long").alias("rn"), *CHANNELS)
+
+
+@query
+def history_head(spark: SparkSession, d: str) -> DataFrame:
+    return serving.history(chunks.numbered(readings.from_events(spark, d))).select(*KEYS, F.col("rn").cast("long").alias("rn"), *CHANNELS)
+
+
+@query
+def station_overview(spark: SparkSession, d: str) -> DataFrame:
+    found = serving.overview(readings.stations(spark), readings.from_events(spark, d), alerts=_alerts(spark, d))
+    known = lambda c: F.coalesce(c, F.lit(-12345.0)).alias(c)
+    return found.select("station_id", "readings", "row_id", known("temperature"), known("wind_speed"), "active_alerts")
+
+
+@query
+def station_agreement(spark: SparkSession, d: str) -> DataFrame:
+    found = serving.agreement(_physics(spark, d), "flag_wind_physics_violation")
+    return found.select(F.unix_timestamp("window_start").alias("window_start"), "stations", "agreement")
+
+
+def _injected(kind: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        c = injection.known(kind).channel
+        df = chunks.numbered(readings.from_events(spark, d)).withColumns({f"{c}_raw": F.col(c), f"{c}_corrected": F.col(c), "is_anomaly": F.lit(False), "anomaly_severity": F.lit("NORMAL"), "anomaly_type": F.lit("NORMAL")})
+        return injection.inject(df, kind, 50).select(*KEYS, f"{c}_raw", f"{c}_corrected", "is_anomaly", "anomaly_severity")
+
+    return run
+
+
+QUERIES |= {f"inject_{k}": _injected(k) for k in injection.INJECTIONS}
+
+
+def _drift(scenario: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        config = synthetic.WeatherConfig(inject=False)
+        found = synthetic.biases(synthetic.axis(spark, config), scenario, config)
+        return found.select("row_id", *_rounded(6, *(f"{c}_true_bias" for c in CHANNELS)))
+
+    return run
+
+
+QUERIES |= {"drift_ramp": _drift("linear_ramp"), "drift_step": _drift("step_jump"), "drift_brownian": _drift("brownian_drift"), "drift_multi_fault": _drift("multi_fault")}
+
+
+@query
+def synthetic_readings(spark: SparkSession, d: str) -> DataFrame:
+    return synthetic.weather(spark)
+
+
+@query
+def synthetic_faults(spark: SparkSession, d: str) -> DataFrame:
+    return synthetic.faults(spark)
+
+
+@query
+def drift_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    made = synthetic.drift(spark, "linear_ramp", synthetic.WeatherConfig(days=5.0, inject=False))
+    return kalman.evaluation(kalman.track(made["observed"], made["references"]), made["true"], made["biases"])
+
+
+def _streamed(spark: SparkSession, d: str, plan: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """The result of a stream over the stored readings, run to its end and kept as a table in the shared folder."""
+    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    readings.from_events(spark, d).write.parquet(f"{root}/in")
+    out = plan(live.read_stream(spark, f"{root}/in"))
+    writer = out.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+    if mode == "complete":
+        writer = writer.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out"))
+    else:
+        writer = writer.outputMode("append").format("parquet").option("path", f"{root}/out")
+    running = writer.start()
+    running.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+@query
+def stream_hourly_counts(spark: SparkSession, d: str) -> DataFrame:
+    found = _streamed(spark, d, live.windowed_counts, "complete")
+    return found.select(F.unix_timestamp("window_start").alias("window_start"), "station_id", "readings", "thermo_violations", "wind_violations")
+
+
+@query
+def stream_kalman(spark: SparkSession, d: str) -> DataFrame:
+    rows = _states(_streamed(spark, d, live.track_stream, "append"))
+    return rows.select("station_id", "sensor", "rn", F.round("true", 4).alias("true_value"), F.round("bias", 4).alias("bias"))
