@@ -42,6 +42,7 @@ class LangIdConfig:
     max_docs: int = 1600
     dimension: int = 16
     epochs: int = 12
+    min_steps: int = 400
     batch: int = 16
     rate: float = 4.0
     accepted_accuracy: float = 0.99
@@ -117,13 +118,14 @@ def bag(text: str | None) -> tuple[bytes, bytes] | None:
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n: int, config: LangIdConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embeddings, softmax weights and bias after the given epochs of SGD."""
+    """Embeddings, softmax weights and bias after the given epochs of SGD, or more for min_steps."""
     rng = np.random.default_rng(config.seed)
     embed = rng.uniform(-1, 1, (BUCKETS, config.dimension)).astype(np.float32) / config.dimension
     weight, bias = np.zeros((config.dimension, n), np.float32), np.zeros(n, np.float32)
-    steps = config.epochs * -(-len(bags) // config.batch)
-    step = 0
-    for _ in range(config.epochs):
+    batches = max(1, -(-len(bags) // config.batch))
+    epochs = max(config.epochs, -(-config.min_steps // batches))
+    steps, step = epochs * batches, 0
+    for _ in range(epochs):
         order = rng.permutation(len(bags))
         for i in range(0, len(order), config.batch):
             rows = order[i : i + config.batch]
