@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from skygauge.functions.config import CHANNELS, CleaningConfig, StatisticalThres
 from skygauge.operators import clean, correction, features, health, iforest, injection, kalman, physics, report, rules, sequence, serving, statistical
 from skygauge.plans import chunks, telemetry
 from skygauge.plans.oracles import ORACLES
+from skygauge.plans.scratch import folder, stored
 from skygauge.sources import readings, synthetic
 from skygauge.streaming import live
 
@@ -120,7 +120,7 @@ def sensor_validity(spark: SparkSession, d: str) -> DataFrame:
 
 def _imputed(strategy: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        df = clean.validity(_flagged(spark, d))
+        df = stored(clean.validity(_flagged(spark, d)))
         df = clean.imputed({c: F.when(F.col(f"is_valid_{c}"), F.col(c)) for c in CHANNELS}, df, CleaningConfig(strategy))
         return df.select(*KEYS, *(F.round(f"{c}_filled", 6).alias(c) for c in CHANNELS))
 
@@ -188,7 +188,7 @@ def alert_min_severity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _alerts(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(spark, d).where("is_anomaly").select(*KEYS, "ts", "anomaly_type", "severity", "sensors", "recommended_action")
+    return stored(_fused(spark, d).where("is_anomaly").select(*KEYS, "ts", "anomaly_type", "severity", "sensors", "recommended_action"))
 
 
 @query
@@ -248,7 +248,7 @@ def auto_correction_ci(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _health(spark: SparkSession, d: str) -> DataFrame:
-    return health.score(health.measures(_flagged(spark, d).drop("rn", "chunk")), readings.profiles(spark))
+    return health.score(health.measures(stored(_flagged(spark, d).drop("rn", "chunk"))), readings.profiles(spark))
 
 
 @query
@@ -292,7 +292,7 @@ def sequence_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def iforest_scores(spark: SparkSession, d: str) -> DataFrame:
-    points = features.point_features(readings.from_events(spark, d))
+    points = stored(features.point_features(readings.from_events(spark, d)))
     return iforest.predict(points, iforest.fit(points)).select(*KEYS, "iforest_score", "iforest_flag", "iforest_conf")
 
 
@@ -391,7 +391,7 @@ def drift_evaluation(spark: SparkSession, d: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, d: str, plan: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """The result of a stream over the stored readings, run to its end and kept as a table in the shared folder."""
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
     readings.from_events(spark, d).write.parquet(f"{root}/in")
     out = plan(live.read_stream(spark, f"{root}/in"))
     writer = out.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skygauge.functions.config import CHANNELS, CleaningConfig, KalmanConfig, PhysicsThresholds, StatisticalThresholds
 from skygauge.operators import clean, correction, features, health, iforest, kalman, physics, rules, sequence, statistical
+from skygauge.plans.scratch import stored
 from skygauge.sources import readings
 
 
@@ -26,9 +27,9 @@ def flagged(df: DataFrame, config: QualityConfig | None = None) -> DataFrame:
 
 
 def quality_control(df: DataFrame, config: QualityConfig | None = None) -> DataFrame:
-    """flagged() with the cleaned, imputed channels."""
+    """flagged() with the cleaned, imputed channels. The flags are stored, as gaps are looked up by chunk and then by row."""
     config = config or QualityConfig()
-    return clean.clean(flagged(df, config), config.cleaning)
+    return clean.clean(stored(flagged(df, config)), config.cleaning)
 
 
 def detect(df: DataFrame, flags: DataFrame | None = None, forest: iforest.ForestConfig | None = None, network: sequence.SequenceConfig | None = None) -> DataFrame:
@@ -37,7 +38,7 @@ def detect(df: DataFrame, flags: DataFrame | None = None, forest: iforest.Forest
     flags: the same rows with statistical flags, if their rules are to count too.
     """
     keys = ["station_id", "row_id"]
-    points = features.point_features(df)
+    points = stored(features.point_features(df))
     isolated = iforest.predict(points, iforest.fit(points, forest)).select(*keys, "iforest_flag", "iforest_conf")
     rebuilt = sequence.predict(df, sequence.fit(df, network or sequence.SequenceConfig(epochs=25)))
     base = rules.violations(flags if flags is not None else df, statistical=flags is not None).select(*keys, "ts", *CHANNELS, "violations")
