@@ -52,16 +52,18 @@ def with_neighbours(df: DataFrame, columns: dict[str, Column], station: str = "s
     marked = df.withColumns({f"_{k}": F.when(v.isNotNull(), F.struct(F.col(rn).alias("rn"), v.alias("x"))) for k, v in columns.items()})
     ends = marked.groupBy(F.col(station).alias("_s"), F.col("chunk").alias("_c")).agg(
         *(F.max(f"_{k}").alias(f"_{k}_last") for k in columns), *(F.min(f"_{k}").alias(f"_{k}_first") for k in columns))
-    w = Window.partitionBy("_s").orderBy("_c")
-    carried = ends.select("_s", "_c", *(F.last(f"_{k}_last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_{k}_before") for k in columns),
-        *(F.first(f"_{k}_first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias(f"_{k}_after") for k in columns))
+    # Looking ahead is looking back in the reverse order: frames that only grow take linear time, those that shrink don't.
+    earlier = Window.partitionBy("_s").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("_s").orderBy(F.col("_c").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_s", "_c", *(F.last(f"_{k}_last", True).over(earlier).alias(f"_{k}_before") for k in columns), *(F.last(f"_{k}_first", True).over(later).alias(f"_{k}_after") for k in columns))
     joined = marked.join(carried, F.col(station).eqNullSafe(F.col("_s")) & (F.col("chunk") == F.col("_c")), "left")
     w = by_row(rn, station)
+    ahead = Window.partitionBy(station, "chunk").orderBy(F.col(rn).desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = {}
     for k in columns:
         for name, end in (("prev", 0), ("prior", -1)):
             out[f"{k}_{name}"] = F.coalesce(F.last(f"_{k}", True).over(w.rowsBetween(Window.unboundedPreceding, end)), F.col(f"_{k}_before"))
-        out[f"{k}_next"] = F.coalesce(F.first(f"_{k}", True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col(f"_{k}_after"))
+        out[f"{k}_next"] = F.coalesce(F.last(f"_{k}", True).over(ahead), F.col(f"_{k}_after"))
     return joined.withColumns(out).drop("_s", "_c", *(f"_{k}{x}" for k in columns for x in ("", "_before", "_after")))
 
 
