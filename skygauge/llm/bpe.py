@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skygauge.llm.common import give_back, schema, text_batches
+from skygauge.llm.common import exact_id, give_back, schema, text_batches
 
 BLOCK_WORDS = 200_000
 BLOCK_TOKENS = 2_500_000
@@ -152,7 +152,7 @@ def _blocks(batches: Iterator[pd.DataFrame], path: str, parts: int, sequences: b
     vocab, task = vocabulary(path), TaskContext.get().partitionId()
     ordinal = itertools.count()
     local: dict[str, int]
-    local, ids, texts, total = defaultdict(itertools.count().__next__), [], [], 0
+    local, ids, nulls, texts, total = defaultdict(itertools.count().__next__), [], [], [], 0
 
     def flush() -> pd.DataFrame:
         block, words = (task << 32) + next(ordinal), list(local)
@@ -161,7 +161,7 @@ def _blocks(batches: Iterator[pd.DataFrame], path: str, parts: int, sequences: b
         check = int(np.bitwise_xor.reduce(hashes * np.arange(1, len(coded) + 1, dtype=np.uint32))) if coded else 0
         if sequences:
             lengths = np.array([len(x) for x in texts], "<u4")
-            return pd.DataFrame({"block": [block], "check": [check], "ids": [ids], "payload": [packed(lengths, np.concatenate([*texts, np.zeros(0, "<u4")]))]})
+            return pd.DataFrame({"block": [block], "check": [check], "ids": [ids], "nulls": [nulls], "payload": [packed(lengths, np.concatenate([*texts, np.zeros(0, "<u4")]))]})
         rows, part = [], hashes % parts
         order = np.argsort(part, kind="stable")
         for chosen in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []:
@@ -170,17 +170,18 @@ def _blocks(batches: Iterator[pd.DataFrame], path: str, parts: int, sequences: b
         return pd.DataFrame(rows, columns=["block", "check", "part", "payload"])
 
     for batch in batches:
-        for doc, text in zip(batch["id"].tolist() if batch["id"].dtype != float else [None if x != x else int(x) for x in batch["id"]], batch["text"], strict=True):
+        for doc, null, text in zip(batch["id"].tolist(), batch["no_id"].tolist(), batch["text"], strict=True):
             seq = [np.fromiter(map(local.__getitem__, words), "<u4", len(words)) for words in vocab.split(text or "")]
             texts.append(np.concatenate(seq) if seq else np.zeros(0, "<u4"))
             ids.append(doc)
+            nulls.append(null)
             total += len(texts[-1])
             if len(local) >= BLOCK_WORDS or total >= BLOCK_TOKENS:
                 yield flush()
-                local, ids, texts, total = defaultdict(itertools.count().__next__), [], [], 0
+                local, ids, nulls, texts, total = defaultdict(itertools.count().__next__), [], [], [], 0
     if ids:
         yield flush()
-    del local, ids, texts
+    del local, ids, nulls, texts
     give_back()
 
 
@@ -212,14 +213,14 @@ def _join_block(docs: pd.DataFrame, words: pd.DataFrame, path: str) -> pd.DataFr
     lengths[at], starts[at] = size, np.cumsum(size) - size
     sizes, seq = map(numbers, unpacked(docs["payload"].iloc[0]))
     out, end = [], 0
-    for doc, n in zip(docs["ids"].iloc[0], sizes.tolist(), strict=True):
+    for doc, null, n in zip(docs["ids"].iloc[0], docs["nulls"].iloc[0], sizes.tolist(), strict=True):
         own = seq[end : end + n]
         end += n
         ids = flat[ragged(starts[own], lengths[own])]
-        out.append((doc, len(ids), ids.astype("<u4").tobytes(), vocab.decode(ids)))
+        out.append((None if null else int(doc), len(ids), ids.astype("<u4").tobytes(), vocab.decode(ids)))
     del seq, flat
     give_back()
-    return pd.DataFrame(out, columns=["id", "n_tokens", "ids", "decoded"])
+    return pd.DataFrame(out, columns=["id", "n_tokens", "ids", "decoded"], dtype=object)
 
 
 def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,9 +230,9 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
     """
     spark = docs.sparkSession
     text_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(*exact_id(id_col), F.col(text_col).alias("text"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seqs = rows.mapInPandas(lambda it: _blocks(it, path, parts, True), schema("block long, check long, ids long[], payload binary"))
+    seqs = rows.mapInPandas(lambda it: _blocks(it, path, parts, True), schema("block long, check long, ids long[], nulls boolean[], payload binary"))
     words = rows.mapInPandas(lambda it: _blocks(it, path, parts, False), schema("block long, check long, part long, payload binary"))
     coded = words.groupBy("part").applyInPandas(lambda g: _encode_part(g, path), schema("block long, check long, payload binary"))
     joined = seqs.groupBy("block").cogroup(coded.groupBy("block")).applyInPandas(lambda a, b: _join_block(a, b, path), schema("id long, n_tokens long, ids binary, decoded string"))

@@ -39,6 +39,12 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_ROWS))
 
 
+def exact_id(id_col: str) -> list[Column]:
+    """An integer id as two columns without nulls, id and no_id: pandas would round large ids beside a null."""
+    known = F.col(id_col).cast("long")
+    return [F.coalesce(known, F.lit(0)).alias("id"), known.isNull().alias("no_id")]
+
+
 def word_count(text: str | Column) -> Column:
     """Number of words of a text; 0 for null."""
     column = F.col(text) if isinstance(text, str) else text

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skygauge.llm.common import materialize, schema, word_count
+from skygauge.llm.common import exact_id, materialize, schema, word_count
 
 
 @dataclass(frozen=True)
@@ -97,12 +97,12 @@ def solve(cells: DataFrame, sources: DataFrame, config: MixConfig) -> DataFrame:
     return state
 
 
-ROUNDED = schema("doc_id long, source string, size long, total long, target double, rate double, copies long")
+ROUNDED = schema("id long, no_id boolean, source string, size long, total long, target double, rate double, copies long")
 
 
 def round_rates(group: pd.DataFrame) -> pd.DataFrame:
     """Copies of a group's documents, from the largest to the smallest, carrying what is due."""
-    group = group.sort_values(["size", "place", "doc_id"], ascending=[False, True, True], kind="stable")
+    group = group.sort_values(["size", "place", "id"], ascending=[False, True, True], kind="stable")
     due, copies = 0.0, []
     for size, rate in zip(group["size"].tolist(), group["rate"].tolist(), strict=True):
         low = math.floor(rate + 1e-9)
@@ -116,8 +116,8 @@ def round_rates(group: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", config: MixConfig | None = None) -> DataFrame:
     """doc_id, size, source, source_size, target, rate, copies and taken (copies times size) of each document."""
     config = config or MixConfig()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
-    rows = materialize(rows.withColumn("place", F.xxhash64("doc_id", "size")))
+    rows = docs.select(*exact_id(id_col), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
+    rows = materialize(rows.withColumn("place", F.xxhash64("id", "no_id", "size")))
     cells = materialize(rows.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("copies")))
     squares = cells.groupBy("source").agg((F.sum(F.col("copies") * F.col("size") * F.col("size").cast("double")) / F.sum(F.col("copies") * F.col("size"))).alias("z"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
@@ -126,9 +126,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     found = state.select(F.col("source").alias("s"), "total", "n", "z", "target", "lam")
     rated = rows.join(found, rows["source"].eqNullSafe(found["s"]))
     groups = F.ceil(F.col("n") / config.group_rows).cast("long")
-    rated = rated.select("doc_id", "source", "size", "place", "total", "target", F.when(F.col("size") == 0, F.lit(1.0)).otherwise(_rate(config)).alias("rate"), F.pmod("place", groups).alias("part"))
+    rated = rated.select("id", "no_id", "source", "size", "place", "total", "target", F.when(F.col("size") == 0, F.lit(1.0)).otherwise(_rate(config)).alias("rate"), F.pmod("place", groups).alias("part"))
     return rated.groupBy("source", "part").applyInPandas(lambda g: round_rates(g)[ROUNDED.names], ROUNDED).select(
-        "doc_id", "size", "source", F.col("total").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "size", "source", F.col("total").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -138,7 +138,8 @@ def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> Da
     evenly; a hash of the row settles what doesn't divide.
     """
     copies = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_same"))
+    each = copies["_copies"] / copies["_same"]
     drawn = F.xxhash64(*(docs[c] for c in docs.columns)).bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
     own = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
-    joined = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"])).select(own, F.floor(F.col("_copies") / F.col("_same") + drawn).cast("int").alias("_take"))
+    joined = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"])).select(own, F.floor(each + drawn).cast("int").alias("_take"))
     return joined.where("_take > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_take")))).select("_row.*")

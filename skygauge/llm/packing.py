@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skygauge.llm.bpe import ragged
-from skygauge.llm.common import give_back, schema, text_batches
+from skygauge.llm.common import exact_id, give_back, schema, text_batches
 
 BLOCK_TOKENS = 2_000_000
 
@@ -127,11 +127,10 @@ def _pack(batches: Iterator[pd.DataFrame], path: str, config: PackConfig) -> Ite
     encode, task = encoder(path).encode_ordinary, TaskContext.get().partitionId()
     ordinal, held, total = itertools.count(), [], 0
     for batch in batches:
-        ids = batch["id"].astype(object).where(batch["id"].notna(), None)
-        for doc, text in zip(ids, batch["text"], strict=True):
+        for doc, null, text in zip(batch["id"].tolist(), batch["no_id"].tolist(), batch["text"], strict=True):
             tokens = encode(text or "")
             tokens.append(config.end_id)
-            held.append((None if doc is None else int(doc), np.array(tokens, "<u4")))
+            held.append((None if null else doc, np.array(tokens, "<u4")))
             total += len(tokens)
             if total >= BLOCK_TOKENS:
                 yield pack_block((task << 32) + next(ordinal), held, config)
@@ -146,7 +145,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     segment lengths, position ids that restart with each segment, and each segment's document and offset in it."""
     config = config or PackConfig()
     text_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(*exact_id(id_col), F.col(text_col).alias("text"))
     return rows.mapInPandas(lambda it: _pack(it, path, config), OUT)
 
 

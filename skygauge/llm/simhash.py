@@ -144,6 +144,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Documents without an id can't be told apart and all stay.
     """
-    found = near_duplicates(docs, id_col, text_col).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(found, docs[id_col] == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    found = near_duplicates(docs, id_col, text_col).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = docs.join(found, docs[id_col] == found["kept_id"], "left_semi").dropDuplicates([id_col])
     return kept.union(docs.where(F.col(id_col).isNull()))

@@ -441,7 +441,7 @@ def _cut_block(texts: pd.DataFrame, info: pd.DataFrame, as_text: bool) -> pd.Dat
             a, b = np.array([0]), np.array([len(data)])
         kept = b"".join(data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True))
         rows.append((None if ids[i] == LAST else int(ids[i]), texts["extras"].iloc[0][i], len(data), a, b, kept.decode("utf-8", "ignore") if as_text else kept))
-    return pd.DataFrame(rows, columns=OUT.names)
+    return pd.DataFrame(rows, columns=OUT.names, dtype=object)
 
 
 def _pair(run):  # noqa: ANN001, ANN202
