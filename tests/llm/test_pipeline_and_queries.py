@@ -1,5 +1,7 @@
 """The registered queries, and the pipeline against its stages in plain Python."""
 
+import hashlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -54,3 +56,11 @@ def test_stages_take_effect(spark, tmp_path):
     assert {d for d, _ in mixed} <= set(expected) and len(mixed) > 0.5 * len(cut)
     last = corpus_pipeline.run(spark, SF)
     assert sorted(r.doc_id for r in last.collect()) == sorted(d for d, _ in mixed)
+
+
+def test_line_dedup_query_removes_short_lines_too(spark, tmp_path):
+    rows = [(1, "short one\n\nx"), (2, "Short  one\n\nx\ny"), (3, "y\n \nsome words that are only here")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: (r.n_removed, r.spans, r.kept_sha256) for r in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert out == {1: (0, "", sha("short one\n\nx")), 2: (11, "0:10,12:13", sha("\ny")), 3: (1, "0:1", sha(" \nsome words that are only here"))}
