@@ -129,6 +129,15 @@ def test_autoencoder_gradients_and_detection(spark):
     assert sequence.fit(frame(spark, [1.0] * 5)) is None
 
 
+def test_autoencoder_baseline_is_of_all_sequences(spark):
+    t = [float(20 + 5 * np.sin(i / 10)) for i in range(400)]
+    t[300] = 45.0
+    df = frame(spark, t)
+    fitted = sequence.fit(df, sequence.SequenceConfig(epochs=2, sample_rows=50))
+    errors = [r.lstm_error for r in sequence.predict(df, fitted).collect() if r.row_id >= 11]
+    assert len(errors) == 389 and fitted.base_mean == pytest.approx(np.mean(errors)) and fitted.base_std == pytest.approx(np.std(errors))
+
+
 def test_correction_values(spark):
     df = frame(spark, [25.0, None], humidity=[2.0, 102.0])
     out = df.withColumns(correction.corrected_columns("temperature", F.col("temperature"), F.lit(1.5), F.lit(0.2)) | correction.corrected_columns("humidity", F.col("humidity"), F.when(F.col("row_id") == 0, 5.0).otherwise(-5.0), F.lit(None).cast("double"))).orderBy("row_id").collect()
