@@ -55,8 +55,8 @@ QUERIES["readings"] = QUERIES.pop("readings_")
 
 @query
 def thermo_derived(spark: SparkSession, d: str) -> DataFrame:
-    """Where a sentinel stands for the temperature the quantities are astronomically large, and are left out."""
-    df = physics.derived(readings.from_events(spark, d)).where("temperature > -100 OR temperature IS NULL")
+    """Of every reading; where a sentinel stands for the temperature the quantities are very large."""
+    df = physics.derived(readings.from_events(spark, d))
     es, e, td, ah = physics.DERIVED
     return df.select(*KEYS, F.round(es, 6).alias("es"), F.round(e, 6).alias("e"), F.round(td, 6).alias("td"), F.round(ah, 6).alias("ah"), F.round(F.col("temperature") - F.col(td), 6).alias("depression"))
 

@@ -1,5 +1,7 @@
 """The registered queries have the columns of their oracles, and some their rows."""
 
+import math
+
 import duckdb
 import pytest
 
@@ -22,6 +24,15 @@ def test_query_matches_oracle(spark, tmp_path, name):
     assert db.execute(f"SELECT count(*) FROM (SELECT {names} FROM o EXCEPT ALL SELECT {names} FROM s)").fetchall()[0][0] == 0
 
 
+def test_thermo_derived_has_every_reading(spark):
+    out = {(r.station_id, r.row_id): r.es for r in QUERIES["thermo_derived"](spark, SF).collect()}
+    rows = [(r.station_id, r.row_id, r.temperature) for r in QUERIES["readings"](spark, SF).collect()]
+    odd = [(s, i, t) for s, i, t in rows if t is not None and t <= -100]
+    assert len(out) == len(rows) and odd
+    for s, i, t in odd:
+        assert out[s, i] == pytest.approx(6.112 * math.exp(17.67 * t / (t + 243.5)), rel=1e-9)
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
