@@ -12,6 +12,14 @@ share a key are compared exactly; nothing else is.
 Only distinct fingerprints are joined, so copies cost nothing and each near pair of
 fingerprints is compared as one. Components are those of the graph of fingerprints.
 
+Where a similarity is asked for, texts whose sets of five-word shingles have that Jaccard
+similarity are linked too. At 0.8 their fingerprints differ in about ten bits, which no such
+keys reach, so candidates are texts with a band of MinHash values in common: a pair at 0.8
+shares one of 20 bands of 6 with probability 0.998. In a bucket of up to BUCKET texts all pairs are
+candidates; in a larger one each text with LEADERS of them, so that work stays linear, and
+a pair of two others is found through those or other bands, or not. Candidates are compared exactly, by
+the hashes of their shingles.
+
 A text without words (empty or null) has fingerprint zero and links like any other. A null
 id is a row like others, but can't be the smallest id of a component unless all are null.
 Repeated rows stay rows. Only the named columns are read; an empty table gives no rows.
@@ -36,13 +44,16 @@ SHINGLE = 3
 DISTANCE = 2
 SEED = 42
 PIECE = 1 << 22
+#: For similar texts: words of a shingle, bands of MinHash values and values of each.
+WORDS, BANDS, ROWS = 5, 20, 6
+BUCKET, LEADERS = 16, 2
 #: Segments as (lowest bit, width), from the top of the fingerprint.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, which generates the Golay code.
 GENERATOR = 0b110001110101
 
 
-def shingle_hashes(text: str | None) -> list[np.ndarray]:
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> list[np.ndarray]:
     """XXH64 of every shingle of a text, in pieces of bounded size."""
     data, at, carried, out = utf8(text).lower(), 0, [], []  # bytes.lower() changes A-Z alone
     while at < len(data):
@@ -51,12 +62,12 @@ def shingle_hashes(text: str | None) -> list[np.ndarray]:
             end += 1
         words = carried + data[at:end].split()
         at = end
-        if len(words) >= SHINGLE:
+        if len(words) >= shingle:
             joined, sizes = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
             ends = np.cumsum(sizes + 1) - 1
-            spans = zip((ends - sizes)[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)
-            out.append(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - SHINGLE + 1))
-        carried = words[-(SHINGLE - 1) :]
+            spans = zip((ends - sizes)[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+            out.append(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans), np.uint64, len(words) - shingle + 1))
+        carried = words[-(shingle - 1) :]
     if not out and carried:
         out.append(np.array([xxhash.xxh64_intdigest(b" ".join(carried), SEED)], np.uint64))
     return out
@@ -76,6 +87,32 @@ def fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(x) for x in texts], dtype="int64")
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The hashes of a text's distinct shingles of WORDS words, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, WORDS)]))
+
+
+def sketch(text: str | None) -> np.ndarray | None:
+    """The number of distinct shingles and the key of each band; None for a text without words."""
+    hashes = shingle_set(text)
+    if not len(hashes):
+        return None
+    factors, shifts = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
+    least = np.min([(hashes[at : at + 2048, None] * (factors | np.uint64(1)) + shifts).min(axis=0) for at in range(0, len(hashes), 2048)], axis=0)
+    keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array([len(hashes), *keys], np.uint64).astype(np.int64)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def sketches(texts: pd.Series) -> pd.Series:
+    return pd.Series(list(map(sketch, texts)), index=texts.index, dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def shingle_sets(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingle_set(x).astype(np.int64) for x in texts], index=texts.index, dtype=object)
+
+
 def syndrome(words: np.ndarray) -> np.ndarray:
     """The remainder of 23-bit words, as polynomials over GF(2), by the generator."""
     left = words.astype(np.int64)
@@ -126,12 +163,35 @@ def near_pairs(distinct: DataFrame) -> DataFrame:
     return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_pairs(docs: DataFrame, prints: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """(a, b), fingerprints of texts with that Jaccard similarity or more; prints has fp, sketch and u (a text's hash)."""
+    texts = materialize(prints.where("sketch IS NOT NULL").select("u", "fp", "sketch").dropDuplicates(["u"]))
+    members = texts.select(F.struct("u", "fp", F.element_at("sketch", 1).alias("n")).alias("x"), F.explode(F.slice("sketch", 2, BANDS)).alias("key"))
+    leaders = F.array(*(F.min(F.struct(F.xxhash64("x.u", F.lit(j)).alias("h"), "x"))["x"] for j in range(LEADERS)))
+    buckets = materialize(members.groupBy("key").agg(F.count("*").alias("size"), leaders.alias("leaders")).where("size > 1"))
+    shared = materialize(members.join(buckets, "key"))
+    small = shared.where(F.col("size") <= BUCKET)
+    among = small.select("key", F.col("x").alias("a")).join(small.select("key", F.col("x").alias("b")), "key").select("a", "b")
+    led = shared.where(F.col("size") > BUCKET).select(F.col("x").alias("a"), F.explode("leaders").alias("b"))
+    both = among.where("a.u < b.u").union(led.select(F.when(F.col("a.u") < F.col("b.u"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a.u") < F.col("b.u"), F.col("b")).otherwise(F.col("a")).alias("b")))
+    alike = (F.col("a.fp") != F.col("b.fp")) & (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n"))
+    pairs = materialize(both.where(alike).select(F.col("a.u").alias("ua"), F.col("b.u").alias("ub"), F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct())
+    needed = pairs.select(F.col("ua").alias("u")).union(pairs.select("ub")).distinct()
+    wanted = docs.select(F.xxhash64(text_col).alias("u"), F.col(text_col).alias("text")).join(needed, "u", "left_semi").dropDuplicates(["u"])
+    sets = materialize(wanted.select("u", shingle_sets("text").alias("set")))
+    met = pairs.join(sets.select(F.col("u").alias("ua"), F.col("set").alias("sa")), "ua").join(sets.select(F.col("u").alias("ub"), F.col("set").alias("sb")), "ub")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return met.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """doc_id, fp, fingerprint (hexadecimal) and component_id of each document."""
     text_batches(docs.sparkSession)
-    prints = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")))
+    more = [] if similarity is None else [F.xxhash64(text_col).alias("u"), sketches(F.col(text_col)).alias("sketch")]
+    prints = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col)).alias("fp"), *more))
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    members = components(near_pairs(nodes)).withColumnRenamed("node", "fp")
+    pairs = near_pairs(nodes) if similarity is None else near_pairs(nodes).union(similar_pairs(docs, prints, text_col, similarity))
+    members = components(pairs).withColumnRenamed("node", "fp")
     grouped = nodes.join(members, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     grouped = materialize(grouped)
     least = materialize(grouped.groupBy("component").agg(F.min("first").alias("component_id")))
@@ -139,11 +199,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(materialize(classes), F.col("fp") == F.col("own")).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
     """One document of each component: the one with the smallest id; of rows that share that id, one.
 
     Documents without an id can't be told apart and all stay.
     """
-    found = near_duplicates(docs, id_col, text_col).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
+    found = near_duplicates(docs, id_col, text_col, similarity).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
     kept = docs.join(found, docs[id_col] == found["kept_id"], "left_semi").dropDuplicates([id_col])
     return kept.union(docs.where(F.col(id_col).isNull()))

@@ -82,6 +82,24 @@ def test_keep_first_and_empty(spark, docs):
     assert simhash.near_duplicates(docs([])).count() == 0 and simhash.keep_first(docs([])).count() == 0
 
 
+def test_similar_texts_are_linked_at_jaccard_0_8(spark, docs):
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(300)] for _ in range(6)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for i, w in enumerate(base):  # n changed words far apart: (296 - 5n) common shingles of 296 + 5n
+        for n in (1, 6, 7):
+            rows.append((100 * n + i, " ".join("new%d" % n if k % 40 == 20 and k // 40 < n else x for k, x in enumerate(w))))
+    kept = {r.doc_id for r in simhash.keep_first(docs(rows), similarity=0.8).collect()}
+    assert kept == set(range(6)) | {700 + i for i in range(6)}
+
+
+def test_a_large_group_of_similar_texts_is_one_component(spark, docs):
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = [(i, " ".join([*base[:i], f"own{i}", *base[i + 1 :]])) for i in range(60)] + [(500, "quite another text of a few words")]
+    assert {r.doc_id for r in simhash.keep_first(docs(rows), similarity=0.8).collect()} == {0, 500}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200), (None, 5)]
     out = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
