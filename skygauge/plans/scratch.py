@@ -1,22 +1,49 @@
-"""Tables that a plan reads more than once, written between in the folder all executors share."""
+"""Tables that a plan reads more than once, written between in the folder all executors share.
+
+Tables go to a subfolder of that folder of their own for each run of the driver, which is
+removed when the driver's process ends, or at once by release().
+"""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
+_RUN = f"skygauge-{uuid.uuid4().hex}"
+_used: dict[str, SparkSession] = {}
+
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset, as in local runs."""
+    """A folder of this run in spark.checkpoint.dir. Where that is unset, a temporary folder on a local master, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or os.path.join(tempfile.gettempdir(), "skygauge-scratch")).rstrip("/")
+    if not found and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    path = f"{(found or os.path.join(tempfile.gettempdir(), 'skygauge-scratch')).rstrip('/')}/{_RUN}"
+    if not _used:
+        atexit.register(release)
+    _used[path] = spark
+    return path
+
+
+def release() -> None:
+    """Remove all tables that this run has stored; frames that read them can't be used afterwards."""
+    while _used:
+        path, spark = _used.popitem()
+        try:
+            jvm = spark._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration() if spark._jsc else jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+        except (OSError, Py4JError, AttributeError, TypeError):  # the JVM has ended already: nothing can reach the folder from here
+            pass
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df, computed once: what reads it later doesn't repeat the windows below, and a lost executor costs a file read."""
+    """df, computed once: what reads it later doesn't repeat the work below, and a lost executor costs a file read."""
     path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
