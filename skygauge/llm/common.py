@@ -1,37 +1,24 @@
-"""What the corpus operators share: scratch tables, text encoding and batch limits."""
+"""What the corpus operators share: text encoding, exact ids and batch limits."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skygauge.plans.scratch import stored as materialize
+
+__all__ = ["TEXT_ROWS", "WORD", "exact_id", "give_back", "materialize", "schema", "table", "text_batches", "utf8", "word_count"]
+
 #: A word is a run of characters other than the six ASCII white-space ones.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch that carries texts; keeps a Python worker's memory small.
 TEXT_ROWS = 1000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found.rstrip("/") if found else os.path.join(tempfile.gettempdir(), "skygauge-scratch")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_batches(spark: SparkSession) -> None:
     """Bound the rows of Arrow batches, unless the session asks for fewer already."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

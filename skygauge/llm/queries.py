@@ -20,9 +20,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = linededup.remove_repeated_units(table(spark, sf_dir, "documents"), min_words=1)
+    cut = linededup.remove_repeated_units(table(spark, sf_dir, "documents"))
     spans = F.array_join(F.zip_with("starts", "ends", lambda a, b: F.concat(a.cast("string"), F.lit(":"), b.cast("string"))), ",")
-    return cut.select("doc_id", "n_units", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), spans.alias("spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("doc_id", "n_kept", "n_removed", "n_units", F.size("starts").cast("long").alias("n_spans"), spans.alias("spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
