@@ -1,6 +1,7 @@
 """Line dedup, substring dedup and embeddings against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -78,15 +79,74 @@ def test_without_repeats_keeps_columns(spark, docs, stored):
     assert suffixdedup.remove_repeats(stored(docs([]))).count() == 0
 
 
-def test_lines(spark, docs):
-    rows = [(2, "Keep  THIS line of words\nshort one\nkeep this line of words "), (1, "other words are in here too\nshort one"), (3, "x\nkeep this\tline of words\n\nnew words that are only here"), (4, None), (5, ""), (None, "other words are in here too"), (6, "a b c d e"), (6, "a b c d e"), (7, "a b c d e")]
-    out = sorted((r.doc_id is None, r.doc_id or 0, r.n_units, r.n_removed, list(zip(r.starts, r.ends)), r.kept) for r in linededup.remove_repeated_units(docs(rows)).collect())
-    assert out == [
-        (False, 1, 2, 0, [], "other words are in here too\nshort one"), (False, 2, 3, 24, [(35, 59)], "Keep  THIS line of words\nshort one"), (False, 3, 4, 23, [(2, 25)], "x\n\nnew words that are only here"),
-        (False, 4, 0, 0, [], ""), (False, 5, 1, 0, [], ""), (False, 6, 1, 0, [], "a b c d e"), (False, 6, 1, 0, [], "a b c d e"), (False, 7, 1, 9, [(0, 9)], ""), (True, 0, 1, 27, [(0, 27)], "")]
-    assert linededup.remove_repeated_units(docs([])).count() == 0
-    two = linededup.remove_repeated_units(docs([(1, "a b c\nd e f"), (2, "z\n\na B c d\n\na b c\nd e f")]), separator="\n\n", min_words=4).collect()
-    assert {r.doc_id: r.kept for r in two} == {1: "a b c\nd e f", 2: "z\n\na B c d"}
+def brute_units(text, unit):
+    """Units of a text by the docstring, character by character."""
+    if unit == "lines":
+        return re.findall(r"[^\n]*\n|[^\n]+", text)
+    if unit == "paragraphs":
+        out = [""]
+        for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+            if out[-1] and re.search(r"\n[ \t\x0b-\r]*\n\Z", out[-1]) and line.strip(" \t\x0b\x0c\r\n"):
+                out.append("")
+            out[-1] += line
+        return [x for x in out if x]
+    out = []
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+        sentences = [""]
+        for i, c in enumerate(line):
+            if i and c not in " \t\x0b\x0c\r\n" and re.search(r"[.!?][ \t\x0b\x0c\r]+\Z", sentences[-1]):
+                sentences.append("")
+            elif i and c == "\n" and re.search(r"[.!?][ \t\x0b\x0c\r]+\Z", sentences[-1]):
+                sentences.append("")
+            sentences[-1] += c
+        long_ = [i for i, x in enumerate(sentences) if len(re.findall(r"[^\x20\x09-\x0D]+", x)) >= 5]
+        cuts = [0, *(i + 1 for i in long_[:-1]), len(sentences)]
+        out += ["".join(sentences[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return out
+
+
+def brute_repeats(rows, unit="sentences"):
+    """rows in their order: (id, units, removed bytes, spans, kept)."""
+    seen, out = set(), []
+    for doc, text in rows:
+        at, spans, kept, size = 0, [], "", 0
+        units = brute_units(text or "", unit)
+        for u in units:
+            norm = re.sub(r"[\x20\x09-\x0D]+", " ", "".join(c.lower() if "A" <= c <= "Z" else c for c in u)).strip(" ")
+            if norm and norm in seen:
+                spans.append((at, at + len(u)))
+                size += len(u.encode())
+            else:
+                kept += u
+                seen.add(norm)
+            at += len(u)
+        out.append((doc, len(units), size, spans, kept))
+    return out
+
+
+@pytest.mark.parametrize("unit", ["sentences", "lines", "paragraphs"])
+def test_units(spark, docs, unit):
+    rng = random.Random(8)
+    words = ["One", "two", "THREE", "four", "é", "漢字", "x.", "y!", "z?", "3.14", "\t"]
+    parts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) + rng.choice([". ", ".\n", "\n", "\n\n", "! ", ".\r\n", " \n \n", ""]) for _ in range(60)]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))) for i in range(70)]
+    rows += [(100, "A b C d e. f g.\n"), (101, "a  B c\td E. f g.\nshort\n\nshort"), (102, None), (103, ""), (104, " \n\t"), (105, "".join(parts) * 400), (105, "".join(parts) * 400), (None, "short"), (None, "short")]
+    shuffled = rows[:]
+    rng.shuffle(shuffled)
+    order = lambda x: (x[0] is None, x[0] or 0, -len(x[4]), x[4])
+    out = sorted(((r.doc_id, r.n_units, r.n_removed, list(zip(r.starts, r.ends)), r.kept) for r in linededup.remove_repeated_units(docs(shuffled), unit=unit).collect()), key=order)
+    expected = sorted(brute_repeats(rows, unit), key=order)
+    assert [x[0] for x in out] == [x[0] for x in expected]
+    for a, b in zip(out, expected):
+        assert a == b
+    assert linededup.remove_repeated_units(docs([]), unit=unit).count() == 0
+
+
+def test_units_of_rows_that_share_an_id(spark, docs):
+    """Of different texts with one id either may come first, always the same one; what is kept differs by one copy."""
+    rows = [(6, "a b c d e"), (6, "a b c d e"), (6, "a b c d e\nq r s t u"), (7, "a b c d e")]
+    out = [[(r.doc_id, r.kept) for r in linededup.remove_repeated_units(docs(x)).orderBy("doc_id", "n_bytes", "kept").collect()] for x in (rows, rows[::-1])]
+    assert out[0] == out[1] and sum("a b c d e" in k for _, k in out[0]) == 1 and sum("q r s t u" in k for _, k in out[0]) == 1
 
 
 def vectors(n=400, d=16, seed=0):
