@@ -57,8 +57,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    made = chat.preferences(turns, chat.neighbours(turns))
+    made = chat.replies(table(spark, sf_dir, "conversations"))
     digests = [F.sha2(x, 256).alias(f"{x}_sha256") for x in ("prompt", "chosen", "rejected")]
     return made.select("pair_id", "chosen_id", "rejected_id", "n_prompt_turns", *digests, "chosen_mask", "rejected_mask")
 

@@ -82,3 +82,38 @@ def test_preferences(spark):
     assert out[2].prompt == "" and out[2].chosen.startswith("<|user|>\n<|end|>") and out[3].rejected_id is None and out[3].rejected == "" and out[3].n_prompt_turns == 0
     empty = df.where("false")
     assert chat.preferences(empty, chat.neighbours(empty)).count() == 0
+
+
+def brute_replies(turns):
+    talks = {}
+    for conv, turn, role, text, *_ in turns:
+        if conv is not None:
+            talks.setdefault(conv, []).append((turn, role or "user", text or ""))
+    talks = {k: [t[1:] for t in sorted(v)] for k, v in talks.items()}
+    last = {k: max(i for i, t in enumerate(v) if t[0] == "assistant") for k, v in talks.items() if any(t[0] == "assistant" for t in v)}
+    out, show = {}, lambda ts: "".join(f"<|{r}|>\n{x}<|end|>\n" for r, x in ts)
+    for k, i in last.items():
+        other = k ^ 1 if k ^ 1 in last else None
+        rejected = talks[k][:i] + ([talks[other][last[other]]] if other is not None else [])
+        n = 0
+        while n < min(len(talks[k]), len(rejected)) and talks[k][n] == rejected[n]:
+            n += 1
+        out[k] = (other, n, show(talks[k][:n]), show(talks[k][n:]), show(rejected[n:]))
+    return out
+
+
+def test_replies_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    turns = [(int(c), int(t), [None, "user", "assistant", "assistant", "system"][rng.integers(5)], [None, "", "a", "b é", "c\n"][rng.integers(5)], "x") for c in range(40) if c % 7 for t in range(rng.integers(0, 6))]
+    turns += turns[:5]  # repeated rows
+    turns += [(100, t, "user" if t % 2 == 0 else "assistant", f"turn {t} " * 50, "x") for t in range(2000)] + [(101, 0, "assistant", None, "x"), (None, 0, "assistant", "nobody", "x")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, turns string")
+    out = {r.pair_id: r for r in chat.replies(df).collect()}
+    expected = brute_replies(turns)
+    assert {k: (r.rejected_id, r.n_prompt_turns, r.prompt, r.chosen, r.rejected) for k, r in out.items()} == expected
+    assert out[100].n_prompt_turns == 1999 and out[100].rejected == "<|assistant|>\n<|end|>\n" and out[100].rejected_mask == "14:21"
+    for r in out.values():
+        for text, mask in ((r.chosen, r.chosen_mask), (r.rejected, r.rejected_mask)):
+            spans = [tuple(map(int, x.split(":"))) for x in mask.split(",") if x]
+            assert "".join(text[a:b] for a, b in spans).count("<|end|>") == text.count("<|assistant|>") == len(spans)
+    assert chat.replies(df.where("false")).count() == 0
