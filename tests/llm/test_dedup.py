@@ -185,5 +185,22 @@ def test_estimates_are_unbiased():
     rng = np.random.default_rng(3)
     a, b = embdedup.unit(rng.normal(size=(1, 64))), embdedup.unit(rng.normal(size=(1, 64)))
     b = embdedup.unit(a + 0.5 * b)
-    found = [embdedup.estimates(a, b, embdedup.EmbeddingConfig(seed=s))[0][0, 0] for s in range(300)]
+    found, both = [], np.concatenate([a, b])
+    for seed in range(300):
+        codes = embdedup.Codes.unpack(embdedup.pack_codes(both, embdedup.EmbeddingConfig(seed=seed)), 64)
+        found.append(codes.estimates(slice(0, 1), slice(1, 2))[0, 0])
     assert np.mean(found) == pytest.approx(float((a @ b.T)[0, 0]), abs=4 * np.std(found) / np.sqrt(300))
+
+
+@pytest.mark.parametrize("dimension", [16, 33, 64, 300])
+def test_bounds_cut_few_links_and_most_others(dimension):
+    rng, config = np.random.default_rng(9), embdedup.EmbeddingConfig()
+    base = embdedup.unit(rng.normal(size=(400, dimension)))
+    noise = embdedup.unit(rng.normal(size=(400, dimension)))
+    near = embdedup.unit(base + rng.uniform(0.1, 0.33, (400, 1)) * noise)
+    both = np.concatenate([base, near])
+    codes = embdedup.Codes.unpack(embdedup.pack_codes(both, config), dimension)
+    assert len(embdedup.pack_codes(both, config)[0]) <= 12 + dimension // 8 + 1 + dimension // 2 + 1
+    left = codes.uncut(np.arange(800), np.arange(800), config)
+    exact = both @ both.T >= config.threshold
+    assert (left & exact).sum() >= 0.999 * exact.sum() and (dimension < 33 or (left & ~exact).mean() < 0.05)
