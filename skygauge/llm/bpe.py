@@ -6,10 +6,12 @@ words of all blocks meet by hash, each is encoded once, and its ids go back to t
 that asked for it, where they are joined in by position. Decoding joins ids to the pieces
 of the vocabulary, a table of fixed size, and concatenates their bytes.
 
-Blocks are bounded by BLOCK_WORDS distinct words and BLOCK_TOKENS words in all (a single longer text makes a
-block of its own). They are made twice, once for their words and once for their sequences,
-which costs less disk than storing them; a check value shows if the two should ever differ.
-docs must therefore give the same rows whenever it is read, as a stored table does.
+Blocks are bounded by their distinct words and by their words in all (a single longer text makes a
+block of its own). Words are dealt to parts by hash, a part for so many bytes of text (see BpeLimits), and tasks
+likewise, so both keep their size as the table grows; a word of all blocks is one entry a block.
+Blocks are made twice, once for their words and once for their sequences, which costs less disk
+than storing them; so the input is stored first, unless the caller says that it is a stable table that
+gives the same rows whenever it is read. A check value shows if the two should ever differ.
 
 A null text counts as empty and has no ids; repeated rows and ids (null ones too) each give
 a row of their own; only the named columns are read; an empty table gives an empty result.
@@ -24,6 +26,7 @@ import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,10 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skygauge.llm.common import exact_id, give_back, schema, text_batches
+from skygauge.llm.common import exact_id, give_back, materialize, parts_and_tasks, schema, text_batches
+
+
+@dataclass(frozen=True)
+class BpeLimits:
+    """The most distinct words and words of a block, and the bytes of text for each part and each task."""
+
+    block_words: int = 200_000
+    block_tokens: int = 2_500_000
+    part_bytes: int = 4 << 20
+    task_bytes: int = 16 << 20
+
 
-BLOCK_WORDS = 200_000
-BLOCK_TOKENS = 2_500_000
 #: Words given to the library at a time.
 ENCODE_WORDS = 8192
 #: Characters of a text that are split at a time.
@@ -148,7 +160,7 @@ def numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _blocks(batches: Iterator[pd.DataFrame], path: str, parts: int, sequences: bool) -> Iterator[pd.DataFrame]:
+def _blocks(batches: Iterator[pd.DataFrame], path: str, parts: int, sequences: bool, limits: BpeLimits) -> Iterator[pd.DataFrame]:
     vocab, task = vocabulary(path), TaskContext.get().partitionId()
     ordinal = itertools.count()
     local: dict[str, int]
@@ -176,7 +188,7 @@ def _blocks(batches: Iterator[pd.DataFrame], path: str, parts: int, sequences: b
             ids.append(doc)
             nulls.append(null)
             total += len(texts[-1])
-            if len(local) >= BLOCK_WORDS or total >= BLOCK_TOKENS:
+            if len(local) >= limits.block_words or total >= limits.block_tokens:
                 yield flush()
                 local, ids, nulls, texts, total = defaultdict(itertools.count().__next__), [], [], [], 0
     if ids:
@@ -223,19 +235,21 @@ def _join_block(docs: pd.DataFrame, words: pd.DataFrame, path: str) -> pd.DataFr
     return pd.DataFrame(out, columns=["id", "n_tokens", "ids", "decoded"], dtype=object)
 
 
-def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", stable: bool = False, limits: BpeLimits | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit numbers, binary) and decoded text of each document.
 
-    The id column must hold integers.
+    The id column must hold integers. stable: docs gives the same rows in the same order whenever it is read, as a scan of files does.
     """
-    spark = docs.sparkSession
-    text_batches(spark)
+    limits = limits or BpeLimits()
+    text_batches(docs.sparkSession)
     rows = docs.select(*exact_id(id_col), F.col(text_col).alias("text"))
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seqs = rows.mapInPandas(lambda it: _blocks(it, path, parts, True), schema("block long, check long, ids long[], nulls boolean[], payload binary"))
-    words = rows.mapInPandas(lambda it: _blocks(it, path, parts, False), schema("block long, check long, part long, payload binary"))
-    coded = words.groupBy("part").applyInPandas(lambda g: _encode_part(g, path), schema("block long, check long, payload binary"))
-    joined = seqs.groupBy("block").cogroup(coded.groupBy("block")).applyInPandas(lambda a, b: _join_block(a, b, path), schema("id long, n_tokens long, ids binary, decoded string"))
+    rows = rows if stable else materialize(rows)
+    parts, tasks = parts_and_tasks(rows, "text", limits.part_bytes, limits.task_bytes)
+    seqs = rows.mapInPandas(lambda it: _blocks(it, path, parts, True, limits), schema("block long, check long, ids long[], nulls boolean[], payload binary"))
+    words = rows.mapInPandas(lambda it: _blocks(it, path, parts, False, limits), schema("block long, check long, part long, payload binary"))
+    coded = words.repartition(tasks, "part").groupBy("part").applyInPandas(lambda g: _encode_part(g, path), schema("block long, check long, payload binary"))
+    both = seqs.repartition(tasks, "block").groupBy("block").cogroup(coded.repartition(tasks, "block").groupBy("block"))
+    joined = both.applyInPandas(lambda a, b: _join_block(a, b, path), schema("id long, n_tokens long, ids binary, decoded string"))
     return joined.withColumnRenamed("id", "doc_id")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from skygauge.plans.scratch import stored as materialize
 
-__all__ = ["TEXT_ROWS", "WORD", "exact_id", "give_back", "materialize", "schema", "table", "text_batches", "utf8", "word_count"]
+__all__ = ["TEXT_ROWS", "WORD", "exact_id", "give_back", "materialize", "parts_and_tasks", "schema", "table", "text_batches", "utf8", "word_count"]
 
 #: A word is a run of characters other than the six ASCII white-space ones.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,12 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_ROWS))
 
 
+def parts_and_tasks(docs: DataFrame, text_col: str, part_bytes: int, task_bytes: int) -> tuple[int, int]:
+    """How many groups and how many tasks the bytes of all texts ask for, so that neither grows with the table; tasks are no fewer than the session's shuffle partitions."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    return max(1, -(-size // part_bytes)), max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // task_bytes))
+
+
 def exact_id(id_col: str) -> list[Column]:
     """An integer id as two columns without nulls, id and no_id: pandas would round large ids beside a null."""
     known = F.col(id_col).cast("long")

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skygauge.llm import bpe, packing
 from skygauge.llm.queries import tokenizer_path
@@ -17,13 +18,12 @@ def texts():
     return [*out, "", None, " ", "<|endoftext|>", "word " * 3000, "x" * 5000, "tail   <|endoftext|>  head"]
 
 
-@pytest.mark.parametrize("limits", [(200_000, 2_500_000, 1 << 20), (50, 400, 64)])
-def test_ids_and_round_trip(spark, docs, stored, monkeypatch, limits):
-    for name, value in zip(("BLOCK_WORDS", "BLOCK_TOKENS", "PIECE"), limits):
-        monkeypatch.setattr(bpe, name, value)
+@pytest.mark.parametrize("limits,stable", [(bpe.BpeLimits(), True), (bpe.BpeLimits(50, 400, 500, 4000), False)])
+def test_ids_and_round_trip(spark, docs, stored, limits, stable):
     rows = list(enumerate(texts())) + [(3, "again"), (3, "again"), (None, "no id")]
     library = tokenizers.Tokenizer.from_file(tokenizer_path())
-    got = sorted(((-1 if r.doc_id is None else r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in bpe.encode_and_decode(stored(docs(rows)), tokenizer_path()).collect()))
+    df = stored(docs(rows)) if stable else docs(rows)
+    got = sorted(((-1 if r.doc_id is None else r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in bpe.encode_and_decode(df, tokenizer_path(), stable=stable, limits=limits).collect()))
     expected = []
     for doc, text in rows:
         ids = library.encode(text or "", add_special_tokens=False).ids
@@ -31,6 +31,20 @@ def test_ids_and_round_trip(spark, docs, stored, monkeypatch, limits):
     assert got == sorted(expected)
 
 
+def test_a_frame_that_differs_when_read_again(spark, docs):
+    """Is stored first: its rows agree with each other."""
+    df = docs([(i, "text") for i in range(50)]).withColumn("text", F.concat(F.lit("w"), (F.rand() * 1e6).cast("int").cast("string")))
+    out = bpe.encode_and_decode(df, tokenizer_path()).collect()
+    assert len(out) == 50 and all(r.decoded.startswith("w") for r in out)
+
+
+def test_pieces_of_a_text_split_alike(monkeypatch):
+    vocab, text = bpe.vocabulary(tokenizer_path()), "some words, <|endoftext|> and more é words of a text " * 9
+    whole = [w for ws in vocab.split(text) for w in ws]
+    monkeypatch.setattr(bpe, "PIECE", 64)
+    assert [w for ws in vocab.split(text) for w in ws] == whole
+
+
 def test_split_of_every_latin_character():
     vocab, library = bpe.vocabulary(tokenizer_path()), tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False)
     for i in range(0x250):
