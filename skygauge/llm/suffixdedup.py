@@ -7,30 +7,34 @@ A byte goes if a string of `length` bytes that covers it also starts in a docume
 2. Every window of `length` bytes has an anchor, the GRAM bytes in it with the least hash.
    Equal windows have equal anchors. Anchors of all documents meet by hash, packed; an
    anchor that only one document has can hold no shared window and is dropped there.
-3. For the others, the runs of windows with the same anchor meet, as snippets. Where an
-   anchor is in more than CROWD documents, equal snippets of a block are settled within
-   it, all but the earliest, and the rest go as single windows, by their own hash. So a
-   passage of very many documents doesn't meet in one task.
-4. The windows that met are suffix-sorted: only suffixes smaller than their successors
+3. For the others, the runs of windows with the same anchor meet, as snippets. Anchors in a crowd of
+   documents meet by a tree: a block sorts its own crowded snippets first, and only the windows that no smaller id
+   has there go on; `fan` blocks meet at a time, and their survivors again, up to one group. So a
+   passage of very many documents is never gathered whole in one task.
+4. Snippets that met, in a block, a branch of the tree or a part, are suffix-sorted: only suffixes smaller than their successors
    are sorted directly; the others are induced from them by scanning buckets of equal first bytes
    in order. Adjacent common prefixes of `length` bytes make groups of equal windows; the
    least id of a group stays and windows of larger ids are removed.
 5. Spans go back to their blocks, where they are merged and cut out.
 
 All decisions are on the input. Hashes only route: windows are compared byte by byte (step
-4), except whole copies, which are told by 128 bits of hash.
+4), except whole copies, which are told by 128 bits of hash. Parts and tasks are made for so many bytes of
+text each (see SuffixLimits), so they keep their size as the table grows.
 
-Null texts are empty. Ids are integers; a null id counts as larger than all others. Rows
-with the same id never remove each other's bytes. Columns that aren't named are ignored
-unless carried. docs must give the same rows whenever it is read, as a stored table does; a
+Null texts are empty. Ids are integers; a null id ranks with the largest possible one, after all others. Rows
+with the same id never remove each other's bytes. A very long text makes a block of its own. Columns that aren't named are ignored
+unless carried. Documents are read more than once, so the input is stored first, unless the caller
+says that it is a stable table that gives the same rows whenever it is read; a
 check value shows if not. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -40,19 +44,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skygauge.llm.common import give_back, materialize, schema, text_batches, utf8
+from skygauge.llm.common import exact_id, give_back, materialize, parts_and_tasks, schema, text_batches, utf8
 
 LENGTH = 50
 GRAM = 24
-CROWD = 200
-BLOCK_BYTES = 8 << 20
-BLOCK_DOCS = 60_000
-#: Bytes of a document whose anchors are found at a time, and of snippets that are sorted at a time.
-PIECE = 1 << 20
-SORT_BYTES = 1 << 20
 LAST = np.iinfo(np.int64).max
 
 
+@dataclass(frozen=True)
+class SuffixLimits:
+    """crowd: documents with an anchor from which on it meets by a tree; fan: blocks that meet there at a time. block_bytes, block_docs: a block's most.
+
+    piece: bytes of a document whose anchors are found at a time; sort_bytes: of snippets that are sorted at a time.
+    part_bytes, task_bytes: bytes of text for each part and each task.
+    """
+
+    crowd: int = 200
+    fan: int = 256
+    block_bytes: int = 8 << 20
+    block_docs: int = 60_000
+    piece: int = 1 << 20
+    sort_bytes: int = 1 << 20
+    part_bytes: int = 4 << 20
+    task_bytes: int = 16 << 20
+
+
 # ---- suffix sorting ---------------------------------------------------------------------
 
 
@@ -157,6 +173,27 @@ def repeated_windows(strings: list[bytes], ids: np.ndarray, length: int = LENGTH
     return list(zip(which.tolist(), (first - begins[which]).tolist(), (final - begins[which] + length).tolist(), strict=True))
 
 
+def settled(keys: np.ndarray, strings: list[bytes], ids: np.ndarray, sort_bytes: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Of strings that meet by key: (string, start, end) of bytes that a smaller id's windows cover, and of the strings that the other windows make up."""
+    order = np.argsort(keys, kind="stable")
+    opens = np.concatenate([[0], np.flatnonzero(np.diff(keys[order])) + 1, [len(order)]])
+    size = np.concatenate([[0], np.cumsum([len(strings[i]) for i in order])])
+    found, at = [], 0
+    while at < len(opens) - 1:  # whole keys, about sort_bytes of them
+        to = max(at + 1, int(np.searchsorted(size[opens], size[opens[at]] + sort_bytes, "right")) - 1)
+        own = order[opens[at] : opens[to]]
+        found += [(int(own[i]), a, b) for i, a, b in repeated_windows([strings[i] for i in own], ids[own])]
+        at = to
+    free = np.zeros(len(strings), np.int64)  # up to where a string's windows are looked through
+    left = []
+    for i, a, b in sorted(found):
+        if a > free[i]:
+            left.append((i, int(free[i]), a + LENGTH - 1))
+        free[i] = b - LENGTH + 1
+    left += [(i, int(free[i]), len(x)) for i, x in enumerate(strings) if len(x) - free[i] >= LENGTH]
+    return found, left
+
+
 # ---- anchors ----------------------------------------------------------------------------
 
 
@@ -190,16 +227,16 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return least[starts], starts
 
 
-def document_anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def document_anchors(data: bytes, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first window, number of windows) of all runs of a document, in pieces of bounded size."""
     hashes, starts, counts = [], [], []
     text = np.frombuffer(data, np.uint8)
-    for at in range(0, len(text) - LENGTH + 1, PIECE):
-        piece = text[at : at + PIECE + LENGTH - 1]
-        h, s = anchors(piece)
+    for at in range(0, len(text) - LENGTH + 1, piece):
+        own = text[at : at + piece + LENGTH - 1]
+        h, s = anchors(own)
         hashes.append(h)
         starts.append(s + at)
-        counts.append(np.diff(np.append(s, len(piece) - LENGTH + 1)))
+        counts.append(np.diff(np.append(s, len(own) - LENGTH + 1)))
     none = np.zeros(0, np.int64)
     return np.concatenate([*hashes, none.astype(np.uint64)]), np.concatenate([*starts, none]), np.concatenate([*counts, none])
 
@@ -234,34 +271,36 @@ def _by_part(parts: np.ndarray, count: int) -> list[np.ndarray]:
 
 # ---- steps ------------------------------------------------------------------------------
 
-TEXTS = schema("block long, ids long[], extras string[], payload binary")
+TEXTS = schema("block long, ids long[], nulls boolean[], extras string[], payload binary")
 COPIES = schema("block long, place int, id long, n long, digest binary")
+#: Rows of the steps between. Parts below 0 hold what a block has settled; those from the number of parts on hold crowds.
 PACKED = schema("block long, part long, payload binary")
 
 
-def _texts(batches: Iterator[pd.DataFrame], copies_only: bool) -> Iterator[pd.DataFrame]:
+def _texts(batches: Iterator[pd.DataFrame], copies_only: bool, limits: SuffixLimits) -> Iterator[pd.DataFrame]:
     """Documents as blocks: their bytes together, or a row for each with its digest."""
     task, ordinal = TaskContext.get().partitionId(), itertools.count()
-    ids, extras, texts, total = [], [], [], 0
+    ids, nulls, extras, texts, total = [], [], [], [], 0
 
     def flush() -> pd.DataFrame:
         block = (task << 32) + next(ordinal)
         if copies_only:
             return pd.DataFrame({"block": block, "place": np.arange(len(ids), dtype=np.int32), "id": np.array(ids, np.int64), "n": [len(x) for x in texts], "digest": [xxhash.xxh3_128_digest(x) for x in texts]})
-        return pd.DataFrame({"block": [block], "ids": [np.array(ids, np.int64)], "extras": [extras], "payload": [_packed(np.array([len(x) for x in texts], "<u8"), b"".join(texts))]})
+        return pd.DataFrame({"block": [block], "ids": [np.array(ids, np.int64)], "nulls": [nulls], "extras": [extras], "payload": [_packed(np.array([len(x) for x in texts], "<u8"), b"".join(texts))]})
 
     for batch in batches:
-        for doc, extra, text in zip(batch["id"].tolist(), batch["extra"], batch["text"], strict=True):
-            ids.append(doc)
+        for doc, null, extra, text in zip(batch["id"].tolist(), batch["no_id"].tolist(), batch["extra"], batch["text"], strict=True):
+            ids.append(LAST if null else doc)
+            nulls.append(null)
             extras.append(extra)
             texts.append(utf8(text))
             total += len(texts[-1])
-            if total >= BLOCK_BYTES or len(ids) >= BLOCK_DOCS:
+            if total >= limits.block_bytes or len(ids) >= limits.block_docs:
                 yield flush()
-                ids, extras, texts, total = [], [], [], 0
+                ids, nulls, extras, texts, total = [], [], [], [], 0
     if ids:
         yield flush()
-    del ids, extras, texts
+    del ids, nulls, extras, texts
     give_back()
 
 
@@ -285,13 +324,13 @@ def _pack_firsts(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": group["block"].iloc[:1], "part": [-1], "payload": [_packed(group["first"].to_numpy(np.uint8), group["n"].to_numpy("<u8"))]})
 
 
-def _block_anchors(texts: pd.DataFrame, info: pd.DataFrame, parts: int) -> pd.DataFrame:
+def _block_anchors(texts: pd.DataFrame, info: pd.DataFrame, parts: int, limits: SuffixLimits) -> pd.DataFrame:
     """A block's anchors by part: hashes, sorted, and places of their documents."""
     if not len(texts):
         return pd.DataFrame(columns=PACKED.names)
     block, _, docs = _documents(texts)
     firsts = _firsts(info, docs)
-    found = [(h, np.full(len(h), i, "<u2")) for i, d in enumerate(docs) if firsts[i] and len(d) >= LENGTH for h in [np.unique(document_anchors(d)[0])]]
+    found = [(h, np.full(len(h), i, "<u2")) for i, d in enumerate(docs) if firsts[i] and len(d) >= LENGTH for h in [np.unique(document_anchors(d, limits.piece)[0])]]
     hashes = np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in found)])
     places = np.concatenate([np.zeros(0, "<u2"), *(x[1] for x in found)])
     order = np.argsort(hashes, kind="stable")
@@ -300,7 +339,7 @@ def _block_anchors(texts: pd.DataFrame, info: pd.DataFrame, parts: int) -> pd.Da
     return pd.DataFrame(rows, columns=PACKED.names)
 
 
-def _shared_anchors(group: pd.DataFrame) -> pd.DataFrame:
+def _shared_anchors(group: pd.DataFrame, limits: SuffixLimits) -> pd.DataFrame:
     """Of one part: for each block the anchors that other documents have too, and which are in a crowd."""
     found = [_unpacked(x)[0] for x in group["payload"]]
     _, inverse, counts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
@@ -310,7 +349,7 @@ def _shared_anchors(group: pd.DataFrame) -> pd.DataFrame:
         n = counts[at : at + len(own)]
         at += len(own)
         if (shared := n > 1).any():
-            rows.append((block, part, _packed(np.unique(own[shared]), np.unique(own[n > CROWD]))))
+            rows.append((block, part, _packed(np.unique(own[shared]), np.unique(own[n > limits.crowd]))))
     return pd.DataFrame(rows, columns=PACKED.names)
 
 
@@ -321,8 +360,17 @@ def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _block_snippets(texts: pd.DataFrame, info: pd.DataFrame, parts: int) -> pd.DataFrame:
-    """A block's snippets around shared anchors, by part; in part -1 the spans that are settled here."""
+def _snippet_rows(block: int, part: np.ndarray, keys: np.ndarray, places: np.ndarray, begins: np.ndarray, ids: np.ndarray, strings: list[bytes]) -> list[tuple]:
+    """A row for each part that has snippets of a block."""
+    rows = []
+    for at in _by_block(part) if len(part) else []:
+        own = [strings[i] for i in at]
+        rows.append((block, int(part[at[0]]), _packed(keys[at].astype("<u8"), places[at].astype("<u4"), begins[at].astype("<u8"), ids[at], np.array([len(x) for x in own], "<u4"), b"".join(own))))
+    return rows
+
+
+def _block_snippets(texts: pd.DataFrame, info: pd.DataFrame, parts: int, limits: SuffixLimits) -> pd.DataFrame:
+    """A block's snippets around shared anchors, by part: those of crowds as far as the block doesn't settle them; and the spans that are settled here."""
     if not len(texts):
         return pd.DataFrame(columns=PACKED.names)
     block, ids, docs = _documents(texts)
@@ -330,80 +378,62 @@ def _block_snippets(texts: pd.DataFrame, info: pd.DataFrame, parts: int) -> pd.D
     flags = [_unpacked(x) for x in info.loc[info["part"] >= 0, "payload"]]
     none = np.zeros(0, np.uint64)
     shared, crowd = (np.unique(np.concatenate([none, *(f[k] for f in flags)])) for k in (0, 1))
-    keys, places, begins, strings, spans = [], [], [], [], []
-
-    def earliest(seen: dict[bytes, list], string: bytes, place: int, start: int) -> None:
-        """Keep the holders of a string with the least id; the bytes of the others go."""
-        held = seen.setdefault(string, [])
-        if held and ids[held[0][0]] > ids[place]:
-            spans.extend((p, s, s + len(string)) for p, s in held)
-            held.clear()
-        if held and ids[held[0][0]] < ids[place]:
-            spans.append((place, start, start + len(string)))
-        else:
-            held.append((place, start))
-
-    def send(key: int, place: int, start: int, string: bytes) -> None:
-        keys.append(key)
-        places.append(place)
-        begins.append(start)
-        strings.append(string)
-
-    crowded: dict[bytes, list] = {}
+    keys, places, begins, strings = [], [], [], []
     for place, data in enumerate(docs):
         if not firsts[place] or len(data) < LENGTH:
             continue
-        hashes, starts, counts = document_anchors(data)
-        chosen, hot = _among(shared, hashes), _among(crowd, hashes)
-        for h, s, n, c in zip(hashes[chosen].tolist(), starts[chosen].tolist(), counts[chosen].tolist(), hot[chosen].tolist(), strict=True):
-            string = data[s : s + n + LENGTH - 1]
-            earliest(crowded, string, place, s) if c else send(h, place, s, string)
-    windows: dict[bytes, list] = {}
-    for string, held in crowded.items():
-        for place, s in held:
-            for k in range(len(string) - LENGTH + 1):
-                earliest(windows, string[k : k + LENGTH], place, s + k)
-    for string, held in windows.items():
-        for place, s in held:
-            send(xxhash.xxh3_64_intdigest(string), place, s, string)
-    rows = []
-    keys, places, begins = np.array(keys, "<u8"), np.array(places, "<u4"), np.array(begins, "<u8")
-    for at in _by_part(keys >> np.uint64(20), np.uint64(parts)):
-        own = [strings[i] for i in at]
-        rows.append((block, int((keys[at[0]] >> np.uint64(20)) % np.uint64(parts)), _packed(keys[at], places[at], begins[at], ids[places[at]], np.array([len(x) for x in own], "<u4"), b"".join(own))))
-    if spans:
-        spans = np.array(spans, "<u8")
-        rows.append((block, -1 - block % parts, _packed(*np.ascontiguousarray(spans.T))))
+        hashes, starts, counts = document_anchors(data, limits.piece)
+        chosen = _among(shared, hashes)
+        for h, s, n in zip(hashes[chosen].tolist(), starts[chosen].tolist(), counts[chosen].tolist(), strict=True):
+            keys.append(h)
+            places.append(place)
+            begins.append(s)
+            strings.append(data[s : s + n + LENGTH - 1])
+    keys, places, begins = np.array(keys, "<u8"), np.array(places, np.int64), np.array(begins, np.int64)
+    part, hot, rows = ((keys >> np.uint64(20)) % np.uint64(parts)).astype(np.int64), _among(crowd, keys), []
+    cold = np.flatnonzero(~hot)
+    rows += _snippet_rows(block, part[cold], keys[cold], places[cold], begins[cold], ids[places[cold]], [strings[i] for i in cold])
+    if hot.any():
+        own = np.flatnonzero(hot)
+        held = [strings[i] for i in own]
+        found, left = settled(keys[own], held, ids[places[own]], limits.sort_bytes)
+        if found:
+            which, a, b = (np.array(x, np.int64) for x in zip(*found, strict=True))
+            rows.append((block, -1 - block % parts, _packed(*(x.astype("<u8") for x in (places[own[which]], begins[own[which]] + a, begins[own[which]] + b)))))
+        if left:
+            which, a, b = (np.array(x, np.int64) for x in zip(*left, strict=True))
+            at = own[which]
+            rows += _snippet_rows(block, parts + part[at], keys[at], places[at], begins[at] + a, ids[places[at]], [held[i][x:y] for i, x, y in left])
     return pd.DataFrame(rows, columns=PACKED.names)
 
 
-def _sorted_part(group: pd.DataFrame) -> pd.DataFrame:
-    """The spans that suffix sorting finds among the snippets of one part, by block."""
-    if group["part"].iloc[0] < 0:
-        return group.assign(part=0)  # settled already
+def _sorted_part(group: pd.DataFrame, parts: int, limits: SuffixLimits) -> pd.DataFrame:
+    """The spans that suffix sorting finds among the snippets of one part, by block; of a crowd also what is left of the snippets."""
+    own_part = int(group["part"].iloc[0])
+    if own_part < 0:
+        return group.assign(part=0)[PACKED.names]  # settled already
     blocks, columns, strings = [], [], []
     for block, payload in zip(group["block"], group["payload"], strict=True):
         keys, places, begins, ids, sizes, data = _unpacked(payload)
         ends = np.cumsum(sizes, dtype=np.int64).tolist()
         strings += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        columns.append((keys, places, begins, ids.view(np.int64)))
+        columns.append((keys, places.astype(np.int64), begins.astype(np.int64), ids.view(np.int64)))
         blocks.append(np.full(len(keys), block, np.int64))
     keys, places, begins, ids = (np.concatenate(x) for x in zip(*columns, strict=True))
     blocks = np.concatenate(blocks)
-    order = np.argsort(keys, kind="stable")
-    opens = np.concatenate([[0], np.flatnonzero(np.diff(keys[order])) + 1, [len(order)]])
-    size = np.concatenate([[0], np.cumsum([len(strings[i]) for i in order])])
-    found, at = [], 0
-    while at < len(opens) - 1:  # whole keys, about SORT_BYTES of them
-        to = max(at + 1, int(np.searchsorted(size[opens], size[opens[at]] + SORT_BYTES, "right")) - 1)
-        own = order[opens[at] : opens[to]]
-        found += [(own[i], a, b) for i, a, b in repeated_windows([strings[i] for i in own], ids[own])]
-        at = to
-    if not found:
-        return pd.DataFrame(columns=PACKED.names)
-    which, a, b = (np.array(x, np.int64) for x in zip(*found, strict=True))
-    spans = np.stack([places[which].astype(np.uint64), begins[which] + a.astype(np.uint64), begins[which] + b.astype(np.uint64)])
-    return pd.DataFrame([(int(blocks[which[at[0]]]), 0, _packed(*np.ascontiguousarray(spans[:, at]))) for at in _by_block(blocks[which])], columns=PACKED.names)
+    found, left = settled(keys, strings, ids, limits.sort_bytes)
+    rows = []
+    if found:
+        which, a, b = (np.array(x, np.int64) for x in zip(*found, strict=True))
+        spans = np.stack([places[which], begins[which] + a, begins[which] + b]).astype("<u8")
+        rows += [(int(blocks[which[at[0]]]), 0, _packed(*np.ascontiguousarray(spans[:, at]))) for at in _by_block(blocks[which])]
+    if own_part >= parts and left:
+        which, a, _ = (np.array(x, np.int64) for x in zip(*left, strict=True))
+        kept = [strings[i][x:y] for i, x, y in left]
+        for at in _by_block(blocks[which]):
+            i = which[at]
+            rows += _snippet_rows(int(blocks[i[0]]), np.full(len(at), own_part), keys[i], places[i], begins[i] + a[at], ids[i], [kept[k] for k in at])
+    return pd.DataFrame(rows, columns=PACKED.names)
 
 
 def _by_block(blocks: np.ndarray) -> list[np.ndarray]:
@@ -428,6 +458,7 @@ def _cut_block(texts: pd.DataFrame, info: pd.DataFrame, as_text: bool) -> pd.Dat
     if not len(texts):
         return pd.DataFrame(columns=OUT.names)
     _, ids, docs = _documents(texts)
+    nulls, extras = texts["nulls"].iloc[0], texts["extras"].iloc[0]
     firsts = _firsts(info, docs)
     found = [_unpacked(x) for x in info.loc[info["part"] >= 0, "payload"]]
     places, starts, ends = (np.concatenate([np.zeros(0, np.uint64), *(f[k] for f in found)]).astype(np.int64) for k in range(3))
@@ -440,7 +471,7 @@ def _cut_block(texts: pd.DataFrame, info: pd.DataFrame, as_text: bool) -> pd.Dat
         if not firsts[i] and len(data) >= LENGTH:
             a, b = np.array([0]), np.array([len(data)])
         kept = b"".join(data[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(data)], strict=True))
-        rows.append((None if ids[i] == LAST else int(ids[i]), texts["extras"].iloc[0][i], len(data), a, b, kept.decode("utf-8", "ignore") if as_text else kept))
+        rows.append((None if nulls[i] else int(ids[i]), extras[i], len(data), a, b, kept.decode("utf-8", "ignore") if as_text else kept))
     return pd.DataFrame(rows, columns=OUT.names, dtype=object)
 
 
@@ -455,40 +486,59 @@ def _pair(run):  # noqa: ANN001, ANN202
     return wrapped
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+#: Of carried columns as JSON: times with all their digits.
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False, stable: bool = False, limits: SuffixLimits | None = None) -> DataFrame:
     """doc_id, extra, n_bytes, starts and ends of removed spans, and kept bytes of each document.
 
     extra holds the columns named in carry as a JSON object, or null. as_text: what is kept
-    as a text, without characters that a cut has parted.
+    as a text, without characters that a cut has parted. stable: docs gives the same rows in the same
+    order whenever it is read, as a scan of files does.
     """
-    spark = docs.sparkSession
-    text_batches(spark)
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    extra = F.to_json(F.struct(*(F.col(f"`{c}`") for c in carry))) if carry else F.lit(None).cast("string")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), extra.alias("extra"), F.col(text_col).alias("text"))
+    limits = limits or SuffixLimits()
+    text_batches(docs.sparkSession)
+    extra = F.to_json(F.struct(*(F.col(f"`{c}`") for c in carry)), JSON) if carry else F.lit(None).cast("string")
+    rows = docs.select(*exact_id(id_col), extra.alias("extra"), F.col(text_col).alias("text"))
+    rows = rows if stable else materialize(rows)
+    parts, tasks = parts_and_tasks(rows, "text", limits.part_bytes, limits.task_bytes)
     # Copies: the least id of each digest. Both sides are a row of numbers for each document.
-    each = materialize(rows.mapInPandas(lambda it: _texts(it, True), COPIES))
+    each = materialize(rows.mapInPandas(lambda it: _texts(it, True, limits), COPIES))
     least = materialize(each.groupBy("digest", "n").agg(F.min("id").alias("least")))
     marked = each.join(least.toDF("d", "m", "least"), (F.col("digest") == F.col("d")) & (F.col("n") == F.col("m")))
     firsts = marked.select("block", "place", "n", (F.col("id") == F.col("least")).alias("first"))
     info = materialize(firsts.groupBy("block").applyInPandas(_pack_firsts, PACKED))
-    blocks = rows.mapInPandas(lambda it: _texts(it, False), TEXTS).groupBy("block")
-    met = blocks.cogroup(info.groupBy("block")).applyInPandas(_pair(lambda a, b: _block_anchors(a, b, parts)), PACKED)
-    flags = met.groupBy("part").applyInPandas(_shared_anchors, PACKED)
-    snippets = blocks.cogroup(info.union(flags).groupBy("block")).applyInPandas(_pair(lambda a, b: _block_snippets(a, b, parts)), PACKED)
-    spans = snippets.groupBy("part").applyInPandas(_sorted_part, PACKED)
-    return blocks.cogroup(info.union(spans).groupBy("block")).applyInPandas(_pair(lambda a, b: _cut_block(a, b, as_text)), OUT_TEXT if as_text else OUT)
-
-
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    by_block = lambda df: df.repartition(tasks, "block").groupBy("block")
+    by_part = lambda df, *slot: df.repartition(tasks, "part", *slot).groupBy("part", *slot)
+    blocks = by_block(rows.mapInPandas(lambda it: _texts(it, False, limits), TEXTS))
+    met = blocks.cogroup(by_block(info)).applyInPandas(_pair(lambda a, b: _block_anchors(a, b, parts, limits)), PACKED)
+    flags = by_part(met).applyInPandas(lambda g: _shared_anchors(g, limits), PACKED)
+    snippets = blocks.cogroup(by_block(info.union(flags))).applyInPandas(_pair(lambda a, b: _block_snippets(a, b, parts, limits)), PACKED)
+    # Crowds meet in groups of about `fan` blocks, then their survivors again, until one group is left.
+    groups, crowd, spans = -(-info.count() // limits.fan), snippets, []
+    while True:
+        slot = F.when(F.col("part") >= parts, F.pmod(F.xxhash64("block", F.lit(groups)), F.lit(max(1, groups)))).otherwise(0)
+        found = by_part(crowd.withColumn("slot", slot), "slot").applyInPandas(lambda g: _sorted_part(g, parts, limits), PACKED)
+        if groups <= 1:
+            spans.append(found.where(F.col("part") < parts))
+            break
+        found = materialize(found)
+        spans.append(found.where(F.col("part") < parts))
+        crowd, groups = found.where(F.col("part") >= parts), -(-groups // limits.fan)
+    info = functools.reduce(DataFrame.union, spans, info)
+    return blocks.cogroup(by_block(info)).applyInPandas(_pair(lambda a, b: _cut_block(a, b, as_text)), OUT_TEXT if as_text else OUT)
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = None, stable: bool = False, limits: SuffixLimits | None = None) -> DataFrame:
     """docs with repeated substrings cut from the text, all columns kept; documents of which nothing is left go.
 
     A character that a cut parts goes as a whole. count_col, if given, is set to the new
     number of code points. Texts that were null or empty from the start stay as empty ones.
     """
     others = [c for c in docs.columns if c != text_col]
-    cut = remove_repeats(docs, id_col, text_col, tuple(others), as_text=True)
-    kept = cut.where((F.size("starts") == 0) | (F.length("kept") > 0)).select(F.col("kept").alias("text"), F.from_json("extra", docs.select(*(f"`{c}`" for c in others)).schema).alias("x"))
+    cut = remove_repeats(docs, id_col, text_col, tuple(others), True, stable, limits)
+    kept = cut.where((F.size("starts") == 0) | (F.length("kept") > 0)).select(F.col("kept").alias("text"), F.from_json("extra", docs.select(*(f"`{c}`" for c in others)).schema, JSON).alias("x"))
     columns = {c: F.col("x")[c] for c in others} | {text_col: F.col("text")}
     if count_col:
         columns[count_col] = F.length("text").cast(docs.schema[count_col].dataType)

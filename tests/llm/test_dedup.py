@@ -42,17 +42,35 @@ def substring_rows():
     return rows
 
 
-@pytest.mark.parametrize("crowd,block,piece,sort", [(200, 8 << 20, 1 << 20, 1 << 20), (2, 3000, 90, 500)])
-def test_substrings(spark, docs, stored, monkeypatch, crowd, block, piece, sort):
-    for name, value in (("CROWD", crowd), ("BLOCK_BYTES", block), ("PIECE", piece), ("SORT_BYTES", sort)):
-        monkeypatch.setattr(suffixdedup, name, value)
-    rows = substring_rows()
+TINY = suffixdedup.SuffixLimits(crowd=2, fan=2, block_bytes=3000, piece=90, sort_bytes=500, part_bytes=5000, task_bytes=20_000)
+
+
+@pytest.mark.parametrize("limits,stable", [(suffixdedup.SuffixLimits(), True), (TINY, False), (suffixdedup.SuffixLimits(crowd=2, block_bytes=3000, part_bytes=1 << 20), False)])
+def test_substrings(spark, docs, stored, limits, stable):
+    rows = substring_rows() + [((1 << 63) - 1, substring_rows()[0][1] + "the largest id")]
     random.Random(1).shuffle(rows)
-    out = suffixdedup.remove_repeats(stored(docs(rows))).collect()
+    df = stored(docs(rows)) if stable else docs(rows)
+    out = suffixdedup.remove_repeats(df, stable=stable, limits=limits).collect()
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, sum(b - a for a, b in zip(r.starts, r.ends)), len(r.starts), bytes(r.kept)) for r in out)
     assert got == brute_substrings(rows)
 
 
+def test_what_a_sort_leaves():
+    """Of strings that meet by key, removed windows and those left are all windows, once each."""
+    rng = random.Random(2)
+    for _ in range(60):
+        base = ["".join(rng.choice("ab") for _ in range(70)) for _ in range(3)]
+        strings = [(rng.choice(base)[: rng.randint(50, 70)]).encode() for _ in range(rng.randint(1, 12))]
+        keys, ids = np.array([rng.randint(0, 2) for _ in strings], np.uint64), np.array([rng.randint(0, 5) for _ in strings])
+        found, left = suffixdedup.settled(keys, strings, ids, rng.choice([1, 100, 1 << 20]))
+        gone = sorted((i, k) for i, a, b in found for k in range(a, b - 49))
+        assert sorted(gone + [(i, k) for i, a, b in left for k in range(a, b - 49)]) == [(i, k) for i, x in enumerate(strings) for k in range(len(x) - 49)]
+        for i, k in [(i, k) for i, x in enumerate(strings) for k in range(len(x) - 49)]:
+            window = strings[i][k : k + 50]
+            earlier = any(keys[j] == keys[i] and ids[j] < ids[i] and window in strings[j] for j in range(len(strings)))
+            assert ((i, k) in gone) >= earlier and (((i, k) in gone) <= any(ids[j] < ids[i] and window in strings[j] for j in range(len(strings))))
+
+
 def test_two_stage_order_and_prefixes():
     rng = random.Random(3)
     for _ in range(150):
@@ -69,6 +87,13 @@ def test_two_stage_order_and_prefixes():
             assert n == next((k for k in range(4) if a[k] != b[k]), 4)
 
 
+def test_carried_columns_stay_exact(spark):
+    rows = [(1, "x" * 60, "2024-01-02 03:04:05.123456", "1.10", [1, None], 0.1, b"\x00\xff"), (2, "y" * 60, None, None, None, None, None), (None, "z", "1969-12-31 23:59:59.000001", "-99999999.99", [], float("inf"), b"")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t string, d string, a array<long>, f double, b binary").selectExpr("doc_id", "text", "cast(t as timestamp) as t", "cast(t as timestamp_ntz) as n", "cast(d as decimal(20,2)) as d", "a", "f", "b", "cast(cast(t as timestamp) as date) as `x.y`")
+    out = suffixdedup.without_repeats(df)
+    assert out.dtypes == df.dtypes and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+
+
 def test_without_repeats_keeps_columns(spark, docs, stored):
     text = "é" * 40 + " a tail of its own"
     rows = [(1, text, "fr", None), (2, "x" + text, None, "s2"), (3, text), (4, None), (5, "")]
