@@ -27,8 +27,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts may part a character; its remaining bytes go too. n_chars is counted anew."""
-    return suffixdedup.without_repeats(docs, count_col="n_chars")
+    """Cuts may part a character; its remaining bytes go too. n_chars is counted anew. Each stage reads stored files, so docs is stable."""
+    return suffixdedup.without_repeats(docs, count_col="n_chars", stable=True)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = bpe.encode_and_decode(docs, tokenizer_path())
+    coded = bpe.encode_and_decode(docs, tokenizer_path(), stable=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
