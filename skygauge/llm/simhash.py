@@ -16,13 +16,15 @@ Where a similarity is asked for, texts whose sets of five-word shingles have tha
 similarity are linked too. At 0.8 their fingerprints differ in about ten bits, which no such
 keys reach, so candidates are texts with a band of MinHash values in common: a pair at 0.8
 shares one of 20 bands of 6 with probability 0.998. In a bucket of up to BUCKET texts all pairs are
-candidates; in a larger one each text with LEADERS of them, so that work stays linear, and
-a pair of two others is found through those or other bands, or not. Candidates are compared exactly, by
-the hashes of their shingles.
+candidates. In a larger one each text is first compared with LEADERS of them, which puts most of a group of
+near copies into one component; then all pairs that aren't in one component yet are candidates,
+those of the bucket's largest component with each other being settled. So no link between
+components is lost, and a bucket of one component takes linear work. Candidates are compared
+exactly, by the hashes of their shingles.
 
 A text without words (empty or null) has fingerprint zero and links like any other. A null
 id is a row like others, but can't be the smallest id of a component unless all are null.
-Repeated rows stay rows. Only the named columns are read; an empty table gives no rows.
+Repeated rows stay rows. A very long text is hashed in pieces. Only the named columns are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ PIECE = 1 << 22
 #: For similar texts: words of a shingle, bands of MinHash values and values of each.
 WORDS, BANDS, ROWS = 5, 20, 6
 BUCKET, LEADERS = 16, 2
+#: Fingerprints of a key from which on it is compared by pairs of groups, in separate tasks.
+CROWD = 4096
 #: Segments as (lowest bit, width), from the top of the fingerprint.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Fixed value: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, which generates the Golay code.
@@ -156,54 +160,79 @@ def key_arrays(values: pd.Series) -> pd.Series:
     return pd.Series(list(map(np.unique, fuzzy_keys(values.to_numpy(np.int64)))), index=values.index, dtype=object)
 
 
-def near_pairs(distinct: DataFrame) -> DataFrame:
+def near_pairs(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, b) of all pairs of the distinct column fp that differ in DISTANCE bits or fewer."""
     keyed = materialize(distinct.select("fp", F.explode(key_arrays("fp")).alias("key")))
-    left, right = keyed.select("key", F.col("fp").alias("a")), keyed.select("key", F.col("fp").alias("b"))
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b").distinct()
+    crowded = keyed.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+    groups = F.coalesce(F.ceil(F.col("n") / crowd), F.lit(1)).cast("int")
+    split = keyed.join(materialize(crowded), F.col("key") == F.col("k"), "left").select("fp", "key", groups.alias("groups"))
+    left = split.select("key", F.pmod(F.xxhash64("fp"), F.col("groups")).cast("int").alias("group"), F.col("fp").alias("a"))
+    right = split.select("key", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("fp").alias("b"))
+    return left.join(right, ["key", "group"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b").distinct()
+
+
+def similar(candidates: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """(ua, ub, a, b): hashes and fingerprints of the candidates (x, y: structs of u, fp and number of shingles) with that Jaccard similarity or more."""
+    low, high = F.when(F.col("x.u") < F.col("y.u"), F.col("x")).otherwise(F.col("y")), F.when(F.col("x.u") < F.col("y.u"), F.col("y")).otherwise(F.col("x"))
+    near = (F.col("x.fp") != F.col("y.fp")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n"))
+    pairs = materialize(candidates.where(near).select(low["u"].alias("ua"), high["u"].alias("ub"), low["fp"].alias("a"), high["fp"].alias("b")).distinct())
+    needed = pairs.select(F.col("ua").alias("u")).union(pairs.select("ub")).distinct()
+    wanted = docs.select(F.xxhash64(text_col).alias("u"), F.col(text_col).alias("text")).join(needed, "u", "left_semi").dropDuplicates(["u"])
+    sets = materialize(wanted.select("u", shingle_sets("text").alias("set")))
+    met = pairs.join(sets.select(F.col("u").alias("ua"), F.col("set").alias("sa")), "ua").join(sets.select(F.col("u").alias("ub"), F.col("set").alias("sb")), "ub")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return materialize(met.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("ua", "ub", "a", "b"))
 
 
-def similar_pairs(docs: DataFrame, prints: DataFrame, text_col: str, similarity: float) -> DataFrame:
+def similar_pairs(docs: DataFrame, prints: DataFrame, text_col: str, similarity: float, bucket: int = BUCKET) -> DataFrame:
     """(a, b), fingerprints of texts with that Jaccard similarity or more; prints has fp, sketch and u (a text's hash)."""
     texts = materialize(prints.where("sketch IS NOT NULL").select("u", "fp", "sketch").dropDuplicates(["u"]))
     members = texts.select(F.struct("u", "fp", F.element_at("sketch", 1).alias("n")).alias("x"), F.explode(F.slice("sketch", 2, BANDS)).alias("key"))
     leaders = F.array(*(F.min(F.struct(F.xxhash64("x.u", F.lit(j)).alias("h"), "x"))["x"] for j in range(LEADERS)))
     buckets = materialize(members.groupBy("key").agg(F.count("*").alias("size"), leaders.alias("leaders")).where("size > 1"))
     shared = materialize(members.join(buckets, "key"))
-    small = shared.where(F.col("size") <= BUCKET)
-    among = small.select("key", F.col("x").alias("a")).join(small.select("key", F.col("x").alias("b")), "key").select("a", "b")
-    led = shared.where(F.col("size") > BUCKET).select(F.col("x").alias("a"), F.explode("leaders").alias("b"))
-    both = among.where("a.u < b.u").union(led.select(F.when(F.col("a.u") < F.col("b.u"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("a.u") < F.col("b.u"), F.col("b")).otherwise(F.col("a")).alias("b")))
-    alike = (F.col("a.fp") != F.col("b.fp")) & (F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n"))
-    pairs = materialize(both.where(alike).select(F.col("a.u").alias("ua"), F.col("b.u").alias("ub"), F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct())
-    needed = pairs.select(F.col("ua").alias("u")).union(pairs.select("ub")).distinct()
-    wanted = docs.select(F.xxhash64(text_col).alias("u"), F.col(text_col).alias("text")).join(needed, "u", "left_semi").dropDuplicates(["u"])
-    sets = materialize(wanted.select("u", shingle_sets("text").alias("set")))
-    met = pairs.join(sets.select(F.col("u").alias("ua"), F.col("set").alias("sa")), "ua").join(sets.select(F.col("u").alias("ub"), F.col("set").alias("sb")), "ub")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return met.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
-    """doc_id, fp, fingerprint (hexadecimal) and component_id of each document."""
+    small, large = shared.where(F.col("size") <= bucket).select("key", "x"), shared.where(F.col("size") > bucket)
+    among = small.join(small.withColumnRenamed("x", "y"), "key").where("x.u < y.u").select("x", "y")
+    found = similar(among.union(large.select("x", F.explode("leaders").alias("y"))), docs, text_col, similarity)
+    known = components(found, "ua", "ub")
+    placed = materialize(large.join(known, F.col("x.u") == F.col("node"), "left").select("key", "x", F.coalesce("component", "x.u").alias("part")))
+    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("k")).agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
+    open_ = materialize(placed.join(sizes.where("parts > 1"), F.col("key") == F.col("k")).select("key", "x", "part", (F.col("part") == F.col("main")).alias("is_main")))
+    if open_.isEmpty():
+        return found.select("a", "b")
+    others, all_ = open_.where("NOT is_main").select("key", "x", "part"), open_.select("key", F.col("x").alias("y"), F.col("part").alias("other"))
+    late = similar(others.join(all_, "key").where("part <> other").select("x", "y"), docs, text_col, similarity)
+    return found.union(late).select("a", "b")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float | None) -> DataFrame:
+    """doc_id, fp, u (hash of the text), component (its smallest fingerprint) and component_id of each document."""
     text_batches(docs.sparkSession)
-    more = [] if similarity is None else [F.xxhash64(text_col).alias("u"), sketches(F.col(text_col)).alias("sketch")]
-    prints = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col)).alias("fp"), *more))
+    more = [] if similarity is None else [sketches(F.col(text_col)).alias("sketch")]
+    prints = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("u"), fingerprints(F.col(text_col)).alias("fp"), *more))
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     pairs = near_pairs(nodes) if similarity is None else near_pairs(nodes).union(similar_pairs(docs, prints, text_col, similarity))
     members = components(pairs).withColumnRenamed("node", "fp")
     grouped = nodes.join(members, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     grouped = materialize(grouped)
-    least = materialize(grouped.groupBy("component").agg(F.min("first").alias("component_id")))
-    classes = grouped.join(least, "component").select(F.col("fp").alias("own"), "component_id")
-    return prints.join(materialize(classes), F.col("fp") == F.col("own")).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    least = grouped.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("component_id"))
+    classes = grouped.join(materialize(least), F.col("component") == F.col("c")).select(F.col("fp").alias("own"), "component", "component_id")
+    return prints.join(materialize(classes), F.col("fp") == F.col("own")).select("doc_id", "u", "fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
+    """doc_id, fp, fingerprint (hexadecimal) and component_id of each document."""
+    return _classes(docs, id_col, text_col, similarity).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None) -> DataFrame:
-    """One document of each component: the one with the smallest id; of rows that share that id, one.
+    """One document of each component: the one with the smallest id, null ids last; of texts of the component that share that id the one with the least hash, and one of equal rows.
 
-    Documents without an id can't be told apart and all stay.
+    Documents that share an id but not a component are judged on their own.
     """
-    found = near_duplicates(docs, id_col, text_col, similarity).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(found, docs[id_col] == found["kept_id"], "left_semi").dropDuplicates([id_col])
-    return kept.union(docs.where(F.col(id_col).isNull()))
+    found = _classes(docs, id_col, text_col, similarity)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "u")
+    kept = found.groupBy("component").agg(F.min(place).alias("p")).select(F.col("p.doc_id").alias("kept_id"), F.col("p.u").alias("kept_u"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    keys = own.select("row", F.col(f"row.`{id_col}`").cast("long").alias("id"), F.xxhash64(f"row.`{text_col}`").alias("u"))
+    return keys.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("u") == F.col("kept_u")), "left_semi").dropDuplicates(["id", "u"]).select("row.*")

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from skygauge.llm import simhash
 from skygauge.llm.components import components
@@ -75,13 +76,66 @@ def test_long_texts_are_read_whole(monkeypatch):
     assert simhash.fingerprint(text) == whole
 
 
+def test_crowded_keys_are_split(spark):
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) - (1 << 63) for _ in range(20)]
+    values = sorted({x ^ (1 << rng.randrange(63)) ^ (rng.random() < 0.5 and 1 << rng.randrange(63)) for x in base for _ in range(30)})
+    frame = spark.createDataFrame([(v,) for v in values], "fp long")
+    expected = {(a, b) for a in values for b in values if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    for crowd in (4096, 3):
+        assert {(r.a, r.b) for r in simhash.near_pairs(frame, crowd).collect()} == expected
+
+
 def test_keep_first_and_empty(spark, docs):
-    rows = [(5, "a b c d"), (3, "a b c d"), (3, "a b c d"), (9, "quite another text of words"), (None, "a b c d"), (None, "x")]
+    rows = [(5, "a b c d"), (3, "a b c d"), (3, "a b c d"), (9, "quite another text of words"), (None, "a b c d"), (None, "x"), (None, "x"), (1, "one text of its own"), (1, "and another with the same id"), (2, "a third one, alone")]
     kept = simhash.keep_first(docs(rows))
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 3), (False, 9), (True, 0), (True, 0)] and kept.columns == docs(rows).columns
+    expected = {(3, "a b c d"), (9, "quite another text of words"), (None, "x"), (1, "one text of its own"), (1, "and another with the same id"), (2, "a third one, alone")}
+    out = [(r.doc_id, r.text) for r in kept.collect()]
+    assert set(out) == expected and len(out) == len(expected) and kept.columns == docs(rows).columns
     assert simhash.near_duplicates(docs([])).count() == 0 and simhash.keep_first(docs([])).count() == 0
 
 
+def brute_jaccard_pairs(texts, similarity=0.8):
+    sets = []
+    for t in texts:
+        words = t.lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)})
+    return {(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])}
+
+
+def test_groups_in_large_buckets_lose_no_link(spark, docs):
+    """Chains of texts, each like the next and less like the others, that share many bands: components are those of all pairs."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(3):
+        words = [f"w{rng.randrange(9000)}" for _ in range(260)]
+        for step in range(40):
+            texts.append(" ".join(words))
+            for _ in range(2 if step % 9 else 9):
+                words[rng.randrange(260)] = f"n{rng.randrange(9000)}"
+    def classes(pairs):
+        top = list(range(len(texts)))
+
+        def find(i):
+            while top[i] != i:
+                i = top[i]
+            return i
+
+        for a, b in pairs:
+            top[find(a)] = find(b)
+        return [min(j for j in range(len(texts)) if find(j) == find(i)) for i in range(len(texts))]
+
+    df = docs(list(enumerate(texts)))
+    prints = df.select(F.xxhash64("text").alias("u"), simhash.fingerprints("text").alias("fp"), simhash.sketches("text").alias("sketch"))
+    own = [r.fp for r in df.select("doc_id", simhash.fingerprints("text").alias("fp")).orderBy("doc_id").collect()]
+    same = [(i, own.index(x)) for i, x in enumerate(own)]  # texts of one fingerprint are one node
+    expected = classes([*brute_jaccard_pairs(texts), *same])
+    assert len(set(expected)) > 3
+    for bucket in (16, 1):
+        linked = simhash.similar_pairs(df, prints, "text", 0.8, bucket).collect()
+        assert classes([*((own.index(r.a), own.index(r.b)) for r in linked), *same]) == expected
+
+
 def test_similar_texts_are_linked_at_jaccard_0_8(spark, docs):
     rng = random.Random(3)
     base = [[f"w{rng.randrange(5000)}" for _ in range(300)] for _ in range(6)]
