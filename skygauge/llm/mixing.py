@@ -10,13 +10,16 @@ at once; only how many of them are unsolved comes to the driver.
 
 Rates become whole copies in bounded groups of a source's documents, dealt by hash: in each,
 from large to small, a document gets the floor or the ceiling of its rate, whichever keeps
-the words taken nearer to the words due, so small documents even out what large ones left.
+the words taken nearer to the words due, so small documents even out what large ones left. Documents of one id and size
+(null ids, repeated rows) are counted first and rounded as so many of a kind, in lots of at most LOT, which
+are dealt like documents: however many they are, they spread over all groups.
 
 Sources are ordered by code point with null last and weigh weights[0], weights[1], ... in
 rotation; targets share all words by weight, none above max_repeat times its source's words, the excess being
 reshared by weight. A source without words has target 0; its documents, and all others of
 size 0, are taken 0 words (one copy). Null texts have size 0. Repeated rows and ids are rows
-of their own. Only the named columns are read. Empty tables give empty results.
+of their own. A very long text counts like any other. Only the named columns are read. Empty tables give empty results.
+Nothing depends on how the table is split, so reruns agree.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from skygauge.llm.common import exact_id, materialize, schema, word_count
 
 @dataclass(frozen=True)
 class MixConfig:
-    """group_rows: about as many documents are rounded together."""
+    """group_rows: about as many documents are rounded together. max_steps: Newton steps, after which an unsolved source is an error."""
 
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     max_repeat: float = 3.0
@@ -44,28 +47,40 @@ class MixConfig:
     group_rows: int = 2000
 
 
+#: Documents of one id and size that are rounded together.
+LOT = 1000
+
+
+def in_order(df: DataFrame, *order: str) -> DataFrame:
+    """df, stored, with place: each row's number in that order, from 0. Rows are sorted by ranges; one count a range is summed up in one task."""
+    slices = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    slices = materialize(slices.withColumns({"_slice": F.shiftright("_row", 33), "_at": F.pmod("_row", F.lit(1 << 33))}))
+    counts = slices.groupBy(F.col("_slice").alias("_s")).agg(F.count("*").alias("_n"))
+    before = counts.select("_s", (F.sum("_n").over(Window.orderBy("_s")) - F.col("_n")).alias("_before"))
+    return slices.join(before, F.col("_slice") == F.col("_s")).withColumn("place", F.col("_before") + F.col("_at")).drop("_row", "_slice", "_at", "_s", "_n", "_before")
+
+
 def capped_targets(sources: DataFrame, config: MixConfig) -> DataFrame:
     """sources (source, total, n, z) with the weight and the target of each.
 
     Water filling: sources below their cap share what is left by weight, so a source is at
-    its cap where the level, words per weight, reaches max_repeat * total / weight. Sorted by
-    that ratio, the level at which the first k are full is a running sum.
+    its cap where the level, words per weight, reaches max_repeat * total / weight. The level
+    rises from that of no full source until no further source is full; each step is one sum over the sources.
     """
     w = len(config.weights)
-    named = sources.withColumn("is_null", F.col("source").isNull())
-    # A source's place in code-point order. One row for each source is sorted here, no documents.
-    placed = named.withColumn("place", F.row_number().over(Window.orderBy("is_null", "source")) - 1)
+    placed = in_order(sources.withColumn("is_null", F.col("source").isNull()), "is_null", "source")
     weight = F.element_at(F.array(*map(F.lit, config.weights)), (F.col("place") % w + 1).cast("int"))
-    filled = placed.withColumn("weight", weight).withColumn("cap", config.max_repeat * F.col("total")).withColumn("full_at", F.col("cap") / F.col("weight"))
-    before = Window.orderBy("full_at", "place").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    left = F.sum("total").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    weights_left = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    level = left / weights_left
-    # Full sources come first in this order; the first that is not has the right level, later ones a lower.
-    leveled = filled.withColumn("level", level).withColumn("full", F.col("full_at") <= F.col("level"))
-    final = F.max(F.when(~F.col("full"), F.col("level"))).over(every)
-    return leveled.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * final)).select("source", "total", "n", "z", "weight", "target")
+    filled = materialize(placed.withColumn("weight", weight).withColumn("cap", config.max_repeat * F.col("total")).withColumn("full_at", F.col("cap") / F.col("weight")))
+    level, n_full = 0.0, -1
+    while True:
+        full = F.col("full_at") <= level if n_full >= 0 else F.lit(False)
+        left = F.coalesce(F.sum("total"), F.lit(0)) - F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0))
+        found = filled.agg(left.alias("left"), F.sum(F.when(~full, F.col("weight"))).alias("weights"), F.count_if(full).alias("full")).first()
+        if not found["weights"] or found["full"] == n_full:
+            break
+        level, n_full = max(level, found["left"] / found["weights"]), found["full"]
+    target = F.when(F.col("full_at") <= level, F.col("cap")).otherwise(F.col("weight") * level)
+    return filled.withColumn("target", target).select("source", "total", "n", "z", "weight", "target")
 
 
 def _rate(config: MixConfig):  # noqa: ANN202
@@ -94,41 +109,49 @@ def solve(cells: DataFrame, sources: DataFrame, config: MixConfig) -> DataFrame:
         step = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
         moved = both.withColumn("next", F.when(done, F.col("lam")).otherwise(step)).withColumn("low_", F.when(done, F.col("low")).otherwise(low)).withColumn("high_", F.when(done, F.col("high")).otherwise(high)).withColumn("done_", done)
         state = materialize(moved.select("source", "total", "n", "z", "weight", "target", F.col("next").alias("lam"), F.col("low_").alias("low"), F.col("high_").alias("high"), F.col("done_").alias("done")))
+    if not state.where("not done").isEmpty():
+        raise RuntimeError(f"rates of some sources aren't found after {config.max_steps} steps")
     return state
 
 
-ROUNDED = schema("id long, no_id boolean, source string, size long, total long, target double, rate double, copies long")
+ROUNDED = schema("id long, no_id boolean, source string, size long, total long, target double, rate double, low long, rows long, more long")
 
 
 def round_rates(group: pd.DataFrame) -> pd.DataFrame:
-    """Copies of a group's documents, from the largest to the smallest, carrying what is due."""
+    """Copies of a group's documents, from the largest to the smallest, carrying what is due: of each kind all rows get low copies, and some one more."""
     group = group.sort_values(["size", "place", "id"], ascending=[False, True, True], kind="stable")
-    due, copies = 0.0, []
-    for size, rate in zip(group["size"].tolist(), group["rate"].tolist(), strict=True):
+    due, lows, mores = 0.0, [], []
+    for size, rate, rows in zip(group["size"].tolist(), group["rate"].tolist(), group["rows"].tolist(), strict=True):
         low = math.floor(rate + 1e-9)
-        due += (rate - low) * size
-        more = rate - low > 1e-9 and abs(due - size) < abs(due)
-        due -= size * more
-        copies.append(low + more)
-    return group.assign(copies=np.array(copies, dtype=np.int64))
+        part = max(0.0, rate - low)
+        more = 0
+        if part > 1e-9 and size:
+            due += part * size * rows
+            more = min(rows, max(0, math.ceil(due / size - 0.5)))
+            due -= size * more
+        lows.append(low)
+        mores.append(more)
+    return group.assign(low=np.array(lows, dtype=np.int64), more=np.array(mores, dtype=np.int64))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", config: MixConfig | None = None) -> DataFrame:
     """doc_id, size, source, source_size, target, rate, copies and taken (copies times size) of each document."""
     config = config or MixConfig()
     rows = docs.select(*exact_id(id_col), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
-    rows = materialize(rows.withColumn("place", F.xxhash64("id", "no_id", "size")))
-    cells = materialize(rows.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("copies")))
+    rows = materialize(rows.groupBy("source", "id", "no_id", "size").agg(F.count("*").alias("rows")))
+    cells = materialize(rows.where("size > 0").groupBy("source", "size").agg(F.sum("rows").alias("copies")))
     squares = cells.groupBy("source").agg((F.sum(F.col("copies") * F.col("size") * F.col("size").cast("double")) / F.sum(F.col("copies") * F.col("size"))).alias("z"))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
+    sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("total"), F.sum("rows").alias("n"))
     sources = sizes.join(squares.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "total", "n", F.coalesce("z", F.lit(1.0)).alias("z"))
     state = solve(cells, capped_targets(sources, config), config)
     found = state.select(F.col("source").alias("s"), "total", "n", "z", "target", "lam")
-    rated = rows.join(found, rows["source"].eqNullSafe(found["s"]))
+    lots = rows.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / LOT)))).withColumn("rows", F.least(F.lit(LOT), F.col("rows") - LOT * F.col("lot")))
+    rated = lots.join(found, lots["source"].eqNullSafe(found["s"])).withColumn("place", F.xxhash64("id", "no_id", "size", "lot"))
     groups = F.ceil(F.col("n") / config.group_rows).cast("long")
-    rated = rated.select("id", "no_id", "source", "size", "place", "total", "target", F.when(F.col("size") == 0, F.lit(1.0)).otherwise(_rate(config)).alias("rate"), F.pmod("place", groups).alias("part"))
-    return rated.groupBy("source", "part").applyInPandas(lambda g: round_rates(g)[ROUNDED.names], ROUNDED).select(
-        F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "size", "source", F.col("total").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    rated = rated.select("id", "no_id", "source", "size", "rows", "place", "total", "target", F.when(F.col("size") == 0, F.lit(1.0)).otherwise(_rate(config)).alias("rate"), F.pmod("place", groups).alias("part"))
+    rounded = rated.groupBy("source", "part").applyInPandas(lambda g: round_rates(g)[ROUNDED.names], ROUNDED)
+    each = rounded.withColumn("_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).withColumn("copies", F.col("low") + F.when(F.col("_no") <= F.col("more"), 1).otherwise(0))
+    return each.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "size", "source", F.col("total").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -59,6 +59,34 @@ def test_corner_cases(spark, docs):
     assert all(r.target == 0 and r.taken == 0 for r in mixing.mix(docs([(1, None), (2, "")])).collect())
 
 
+def test_documents_of_one_kind_spread_over_groups(spark, docs):
+    rng = np.random.default_rng(3)
+    rows = [(None, "w w w", "en", "a")] * 5000 + [(7, "w " * 5, "en", "a")] * 2500 + [(i, "w " * int(rng.integers(1, 9)), "en", "bc"[i % 2]) for i in range(3000)]
+    df = docs(rows)
+    out = mixing.mix(df, config=mixing.MixConfig(group_rows=500)).collect()
+    assert len(out) == len(rows)
+    for s in "abc":
+        taken, target = sum(r.taken for r in out if r.source == s), next(r.target for r in out if r.source == s)
+        assert taken == pytest.approx(target, rel=0.01)
+    assert all(abs(r.copies - r.rate) < 1 for r in out)
+    again = mixing.mix(df.repartition(7), config=mixing.MixConfig(group_rows=500)).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.copies)
+    assert sorted(map(key, out)) == sorted(map(key, again))
+
+
+def test_many_sources_in_order(spark):
+    names = [f"s{i:03d}" for i in range(300)] + ["Z", "é", None]
+    df = spark.createDataFrame([(n, 10 + i % 7 * 30, 1, 1.0) for i, n in enumerate(names)], "source string, total long, n long, z double").repartition(5)
+    out = {r.source: r for r in mixing.capped_targets(df, mixing.MixConfig()).collect()}
+    expected = brute_targets({n: 10 + i % 7 * 30 for i, n in enumerate(names)})
+    assert {k: r.target for k, r in out.items()} == pytest.approx(expected) and out["Z"].weight == 5.0
+
+
+def test_unsolved_rates_are_an_error(spark, docs):
+    with pytest.raises(RuntimeError):
+        mixing.mix(docs(rows(2, 500)), config=mixing.MixConfig(max_steps=1)).count()
+
+
 def test_repeat_rows(spark, docs):
     df = docs(rows(1, 300))
     mixed = mixing.mix(df)
