@@ -1,16 +1,26 @@
 """Tracking of each channel's true value, rate and sensor bias with a Kalman filter.
 
 The joint filter of all channels is block-diagonal, so each channel is a filter of three states
-on its own, with scalar algebra. The recursion is sequential in a station's history; it
-runs over a partition sorted by station and row as a stream of batches, holding only the
-states, so a history of any length takes bounded memory. Stations run in parallel.
+on its own, with scalar algebra. A history is cut into chunks that are filtered in parallel,
+after Sarkka and Garcia-Fernandez's associative form of the filter:
+
+1. what a chunk does to whatever state it begins with is one element: a linear map, an offset and a covariance,
+   and the information its readings hold on that state;
+2. a station's elements, one row a chunk, are applied in order to its first state, which gives the state each
+   chunk begins with;
+3. each chunk is filtered from that state.
+
+Steps 1 and 3 take many chunks and all channels at a time, as arrays, one row of each in turn. A
+station of any length is spread over all tasks; only step 2 is sequential, over one row a chunk.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +28,7 @@ from pyspark.sql import types as T
 
 from skygauge.functions.config import CHANNELS, KalmanConfig
 from skygauge.plans import chunks
+from skygauge.plans.scratch import stored
 
 ESTIMATES = ("true", "rate", "bias", "true_std", "bias_std", "innovation", "post_fit_residual")
 OUTPUT = T.StructType([T.StructField("station_id", T.IntegerType()), T.StructField("row_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("rn", T.LongType()),
@@ -63,34 +74,171 @@ class ChannelFilter:
 
 
 def minutes_since(df: DataFrame, config: KalmanConfig | None = None, chunk_rows: int = chunks.CHUNK_ROWS) -> DataFrame:
-    """df with rn and dt: minutes since the station's previous row, at least 0.1; the default for the first row and where time doesn't go on."""
+    """df with rn, chunk and dt: minutes since the station's previous row, at least 0.1; the default for the first row and where time doesn't go on."""
     config = config or KalmanConfig()
     rows = chunks.chunked(chunks.numbered(df), 1, chunk_rows)
     seconds = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(chunks.by_row())) / 1e6
     dt = F.when(seconds > 0, F.greatest(F.lit(0.1), seconds / 60.0)).otherwise(F.lit(config.default_minutes))
-    return chunks.cores(rows.withColumn("dt", dt)).drop("chunk")
+    return chunks.cores(rows.withColumn("dt", dt))
+
+
+#: Rows of a chunk of a history, and chunks that are filtered at a time.
+CHUNK_ROWS = 1024
+CHUNKS = 256
+PAIRS = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
+Arrays = list[np.ndarray]
+
+
+def _forward(x: Arrays, p: Arrays, dt: np.ndarray, q: np.ndarray, qb: np.ndarray) -> tuple[Arrays, Arrays]:
+    """Means (value, rate, bias) and covariances (PAIRS) after dt."""
+    vv, vr, vb, rr, rb, bb = p
+    dt2 = dt * dt
+    return [x[0] + x[1] * dt, x[1], x[2]], [vv + 2 * dt * vr + dt2 * rr + q * dt2 * dt / 3, vr + dt * rr + q * dt2 / 2, vb + dt * rb, rr + q * dt, rb, bb + qb * dt]
+
+
+def _gain(p: Arrays, has: np.ndarray, bias: float, noise: np.ndarray) -> tuple[Arrays, Arrays, np.ndarray]:
+    """Of a measurement of value + bias * bias state: its covariance with the state, the gain (0 where there is none) and its variance."""
+    vv, vr, vb, rr, rb, bb = p
+    g = [vv + bias * vb, vr + bias * rb, vb + bias * bb]
+    s = g[0] + bias * g[2] + noise
+    return g, [np.where(has, i / s, 0.0) for i in g], s
+
+
+def _take_in(x: Arrays, p: Arrays, seen: np.ndarray, has: np.ndarray, bias: float, noise: np.ndarray) -> tuple[Arrays, Arrays, np.ndarray, np.ndarray]:
+    """Means and covariances after a measurement, its innovation (0 where there is none) and variance."""
+    g, k, s = _gain(p, has, bias, noise)
+    y = np.where(has, seen - x[0] - bias * x[2], 0.0)
+    # Joseph's form, written out: symmetric whatever the gain's rounding.
+    return [x[i] + k[i] * y for i in range(3)], [old - k[i] * g[j] - g[i] * k[j] + k[i] * k[j] * s for old, (i, j) in zip(p, PAIRS, strict=True)], y, s
+
+
+class _Chunks:
+    """Some chunks' readings as arrays by (chunk and channel, row), padded with rows of no time and no reading."""
+
+    def __init__(self, frames: list[pd.DataFrame], config: KalmanConfig) -> None:
+        self.frames, self.config = frames, config
+        n, length = len(frames), max(len(f) for f in frames)
+        self.dt, self.seen, self.checked = np.zeros((n, len(CHANNELS), length)), np.full((n, len(CHANNELS), length), np.nan), np.full((n, len(CHANNELS), length), np.nan)
+        for i, f in enumerate(frames):
+            self.dt[i, :, : len(f)] = f["dt"].to_numpy(float)
+            self.seen[i, :, : len(f)] = f[list(CHANNELS)].to_numpy(float).T
+            self.checked[i, :, : len(f)] = f[[f"{c}_reference" for c in CHANNELS]].to_numpy(float).T
+        self.dt, self.seen, self.checked = (np.ascontiguousarray(a.reshape(n * len(CHANNELS), length).T) for a in (self.dt, self.seen, self.checked))
+        self.has, self.has_checked = np.isfinite(self.seen), np.isfinite(self.checked)
+        by = lambda numbers: np.tile([numbers[c] ** 2 for c in CHANNELS], n)
+        self.q, self.qb, self.r, self.ref = by(config.weather_noise), by(config.bias_noise), by(config.sensor_noise), np.full(n * len(CHANNELS), config.reference_noise**2)
+
+    def elements(self) -> np.ndarray:
+        """For each chunk and channel the map (9), offset (3), covariance (6), information vector (3) and matrix (6)."""
+        size = self.dt.shape[1]
+        zero = lambda k: [np.zeros(size) for _ in range(k)]
+        a = [[np.full(size, float(i == j)) for j in range(3)] for i in range(3)]
+        b, c, eta, info = zero(3), zero(6), zero(3), zero(6)
+        for t in range(len(self.dt)):
+            dt = self.dt[t]
+            a[0] = [a[0][j] + dt * a[1][j] for j in range(3)]
+            b, c = _forward(b, c, dt, self.q, self.qb)
+            for seen, has, bias, noise in ((self.seen[t], self.has[t], 1.0, self.r), (self.checked[t], self.has_checked[t], 0.0, self.ref)):
+                if not has.any():
+                    continue
+                _, k, s = _gain(c, has, bias, noise)
+                weight = np.where(has, 1.0 / s, 0.0)
+                h = [a[0][j] + bias * a[2][j] for j in range(3)]
+                b, c, y, _ = _take_in(b, c, seen, has, bias, noise)
+                eta = [eta[j] + h[j] * y * weight for j in range(3)]
+                info = [old + h[i] * h[j] * weight for old, (i, j) in zip(info, PAIRS, strict=True)]
+                a = [[a[i][j] - k[i] * h[j] for j in range(3)] for i in range(3)]
+        return np.stack([*a[0], *a[1], *a[2], *b, *c, *eta, *info], axis=1)
 
+    def states(self, starts: np.ndarray) -> pd.DataFrame:
+        """OUTPUT of all rows, from the means (3) and covariances (6) each chunk and channel begins with."""
+        x, p = list(starts[:, :3].T), list(starts[:, 3:].T)
+        out = np.full((len(ESTIMATES) + 1, *self.dt.shape), np.nan)
+        for t in range(len(self.dt)):
+            x, p = _forward(x, p, self.dt[t], self.q, self.qb)
+            has, checked = self.has[t], self.has_checked[t]
+            x, p, y, s = _take_in(x, p, self.seen[t], has, 1.0, self.r)
+            nis = np.where(has, y * y / s, np.nan)
+            if checked.any():  # independent noise: one after the other is the joint update
+                x, p, z, s = _take_in(x, p, self.checked[t], checked, 0.0, self.ref)
+                nis = np.where(checked, np.nan_to_num(nis) + z * z / s, nis)
+            out[:, t] = (*x, np.sqrt(np.maximum(p[0], 0)), np.sqrt(np.maximum(p[5], 0)), np.where(has, y, np.nan), np.where(has, self.seen[t] - x[0] - x[2], np.nan), nis)
+        parts = []
+        out = out.reshape(len(out), len(self.dt), len(self.frames), len(CHANNELS))
+        for i, f in enumerate(self.frames):
+            own = out[:, : len(f), i]
+            columns = {x: f[x].to_numpy() for x in ("station_id", "row_id", "ts", "rn")}
+            for k, c in enumerate(CHANNELS):
+                columns[f"{c}_observed"] = f[c].to_numpy(float)
+                columns |= {f"{c}_{name}": own[j, :, k] for j, name in enumerate(ESTIMATES)}
+            some = ~np.isnan(own[-1]).all(axis=1)
+            columns["nis"] = np.where(some, np.nansum(own[-1], axis=1), np.nan)
+            parts.append(pd.DataFrame(columns))
+        return pd.concat(parts)[OUTPUT.names]
 
-def _run(batches: Iterator[pd.DataFrame], config: KalmanConfig) -> Iterator[pd.DataFrame]:
-    station, filters = object(), {}
-    none = lambda v: None if v is None or v != v else v
+
+def _by_chunk(batches: Iterator[pd.DataFrame], run: Callable[[list[pd.DataFrame]], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """run on lists of up to CHUNKS whole chunks of a partition that is sorted by chunk."""
+    held: list[pd.DataFrame] = []
+    whole: list[pd.DataFrame] = []
+    key = lambda f: (f["station_id"].iloc[0], f["chunk"].iloc[0])
     for batch in batches:
-        out = []
-        columns = [batch[c].tolist() for c in ("station_id", "row_id", "ts", "rn", "dt", *CHANNELS, *(f"{c}_reference" for c in CHANNELS))]
-        for row in zip(*columns, strict=True):
-            seen, references = [none(v) for v in row[5 : 5 + len(CHANNELS)]], [none(v) for v in row[5 + len(CHANNELS) :]]
-            if row[0] != station:
-                station, filters = row[0], {c: ChannelFilter(c, v, config) for c, v in zip(CHANNELS, seen, strict=True)}
-            values, total = [], None
-            for c, z, ref in zip(CHANNELS, seen, references, strict=True):
-                found, nis = filters[c].step(row[4], z, ref)
-                values += [z, *found]
-                total = total if nis is None else (total or 0.0) + nis
-            out.append((*row[:4], *values, total))
-        yield pd.DataFrame(out, columns=OUTPUT.names)
-
-
-def track(df: DataFrame, references: DataFrame | None = None, config: KalmanConfig | None = None, sanitize: bool = False) -> DataFrame:
+        for _, part in batch.groupby(["station_id", "chunk"], sort=False, dropna=False):
+            if held and key(held[0]) != key(part):
+                whole.append(pd.concat(held))
+                held = []
+            held.append(part)
+            if len(whole) == CHUNKS:
+                yield run(whole)
+                whole = []
+    if held:
+        yield run([*whole, pd.concat(held)])
+
+
+ELEMENT = 27
+ELEMENTS = T.StructType([T.StructField("station_id", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("first", T.ArrayType(T.DoubleType())), T.StructField("element", T.ArrayType(T.DoubleType()))])
+STARTS = T.StructType([T.StructField("station_id", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("start", T.ArrayType(T.DoubleType()))])
+
+
+def _elements(frames: list[pd.DataFrame], config: KalmanConfig) -> pd.DataFrame:
+    found = _Chunks(frames, config).elements().reshape(len(frames), -1)
+    firsts = [np.nan_to_num(f[list(CHANNELS)].iloc[0].to_numpy(float), nan=0.0, posinf=0.0, neginf=0.0) for f in frames]
+    return pd.DataFrame({"station_id": [f["station_id"].iloc[0] for f in frames], "chunk": [f["chunk"].iloc[0] for f in frames], "first": firsts, "element": list(found)})
+
+
+def _square(p: np.ndarray) -> np.ndarray:
+    """Symmetric matrices from their PAIRS."""
+    return p[..., [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(*p.shape[:-1], 3, 3)
+
+
+def _starts(elements: pd.DataFrame, config: KalmanConfig) -> pd.DataFrame:
+    """The state each chunk of one station begins with."""
+    elements = elements.sort_values("chunk")
+    n, out = len(CHANNELS), []
+    for k, (first, element) in enumerate(zip(elements["first"], elements["element"], strict=True)):
+        if not k:
+            m = np.zeros((n, 3))
+            m[:, 0] = first
+            p = np.zeros((n, 3, 3))
+            p[:, 0, 0] = [config.initial_value[c] ** 2 for c in CHANNELS]
+            p[:, 1, 1], p[:, 2, 2] = config.initial_rate**2, config.initial_bias**2
+        out.append(np.concatenate([m, p[:, [i for i, _ in PAIRS], [j for _, j in PAIRS]]], axis=1).ravel())
+        e = np.asarray(element, float).reshape(n, ELEMENT)
+        a, b, c, eta, info = e[:, :9].reshape(n, 3, 3), e[:, 9:12], _square(e[:, 12:18]), e[:, 18:21], _square(e[:, 21:])
+        through = a @ np.linalg.inv(np.eye(3) + p @ info)
+        m = (through @ (m[:, :, None] + p @ eta[:, :, None]))[:, :, 0] + b
+        p = through @ p @ a.transpose(0, 2, 1) + c
+        p = (p + p.transpose(0, 2, 1)) / 2
+    return pd.DataFrame({"station_id": elements["station_id"], "chunk": elements["chunk"], "start": out})
+
+
+def _states(frames: list[pd.DataFrame], config: KalmanConfig) -> pd.DataFrame:
+    """Of chunks whose first row holds the state they begin with."""
+    starts = np.concatenate([np.asarray(f["start"].iloc[0], float).reshape(len(CHANNELS), 9) for f in frames])
+    return _Chunks([f.iloc[1:] for f in frames], config).states(starts)
+
+
+def track(df: DataFrame, references: DataFrame | None = None, config: KalmanConfig | None = None, sanitize: bool = False, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """All estimates of each reading. references: (station_id, row_id) and channels, null where there is no check.
 
     Sentinel values are measurements here unless sanitize is set; only null and infinite ones aren't.
@@ -101,14 +249,21 @@ def track(df: DataFrame, references: DataFrame | None = None, config: KalmanConf
         from skygauge.operators.statistical import present
 
         df = df.withColumns({c: present(c, StatisticalThresholds()) for c in CHANNELS})
-    timed = minutes_since(df.select(F.col("station_id").cast("int"), "row_id", "ts", *CHANNELS), config)
+    timed = minutes_since(df.select(F.col("station_id").cast("int"), "row_id", "ts", *CHANNELS), config, chunk_rows)
+    checks = [f"{c}_reference" for c in CHANNELS]
     if references is None:
-        timed = timed.withColumns({f"{c}_reference": F.lit(None).cast("double") for c in CHANNELS})
+        timed = timed.withColumns({c: F.lit(None).cast("double") for c in checks})
     else:
-        known = references.select("station_id", "row_id", *(F.col(c).alias(f"{c}_reference") for c in CHANNELS))
-        timed = timed.join(known, ["station_id", "row_id"], "left")
-    dealt = timed.repartition("station_id").sortWithinPartitions("station_id", "rn")
-    return dealt.mapInPandas(lambda it: _run(it, config), OUTPUT)
+        known = references.select(F.col("station_id").alias("_s"), F.col("row_id").alias("_r"), *(F.col(c).alias(f"{c}_reference") for c in CHANNELS))
+        timed = timed.join(known, F.col("station_id").eqNullSafe(F.col("_s")) & F.col("row_id").eqNullSafe(F.col("_r")), "left").drop("_s", "_r")
+    timed = stored(timed.select("station_id", "row_id", "ts", "rn", "chunk", "dt", *CHANNELS, *checks))
+    dealt = lambda rows: rows.repartition("station_id", "chunk").sortWithinPartitions("station_id", "chunk", "rn")
+    elements = dealt(timed).mapInPandas(partial(_by_chunk, run=partial(_elements, config=config)), ELEMENTS)
+    starts = elements.groupBy("station_id").applyInPandas(lambda found: _starts(found, config), STARTS)
+    # A chunk's start goes before its rows, with row number 0.
+    first = starts.select("station_id", "chunk", F.lit(0).cast("long").alias("rn"), "start")
+    rows = timed.withColumn("rn", F.col("rn").cast("long")).unionByName(first, allowMissingColumns=True)
+    return dealt(rows).mapInPandas(partial(_by_chunk, run=partial(_states, config=config)), OUTPUT)
 
 
 def intervals(tracked: DataFrame) -> DataFrame:

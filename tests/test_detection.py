@@ -47,7 +47,8 @@ def joint_filter(z, ref, dt):
     return np.array(out)
 
 
-def test_kalman_equals_the_joint_filter(spark):
+@pytest.mark.parametrize("chunk_rows", [1024, 16, 1])
+def test_kalman_equals_the_joint_filter(spark, chunk_rows):
     rng = np.random.default_rng(1)
     n = 120
     z = np.array([20.0, 1010.0, 60.0, 5.0]) + np.cumsum(rng.normal(0, 0.2, (n, 4)), axis=0)
@@ -56,7 +57,7 @@ def test_kalman_equals_the_joint_filter(spark):
     clean = lambda m: [[None if np.isnan(v) else float(v) for v in row] for row in m]
     df = spark.createDataFrame([(3, i, START + timedelta(minutes=5 * i), *row) for i, row in enumerate(clean(z))], frame(spark, [1.0]).schema)
     checks = spark.createDataFrame([(3, i, *row) for i, row in enumerate(clean(ref))], "station_id int, row_id long, temperature double, pressure double, humidity double, wind_speed double")
-    got = kalman.track(df, checks).orderBy("rn").toPandas()
+    got = kalman.track(df, checks, chunk_rows=chunk_rows).orderBy("rn").toPandas()
     expected = joint_filter(z, ref, np.full(n, 5.0))
     for i, c in enumerate(CHANNELS):
         for k, name in enumerate(("true", "rate", "bias")):
