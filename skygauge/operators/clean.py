@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skygauge.functions.config import CHANNELS, CleaningConfig
+from skygauge.functions.rounding import half_even
 from skygauge.operators.physics import DERIVED, any_of
 from skygauge.operators.statistical import flag
 from skygauge.plans import chunks
@@ -30,8 +31,8 @@ def validity(df: DataFrame) -> DataFrame:
 
 
 def precise(c: str, x: Column) -> Column:
-    """x at the sensor's precision, half up after arithmetic noise is rounded off; wind isn't negative."""
-    return F.round(F.round(F.when(x.isNotNull(), F.greatest(x, F.lit(0.0))) if c == "wind_speed" else x, 6), 2)
+    """x at the sensor's precision; wind isn't negative."""
+    return half_even(F.when(x.isNotNull(), F.greatest(x, F.lit(0.0))) if c == "wind_speed" else x, 2)
 
 
 def imputed(values: dict[str, Column], df: DataFrame, config: CleaningConfig) -> DataFrame:

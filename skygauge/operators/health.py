@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skygauge.functions.config import CHANNELS, EVALUATION_DATE
+from skygauge.functions.rounding import half_even
 from skygauge.operators.physics import any_of
 from skygauge.operators.statistical import KINDS, flag
 from skygauge.plans import chunks
@@ -34,7 +35,7 @@ def measures(df: DataFrame, step_minutes: float = 5.0) -> DataFrame:
     bias = {c: _choice(df, c, ("bias", "true_bias")) for c in CHANNELS}
     rest = {c: _choice(df, c, ("post_fit_residual", "innovation")) for c in CHANNELS}
     flags = {c: any_of([F.col(x) for x in (*(flag(c, k) for k in KINDS), *INCIDENTS[c]) if x in df.columns]) for c in CHANNELS}
-    rows = df.select("station_id", "row_id", "ts", *CHANNELS, *(bias[c].alias(f"{c}_b") for c in CHANNELS), *(rest[c].alias(f"{c}_e") for c in CHANNELS), *(flags[c].alias(f"{c}_f") for c in CHANNELS))
+    rows = df.select("station_id", "row_id", "ts", *CHANNELS, *(["rn"] if "rn" in df.columns else []), *(bias[c].alias(f"{c}_b") for c in CHANNELS), *(rest[c].alias(f"{c}_e") for c in CHANNELS), *(flags[c].alias(f"{c}_f") for c in CHANNELS))
     rows = chunks.in_chunks(rows)
     rows = chunks.with_neighbours(rows, {f"{c}_r": F.when(received(F.col(c)), F.col(c)) for c in CHANNELS})
     rows = chunks.running_sums(rows, {f"{c}_k": F.when(F.col(f"{c}_b").isNotNull(), 1).otherwise(0) for c in CHANNELS})
@@ -88,11 +89,11 @@ def score(found: DataFrame, profiles: DataFrame, current_date: str = EVALUATION_
         .when(is_("MAINTENANCE_DUE"), F.concat(F.lit("Schedule maintenance within "), F.floor("life").cast("string"), F.lit(" days: Recalibrate zero/span and clean sensor aperture.")))
         .when(is_("CALIBRATION_RECOMMENDED"), F.format_string("Calibration inspection recommended: Monitor drift trend (%+.3f %s/day).", "drift", "unit"))
         .otherwise("Sensor operating within optimal specifications. Continue routine monitoring."))
-    return df.select("station_id", "ordinal", "sensor", "instrument_model", "total_expected", "total_received", F.round("completeness", 2).alias("completeness_pct"), F.round("bias", 3).alias("current_bias"),
-        F.round("drift", 4).alias("drift_rate_per_day"), F.round("noise", 3).alias("noise_std"), F.round("variance", 4).alias("noise_variance"), F.round("days", 1).alias("days_since_calibration"), "calibration_status", "anomaly_incidents",
-        *(F.round(f"s_{k}", 1).alias(f"{k}_subscore") for k in WEIGHTS), F.round("score", 1).alias("health_score"),
+    return df.select("station_id", "ordinal", "sensor", "instrument_model", "total_expected", "total_received", half_even("completeness", 2).alias("completeness_pct"), half_even("bias", 3).alias("current_bias"),
+        half_even("drift", 4).alias("drift_rate_per_day"), half_even("noise", 3).alias("noise_std"), half_even("variance", 4).alias("noise_variance"), half_even("days", 1).alias("days_since_calibration"), "calibration_status", "anomaly_incidents",
+        *(half_even(f"s_{k}", 1).alias(f"{k}_subscore") for k in WEIGHTS), half_even("score", 1).alias("health_score"),
         F.when(s >= 90.0, "EXCELLENT").when(s >= 75.0, "GOOD").when(s >= 60.0, "FAIR").when(s >= 40.0, "DEGRADED").otherwise("CRITICAL").alias("health_grade"),
-        degraded.alias("is_degraded"), F.round("life", 1).alias("predicted_rul_days"), "maintenance_status", action.alias("recommended_action"))
+        degraded.alias("is_degraded"), half_even("life", 1).alias("predicted_rul_days"), "maintenance_status", action.alias("recommended_action"))
 
 
 def maintenance_alerts(metrics: DataFrame) -> DataFrame:
@@ -109,4 +110,4 @@ def maintenance_alerts(metrics: DataFrame) -> DataFrame:
 
 
 def station_average(metrics: DataFrame) -> DataFrame:
-    return metrics.groupBy("station_id").agg(F.round(F.avg("health_score"), 1).alias("average_health"))
+    return metrics.groupBy("station_id").agg(half_even(F.avg("health_score"), 1).alias("average_health"))

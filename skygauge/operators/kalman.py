@@ -249,7 +249,7 @@ def track(df: DataFrame, references: DataFrame | None = None, config: KalmanConf
         from skygauge.operators.statistical import present
 
         df = df.withColumns({c: present(c, StatisticalThresholds()) for c in CHANNELS})
-    timed = minutes_since(df.select(F.col("station_id").cast("int"), "row_id", "ts", *CHANNELS), config, chunk_rows)
+    timed = minutes_since(df.select(F.col("station_id").cast("int"), "row_id", "ts", *CHANNELS, *(["rn"] if "rn" in df.columns else [])), config, chunk_rows)
     checks = [f"{c}_reference" for c in CHANNELS]
     if references is None:
         timed = timed.withColumns({c: F.lit(None).cast("double") for c in checks})

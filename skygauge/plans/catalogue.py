@@ -293,19 +293,17 @@ def sequence_windows(spark: SparkSession, d: str) -> DataFrame:
 @query
 def iforest_scores(spark: SparkSession, d: str) -> DataFrame:
     points = stored(features.point_features(readings.from_events(spark, d)))
-    return iforest.predict(points, iforest.fit(points)).select(*KEYS, "iforest_score", "iforest_flag", "iforest_conf")
+    return iforest.fit_and_score(points)[1].select(*KEYS, "iforest_score", "iforest_flag", "iforest_conf")
 
 
 @query
 def seq_recon_error(spark: SparkSession, d: str) -> DataFrame:
-    df = readings.from_events(spark, d)
-    return sequence.predict(df, sequence.fit(df))
+    return sequence.fit_and_score(stored(chunks.numbered(readings.from_events(spark, d))))[1]
 
 
 @query
 def hybrid_full(spark: SparkSession, d: str) -> DataFrame:
-    df = readings.from_events(spark, d)
-    return telemetry.detect(df, _flagged(spark, d)).select(*KEYS, "is_anomaly", "anomaly_type", "severity", "confidence", "affected_sensors", "recommended_action", "description", "iforest_flag", "iforest_conf", "lstm_flag", "lstm_conf")
+    return telemetry.detect(readings.from_events(spark, d), telemetry.QualityConfig()).select(*KEYS, "is_anomaly", "anomaly_type", "severity", "confidence", "affected_sensors", "recommended_action", "description", "iforest_flag", "iforest_conf", "lstm_flag", "lstm_conf")
 
 
 @query
@@ -320,8 +318,7 @@ def actionable_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def health_from_kalman(spark: SparkSession, d: str) -> DataFrame:
-    df = readings.from_events(spark, d)
-    return telemetry.correct_and_alert(df, events=rules.fuse(rules.violations(df, statistical=False)))["health"]
+    return telemetry.correct_and_alert(readings.from_events(spark, d), detectors=False)["health"]
 
 
 @query

@@ -18,7 +18,12 @@ DAY = 86_400_000_000
 
 
 def numbered(df: DataFrame, station: str = "station_id", order: tuple[str, ...] = ("ts", "row_id"), name: str = "rn") -> DataFrame:
-    """df with the row's number in its station, from 1, in the given order; the first column of which is a timestamp."""
+    """df with the row's number in its station, from 1, in the given order; the first column of which is a timestamp.
+
+    A df that has the column already is taken as numbered.
+    """
+    if name in df.columns:
+        return df
     day = F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / DAY)
     rows = df.withColumn("_day", day).withColumn("_at", F.row_number().over(Window.partitionBy(station, "_day").orderBy(*order)))
     counts = df.groupBy(F.col(station).alias("_s"), day.alias("_d")).agg(F.count("*").alias("_n"))

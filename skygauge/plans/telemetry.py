@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skygauge.functions.config import CHANNELS, CleaningConfig, KalmanConfig, PhysicsThresholds, StatisticalThresholds
 from skygauge.operators import clean, correction, features, health, iforest, kalman, physics, rules, sequence, statistical
+from skygauge.plans import chunks
 from skygauge.plans.scratch import stored
 from skygauge.sources import readings
 
@@ -32,35 +33,56 @@ def quality_control(df: DataFrame, config: QualityConfig | None = None) -> DataF
     return clean.clean(stored(flagged(df, config)), config.cleaning)
 
 
-def detect(df: DataFrame, flags: DataFrame | None = None, forest: iforest.ForestConfig | None = None, network: sequence.SequenceConfig | None = None) -> DataFrame:
-    """One fused event a reading, from rules and both detectors, which learn from df itself.
+def keyed(df: DataFrame) -> DataFrame:
+    """Readings, stored, whose row_id is the row's number in its station, so that it is never null or repeated; their own is kept as _row_id."""
+    return stored(chunks.numbered(df.select("station_id", "row_id", "ts", *CHANNELS)).withColumn("_row_id", F.col("row_id")).withColumn("row_id", F.col("rn").cast("long")))
 
-    flags: the same rows with statistical flags, if their rules are to count too.
+
+def by_reading(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left, all of whose rows stay, with right's other columns; both keyed() readings."""
+    named = right.withColumnsRenamed({"station_id": "_s", "row_id": "_r"})
+    return left.join(named, F.col("station_id").eqNullSafe(F.col("_s")) & (F.col("row_id") == F.col("_r")), "left").drop("_s", "_r")
+
+
+def _events(base: DataFrame, config: QualityConfig | None, detectors: bool, forest: iforest.ForestConfig | None, network: sequence.SequenceConfig | None) -> DataFrame:
+    checked = base if config is None else statistical.check(physics.check(base, config.physics), config.statistical)
+    judged = rules.violations(checked, statistical=config is not None).select("station_id", "row_id", "_row_id", "ts", *CHANNELS, "violations")
+    if not detectors:
+        return rules.fuse(judged)
+    isolated = iforest.fit_and_score(stored(features.point_features(base)), forest)[1].select("station_id", "row_id", "iforest_flag", "iforest_conf")
+    rebuilt = sequence.fit_and_score(base, network or sequence.SequenceConfig(epochs=25))[1]
+    return rules.fuse(by_reading(by_reading(judged, isolated), rebuilt))
+
+
+def _own_ids(df: DataFrame) -> DataFrame:
+    return df.withColumn("row_id", F.col("_row_id")).drop("_row_id")
+
+
+def detect(df: DataFrame, config: QualityConfig | None = None, forest: iforest.ForestConfig | None = None, network: sequence.SequenceConfig | None = None, detectors: bool = True) -> DataFrame:
+    """One fused event a reading, from rules and, unless they are left out, both detectors, which learn from df itself.
+
+    config: thresholds of the flags, if statistical rules are to count too. Keys of readings may be null or repeated.
     """
-    keys = ["station_id", "row_id"]
-    points = stored(features.point_features(df))
-    isolated = iforest.predict(points, iforest.fit(points, forest)).select(*keys, "iforest_flag", "iforest_conf")
-    rebuilt = sequence.predict(df, sequence.fit(df, network or sequence.SequenceConfig(epochs=25)))
-    base = rules.violations(flags if flags is not None else df, statistical=flags is not None).select(*keys, "ts", *CHANNELS, "violations")
-    return rules.fuse(base.join(isolated, keys, "left").join(rebuilt, keys, "left"))
+    return _own_ids(_events(keyed(df), config, detectors, forest, network))
 
 
-def correct_and_alert(df: DataFrame, references: DataFrame | None = None, config: KalmanConfig | None = None, events: DataFrame | None = None, profiles: DataFrame | None = None) -> dict[str, DataFrame]:
+def correct_and_alert(df: DataFrame, references: DataFrame | None = None, config: KalmanConfig | None = None, detectors: bool = True, profiles: DataFrame | None = None, log: DataFrame | None = None) -> dict[str, DataFrame]:
     """corrected (readings with bands and their event), alerts, health and tracked.
 
     Neither flags nor a date go into the health scores here, and the rules see no statistical
-    flags. events: fused events, if they are known already.
+    flags. log: the stored alerts of earlier calls, from which numbers and recurrence go on. What more than one
+    of the results needs is stored.
     """
-    keys = ["station_id", "row_id"]
-    tracked = kalman.track(df, references, config)
-    events = events if events is not None else detect(df)
-    estimates = tracked.select(*keys, *(f"{c}_{k}" for c in CHANNELS for k in ("bias", "true_std", "bias_std", "post_fit_residual")))
-    seen = df.select(*keys, "ts", *CHANNELS).join(estimates, keys)
-    metrics = health.score(health.measures(seen), profiles if profiles is not None else readings.profiles(df.sparkSession))
-    event = events.select(*keys, "is_anomaly", "severity", "anomaly_type", "confidence", "sensors", "recommended_action")
-    whole = correction.correct(seen).join(event, keys)
-    alerts = correction.actionable(whole, metrics)
-    names = {"severity": "anomaly_severity", "confidence": "anomaly_confidence"}
+    base = keyed(df)
+    if references is not None:
+        named = references.select(F.col("station_id").alias("_s"), F.col("row_id").alias("_r"), *(F.col(c).alias(f"_{c}") for c in CHANNELS))
+        references = base.select("station_id", "row_id", "_row_id").join(named, F.col("station_id").eqNullSafe(F.col("_s")) & F.col("_row_id").eqNullSafe(F.col("_r"))).select("station_id", "row_id", *(F.col(f"_{c}").alias(c) for c in CHANNELS))
+    tracked = stored(kalman.track(base, references, config))
+    estimates = tracked.select("station_id", "row_id", *(f"{c}_{k}" for c in CHANNELS for k in ("bias", "true_std", "bias_std", "post_fit_residual")))
+    seen = stored(by_reading(base, estimates))
+    metrics = stored(health.score(health.measures(seen), profiles if profiles is not None else readings.profiles(df.sparkSession)))
+    event = _events(base, None, detectors, None, None).select("station_id", "row_id", "is_anomaly", "severity", "anomaly_type", "confidence", "sensors", "recommended_action")
+    whole = stored(_own_ids(by_reading(correction.correct(seen), event)).drop("rn"))
     columns = [f"{c}_{k}" for c in CHANNELS for k in ("raw", "corrected", "bias_est", "uncertainty_std", "ci95_lower", "ci95_upper", "ci99_lower", "ci99_upper")]
-    corrected = whole.select(*keys, "ts", *columns, "is_anomaly", F.col("severity").alias(names["severity"]), "anomaly_type", F.col("confidence").alias(names["confidence"]))
-    return {"corrected": corrected, "alerts": alerts, "health": metrics, "tracked": tracked}
+    corrected = whole.select("station_id", "row_id", "ts", *columns, "is_anomaly", F.col("severity").alias("anomaly_severity"), "anomaly_type", F.col("confidence").alias("anomaly_confidence"))
+    return {"corrected": corrected, "alerts": correction.actionable(whole, metrics, log=log), "health": metrics, "tracked": _own_ids(by_reading(tracked, base.select("station_id", "row_id", "_row_id")))}

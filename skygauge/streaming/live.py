@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from skygauge.functions.config import CHANNELS, KalmanConfig
 from skygauge.operators import physics
+from skygauge.operators.correction import FIRST_TEXT, MORE_TEXT, SECOND_TEXT
 from skygauge.operators.kalman import OUTPUT, ChannelFilter
 
 READINGS = T.StructType([T.StructField("station_id", T.IntegerType()), T.StructField("row_id", T.LongType()), T.StructField("ts", T.TimestampType()), *(T.StructField(c, T.DoubleType()) for c in CHANNELS)])
@@ -113,8 +114,7 @@ class RecurrenceProcessor(StatefulProcessor):
             since, sensors = row.ts - timedelta(hours=self.hours), set(row.sensors)
             alike = [h for h in held if h[0] >= since and (h[1] == row.anomaly_type or sensors & set(filter(None, h[2].split(","))))]
             n = len(alike)
-            text = ("First occurrence in observation window (Isolated incident)" if not n else f"Similar event previously recorded at {alike[-1][0]:%m-%d %H:%M} (2nd occurrence)" if n == 1
-                else f"Recurring pattern: Detected {n + 1} times in past {self.hours}h (Investigate persistent fault)")
+            text = FIRST_TEXT if not n else SECOND_TEXT.format(time=f"{alike[-1][0]:%m-%d %H:%M}") if n == 1 else MORE_TEXT.format(n=n + 1, hours=self.hours)
             held = [h for h in held if h[0] >= since] + [(row.ts, row.anomaly_type, ",".join(row.sensors))]
             out.append((int(key[0]), int(row.row_id), row.ts, row.anomaly_type, n, text))
         self.history.put([(t.to_pydatetime(), kind, sensors) for t, kind, sensors in held])

@@ -175,7 +175,7 @@ def test_health_extremes(spark):
 
 def test_whole_plan(spark):
     df = synthetic.weather(spark, synthetic.WeatherConfig(days=2))
-    out = telemetry.correct_and_alert(df, events=rules.fuse(rules.violations(df, statistical=False)))
+    out = telemetry.correct_and_alert(df, detectors=False)
     corrected, alerts = out["corrected"].cache(), out["alerts"].cache()
     assert corrected.count() == 576
     for r in corrected.where("humidity_raw IS NOT NULL").collect():
