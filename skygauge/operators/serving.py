@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skygauge.functions.config import CHANNELS
+from skygauge.functions.rounding import half_even
 
 
 def live_buffer(df: DataFrame, step: Column, before: int = 60, rn: str = "rn") -> DataFrame:
@@ -23,7 +24,7 @@ def overview(stations: DataFrame, df: DataFrame, health: DataFrame | None = None
     latest = df.groupBy(F.col("station_id").alias("_s")).agg(F.count("*").alias("readings"), F.max_by(F.struct("row_id", *CHANNELS), F.struct("ts", "row_id")).alias("_l"))
     out = stations.join(latest, F.col("station_id") == F.col("_s"), "left").select(*stations.columns, F.coalesce("readings", F.lit(0)).alias("readings"), "_l.*")
     if health is not None:
-        out = out.join(health.groupBy("station_id").agg(F.round(F.avg("health_score"), 1).alias("average_health")), "station_id", "left")
+        out = out.join(health.groupBy("station_id").agg(half_even(F.avg("health_score"), 1).alias("average_health")), "station_id", "left")
     if alerts is not None:
         active = alerts.groupBy("station_id").agg(F.count_if(F.col("severity").isin("CRITICAL", "WARNING")).alias("active_alerts"))
         out = out.join(active, "station_id", "left").withColumn("active_alerts", F.coalesce("active_alerts", F.lit(0)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,12 +54,18 @@ def readings_(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["readings"] = QUERIES.pop("readings_")
 
 
+def _digits(x: str | Column) -> Column:
+    """x to ten digits, whatever its size."""
+    return F.format_string("%.9e", x).cast("double")
+
+
 @query
 def thermo_derived(spark: SparkSession, d: str) -> DataFrame:
     """Of every reading; where a sentinel stands for the temperature the quantities are very large."""
     df = physics.derived(readings.from_events(spark, d))
-    es, e, td, ah = physics.DERIVED
-    return df.select(*KEYS, F.round(es, 6).alias("es"), F.round(e, 6).alias("e"), F.round(td, 6).alias("td"), F.round(ah, 6).alias("ah"), F.round(F.col("temperature") - F.col(td), 6).alias("depression"))
+    es, e, td, ah = (F.when(F.col(x).isNotNull(), _digits(x)) for x in physics.DERIVED)
+    depression = F.col("temperature") - F.col(physics.DERIVED[2])
+    return df.select(*KEYS, es.alias("es"), e.alias("e"), td.alias("td"), ah.alias("ah"), F.round(depression, 6).alias("depression"))
 
 
 @query
@@ -137,7 +144,8 @@ def cleaned_dataset(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def unified_dataset(spark: SparkSession, d: str) -> DataFrame:
-    return clean.unified(telemetry.quality_control(readings.from_events(spark, d)))
+    found = clean.unified(telemetry.quality_control(readings.from_events(spark, d)))
+    return found.withColumns({x: F.when(F.col(x).isNotNull(), _digits(x)) for x in physics.DERIVED} | {"ts": F.unix_micros("ts")})
 
 
 @query
@@ -159,18 +167,18 @@ def overall_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def incident_log(spark: SparkSession, d: str) -> DataFrame:
-    return report.incidents(_flagged(spark, d)).select(*KEYS, "seq", "sensor", "category", "rule")
+    return report.incidents(_flagged(spark, d)).select(*KEYS, "seq", "sensor", "observed", "category", "rule", "description")
 
 
 @query
 def incident_topk(spark: SparkSession, d: str) -> DataFrame:
-    return report.top_incidents(report.incidents(_flagged(spark, d))).select(*KEYS, "seq", "sensor", "category", "rule")
+    return report.top_incidents(report.incidents(_flagged(spark, d))).select(*KEYS, "seq", "sensor", "observed", "category", "rule", "description")
 
 
 @query
 def rule_violations(spark: SparkSession, d: str) -> DataFrame:
     found = rules.exploded(rules.violations(_flagged(spark, d)))
-    return found.select(*KEYS, F.col("seq").cast("long").alias("seq"), "rule_id", "severity", "alert_level", "confidence", F.array_join("affected_sensors", ", ").alias("sensors"), "recommended_action")
+    return found.select(*KEYS, F.col("seq").cast("long").alias("seq"), "rule_id", "rule_name", "severity", "alert_level", "confidence", F.array_join("affected_sensors", ", ").alias("sensors"), "description", "recommended_action")
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
@@ -179,7 +187,16 @@ def _fused(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def fusion_rules_only(spark: SparkSession, d: str) -> DataFrame:
-    return _fused(spark, d).select(*KEYS, "is_anomaly", "anomaly_type", "severity", "confidence", "affected_sensors", "recommended_action")
+    return _fused(spark, d).select(*KEYS, "is_anomaly", "anomaly_type", "severity", "confidence", "affected_sensors", "recommended_action", "description")
+
+
+@query
+def fusion_with_detectors(spark: SparkSession, d: str) -> DataFrame:
+    """All priorities, with verdicts of both detectors made up from the row's number."""
+    n, share = F.col("row_id"), lambda x, m: F.pmod(F.col("row_id") * x, F.lit(m)) / float(m)
+    marks = {"iforest_flag": n % 7 == 0, "iforest_conf": share(1, 100), "lstm_flag": n % 5 == 0, "lstm_conf": share(37, 100), "lstm_errors": F.array(*(share(x, 11) for x in (1, 3, 7, 9)))}
+    found = rules.fuse(rules.violations(_flagged(spark, d)).withColumns(marks))
+    return found.select(*KEYS, "is_anomaly", "anomaly_type", "severity", "confidence", "affected_sensors", "recommended_action", "description", "iforest_conf", "lstm_conf")
 
 
 @query
@@ -227,6 +244,23 @@ def kalman_states(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("station_id", "sensor", "rn", F.round("true", 5).alias("true_value"), F.round("rate", 6).alias("rate"), F.round("bias", 5).alias("bias"), *_rounded(5, "true_std", "bias_std", "innovation"), F.round("post_fit_residual", 5).alias("post_fit"))
 
 
+@query
+def kalman_with_references(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth reading is checked against a reference that is 0.3 lower."""
+    df = readings.from_events(spark, d)
+    references = df.where("row_id % 50 = 0").select(*KEYS, *((F.col(c) - 0.3).alias(c) for c in CHANNELS))
+    tracked = kalman.track(df, references)
+    rows = tracked.select("station_id", "rn", "nis", F.inline(F.array(*(F.struct(F.lit(c).alias("sensor"), *(F.col(f"{c}_{k}").alias(k) for k in kalman.ESTIMATES)) for c in CHANNELS))))
+    return rows.select("station_id", "sensor", "rn", F.round("true", 5).alias("true_value"), F.round("rate", 6).alias("rate"), *_rounded(5, "bias", "true_std", "bias_std", "innovation"), F.round("nis", 3).alias("nis"))
+
+
+@query
+def kalman_intervals(spark: SparkSession, d: str) -> DataFrame:
+    rows = kalman.intervals(kalman.track(readings.from_events(spark, d)))
+    ends = [f"{x}_ci95_{side}" for x in ("true", "bias") for side in ("lower", "upper")]
+    return rows.select("station_id", "rn", F.inline(F.array(*(F.struct(F.lit(c).alias("sensor"), *(F.round(f"{c}_{x}", 5).alias(x) for x in ends)) for c in CHANNELS))))
+
+
 @query
 def kalman_nis(spark: SparkSession, d: str) -> DataFrame:
     return kalman.track(readings.from_events(spark, d)).select("station_id", "rn", F.round("nis", 3).alias("nis"))
@@ -244,7 +278,7 @@ def auto_correction_ci(spark: SparkSession, d: str) -> DataFrame:
     df, out = readings.from_events(spark, d), {}
     for c in CHANNELS:
         out |= correction.corrected_columns(c, F.col(c), F.lit(0.25), F.lit(0.2))
-    return df.select(*KEYS, *(v.alias(k) for k, v in out.items() if not k.endswith(("bias_est", "uncertainty_std"))))
+    return df.select(*KEYS, *(v.alias(k) for k, v in out.items()))
 
 
 def _health(spark: SparkSession, d: str) -> DataFrame:
@@ -253,13 +287,12 @@ def _health(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def health_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _health(spark, d).select("station_id", "sensor", "total_expected", "total_received", "completeness_pct", "noise_std", "days_since_calibration", "calibration_status", "anomaly_incidents",
-        *(f"{k}_subscore" for k in health.WEIGHTS), "health_score", "health_grade", "is_degraded", "predicted_rul_days", "maintenance_status")
+    return _health(spark, d).drop("ordinal")
 
 
 @query
 def maintenance_alerts(spark: SparkSession, d: str) -> DataFrame:
-    return health.maintenance_alerts(_health(spark, d)).select("station_id", "sensor", "urgency", "current_health_score", "predicted_rul_days")
+    return health.maintenance_alerts(_health(spark, d)).drop("ordinal")
 
 
 @query
@@ -287,7 +320,7 @@ def iforest_features(spark: SparkSession, d: str) -> DataFrame:
 @query
 def sequence_windows(spark: SparkSession, d: str) -> DataFrame:
     found = features.sequences(readings.from_events(spark, d))
-    return found.select(*KEYS, F.round(F.aggregate("window", F.lit(0.0), lambda a, b: a + b), 4).alias("window_sum"))
+    return found.select(*KEYS, F.array_join(F.transform("window", lambda x: F.format_string("%.4f", x)), ",").alias("window"))
 
 
 @query
@@ -318,7 +351,29 @@ def actionable_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def health_from_kalman(spark: SparkSession, d: str) -> DataFrame:
-    return telemetry.correct_and_alert(readings.from_events(spark, d), detectors=False)["health"]
+    return telemetry.correct_and_alert(readings.from_events(spark, d), detectors=False)["health"].drop("ordinal")
+
+
+@query
+def corrected_by_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The whole correction plan without the learned detectors."""
+    return telemetry.correct_and_alert(readings.from_events(spark, d), detectors=False)["corrected"].withColumn("ts", F.unix_micros("ts"))
+
+
+@query
+def alerts_by_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The alert log of the whole correction plan without the learned detectors."""
+    found = telemetry.correct_and_alert(readings.from_events(spark, d), detectors=False)["alerts"]
+    return found.withColumns({"ts": F.unix_micros("ts"), "affected_parameters": F.array_join("affected_parameters", ", "), "alert_seq": F.col("alert_seq").cast("long")})
+
+
+@query
+def alert_recurrence_over_log(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts from the 16th of the month on, numbered and looked at after a stored log of those before."""
+    found = _alerts(spark, d)
+    log = stored(correction.number_alerts(found.where(F.dayofmonth("ts") < 16)))
+    later = stored(correction.number_alerts(found.where(F.dayofmonth("ts") >= 16), log))
+    return correction.recurrence(later, log=log).select(*KEYS, F.col("alert_seq").cast("long").alias("alert_seq"), "alert_id", "earlier", "historical_context")
 
 
 @query
@@ -335,9 +390,8 @@ def history_head(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def station_overview(spark: SparkSession, d: str) -> DataFrame:
-    found = serving.overview(readings.stations(spark), readings.from_events(spark, d), alerts=_alerts(spark, d))
-    known = lambda c: F.coalesce(c, F.lit(-12345.0)).alias(c)
-    return found.select("station_id", "readings", "row_id", known("temperature"), known("wind_speed"), "active_alerts")
+    found = serving.overview(readings.stations(spark), readings.from_events(spark, d), _health(spark, d), _alerts(spark, d))
+    return found.select("station_id", "code", "status", "readings", "row_id", *CHANNELS, "average_health", "active_alerts")
 
 
 @query
@@ -375,6 +429,35 @@ def synthetic_readings(spark: SparkSession, d: str) -> DataFrame:
     return synthetic.weather(spark)
 
 
+CALM = synthetic.WeatherConfig(noise=0.0)
+
+
+@query
+def synthetic_without_noise(spark: SparkSession, d: str) -> DataFrame:
+    """The generator's cycles and injected faults, with its noise switched off."""
+    return synthetic.weather(spark, CALM).select(*KEYS, F.unix_micros("ts").alias("ts"), *_rounded(6, *CHANNELS))
+
+
+def _calm_drift(spark: SparkSession, scenario: str) -> dict[str, DataFrame]:
+    return synthetic.drift(spark, scenario, synthetic.WeatherConfig(days=5.0, inject=False, noise=0.0))
+
+
+@query
+def drift_observed_without_noise(spark: SparkSession, d: str) -> DataFrame:
+    """Two faults at once, without noise: truth with bias, the bias, and the references at noon."""
+    made = _calm_drift(spark, "multi_fault")
+    noon = made["references"].select("row_id", *(F.round(c, 6).alias(f"{c}_reference") for c in CHANNELS))
+    bias = made["biases"].select("row_id", *_rounded(6, *(f"{c}_true_bias" for c in CHANNELS)))
+    return made["observed"].select(*KEYS, *_rounded(6, *CHANNELS)).join(bias, "row_id").join(noon, "row_id")
+
+
+@query
+def drift_evaluation_without_noise(spark: SparkSession, d: str) -> DataFrame:
+    made = _calm_drift(spark, "step_jump")
+    found = kalman.evaluation(kalman.track(made["observed"], made["references"]), made["true"], made["biases"])
+    return found.select(*KEYS[:1], "sensor", *_rounded(4, *(x for x in found.columns if x not in ("station_id", "sensor"))))
+
+
 @query
 def synthetic_faults(spark: SparkSession, d: str) -> DataFrame:
     return synthetic.faults(spark)
@@ -382,8 +465,12 @@ def synthetic_faults(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def drift_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    made = synthetic.drift(spark, "linear_ramp", synthetic.WeatherConfig(days=5.0, inject=False))
-    return kalman.evaluation(kalman.track(made["observed"], made["references"]), made["true"], made["biases"])
+    """Errors of tracking in the three published scenarios, raw and filtered."""
+    parts = []
+    for scenario in synthetic.SCENARIOS[:3]:
+        made = synthetic.drift(spark, scenario, synthetic.WeatherConfig(days=5.0, inject=False))
+        parts.append(kalman.evaluation(kalman.track(made["observed"], made["references"]), made["true"], made["biases"]).withColumn("scenario", F.lit(scenario)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _streamed(spark: SparkSession, d: str, plan: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:

@@ -1,11 +1,20 @@
-"""DuckDB SQL for the telemetry queries, written on its own from the definitions, with whole-station windows."""
+"""DuckDB SQL for the telemetry queries, written on its own from the definitions, with whole-station windows.
 
-from __future__ import annotations
+Nothing is imported from the engine: every threshold, name and text is written out here again, so that a
+wrong constant there shows.
+"""
 
-from skygauge.functions.config import CHANNELS, EVALUATION_DATE, PROFILES
-from skygauge.operators.correction import BANDED, BOUNDS
-from skygauge.operators.report import PHYSICS_COUNTS, STATISTICAL_COUNTS
+from __future__ import annotations
 
+CHANNELS = ("temperature", "pressure", "humidity", "wind_speed")
+BOUNDS = {"temperature": (-50.0, 60.0), "pressure": (800.0, 1100.0), "humidity": (0.0, 100.0), "wind_speed": (0.0, None)}
+BANDED = ("humidity", "wind_speed")
+PHYSICS_COUNTS = {
+    "T-P-RH Thermodynamic Violations": "flag_t_p_rh_physics_violation", "Dew Point > Dry Bulb Temperature": "flag_dew_point_exceeds_temp", "Relative Humidity Out of Bounds": "flag_rh_out_of_bounds",
+    "Vapor Pressure > Atmospheric": "flag_vapor_exceeds_pressure", "Negative Wind Speed": "flag_wind_negative", "Wind Speed Exceeds Typical Range": "flag_wind_exceeds_typical",
+    "Temperature Climatological Breach": "flag_temp_out_of_bounds", "Pressure Climatological Breach": "flag_pressure_out_of_bounds",
+}
+STATISTICAL_COUNTS = {"Rate-of-Change Spikes": "spike", "Rolling Z-Score Outliers": "zscore_outlier", "IQR Boxplot Outliers": "iqr_outlier", "Stuck / Frozen Sensor Readings": "stuck", "Missing / Sentinel Readings": "missing"}
 STEP = {"temperature": 5, "pressure": 4, "humidity": 25, "wind_speed": 15}
 FLAGS = ("flag_rh_out_of_bounds", "flag_dew_point_exceeds_temp", "flag_vapor_exceeds_pressure", "flag_ah_unphysical", "flag_temp_out_of_bounds", "flag_pressure_out_of_bounds",
     "flag_t_p_rh_physics_violation", "flag_wind_negative", "flag_wind_exceeds_typical", "flag_wind_exceeds_extreme", "flag_wind_physics_violation")
@@ -13,6 +22,15 @@ KINDS = ("missing", "iqr_outlier", "zscore_outlier", "spike", "stuck", "stat_ano
 ALL = ", ".join(CHANNELS)
 
 
+def near(x: str, digits: int = 2) -> str:
+    """x rounded, ties to even."""
+    return f"(round_even(({x}) * {10**digits}::DOUBLE, 0) / {10**digits}::DOUBLE + 0.0::DOUBLE)"
+
+
+def digits(x: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL THEN printf('%.9e', {x})::DOUBLE END"
+
+
 def each(template: str, sep: str = ", ", items=CHANNELS) -> str:  # noqa: ANN001
     return sep.join(template.replace("{c}", c).replace("{step}", str(STEP.get(c, ""))) for c in items)
 
@@ -79,7 +97,7 @@ v AS (SELECT *, NOT (flag_temperature_missing OR flag_temp_out_of_bounds OR flag
 
 def fill(base: str, how: str) -> str:
     """CTEs that end in f: f_{channel}, of the valid values of v, filled."""
-    between = "coalesce(v_{c} + (w_{c} - v_{c}) * (rn - a_{c}) / nullif(b_{c} - a_{c}, 0), v_{c}, w_{c})"
+    between = "coalesce(v_{c} + (w_{c} - v_{c}) * ((rn - a_{c})::DOUBLE / nullif(b_{c} - a_{c}, 0)), v_{c}, w_{c})"
     rule = {"interpolate": f"CASE WHEN rn - a_{{c}} <= 6 OR b_{{c}} - rn <= 6 THEN {between} END", "ffill": "CASE WHEN rn - a_{c} <= 6 THEN v_{c} END", "bfill": "CASE WHEN b_{c} - rn <= 6 THEN w_{c} END",
         "forward": f"CASE WHEN rn - a_{{c}} <= 6 THEN {between} END"}[how]
     back, on = f"({O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", f"({O} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
@@ -89,35 +107,70 @@ f2 AS (SELECT *, {each("last_value(g_{c} IGNORE NULLS) OVER " + back + " AS v_{c
 f AS (SELECT *, {each("coalesce(g_{c}, " + rule + ") AS f_{c}")} FROM f2)"""
 
 
-CLEANED = ", ".join(f"round(round({'CASE WHEN f_' + c + ' IS NOT NULL THEN greatest(f_' + c + ', 0.0) END' if c == 'wind_speed' else 'f_' + c}, 6)::DECIMAL(18, 6), 2)::DOUBLE AS {c}_cleaned" for c in CHANNELS)
+CLEANED = ", ".join(f"{near('CASE WHEN f_' + c + ' IS NOT NULL THEN greatest(f_' + c + ', 0.0) END' if c == 'wind_speed' else 'f_' + c)} AS {c}_cleaned" for c in CHANNELS)
 
 #: The rules: order, severity, level, confidence, sensors and condition over p or s.
 RULES = [
-    ("THERMO_TD_EXCEEDS_T", "HIGH", "CRITICAL", 0.98, "temperature, humidity", "td > temperature + 0.5", "Emergency calibration required: Inspect hygrometer sensing element and aspirator fan"),
-    ("THERMO_VAPOR_EXCEEDS_PRESSURE", "HIGH", "CRITICAL", 0.99, "pressure, humidity", "e >= pressure", "Isolate barometer and RH sensor channels; check for sensor chamber flooding"),
-    ("THERMO_RH_OUT_OF_BOUNDS", "HIGH", "CRITICAL", 0.97, "humidity", "temperature IS NOT NULL AND (humidity < 0 OR humidity > 105)", "Recalibrate or replace capacitive humidity sensor element; inspect for condensation or saline coating"),
-    ("SPEC_WIND_NEGATIVE", "MEDIUM", "WARNING", 0.95, "wind_speed", "wind_speed < 0", "Inspect anemometer wiring, zero-offset calibration, and ADC voltage reference"),
-    ("SPEC_WIND_EXCEEDS_RANGE", "MEDIUM", "WARNING", 0.88, "wind_speed", "wind_speed > 50", "Verify severe weather event / gust recording; inspect anemometer bearing for mechanical damage"),
-    ("SPEC_TEMP_EXCEEDS_RANGE", "MEDIUM", "WARNING", 0.92, "temperature", "temperature < -45 OR temperature > 55", "Inspect radiation shield ventilation and RTD/thermistor wiring integrity"),
-    ("SPEC_PRESSURE_EXCEEDS_RANGE", "MEDIUM", "WARNING", 0.92, "pressure", "pressure < 850 OR pressure > 1080", "Inspect barometric pressure port for insect blockage or static port leakage"),
-    *((f"{prefix}FLAG_{c.upper()}_{kind.upper()}", "LOW", level, conf, f"{c}{extra}", f"flag_{c}_{kind}", action) for c in CHANNELS for kind, prefix, level, conf, extra, action in (
-        ("iqr_outlier", "STAT_OUTLIER_", "INFO", 0.68, "_iqr", "Flag for automated quality control review; cross-check with nearby weather stations"),
-        ("zscore_outlier", "STAT_OUTLIER_", "INFO", 0.68, "_zscore", "Flag for automated quality control review; cross-check with nearby weather stations"),
-        ("spike", "STAT_SPIKE_", "INFO", 0.75, "", "Apply median smoothing filter; monitor channel for recurring transient spikes"),
-        ("stuck", "STAT_FLATLINE_", "WARNING", 0.82, "", "Check sensor power line and communication bus (SDI-12 / Modbus / RS-485)"))),
+    ("THERMO_TD_EXCEEDS_T", "HIGH", "CRITICAL", 0.98, "temperature, humidity", "td > temperature + 0.5", "Emergency calibration required: Inspect hygrometer sensing element and aspirator fan",
+        "Dew Point Exceeds Temperature", "printf('Thermodynamic violation: Calculated Dew Point (%.1f°C) exceeds Dry Bulb Temp (%.1f°C)', td, temperature)"),
+    ("THERMO_VAPOR_EXCEEDS_PRESSURE", "HIGH", "CRITICAL", 0.99, "pressure, humidity", "e >= pressure", "Isolate barometer and RH sensor channels; check for sensor chamber flooding",
+        "Vapor Pressure Exceeds Ambient Pressure", "printf('Thermodynamic violation: Water vapor pressure (%.1f hPa) exceeds ambient barometric pressure (%.1f hPa)', e, pressure)"),
+    ("THERMO_RH_OUT_OF_BOUNDS", "HIGH", "CRITICAL", 0.97, "humidity", "temperature IS NOT NULL AND (humidity < 0 OR humidity > 105)", "Recalibrate or replace capacitive humidity sensor element; inspect for condensation or saline coating",
+        "Unphysical Relative Humidity", "printf('Relative Humidity (%.1f%%) is outside physical limits [0%%, 105%%]', humidity)"),
+    ("SPEC_WIND_NEGATIVE", "MEDIUM", "WARNING", 0.95, "wind_speed", "wind_speed < 0", "Inspect anemometer wiring, zero-offset calibration, and ADC voltage reference",
+        "Negative Wind Speed", "printf('Negative wind speed measured (%.2f m/s)', wind_speed)"),
+    ("SPEC_WIND_EXCEEDS_RANGE", "MEDIUM", "WARNING", 0.88, "wind_speed", "wind_speed > 50", "Verify severe weather event / gust recording; inspect anemometer bearing for mechanical damage",
+        "Wind Speed Exceeds Typical Specification", "printf('Wind speed (%.1f m/s) exceeds typical 50 m/s sensor specification', wind_speed)"),
+    ("SPEC_TEMP_EXCEEDS_RANGE", "MEDIUM", "WARNING", 0.92, "temperature", "temperature < -45 OR temperature > 55", "Inspect radiation shield ventilation and RTD/thermistor wiring integrity",
+        "Temperature Outside Operating Limits", "printf('Temperature (%.1f°C) exceeds operating specifications [-45.0°C, 55.0°C]', temperature)"),
+    ("SPEC_PRESSURE_EXCEEDS_RANGE", "MEDIUM", "WARNING", 0.92, "pressure", "pressure < 850 OR pressure > 1080", "Inspect barometric pressure port for insect blockage or static port leakage",
+        "Pressure Outside Operating Limits", "printf('Pressure (%.1f hPa) exceeds station operating specifications [850.0 hPa, 1080.0 hPa]', pressure)"),
+    *((f"{prefix}FLAG_{c.upper()}_{kind.upper()}", "LOW", level, conf, f"{c}{extra}", f"flag_{c}_{kind}", action, name, f"'{text} flag_{c}_{kind}'" if kind == "spike" else f"'{text}'")
+        for c in CHANNELS for kind, prefix, level, conf, extra, action, name, text in (
+        ("iqr_outlier", "STAT_OUTLIER_", "INFO", 0.68, "_iqr", "Flag for automated quality control review; cross-check with nearby weather stations", "Statistical Distribution Outlier", "Reading is an excursion beyond normal statistical distribution"),
+        ("zscore_outlier", "STAT_OUTLIER_", "INFO", 0.68, "_zscore", "Flag for automated quality control review; cross-check with nearby weather stations", "Statistical Distribution Outlier", "Reading is an excursion beyond normal statistical distribution"),
+        ("spike", "STAT_SPIKE_", "INFO", 0.75, "", "Apply median smoothing filter; monitor channel for recurring transient spikes", "Transient Rate-of-Change Spike", "Rapid rate-of-change spike detected in"),
+        ("stuck", "STAT_FLATLINE_", "WARNING", 0.82, "", "Check sensor power line and communication bus (SDI-12 / Modbus / RS-485)", "Sensor Output Flatline", "Frozen sensor: reading remained constant with zero variance"))),
 ]
-VIOLATIONS = S + """,
-x AS (""" + "\n  UNION ALL ".join(f"SELECT station_id, row_id, ts, rn, {i} AS ord, '{r[0]}' AS rule_id, '{r[1]}' AS severity, '{r[2]}' AS alert_level, {r[3]}::DOUBLE AS confidence, '{r[4]}' AS sensors, '{r[6]}' AS action FROM s WHERE {r[5]}" for i, r in enumerate(RULES)) + ")"
-FUSED = VIOLATIONS + """,
-b AS (SELECT station_id, row_id, arg_min(rule_id, ord) AS rule_id, arg_min(severity, ord) AS sev, arg_min(confidence, ord) AS conf, arg_min(sensors, ord) AS sensors, arg_min(action, ord) AS action FROM x GROUP BY station_id, row_id),
-u AS (SELECT n.station_id, n.row_id, n.ts, n.rn, b.sev IS NOT NULL AS is_anomaly,
-  CASE sev WHEN 'HIGH' THEN 'THERMODYNAMIC_VIOLATION (' || rule_id || ')' WHEN 'MEDIUM' THEN 'SENSOR_SPEC_BREACH (' || rule_id || ')' WHEN 'LOW' THEN 'STATISTICAL_OUTLIER (' || rule_id || ')' ELSE 'NORMAL' END AS anomaly_type,
-  CASE sev WHEN 'HIGH' THEN 'CRITICAL' WHEN 'MEDIUM' THEN 'WARNING' WHEN 'LOW' THEN 'INFO' ELSE 'NORMAL' END AS severity,
-  round(CASE sev WHEN 'HIGH' THEN greatest(conf, 0.95) WHEN 'MEDIUM' THEN greatest(conf, 0.88) WHEN 'LOW' THEN conf ELSE 1.0 END, 3)::DOUBLE AS confidence,
-  coalesce(sensors, 'None') AS affected_sensors, coalesce(action, 'Normal operational routine') AS recommended_action FROM n LEFT JOIN b USING (station_id, row_id)),
+
+
+def violated(rules: list) -> str:
+    """x: a row for each violation of the rules in s."""
+    return """,
+x AS (""" + "\n  UNION ALL ".join(f"SELECT station_id, row_id, ts, rn, {i} AS ord, '{r[0]}' AS rule_id, '{r[1]}' AS severity, '{r[2]}' AS alert_level, {r[3]}::DOUBLE AS confidence, '{r[4]}' AS sensors, '{r[6]}' AS action, '{r[7]}' AS rule_name, {r[8]} AS description FROM s WHERE {r[5]}" for i, r in enumerate(rules)) + ")"
+
+
+def fused(detectors: str = "FALSE AS i, 0.0::DOUBLE AS ic, FALSE AS l, 0.0::DOUBLE AS lc, 'temperature' AS worst") -> str:
+    """b: the first violation of each reading; u: its event; a: the anomalous ones, numbered."""
+    kind = lambda *values: "CASE " + " ".join(f"WHEN {w} THEN {v}" for w, v in zip(("sev = 'HIGH'", "sev = 'MEDIUM'", "i AND l", "l AND lc >= 0.70", "i AND ic >= 0.70", "sev = 'LOW'"), values)) + f" ELSE {values[6]} END"  # noqa: E731, B905
+    rule = lambda label: f"'{label} (' || rule_id || ')'"
+    warn = "'WARNING'"
+    every = "'temperature, pressure, humidity, wind_speed'"
+    return f""",
+b AS (SELECT station_id, row_id, arg_min(rule_id, ord) AS rule_id, arg_min(severity, ord) AS sev, arg_min(confidence, ord) AS conf, arg_min(sensors, ord) AS sensors, arg_min(action, ord) AS action, arg_min(description, ord) AS description FROM x GROUP BY station_id, row_id),
+v AS (SELECT n.station_id, n.row_id, n.ts, n.rn, {detectors}, rule_id, sev, conf, sensors, action, description FROM n LEFT JOIN b USING (station_id, row_id)),
+u AS (SELECT station_id, row_id, ts, rn, {kind(*(['TRUE'] * 6), 'FALSE')} AS is_anomaly,
+  {kind(rule('THERMODYNAMIC_VIOLATION'), rule('SENSOR_SPEC_BREACH'), "'TEMPORAL_MULTIVARIATE_ANOMALY'", "'TEMPORAL_SEQUENCE_DISTORTION'", "'MULTIVARIATE_OUTLIER'", rule('STATISTICAL_OUTLIER'), "'NORMAL'")} AS anomaly_type,
+  {kind("'CRITICAL'", warn, warn, warn, warn, "'INFO'", "'NORMAL'")} AS severity,
+  {near(kind('greatest(conf, 0.95)', 'greatest(conf, 0.88)', '(ic + lc) / 2', 'lc', 'ic', 'conf', '1.0 - greatest(ic, lc)'), 3)} AS confidence,
+  {kind('sensors', 'sensors', 'worst', 'worst', every, 'sensors', "'None'")} AS affected_sensors,
+  {kind('action', 'action', "'Deep inspection required: Temporal pattern and multi-sensor correlation deviation in ' || worst", "'Inspect time-series trajectory of ' || worst || '; check for sudden rate-of-change distortion or sensor drift'",
+    "'Inspect multi-sensor correlation matrix; check for abnormal atmospheric coupling'", 'action', "'Normal operational routine'")} AS recommended_action,
+  {kind('description', 'description', "'Dual ML model consensus: Temporal sequence reconstruction error (LSTM) and multi-variate feature isolation (IForest) flagged anomalous pattern'", "'LSTM Autoencoder reconstruction error exceeded 3-sigma baseline'",
+    "'Isolation Forest identified rare multi-dimensional feature combination'", 'description', "'Nominal sensor operation within physical and statistical bounds'")} AS description, ic, lc FROM v),
 a AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY ts, row_id) AS alert_seq FROM u WHERE is_anomaly)"""
-RECURRENCE = FUSED + """,
-rec AS (SELECT a.station_id, a.row_id, a.alert_seq, a.severity, a.anomaly_type, a.affected_sensors, a.recommended_action, count(o.alert_seq) AS earlier, max_by(o.ts, o.alert_seq) AS last_ts
+
+
+VIOLATIONS = S + violated(RULES)
+FUSED = VIOLATIONS + fused()
+_SHARES = [f"((row_id * {m}) % 11) / 11.0::DOUBLE" for m in (1, 3, 7, 9)]
+_WORST = "CASE " + " ".join(f"WHEN {x} >= greatest({', '.join(_SHARES)}) THEN '{c}'" for c, x in zip(CHANNELS, _SHARES)) + " END"  # noqa: B905
+DETECTED = VIOLATIONS + fused(f"n.row_id % 7 = 0 AS i, (n.row_id % 100) / 100.0::DOUBLE AS ic, n.row_id % 5 = 0 AS l, ((n.row_id * 37) % 100) / 100.0::DOUBLE AS lc, {_WORST.replace('row_id', 'n.row_id')} AS worst")
+
+
+def recurring(fused: str) -> str:
+    return fused + """,
+rec AS (SELECT a.station_id, a.row_id, a.ts, a.alert_seq, a.severity, a.anomaly_type, a.affected_sensors, a.recommended_action, a.confidence, count(o.alert_seq) AS earlier, max_by(o.ts, o.alert_seq) AS last_ts
   FROM a LEFT JOIN a o ON o.station_id = a.station_id AND o.alert_seq < a.alert_seq AND o.ts >= a.ts - INTERVAL 72 HOUR
     AND (o.anomaly_type = a.anomaly_type OR list_has_any(string_split(o.affected_sensors, ', '), string_split(a.affected_sensors, ', ')))
   GROUP BY ALL),
@@ -125,59 +178,111 @@ rc AS (SELECT *, CASE WHEN earlier = 0 THEN 'First occurrence in observation win
   WHEN earlier = 1 THEN 'Similar event previously recorded at ' || strftime(last_ts, '%m-%d %H:%M') || ' (2nd occurrence)'
   ELSE 'Recurring pattern: Detected ' || (earlier + 1) || ' times in past 72h (Investigate persistent fault)' END AS historical_context FROM rec)"""
 
-PROFILE_ROWS = ", ".join(f"({i}, '{p.sensor_name}', '{p.instrument_model}', '{p.unit}', DATE '{p.last_calibration_date}', {p.calibration_interval_days}, {p.max_allowable_bias}::DOUBLE, {p.max_allowable_noise_std}::DOUBLE, {p.min_completeness_threshold}::DOUBLE, {p.degradation_score_threshold}::DOUBLE)" for i, p in enumerate(PROFILES))
+
+RECURRENCE = recurring(FUSED)
+ALERT_ID = "'ALT-' || lpad(alert_seq::VARCHAR, greatest(4, length(alert_seq::VARCHAR))::INT, '0')"
+
+PROFILE_ROWS = """(0, 'temperature', 'Pt100 4-Wire RTD Class 1/10 DIN', '°C', DATE '2026-03-01', 365, 0.6::DOUBLE, 0.35::DOUBLE, 95.0::DOUBLE, 60.0::DOUBLE),
+  (1, 'pressure', 'Vaisala PTB330 Digital Barometer', 'hPa', DATE '2026-01-15', 365, 1.2, 0.25, 95.0, 60.0), (2, 'humidity', 'Rotronic HygroMet4 Thin-Film Capacitive', '%', DATE '2026-04-10', 180, 3.5, 1.8, 95.0, 60.0),
+  (3, 'wind_speed', 'Gill WindObserver II Ultrasonic Anemometer', 'm/s', DATE '2025-11-01', 365, 0.8, 0.6, 95.0, 60.0)"""
 INCIDENT = {"pressure": " OR flag_pressure_out_of_bounds OR flag_vapor_exceeds_pressure"}
+#: From h4 (measures by station and sensor, with the profile) to h (scores and status).
+SCORED = """,
+h5 AS (SELECT *, CASE WHEN days > lim THEN 'EXPIRED' WHEN days > 0.85 * lim THEN 'DUE_SOON' WHEN abs(bias) > maxb THEN 'OUT_OF_SPEC' ELSE 'OPTIMAL' END AS calibration_status,
+  CASE WHEN comp >= least_c THEN 90.0 + 10.0 * ((comp - least_c) / (100.0 - least_c + 1e-6)) ELSE comp / least_c * 90.0 END AS s1,
+  greatest(0.0, 100.0 * (1.0 - least(2.0, abs(bias) / (maxb + 1e-6)) / 1.5)) AS s2,
+  greatest(0.0, 100.0 * (1.0 - least(2.0, noise / (maxn + 1e-6)) / 1.6)) AS s3,
+  CASE WHEN days / (lim + 1e-6) <= 1.0 THEN 100.0 * (1.0 - 0.4 * (days / (lim + 1e-6))) ELSE greatest(0.0, 60.0 - 40.0 * (days / (lim + 1e-6) - 1.0)) END AS s4 FROM h4),
+h6 AS (SELECT *, least(100.0, greatest(0.0, 0.25 * s1 + 0.35 * s2 + 0.25 * s3 + 0.15 * s4 - least(20.0, 1.5 * anomaly_incidents)))::DOUBLE AS score,
+  least(CASE WHEN abs(drift) > 1e-4 THEN greatest(0.0, maxb - abs(bias)) / abs(drift) ELSE 365.0 END, greatest(0.0, lim - days))::DOUBLE AS life FROM h5),
+h AS (SELECT *, CASE WHEN score < 40 OR abs(bias) >= maxb OR life <= 7 THEN 'URGENT_ACTION_REQUIRED' WHEN score < deg OR life <= 30 OR calibration_status = 'EXPIRED' THEN 'MAINTENANCE_DUE'
+  WHEN calibration_status = 'DUE_SOON' OR score < 75 THEN 'CALIBRATION_RECOMMENDED' ELSE 'NORMAL' END AS maintenance_status,
+  CASE WHEN score >= 90 THEN 'EXCELLENT' WHEN score >= 75 THEN 'GOOD' WHEN score >= 60 THEN 'FAIR' WHEN score >= 40 THEN 'DEGRADED' ELSE 'CRITICAL' END AS health_grade FROM h6)"""
+PROFILED = f"prof AS (SELECT * FROM (VALUES {PROFILE_ROWS}) AS t(ordinal, sensor, model, unit, cal, lim, maxb, maxn, least_c, deg))"
+_H4 = "h4 AS (SELECT h3.*, prof.* EXCLUDE (sensor), 100.0::DOUBLE * total_received / total_expected AS comp, greatest(0, date_diff('day', cal, DATE '2026-09-24'))::DOUBLE AS days FROM h3 JOIN prof USING (sensor))"
 HEALTH = S + f""",
-prof AS (SELECT * FROM (VALUES {PROFILE_ROWS}) AS t(ordinal, sensor, model, unit, cal, lim, maxb, maxn, least_c, deg)),
-""" + "h0 AS (" + " UNION ALL ".join(f"SELECT station_id, rn, '{c}' AS sensor, {c} AS y, coalesce({c} > -900 AND {c} < 9000, FALSE) AS ok, ({' OR '.join(f'flag_{c}_{k}' for k in KINDS)}{INCIDENT.get(c, '')}) AS bad FROM s" for c in CHANNELS) + """),
+{PROFILED},
+""" + "h0 AS (" + " UNION ALL ".join(f"SELECT station_id, rn, '{c}' AS sensor, {c} AS y, coalesce({c} > -900 AND {c} < 9000, FALSE) AS ok, ({' OR '.join(f'flag_{c}_{k}' for k in KINDS)}{INCIDENT.get(c, '')}) AS bad FROM s" for c in CHANNELS) + f"""),
 h1 AS (SELECT *, y - lag(y) OVER (PARTITION BY station_id, sensor ORDER BY rn) AS d FROM h0 WHERE ok),
-h2 AS (SELECT station_id, sensor, count(*) AS total_expected, count(*) FILTER (WHERE ok) AS total_received, count(*) FILTER (WHERE bad) AS anomaly_incidents FROM h0 GROUP BY 1, 2),
-h3 AS (SELECT station_id, sensor, coalesce(stddev_samp(d) / sqrt(2.0), 0.0) AS noise FROM h1 GROUP BY 1, 2),
-h4 AS (SELECT h2.*, prof.* EXCLUDE (sensor), coalesce(noise, 0.0) AS noise, 100.0::DOUBLE * total_received / total_expected AS comp, greatest(0, date_diff('day', cal, DATE '""" + EVALUATION_DATE + """'))::DOUBLE AS days
-  FROM h2 JOIN prof USING (sensor) LEFT JOIN h3 USING (station_id, sensor)),
-h5 AS (SELECT *, CASE WHEN days > lim THEN 'EXPIRED' WHEN days > 0.85 * lim THEN 'DUE_SOON' ELSE 'OPTIMAL' END AS calibration_status,
-  CASE WHEN comp >= least_c THEN 90.0 + 10.0 * ((comp - least_c) / (100.0 - least_c + 1e-6)) ELSE comp / least_c * 90.0 END AS s1, 100.0::DOUBLE AS s2,
-  greatest(0.0, 100.0 * (1.0 - least(2.0, noise / (maxn + 1e-6)) / 1.6)) AS s3,
-  CASE WHEN days / (lim + 1e-6) <= 1.0 THEN 100.0 * (1.0 - 0.4 * days / (lim + 1e-6)) ELSE greatest(0.0, 60.0 - 40.0 * (days / (lim + 1e-6) - 1.0)) END AS s4 FROM h4),
-h6 AS (SELECT *, least(100.0, greatest(0.0, 0.25 * s1 + 0.35 * s2 + 0.25 * s3 + 0.15 * s4 - least(20.0, 1.5 * anomaly_incidents)))::DOUBLE AS score, least(365.0, greatest(0.0, lim - days))::DOUBLE AS life FROM h5),
-h AS (SELECT *, CASE WHEN score < 40 OR life <= 7 THEN 'URGENT_ACTION_REQUIRED' WHEN score < deg OR life <= 30 OR calibration_status = 'EXPIRED' THEN 'MAINTENANCE_DUE'
-  WHEN calibration_status = 'DUE_SOON' OR score < 75 THEN 'CALIBRATION_RECOMMENDED' ELSE 'NORMAL' END AS maintenance_status FROM h6)"""
+h2 AS (SELECT station_id, sensor, stddev_samp(d) / sqrt(2.0) AS dev FROM h1 GROUP BY 1, 2),
+h3 AS (SELECT h0.station_id, sensor, count(*) AS total_expected, count(*) FILTER (WHERE ok) AS total_received, count(*) FILTER (WHERE bad) AS anomaly_incidents, 0.0::DOUBLE AS bias, 0.0::DOUBLE AS drift,
+  coalesce(any_value(dev), 0.0) AS noise, coalesce(any_value(dev), 0.0) ** 2 AS variance FROM h0 LEFT JOIN h2 USING (station_id, sensor) GROUP BY 1, 2),
+{_H4}""" + SCORED
+_ACTION = """CASE maintenance_status WHEN 'URGENT_ACTION_REQUIRED' THEN 'URGENT: Immediate field inspection & sensor replacement / full recalibration required for ' || sensor || '.'
+  WHEN 'MAINTENANCE_DUE' THEN 'Schedule maintenance within ' || floor(life)::BIGINT || ' days: Recalibrate zero/span and clean sensor aperture.'
+  WHEN 'CALIBRATION_RECOMMENDED' THEN printf('Calibration inspection recommended: Monitor drift trend (%+.3f %s/day).', drift, unit) ELSE 'Sensor operating within optimal specifications. Continue routine monitoring.' END"""
+METRICS = f"""SELECT station_id, sensor, model AS instrument_model, total_expected, total_received, {near('comp')} AS completeness_pct, {near('bias', 3)} AS current_bias, {near('drift', 4)} AS drift_rate_per_day, {near('noise', 3)} AS noise_std,
+  {near('variance', 4)} AS noise_variance, {near('days', 1)} AS days_since_calibration, calibration_status, anomaly_incidents, {near('s1', 1)} AS completeness_subscore, {near('s2', 1)} AS drift_subscore, {near('s3', 1)} AS noise_subscore, {near('s4', 1)} AS calibration_subscore,
+  {near('score', 1)} AS health_score, health_grade, score < deg AS is_degraded, {near('life', 1)} AS predicted_rul_days, maintenance_status, {_ACTION} AS recommended_action FROM h"""
+MAINTENANCE = f"""SELECT station_id, sensor, model AS instrument_model, CASE maintenance_status WHEN 'URGENT_ACTION_REQUIRED' THEN 'URGENT' WHEN 'MAINTENANCE_DUE' THEN 'HIGH' ELSE 'MEDIUM' END AS urgency,
+  CASE maintenance_status WHEN 'URGENT_ACTION_REQUIRED' THEN 1 WHEN 'MAINTENANCE_DUE' THEN 2 ELSE 3 END::INT AS urgency_rank,
+  CASE maintenance_status WHEN 'URGENT_ACTION_REQUIRED' THEN 'Health Score Critical (' || {near('score', 1)} || '%) | Bias (' || printf('%+.2f', {near('bias', 3)}) || ') exceeds limits | RUL: ' || {near('life', 1)} || ' days'
+    WHEN 'MAINTENANCE_DUE' THEN 'Sensor Degraded (' || {near('score', 1)} || '%) | RUL: ' || {near('life', 1)} || ' days | Drift: ' || printf('%+.3f', {near('drift', 4)}) || '/day'
+    ELSE 'Calibration interval expiring (' || {near('days', 1)} || ' days elapsed) | Status: ' || calibration_status END AS trigger_reason,
+  {near('score', 1)} AS current_health_score, {near('life', 1)} AS predicted_rul_days, {_ACTION} AS action_instructions FROM h WHERE maintenance_status <> 'NORMAL'"""
 
 NOISE = {"temperature": (0.05, 0.002, 0.3, 5.0), "pressure": (0.03, 0.001, 0.2, 10.0), "humidity": (0.15, 0.005, 1.5, 15.0), "wind_speed": (0.20, 0.003, 0.5, 5.0)}
 DT = R + f""",
 t AS (SELECT *, CASE WHEN sec > 0 THEN greatest(0.1, sec / 60.0) ELSE 5.0 END::DOUBLE AS dt FROM (SELECT *, epoch_us(ts - lag(ts) OVER ({O})) / 1e6 AS sec FROM n))"""
-KALMAN = "WITH RECURSIVE " + DT.lstrip() + """,
-o AS (""" + " UNION ALL ".join(f"SELECT station_id, '{c}' AS sensor, rn, dt, CASE WHEN isinf({c}) THEN NULL ELSE {c} END AS z, {q * q:.17g}::DOUBLE AS q, {b * b:.17g}::DOUBLE AS qb, {m * m:.17g}::DOUBLE AS m, {i * i:.17g}::DOUBLE AS p0 FROM t" for c, (q, b, m, i) in NOISE.items()) + """),
+
+
+def kalman(timed: str, references: bool = False) -> str:
+    """CTEs from t (readings with rn, dt and, with references, ref_{channel}) to ks: the filter's states, row by row."""
+    sensors = " UNION ALL ".join(f"SELECT station_id, '{c}' AS sensor, rn, dt, CASE WHEN isinf({c}) THEN NULL ELSE {c} END AS z, {f'ref_{c}' if references else 'NULL::DOUBLE'} AS w, {q * q:.17g}::DOUBLE AS q, {b * b:.17g}::DOUBLE AS qb, {m * m:.17g}::DOUBLE AS m, {i * i:.17g}::DOUBLE AS p0 FROM t" for c, (q, b, m, i) in NOISE.items())
+    return "WITH RECURSIVE " + timed.lstrip() + f""",
+o AS ({sensors}),
 k(station_id, sensor, rn, v, r, b, vv, vr, vb, rr, rb, bb, y, fit, nis) AS (
   SELECT station_id, sensor, 0::BIGINT, coalesce(z, 0.0)::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, p0, 0.0::DOUBLE, 0.0::DOUBLE, (0.1 * 0.1)::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM o WHERE rn = 1
   UNION ALL
-  SELECT station_id, sensor, rn, v + coalesce(k0 * y, 0), r + coalesce(k1 * y, 0), b + coalesce(k2 * y, 0),
-    vv - coalesce(k0 * g0, 0), vr - coalesce(k0 * g1, 0), vb - coalesce(k0 * g2, 0), rr - coalesce(k1 * g1, 0), rb - coalesce(k1 * g2, 0), bb - coalesce(k2 * g2, 0),
-    y, y - (k0 + k2) * y, y * y / s
+  SELECT station_id, sensor, rn, v + coalesce(j0 * x, 0), r + coalesce(j1 * x, 0), b + coalesce(j2 * x, 0),
+    vv - coalesce(j0 * vv, 0), vr - coalesce(j0 * vr, 0), vb - coalesce(j0 * vb, 0), rr - coalesce(j1 * vr, 0), rb - coalesce(j1 * vb, 0), bb - coalesce(j2 * vb, 0),
+    y, z - (v + coalesce(j0 * x, 0)) - (b + coalesce(j2 * x, 0)), CASE WHEN w IS NULL THEN n1 ELSE coalesce(n1, 0) + x * x / (vv + 0.05::DOUBLE * 0.05::DOUBLE) END
+  FROM (SELECT *, CASE WHEN w IS NOT NULL THEN vv / (vv + 0.05::DOUBLE * 0.05::DOUBLE) END AS j0, CASE WHEN w IS NOT NULL THEN vr / (vv + 0.05::DOUBLE * 0.05::DOUBLE) END AS j1, CASE WHEN w IS NOT NULL THEN vb / (vv + 0.05::DOUBLE * 0.05::DOUBLE) END AS j2, w - v AS x FROM (
+  SELECT station_id, sensor, rn, z, w, v + coalesce(k0 * y, 0) AS v, r + coalesce(k1 * y, 0) AS r, b + coalesce(k2 * y, 0) AS b,
+    vv - coalesce(k0 * g0, 0) AS vv, vr - coalesce(k0 * g1, 0) AS vr, vb - coalesce(k0 * g2, 0) AS vb, rr - coalesce(k1 * g1, 0) AS rr, rb - coalesce(k1 * g2, 0) AS rb, bb - coalesce(k2 * g2, 0) AS bb,
+    y, y * y / s AS n1
   FROM (SELECT *, g0 / s AS k0, g1 / s AS k1, g2 / s AS k2, z - v - b AS y FROM (
     SELECT *, CASE WHEN z IS NOT NULL THEN vv + vb END AS g0, CASE WHEN z IS NOT NULL THEN vr + rb END AS g1, CASE WHEN z IS NOT NULL THEN vb + bb END AS g2, vv + 2 * vb + bb + m AS s FROM (
-      SELECT o.station_id, o.sensor, o.rn, o.z, o.m, k.v + k.r * dt AS v, k.r, k.b, k.vv + 2 * dt * k.vr + dt * dt * k.rr + q * dt * dt * dt / 3 AS vv, k.vr + dt * k.rr + q * dt * dt / 2 AS vr,
-        k.vb + dt * k.rb AS vb, k.rr + q * dt AS rr, k.rb, k.bb + qb * dt AS bb FROM k JOIN o ON o.station_id = k.station_id AND o.sensor = k.sensor AND o.rn = k.rn + 1)))),
+      SELECT o.station_id, o.sensor, o.rn, o.z, o.w, o.m, k.v + k.r * dt AS v, k.r, k.b, k.vv + 2 * dt * k.vr + dt * dt * k.rr + q * dt * dt * dt / 3 AS vv, k.vr + dt * k.rr + q * dt * dt / 2 AS vr,
+        k.vb + dt * k.rb AS vb, k.rr + q * dt AS rr, k.rb, k.bb + qb * dt AS bb FROM k JOIN o ON o.station_id = k.station_id AND o.sensor = k.sensor AND o.rn = k.rn + 1)))))),
 ks AS (SELECT * FROM k WHERE rn > 0)"""
 
 
+KALMAN = kalman(DT)
+CHECKED = kalman(DT.replace("t AS (SELECT *, CASE WHEN sec", "t AS (SELECT *, " + each("CASE WHEN row_id % 50 = 0 THEN {c} - 0.3::DOUBLE END AS ref_{c}") + ", CASE WHEN sec"), True)
+
+
 def bounded(c: str, x: str) -> str:
     low, high = BOUNDS[c]
     x = f"greatest({x}, {low})"
     return x if high is None else f"least({x}, {high})"
 
 
-def bands(c: str) -> str:
-    value = f"CASE WHEN {c} IS NOT NULL THEN {bounded(c, f'{c} - 0.25')} END"
-    near = lambda x: f"round(round({x}, 6)::DECIMAL(18, 6), 2)::DOUBLE"
-    out = [f"{near(value)} AS {c}_corrected"]
-    for name, z in (("ci95", 1.960), ("ci99", 2.576)):
+def bands(c: str, raw: str, bias: str, sigma: str) -> str:
+    value = f"CASE WHEN {raw} IS NOT NULL THEN {bounded(c, f'{raw} - {bias}')} END"
+    out = [f"{near(value)} AS {c}_corrected", f"{near(bias, 3)} AS {c}_bias_est", f"{near(sigma, 3)} AS {c}_uncertainty_std"]
+    for name, z in (("ci95", "1.960::DOUBLE"), ("ci99", "2.576::DOUBLE")):
         for side, sign in (("lower", "-"), ("upper", "+")):
-            y = f"({value}) {sign} {z} * 0.2"
-            out.append(f"{near(f'CASE WHEN {c} IS NOT NULL THEN {bounded(c, y) if c in BANDED else y} END')} AS {c}_{name}_{side}")
+            y = f"({value}) {sign} {z} * {sigma}"
+            out.append(f"{near(f'CASE WHEN {raw} IS NOT NULL THEN {bounded(c, y) if c in BANDED else y} END')} AS {c}_{name}_{side}")
     return ", ".join(out)
 
 
+#: The whole correction plan without detectors: w has each reading with its states, corrected columns and event.
+_WIDE = ", ".join(f"max(CASE WHEN sensor = '{c}' THEN b END) AS b_{c}, max(CASE WHEN sensor = '{c}' THEN sqrt(greatest(vv, 0) + greatest(bb, 0)) END) AS g_{c}" for c in CHANNELS)
+PLAN = KALMAN + """,
+""" + (P + violated(RULES[:7]).replace("FROM s WHERE", "FROM p WHERE") + fused()).removeprefix(R).lstrip(",\n") + f""",
+kw AS (SELECT station_id, rn, {_WIDE} FROM ks GROUP BY ALL),
+w AS (SELECT n.*, {each("n.{c} AS {c}_raw")}, {", ".join(bands(c, f"n.{c}", f"b_{c}", f"g_{c}") for c in CHANNELS)}, u.is_anomaly, u.severity, u.anomaly_type, u.confidence FROM n JOIN kw USING (station_id, rn) JOIN u ON u.station_id = n.station_id AND u.row_id = n.row_id)"""
+HEALTH_PLAN = f""",
+{PROFILED},
+h1 AS (SELECT k.station_id, k.sensor, k.rn, k.b, k.fit, CASE k.sensor {" ".join(f"WHEN '{c}' THEN n.{c}" for c in CHANNELS)} END AS y FROM ks k JOIN n USING (station_id, rn)),
+h3 AS (SELECT station_id, sensor, count(*) AS total_expected, count(*) FILTER (WHERE y > -900 AND y < 9000) AS total_received, 0::BIGINT AS anomaly_incidents, arg_max(b, rn) AS bias,
+  CASE WHEN count(*) > 10 THEN regr_slope(b, rn) / ((count(*) * 5.0 / 1440.0) / (count(*) - 1)) ELSE 0 END AS drift, stddev_samp(fit) AS noise, var_samp(fit) AS variance FROM h1 GROUP BY ALL),
+{_H4}""" + SCORED
+_COLUMNS = ", ".join(f"{c}_{k}" for c in CHANNELS for k in ("raw", "corrected", "bias_est", "uncertainty_std", "ci95_lower", "ci95_upper", "ci99_lower", "ci99_upper"))
+_SHOWN = lambda suffix: "coalesce(nullif(array_to_string(list_transform(string_split(affected_sensors, ', '), lambda s: s || '=' || coalesce(CASE s " + " ".join(f"WHEN '{c}' THEN printf('%.2f', w.{c}_{suffix})" for c in CHANNELS) + " END, 'nan')), ', '), ''), 'N/A')"
+
 POINT = R + f""",
 d1 AS (SELECT *, {each("coalesce({c} - lag({c}) OVER (" + O + "), 0.0) AS {c}_diff1")} FROM n),
 d2 AS (SELECT *, {each("coalesce({c}_diff1 - lag({c}_diff1) OVER (" + O + "), 0.0) AS {c}_diff2", items=("temperature", "pressure"))},
@@ -187,14 +292,60 @@ d3 AS (SELECT *, temperature - 243.5 * gamma / (17.67 - gamma) AS dew_point_depr
 GAPS = (*CHANNELS, "dew_point_depression", "actual_vapor_pressure", "absolute_humidity")
 FILLED = lambda c: f"coalesce(last_value({c} IGNORE NULLS) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value({c} IGNORE NULLS) OVER ({O} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0.0)"
 
-NUM = lambda c: f"coalesce(round({c}, 4)::DECIMAL(18, 4)::VARCHAR, 'nan')"
-_LOG = [(f"flag_{c}_missing", c, "MISSING", f"{c}_missing_or_sentinel") for c in CHANNELS] + [
-    ("flag_dew_point_exceeds_temp", "temperature+humidity", "PHYSICS_VIOLATION", "dew_point_le_temp"), ("flag_vapor_exceeds_pressure", "pressure+humidity", "PHYSICS_VIOLATION", "vapor_pressure_le_ambient"),
-    ("flag_rh_out_of_bounds", "humidity", "PHYSICS_VIOLATION", "rh_physical_bounds"), ("flag_wind_negative", "wind_speed", "PHYSICS_VIOLATION", "wind_speed_non_negative"), ("flag_wind_exceeds_typical", "wind_speed", None, "wind_speed_max_bounds")]
+NUM = lambda c: f"coalesce({c}::VARCHAR, 'nan')"
+_LOG = [(f"flag_{c}_missing", c, "'MISSING'", f"{c}_missing_or_sentinel", NUM(c), f"'Missing reading or sentinel value detected in {c}'") for c in CHANNELS] + [
+    ("flag_dew_point_exceeds_temp", "temperature+humidity", "'PHYSICS_VIOLATION'", "dew_point_le_temp", f"'T=' || {NUM('temperature')} || '°C, RH=' || {NUM('humidity')} || '%'",
+        f"'Thermodynamic violation: Dew Point (' || printf('%.2f', td) || '°C) exceeds Dry Bulb Temperature (' || {NUM('temperature')} || '°C)'"),
+    ("flag_vapor_exceeds_pressure", "pressure+humidity", "'PHYSICS_VIOLATION'", "vapor_pressure_le_ambient", NUM("pressure"), "'Water vapor pressure exceeds total atmospheric ambient pressure'"),
+    ("flag_rh_out_of_bounds", "humidity", "'PHYSICS_VIOLATION'", "rh_physical_bounds", NUM("humidity"), f"'Relative Humidity (' || {NUM('humidity')} || '%) out of physical bounds [0%, 102%]'"),
+    ("flag_wind_negative", "wind_speed", "'PHYSICS_VIOLATION'", "wind_speed_non_negative", NUM("wind_speed"), f"'Physically impossible negative wind speed (' || {NUM('wind_speed')} || ' m/s)'"),
+    ("flag_wind_exceeds_typical", "wind_speed", "CASE WHEN wind_speed <= 90 THEN 'PHYSICS_WARNING' ELSE 'PHYSICS_VIOLATION' END", "wind_speed_max_bounds", NUM("wind_speed"), f"'Wind speed (' || {NUM('wind_speed')} || ' m/s) exceeds typical 50 m/s bound'")]
 for _c in CHANNELS:
-    _LOG += [(f"flag_{_c}_spike", _c, "SPIKE", f"{_c}_rate_of_change_spike"), (f"flag_{_c}_stuck", _c, "STUCK", f"{_c}_sensor_flatline")]
+    _LOG += [(f"flag_{_c}_spike", _c, "'SPIKE'", f"{_c}_rate_of_change_spike", NUM(_c), f"'Unphysical abrupt step change / transient spike in {_c} (' || {NUM(_c)} || ')'"),
+        (f"flag_{_c}_stuck", _c, "'STUCK'", f"{_c}_sensor_flatline", NUM(_c), f"'Frozen / stuck sensor: zero variance in {_c} over time window (' || {NUM(_c)} || ')'")]
 LOG = S + """,
-l AS (""" + " UNION ALL ".join(f"SELECT station_id, row_id, ts, {i} AS seq, '{sensor}' AS sensor, {chr(39) + cat + chr(39) if cat else 'CASE WHEN wind_speed <= 90 THEN ' + chr(39) + 'PHYSICS_WARNING' + chr(39) + ' ELSE ' + chr(39) + 'PHYSICS_VIOLATION' + chr(39) + ' END'} AS category, '{rule}' AS rule FROM s WHERE {f}" for i, (f, sensor, cat, rule) in enumerate(_LOG)) + ")"
+l AS (""" + " UNION ALL ".join(f"SELECT station_id, row_id, ts, {i} AS seq, '{sensor}' AS sensor, {observed} AS observed, {cat} AS category, '{rule}' AS rule, {text} AS description FROM s WHERE {f}" for i, (f, sensor, cat, rule, observed, text) in enumerate(_LOG)) + ")"
+
+#: The generator without noise: axis, cycles, faults. n is a row number from 0, d the days since the start.
+def calm(steps: int) -> str:  # noqa: E302
+    return f"""
+g0 AS (SELECT row_id, TIMESTAMP '2026-01-01' + row_id * INTERVAL 5 MINUTE AS ts, row_id * (5 / 1440.0::DOUBLE) AS d, (hour(TIMESTAMP '2026-01-01' + row_id * INTERVAL 5 MINUTE) + minute(TIMESTAMP '2026-01-01' + row_id * INTERVAL 5 MINUTE) / 60.0)::DOUBLE AS h FROM range({steps}) AS t(row_id)),
+g1 AS (SELECT *, 22.0 + 8.0 * cos((h - 14.0) * 2.0 * pi() / 24.0) + 3.0 * sin(2.0 * pi() * d / 3.5) AS t, 1013.25 + 12.0 * cos(2.0 * pi() * d / 4.0) + 1.2 * sin(4.0 * pi() * (h - 9.0) / 24.0) AS p FROM g0),
+g2 AS (SELECT *, least(14.0 + 2.0 * sin(2.0 * pi() * d / 2.0), t - 1.5) AS td FROM g1),
+g AS (SELECT 0 AS station_id, row_id, ts, t AS temperature, p AS pressure, least(98.0, greatest(10.0, 100.0 * (6.112 * exp(17.67 * td / (td + 243.5))) / (6.112 * exp(17.67 * t / (t + 243.5))))) AS humidity,
+  least(35.0, greatest(0.0, 5.5 * pow(-ln(0.5::DOUBLE), 0.5) * (1.0 + 0.4 * greatest(0.0, sin((h - 8.0) * pi() / 12.0))))) AS wind_speed FROM g2)"""
+
+
+#: Rows of each injected fault among 2016, as (first, number).
+_AT = {"t_gap": (161, 3), "p_gap": (504, 5), "rh_high": (302, 1), "rh_low": (907, 1), "w_low": (705, 1), "w_high": (1310, 1), "t_high": (1451, 1), "p_low": (1774, 1), "t_spike": (1048, 1), "p_spike": (1209, 1), "held": (1612, 17)}
+_IN = {k: f"row_id BETWEEN {a} AND {a + n - 1}" for k, (a, n) in _AT.items()}
+FAULTY = "WITH " + calm(2016).lstrip() + f""" SELECT station_id, row_id, epoch_us(ts) AS ts,
+  round(CASE WHEN {_IN['held']} THEN (SELECT temperature FROM g WHERE row_id = 1612) WHEN {_IN['t_gap']} THEN -999.0 WHEN {_IN['t_high']} THEN 78.5 WHEN {_IN['t_spike']} THEN temperature + 14.0 ELSE temperature END, 6) AS temperature,
+  round(CASE WHEN {_IN['p_gap']} THEN NULL WHEN {_IN['p_low']} THEN 720.0 WHEN {_IN['p_spike']} THEN pressure + 9.5 ELSE pressure END, 6) AS pressure,
+  round(CASE WHEN {_IN['rh_high']} THEN 118.5 WHEN {_IN['rh_low']} THEN -12.0 ELSE humidity END, 6) AS humidity,
+  round(CASE WHEN {_IN['w_low']} THEN -4.5 WHEN {_IN['w_high']} THEN 108.0 ELSE wind_speed END, 6) AS wind_speed FROM g"""
+FAULT_ROWS = """SELECT * FROM (VALUES (161, 'temperature', 'MISSING', 'Sentinel -999.0'), (504, 'pressure', 'MISSING', 'Sensor dropout NaN gap'), (302, 'humidity', 'PHYSICS_VIOLATION', 'RH exceeds 100% (118.5%)'),
+  (907, 'humidity', 'PHYSICS_VIOLATION', 'Negative RH (-12%)'), (705, 'wind_speed', 'PHYSICS_VIOLATION', 'Negative wind speed (-4.5 m/s)'), (1310, 'wind_speed', 'PHYSICS_VIOLATION', 'Extreme unphysical wind speed (108 m/s)'),
+  (1451, 'temperature', 'PHYSICS_VIOLATION', 'Climatological high temperature (78.5°C)'), (1774, 'pressure', 'PHYSICS_VIOLATION', 'Pressure below physical surface limits (720 hPa)'), (1048, 'temperature', 'SPIKE', 'Transient +14°C spike'),
+  (1209, 'pressure', 'SPIKE', 'Step spike in pressure (+9.5 hPa)'), (1612, 'temperature', 'STUCK', 'Frozen temperature sensor for 16 intervals')) AS t(idx, sensor, type, "desc")"""
+_MULTI = {"temperature": "0.3 * (row_id * (5.0::DOUBLE / 1439))", "pressure": "CASE WHEN row_id >= 720 THEN -2.5 ELSE 0.0 END::DOUBLE", "humidity": "0.0::DOUBLE", "wind_speed": "0.0::DOUBLE"}
+_STEP = {"temperature": "CASE WHEN row_id >= 604 THEN 2.2 ELSE 0.0 END::DOUBLE", "pressure": "CASE WHEN row_id >= 604 THEN -3.0 ELSE 0.0 END::DOUBLE", "humidity": "CASE WHEN row_id >= 604 THEN 6.5 ELSE 0.0 END::DOUBLE", "wind_speed": "0.0::DOUBLE"}
+
+
+def seen(bias: dict[str, str]) -> str:
+    """Each channel with its bias, where the instrument can show it."""
+    shown = {c: f"{c} + {bias[c]}" for c in CHANNELS}
+    shown |= {"humidity": f"least(100.0, greatest(0.0, {shown['humidity']}))", "wind_speed": f"greatest(0.0, {shown['wind_speed']})"}
+    return ", ".join(f"{x} AS z_{c}, {bias[c]} AS tb_{c}, CASE WHEN hour(ts) = 12 AND minute(ts) = 0 THEN {c} END AS ref_{c}" for c, x in shown.items())
+
+
+CALM_DRIFT = "WITH " + calm(1440).lstrip() + f""" SELECT station_id, row_id, {each("round(z_{c}, 6) AS {c}, round(tb_{c}, 6) AS {c}_true_bias, round(ref_{c}, 6) AS {c}_reference")} FROM (SELECT *, {seen(_MULTI)} FROM g)"""
+EVALUATED = kalman(calm(1440) + f""",
+t AS (SELECT station_id, row_id, row_id + 1 AS rn, 5.0::DOUBLE AS dt, {each("{c} AS truth_{c}, z_{c} AS {c}, tb_{c}, ref_{c}")} FROM (SELECT *, {seen(_STEP)} FROM g))""", True) + ",\n" + "ev AS (" + " UNION ALL ".join(
+    f"SELECT ks.station_id, sensor, ks.rn, {c} AS z, v AS x, truth_{c} AS t, b, tb_{c} AS tb FROM ks JOIN t USING (station_id, rn) WHERE sensor = '{c}'" for c in CHANNELS) + """)
+SELECT station_id, sensor, round(raw_rmse, 4) AS raw_rmse, round(filtered_rmse, 4) AS filtered_rmse, round(bias_rmse, 4) AS bias_rmse, round(true_final_bias, 4) AS true_final_bias, round(estimated_final_bias, 4) AS estimated_final_bias,
+  round(100.0 * (raw_rmse - filtered_rmse) / nullif(raw_rmse, 0), 4) AS reduction_percent
+FROM (SELECT station_id, sensor, sqrt(avg((z - t) ** 2)) AS raw_rmse, sqrt(avg((x - t) ** 2)) AS filtered_rmse, sqrt(avg((b - tb) ** 2)) AS bias_rmse, arg_max(tb, rn) AS true_final_bias, arg_max(b, rn) AS estimated_final_bias FROM ev GROUP BY ALL)"""
 
 _COUNTED = {"temperature": "flag_temp_out_of_bounds", "pressure": "flag_pressure_out_of_bounds", "humidity": "flag_rh_out_of_bounds OR flag_dew_point_exceeds_temp", "wind_speed": "flag_wind_negative OR flag_wind_exceeds_extreme"}
 SUMMARY = " UNION ALL ".join(f"""SELECT station_id, '{c}' AS sensor, round(100.0::DOUBLE * avg((NOT (flag_{c}_missing OR flag_{c}_stat_anomaly OR {_COUNTED[c]}))::INT), 4) AS valid_percent, count(*) FILTER (WHERE flag_{c}_missing) AS missing,
@@ -209,7 +360,7 @@ DRIFT_AXIS = "FROM range(2016) AS t(row_id)"
 
 ORACLES: dict[str, str] = {
     "readings": f"WITH {R} SELECT station_id, row_id, {ALL} FROM r",
-    "thermo_derived": f"WITH {P} SELECT {KEYS}, round(es, 6) AS es, round(e, 6) AS e, round(td, 6) AS td, round(ah, 6) AS ah, round(temperature - td, 6) AS depression FROM p WHERE temperature > -100 OR temperature IS NULL",
+    "thermo_derived": f"WITH {P} SELECT {KEYS}, {digits('es')} AS es, {digits('e')} AS e, {digits('td')} AS td, {digits('ah')} AS ah, round(temperature - td, 6) AS depression FROM p",
     "physics_flags": f"WITH {P} SELECT {KEYS}, {', '.join(FLAGS)} FROM p",
     "physics_counts_by_station": f"WITH {P} " + " UNION ALL ".join(f"SELECT station_id, '{n}' AS name, count(*) FILTER (WHERE {c}) AS n FROM p GROUP BY station_id" for n, c in PHYSICS_COUNTS.items()),
     "missing_sentinel_flags": f"WITH {S} SELECT {KEYS}, {CELLS('missing')} FROM s",
@@ -223,12 +374,12 @@ ORACLES: dict[str, str] = {
     "channel_summary": f"WITH {S} {SUMMARY}",
     "statistical_counts": f"WITH {S} " + " UNION ALL ".join(f"SELECT station_id, '{n}' AS name, ({' + '.join(f'count(*) FILTER (WHERE flag_{c}_{k})' for c in CHANNELS)})::BIGINT AS n FROM s GROUP BY station_id" for n, k in STATISTICAL_COUNTS.items()),
     "overall_quality": f"WITH {S} SELECT station_id, count(*) AS total_records, round(100.0::DOUBLE * avg((NOT ({_GAPS}) AND NOT ({_ODD}))::INT), 4) AS valid_percent, round(100.0::DOUBLE * avg(({_GAPS})::INT), 4) AS missing_percent, round(100.0::DOUBLE * avg(({_ODD})::INT), 4) AS anomaly_percent, arg_min(row_id, rn) AS first_row, arg_max(row_id, rn) AS last_row FROM s GROUP BY station_id",
-    "incident_log": f"WITH {LOG} SELECT station_id, row_id, seq, sensor, category, rule FROM l",
-    "incident_topk": f"WITH {LOG} SELECT station_id, row_id, seq, sensor, category, rule FROM l ORDER BY ts, row_id, seq LIMIT 25",
-    "rule_violations": f"WITH {VIOLATIONS} SELECT station_id, row_id, row_number() OVER (PARTITION BY station_id, row_id ORDER BY ord) - 1 AS seq, rule_id, severity, alert_level, confidence, sensors, action AS recommended_action FROM x",
-    "fusion_rules_only": f"WITH {FUSED} SELECT {KEYS}, is_anomaly, anomaly_type, severity, confidence, affected_sensors, recommended_action FROM u",
+    "incident_log": f"WITH {LOG} SELECT station_id, row_id, seq, sensor, observed, category, rule, description FROM l",
+    "incident_topk": f"WITH {LOG} SELECT station_id, row_id, seq, sensor, observed, category, rule, description FROM l ORDER BY ts, row_id, seq LIMIT 25",
+    "rule_violations": f"WITH {VIOLATIONS} SELECT station_id, row_id, row_number() OVER (PARTITION BY station_id, row_id ORDER BY ord) - 1 AS seq, rule_id, rule_name, severity, alert_level, confidence, sensors, description, action AS recommended_action FROM x",
+    "fusion_rules_only": f"WITH {FUSED} SELECT {KEYS}, is_anomaly, anomaly_type, severity, confidence, affected_sensors, recommended_action, description FROM u",
     "alert_min_severity": f"WITH {FUSED} SELECT {KEYS}, anomaly_type, severity FROM u WHERE severity IN ('WARNING', 'CRITICAL')",
-    "alert_numbering": f"WITH {FUSED} SELECT {KEYS}, alert_seq, 'ALT-' || lpad(alert_seq::VARCHAR, greatest(4, length(alert_seq::VARCHAR))::INT, '0') AS alert_id FROM a",
+    "alert_numbering": f"WITH {FUSED} SELECT {KEYS}, alert_seq, {ALERT_ID} AS alert_id FROM a",
     "alert_severity_counts": f"WITH {FUSED} SELECT station_id, severity, count(*) AS n FROM a GROUP BY ALL",
     "alert_recurrence_72h": f"WITH {RECURRENCE} SELECT {KEYS}, alert_seq, earlier, historical_context FROM rc",
     "alert_search": f"WITH {RECURRENCE} SELECT {KEYS}, alert_seq, severity FROM rc WHERE severity = 'WARNING' AND contains(lower(anomaly_type || ' ' || recommended_action || ' ' || historical_context || ' ' || affected_sensors), 'anemometer')",
@@ -236,17 +387,17 @@ ORACLES: dict[str, str] = {
     "kalman_states": KALMAN + " SELECT station_id, sensor, rn, round(v, 5) AS true_value, round(r, 6) AS rate, round(b, 5) AS bias, round(sqrt(greatest(vv, 0)), 5) AS true_std, round(sqrt(greatest(bb, 0)), 5) AS bias_std, round(y, 5) AS innovation, round(fit, 5) AS post_fit FROM ks",
     "kalman_nis": KALMAN + " SELECT station_id, rn, round(sum(nis), 3) AS nis FROM ks GROUP BY ALL",
     "kalman_summary": KALMAN + " SELECT station_id, sensor, round(coalesce(avg(fit), 0), 5) AS residual_mean, round(coalesce(stddev_samp(fit), 0), 5) AS residual_std, round(coalesce(sqrt(avg(fit * fit)), 0), 5) AS residual_rmse, round(arg_max(b, rn), 5) AS final_bias FROM ks GROUP BY ALL",
-    "auto_correction_ci": f"WITH {R} SELECT {KEYS}, {', '.join(bands(c) for c in CHANNELS)} FROM r",
-    "health_metrics": f"WITH {HEALTH} SELECT station_id, sensor, total_expected, total_received, round(comp, 2) AS completeness_pct, round(noise, 3) AS noise_std, round(days, 1) AS days_since_calibration, calibration_status, anomaly_incidents, round(s1, 1) AS completeness_subscore, round(s2, 1) AS drift_subscore, round(s3, 1) AS noise_subscore, round(s4, 1) AS calibration_subscore, round(score, 1) AS health_score, CASE WHEN score >= 90 THEN 'EXCELLENT' WHEN score >= 75 THEN 'GOOD' WHEN score >= 60 THEN 'FAIR' WHEN score >= 40 THEN 'DEGRADED' ELSE 'CRITICAL' END AS health_grade, score < deg AS is_degraded, round(life, 1) AS predicted_rul_days, maintenance_status FROM h",
-    "maintenance_alerts": f"WITH {HEALTH} SELECT station_id, sensor, CASE maintenance_status WHEN 'URGENT_ACTION_REQUIRED' THEN 'URGENT' WHEN 'MAINTENANCE_DUE' THEN 'HIGH' ELSE 'MEDIUM' END AS urgency, round(score, 1) AS current_health_score, round(life, 1) AS predicted_rul_days FROM h WHERE maintenance_status <> 'NORMAL'",
+    "auto_correction_ci": f"WITH {R} SELECT {KEYS}, {', '.join(bands(c, c, '0.25::DOUBLE', '0.2::DOUBLE') for c in CHANNELS)} FROM r",
+    "health_metrics": f"WITH {HEALTH} {METRICS}",
+    "maintenance_alerts": f"WITH {HEALTH} {MAINTENANCE}",
     "health_noise_fallback": f"WITH {HEALTH} SELECT station_id, sensor, round(noise, 6) AS noise FROM h",
-    "station_average_health": f"WITH {HEALTH} SELECT station_id, round(avg(round(score, 1)), 1) AS average_health FROM h GROUP BY station_id",
+    "station_average_health": f"WITH {HEALTH} SELECT station_id, {near('avg(' + near('score', 1) + ')', 1)} AS average_health FROM h GROUP BY station_id",
     "iforest_features": f"WITH {POINT} SELECT {KEYS}, {', '.join(f'round({FILLED(c)}, 4) AS {c}' for c in GAPS)}, {each('round({c}_diff1, 4) AS {c}_diff1')}, round(temperature_diff2, 4) AS temperature_diff2, round(pressure_diff2, 4) AS pressure_diff2 FROM d3",
-    "sequence_windows": f"WITH {R}, w1 AS (SELECT station_id, row_id, rn, {each('coalesce(last_value({c} IGNORE NULLS) OVER (' + O + ' ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value({c} IGNORE NULLS) OVER (' + O + ' ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {c}')} FROM n) SELECT station_id, row_id, CASE WHEN rn >= 12 THEN round(sum({each('{c}', ' + ')}) OVER ({O} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 4) END AS window_sum FROM w1",
+    "sequence_windows": f"WITH {R}, w1 AS (SELECT station_id, row_id, rn, {each('coalesce(last_value({c} IGNORE NULLS) OVER (' + O + ' ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value({c} IGNORE NULLS) OVER (' + O + ' ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS {c}')} FROM n) SELECT station_id, row_id, CASE WHEN rn >= 12 THEN string_agg(printf('%.4f,%.4f,%.4f,%.4f', {ALL}), ',') OVER ({O} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) END AS \"window\" FROM w1",
     "drift_slope": f"WITH {R} SELECT station_id, round(regr_slope(temperature, k) / ((count(temperature) * 5.0 / 1440.0) / (count(temperature) - 1)), 5) AS drift FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY rn) AS k FROM n WHERE temperature IS NOT NULL) GROUP BY station_id",
     "live_buffer": f"WITH {R}, st AS (SELECT * FROM (VALUES (0, 100), (1, 150), (2, 80), (3, 120)) AS t(station_id, step)) SELECT station_id, row_id, rn, {ALL} FROM n JOIN st USING (station_id) WHERE rn BETWEEN step + 1 - 60 AND step + 1",
     "history_head": f"WITH {R} SELECT station_id, row_id, rn, {ALL} FROM n WHERE rn <= 300",
-    "station_overview": f"WITH {FUSED} SELECT n.station_id, count(*) AS readings, arg_max(row_id, rn) AS row_id, arg_max(coalesce(temperature, -12345), rn) AS temperature, arg_max(coalesce(wind_speed, -12345), rn) AS wind_speed, (SELECT count(*) FROM a WHERE a.station_id = n.station_id AND severity IN ('CRITICAL', 'WARNING')) AS active_alerts FROM n GROUP BY n.station_id",
+    "station_overview": f"WITH {FUSED}{HEALTH.removeprefix(S)}, c1 AS (SELECT * FROM (VALUES (0, 'AWS-01-ISRIKA1-Bheemili', 'OPERATIONAL'), (1, 'AWS-02-Pataparadesipalem Station', 'DEGRADED_SENSORS'), (2, 'AWS-03-Visakhapatnam', 'OPERATIONAL'), (3, 'AWS-04-IVISAK16', 'CALIBRATION_DUE')) AS t(station_id, code, status)) SELECT station_id, code, status, (SELECT count(*) FROM n WHERE n.station_id = c1.station_id) AS readings, n.row_id, {each('n.{c}')}, (SELECT {near('avg(' + near('score', 1) + ')', 1)} FROM h WHERE h.station_id = c1.station_id) AS average_health, (SELECT count(*) FROM a WHERE a.station_id = c1.station_id AND severity IN ('CRITICAL', 'WARNING')) AS active_alerts FROM c1 JOIN n USING (station_id) WHERE n.rn = (SELECT max(rn) FROM n m WHERE m.station_id = c1.station_id)",
     "station_agreement": f"WITH {P}, z AS (SELECT date_trunc('hour', ts) AS w, station_id, max(flag_wind_physics_violation::INT) AS hit FROM p GROUP BY ALL) SELECT epoch(w)::BIGINT AS window_start, count(*) AS stations, round(avg(hit), 4) AS agreement FROM z GROUP BY w",
     "inject_temp_spike": f"WITH {R} SELECT {KEYS}, CASE WHEN rn = 50 THEN temperature + 15 ELSE temperature END AS temperature_raw, CASE WHEN rn = 50 THEN temperature + 15 ELSE temperature END AS temperature_corrected, rn = 50 AS is_anomaly, CASE WHEN rn = 50 THEN 'WARNING' ELSE 'NORMAL' END AS anomaly_severity FROM n",
     "inject_rh_violation": f"WITH {R} SELECT {KEYS}, CASE WHEN rn = 50 THEN 122.0 ELSE humidity END AS humidity_raw, CASE WHEN rn = 50 THEN 122.0 ELSE humidity END AS humidity_corrected, rn = 50 AS is_anomaly, CASE WHEN rn = 50 THEN 'CRITICAL' ELSE 'NORMAL' END AS anomaly_severity FROM n",
@@ -255,8 +406,21 @@ ORACLES: dict[str, str] = {
     "drift_ramp": f"SELECT row_id, round(0.25 * row_id * 7.0 / 2015, 6)::DOUBLE AS temperature_true_bias, round(-0.40 * row_id * 7.0 / 2015, 6)::DOUBLE AS pressure_true_bias, round(0.80 * row_id * 7.0 / 2015, 6)::DOUBLE AS humidity_true_bias, round(0.15 * row_id * 7.0 / 2015, 6)::DOUBLE AS wind_speed_true_bias {DRIFT_AXIS}",
     "drift_step": f"SELECT row_id, CASE WHEN row_id >= 846 THEN 2.2 ELSE 0 END::DOUBLE AS temperature_true_bias, CASE WHEN row_id >= 846 THEN -3.0 ELSE 0 END::DOUBLE AS pressure_true_bias, CASE WHEN row_id >= 846 THEN 6.5 ELSE 0 END::DOUBLE AS humidity_true_bias, 0::DOUBLE AS wind_speed_true_bias {DRIFT_AXIS}",
     "stream_hourly_counts": f"WITH {P} SELECT epoch(date_trunc('hour', ts))::BIGINT AS window_start, station_id, count(*) AS readings, count(*) FILTER (WHERE flag_t_p_rh_physics_violation) AS thermo_violations, count(*) FILTER (WHERE flag_wind_physics_violation) AS wind_violations FROM p GROUP BY ALL",
+    "fusion_with_detectors": f"WITH {DETECTED} SELECT {KEYS}, is_anomaly, anomaly_type, severity, confidence, affected_sensors, recommended_action, description, {near('ic', 3)} AS iforest_conf, {near('lc', 3)} AS lstm_conf FROM u",
+    "alert_recurrence_over_log": f"WITH {RECURRENCE} SELECT {KEYS}, alert_seq, {ALERT_ID} AS alert_id, earlier, historical_context FROM rc WHERE day(ts) >= 16",
+    "kalman_with_references": CHECKED + " SELECT station_id, sensor, rn, round(v, 5) AS true_value, round(r, 6) AS rate, round(b, 5) AS bias, round(sqrt(greatest(vv, 0)), 5) AS true_std, round(sqrt(greatest(bb, 0)), 5) AS bias_std, round(y, 5) AS innovation, round(sum(nis) OVER (PARTITION BY station_id, rn), 3) AS nis FROM ks",
+    "kalman_intervals": KALMAN + " SELECT station_id, sensor, rn, round(v - 1.96 * sqrt(greatest(vv, 0)), 5) AS true_ci95_lower, round(v + 1.96 * sqrt(greatest(vv, 0)), 5) AS true_ci95_upper, round(b - 1.96 * sqrt(greatest(bb, 0)), 5) AS bias_ci95_lower, round(b + 1.96 * sqrt(greatest(bb, 0)), 5) AS bias_ci95_upper FROM ks",
+    "health_from_kalman": f"{KALMAN}{HEALTH_PLAN} {METRICS}",
+    "corrected_by_rules": f"{PLAN} SELECT station_id, row_id, epoch_us(ts) AS ts, {_COLUMNS}, is_anomaly, severity AS anomaly_severity, anomaly_type, confidence AS anomaly_confidence FROM w",
+    "alerts_by_rules": f"{recurring(PLAN)}{HEALTH_PLAN} SELECT rc.station_id, rc.row_id, alert_seq, {ALERT_ID} AS alert_id, epoch_us(rc.ts) AS ts, rc.anomaly_type, rc.severity, affected_sensors AS affected_parameters, {_SHOWN('raw')} AS raw_reading, {_SHOWN('corrected')} AS corrected_estimate, rc.confidence AS confidence_score, recommended_action, historical_context, health_grade AS sensor_health_grade FROM rc JOIN w ON w.station_id = rc.station_id AND w.row_id = rc.row_id JOIN h ON h.station_id = rc.station_id AND h.sensor = string_split(affected_sensors, ', ')[1]",
+    "synthetic_without_noise": FAULTY,
+    "synthetic_faults": FAULT_ROWS,
+    "drift_observed_without_noise": CALM_DRIFT,
+    "drift_evaluation_without_noise": EVALUATED,
     "stream_kalman": KALMAN + " SELECT station_id, sensor, rn, round(v, 4) AS true_value, round(b, 4) AS bias FROM ks",
 }
 for _how, _name in (("interpolate", "impute_linear"), ("ffill", "impute_ffill"), ("bfill", "impute_bfill"), ("forward", "impute_forward")):
     ORACLES[_name] = f"WITH {V}{fill('v', _how)} SELECT {KEYS}, {each('round(f_{c}, 6) AS {c}')} FROM f"
 ORACLES["cleaned_dataset"] = f"WITH {V}{fill('v', 'interpolate')} SELECT {KEYS}, {CLEANED} FROM f"
+_UNIFIED = ", ".join([*CHANNELS, *(f"{c}_cleaned" for c in CHANNELS), *FLAGS, *(f"flag_{c}_{k}" for c in CHANNELS for k in KINDS), *(f"is_valid_{c}" for c in CHANNELS)])
+ORACLES["unified_dataset"] = f"WITH {V}{fill('v', 'interpolate')} SELECT {KEYS}, epoch_us(ts) AS ts, {_UNIFIED}, {digits('es')} AS saturation_vapor_pressure_hpa, {digits('e')} AS actual_vapor_pressure_hpa, {digits('td')} AS dew_point_c, {digits('ah')} AS absolute_humidity_gm3, {each('is_valid_{c}', ' AND ')} AS is_all_valid FROM (SELECT *, {CLEANED} FROM f)"

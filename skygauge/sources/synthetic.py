@@ -14,6 +14,8 @@ from skygauge.plans import chunks
 
 @dataclass(frozen=True)
 class WeatherConfig:
+    """noise: a factor of all noise; at 0 the wind stays at its median and series are the same for any seed."""
+
     start: str = "2026-01-01 00:00:00"
     days: float = 7.0
     minutes: int = 5
@@ -27,6 +29,7 @@ class WeatherConfig:
     inject: bool = True
     seed: int = 42
     stations: int = 1
+    noise: float = 1.0
 
     @property
     def steps(self) -> int:
@@ -55,7 +58,11 @@ def _normal(seed: int, salt: int, sigma: float) -> Column:
     return sigma * F.sqrt(-2.0 * F.ln(even(0))) * F.cos(2.0 * F.pi() * even(1))
 
 
-def _even(seed: int, salt: int) -> Column:
+def _even(seed: int, salt: int, noise: float) -> Column:
+    return 0.5 + noise * (_uniform(seed, salt) - 0.5)
+
+
+def _uniform(seed: int, salt: int) -> Column:
     return (F.xxhash64(F.lit(seed), F.lit(salt), "station_id", "row_id").bitwiseAND(F.lit((1 << 52) - 1)) + 1) / float((1 << 52) + 2)
 
 
@@ -70,12 +77,12 @@ def weather(spark: SparkSession, config: WeatherConfig | None = None) -> DataFra
     config = config or WeatherConfig()
     df = axis(spark, config)
     h, d, pi, s = F.hour("ts") + F.minute("ts") / 60.0, F.col("row_id") * (config.minutes / 1440.0), F.pi(), config.seed
-    t = config.mean_temperature + config.daily_amplitude * F.cos((h - 14.0) * 2.0 * pi / 24.0) + 3.0 * F.sin(2.0 * pi * d / 3.5) + _normal(s, 1, 0.4)
-    p = config.mean_pressure + config.synoptic_amplitude * F.cos(2.0 * pi * d / 4.0) + 1.2 * F.sin(4.0 * pi * (h - 9.0) / 24.0) + _normal(s, 2, 0.15)
+    t = config.mean_temperature + config.daily_amplitude * F.cos((h - 14.0) * 2.0 * pi / 24.0) + 3.0 * F.sin(2.0 * pi * d / 3.5) + _normal(s, 1, 0.4 * config.noise)
+    p = config.mean_pressure + config.synoptic_amplitude * F.cos(2.0 * pi * d / 4.0) + 1.2 * F.sin(4.0 * pi * (h - 9.0) / 24.0) + _normal(s, 2, 0.15 * config.noise)
     df = df.withColumns({"temperature": t, "pressure": p})
-    td = F.least(config.mean_dew_point + 2.0 * F.sin(2.0 * pi * d / 2.0) + _normal(s, 3, 0.3), F.col("temperature") - 1.5)
-    rh = 100.0 * thermo.saturation_vapor_pressure(td) / thermo.saturation_vapor_pressure(F.col("temperature")) + _normal(s, 4, 0.5)
-    wind = config.wind_scale * F.pow(-F.ln(1.0 - _even(s, 5)), F.lit(1.0 / config.wind_shape)) * (1.0 + 0.4 * F.greatest(F.lit(0.0), F.sin((h - 8.0) * pi / 12.0)))
+    td = F.least(config.mean_dew_point + 2.0 * F.sin(2.0 * pi * d / 2.0) + _normal(s, 3, 0.3 * config.noise), F.col("temperature") - 1.5)
+    rh = 100.0 * thermo.saturation_vapor_pressure(td) / thermo.saturation_vapor_pressure(F.col("temperature")) + _normal(s, 4, 0.5 * config.noise)
+    wind = config.wind_scale * F.pow(-F.ln(1.0 - _even(s, 5, config.noise)), F.lit(1.0 / config.wind_shape)) * (1.0 + 0.4 * F.greatest(F.lit(0.0), F.sin((h - 8.0) * pi / 12.0)))
     df = df.withColumns({"humidity": thermo.clamp(rh, 10.0, 98.0), "wind_speed": thermo.clamp(wind, 0.0, 35.0)})
     return inject_faults(df, config.steps) if config.inject and config.steps > 200 else df
 
@@ -130,7 +137,7 @@ def biases(df: DataFrame, scenario: str, config: WeatherConfig) -> DataFrame:
     else:
         found = none
     if walks:
-        steps = {f"_{c}_walk": _normal(config.seed, 20 + i, walks[c]) for i, c in enumerate(CHANNELS) if c in walks}
+        steps = {f"_{c}_walk": _normal(config.seed, 20 + i, walks[c] * config.noise) for i, c in enumerate(CHANNELS) if c in walks}
         df = chunks.running_sums(chunks.in_chunks(df), steps).drop("rn", "chunk")
         found = found | {c: F.col(f"_{c}_walk") for c in walks}
     return df.withColumns({f"{c}_true_bias": found[c].cast("double") for c in CHANNELS}).drop(*(f"_{c}_walk" for c in walks))
@@ -141,7 +148,7 @@ def drift(spark: SparkSession, scenario: str = "linear_ramp", config: WeatherCon
     config = config or WeatherConfig(inject=False)
     truth = weather(spark, config)
     whole = biases(truth, scenario, config)
-    seen = {c: F.col(c) + F.col(f"{c}_true_bias") + _normal(config.seed, 10 + i, NOISE[c]) for i, c in enumerate(CHANNELS)}
+    seen = {c: F.col(c) + F.col(f"{c}_true_bias") + _normal(config.seed, 10 + i, NOISE[c] * config.noise) for i, c in enumerate(CHANNELS)}
     seen |= {"humidity": thermo.clamp(seen["humidity"], 0.0, 100.0), "wind_speed": thermo.at_least(seen["wind_speed"], 0.0)}
     keys, noon = ("station_id", "row_id", "ts"), (F.hour("ts") == 12) & (F.minute("ts") == 0)
     return {"true": truth, "observed": whole.select(*keys, *(seen[c].alias(c) for c in CHANNELS)), "biases": whole.select(*keys, *(f"{c}_true_bias" for c in CHANNELS)),
