@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from skygauge import render
 from skygauge.functions.config import CHANNELS, KalmanConfig
+from skygauge.functions.rounding import half_even
 from skygauge.operators import correction, features, health, iforest, injection, kalman, rules, sequence, serving
 from skygauge.plans import chunks, telemetry
+from skygauge.plans.scratch import stored
 from skygauge.sources import readings, synthetic
 from tests.test_quality_control import START, column, frame
 
@@ -75,10 +77,24 @@ def test_kalman_separates_bias_with_references(spark):
     assert by["temperature"].true_final_bias == pytest.approx(2.2) and by["temperature"].estimated_final_bias > 0.8
 
 
-def test_rules(spark):
-    df = frame(spark, [20.0, 20.0, -46.0], [1013.25, 1100.0, 1013.25], [120.0, 50.0, 50.0], [5.0, -5.0, 60.0])
-    out = [[v.rule_id for v in r.violations] for r in rules.violations(df).orderBy("row_id").collect()]
-    assert out == [["THERMO_TD_EXCEEDS_T", "THERMO_RH_OUT_OF_BOUNDS"], ["SPEC_WIND_NEGATIVE", "SPEC_PRESSURE_EXCEEDS_RANGE"], ["SPEC_WIND_EXCEEDS_RANGE", "SPEC_TEMP_EXCEEDS_RANGE"]]
+def test_rules_on_random_readings(spark):
+    rng = np.random.default_rng(17)
+    n = 300
+    t, p, rh, ws = ([None if rng.random() < 0.05 else float(rng.uniform(*span)) for _ in range(n)] for span in ((-60, 70), (5, 1150), (-20, 130), (-10, 70)))
+    rows = list(zip(t, p, rh, ws))
+    df = spark.createDataFrame([(0, i, START + timedelta(minutes=5 * i), *x) for i, x in enumerate(rows)], frame(spark, [1.0]).schema)
+    seen = set()
+    for r in rules.violations(df, statistical=False).collect():
+        a, b, c, d = rows[r.row_id]
+        es = None if a is None else 6.112 * np.exp(17.67 * a / (a + 243.5))
+        both = a is not None and c is not None
+        gamma = 17.67 * a / (243.5 + a) + np.log(min(max(c / 100, 1e-4), 1.5)) if both else None
+        expected = [("THERMO_TD_EXCEEDS_T", both and 243.5 * gamma / (17.67 - gamma) > a + 0.5), ("THERMO_VAPOR_EXCEEDS_PRESSURE", both and b is not None and es * max(c, 0) / 100 >= b),
+            ("THERMO_RH_OUT_OF_BOUNDS", both and (c < 0 or c > 105)), ("SPEC_WIND_NEGATIVE", d is not None and d < 0), ("SPEC_WIND_EXCEEDS_RANGE", d is not None and d > 50),
+            ("SPEC_TEMP_EXCEEDS_RANGE", a is not None and not -45 <= a <= 55), ("SPEC_PRESSURE_EXCEEDS_RANGE", b is not None and not 850 <= b <= 1080)]
+        assert [v.rule_id for v in r.violations] == [k for k, hit in expected if hit]
+        seen |= {k for k, hit in expected if hit}
+    assert len(seen) == 7
 
 
 def test_fusion_priorities(spark):
@@ -139,21 +155,87 @@ def test_autoencoder_baseline_is_of_all_sequences(spark):
     assert len(errors) == 389 and fitted.base_mean == pytest.approx(np.mean(errors)) and fitted.base_std == pytest.approx(np.std(errors))
 
 
-def test_correction_values(spark):
-    df = frame(spark, [25.0, None], humidity=[2.0, 102.0])
-    out = df.withColumns(correction.corrected_columns("temperature", F.col("temperature"), F.lit(1.5), F.lit(0.2)) | correction.corrected_columns("humidity", F.col("humidity"), F.when(F.col("row_id") == 0, 5.0).otherwise(-5.0), F.lit(None).cast("double"))).orderBy("row_id").collect()
-    assert (out[0].temperature_corrected, out[0].temperature_ci95_lower, out[0].temperature_ci95_upper, out[0].temperature_ci99_lower, out[0].temperature_ci99_upper) == (23.5, 23.11, 23.89, 22.98, 24.02)
-    assert out[1].temperature_corrected is None and out[0].humidity_corrected == 0.0 and out[1].humidity_corrected == 100.0 and out[0].humidity_uncertainty_std == 0.1
+def test_corrected_columns_of_random_readings(spark):
+    rng = np.random.default_rng(31)
+    n = 200
+    some = lambda low, high: [None if rng.random() < 0.1 else float(rng.uniform(low, high)) for _ in range(n)]
+    data = {c: (some(*span), some(-8, 8), some(0.05, 3)) for c, span in (("temperature", (-55, 65)), ("pressure", (790, 1110)), ("humidity", (-5, 108)), ("wind_speed", (-3, 60)))}
+    df = spark.createDataFrame([(i, *(data[c][k][i] for c in CHANNELS for k in range(3))) for i in range(n)], "row_id long, " + ", ".join(f"{c} double, {c}_b double, {c}_s double" for c in CHANNELS))
+    out = df
+    for c in CHANNELS:
+        out = out.withColumns(correction.corrected_columns(c, F.col(c), F.col(f"{c}_b"), F.col(f"{c}_s")))
+    held = {"temperature": (-50, 60), "pressure": (800, 1100), "humidity": (0, 100), "wind_speed": (0, np.inf)}
+    for r in out.orderBy("row_id").collect():
+        for c in CHANNELS:
+            raw, bias, sigma = (data[c][k][r.row_id] for k in range(3))
+            bias, sigma = 0.0 if bias is None else bias, 0.1 if sigma is None else sigma
+            value = None if raw is None else min(max(raw - bias, held[c][0]), held[c][1])
+            band = lambda x: min(max(x, held[c][0]), held[c][1]) if c in ("humidity", "wind_speed") else x  # noqa: B023, E731
+            expected = [None if value is None else np.round(x, 2) for x in ((value,) if value is None else (value, band(value - 1.96 * sigma), band(value + 1.96 * sigma), band(value - 2.576 * sigma), band(value + 2.576 * sigma)))]
+            found = [r[f"{c}_{k}"] for k in ("corrected", "ci95_lower", "ci95_upper", "ci99_lower", "ci99_upper")]
+            assert found == (expected if raw is not None else [None] * 5)
+            assert r[f"{c}_bias_est"] == np.round(bias, 3) and r[f"{c}_uncertainty_std"] == np.round(sigma, 3)
 
 
-def test_recurrence_messages(spark):
-    day = datetime(2026, 3, 1)
-    rows = [(0, 1, day + timedelta(hours=10), "A", ["temperature"]), (0, 2, day + timedelta(hours=12), "A", ["humidity"]), (0, 3, day + timedelta(hours=15), "A", ["wind_speed"]), (0, 4, day + timedelta(hours=16), "B", ["pressure"]), (0, 5, day + timedelta(days=9), "A", ["temperature"]), (0, 6, day + timedelta(days=9, hours=1), "C", ["temperature"])]
-    df = spark.createDataFrame(rows, "station_id int, row_id long, ts timestamp, anomaly_type string, sensors array<string>")
-    out = correction.recurrence(correction.number_alerts(df), 48).orderBy("alert_seq").collect()
-    assert [r.earlier for r in out] == [0, 1, 2, 0, 0, 1]
-    assert out[0].historical_context.startswith("First occurrence") and out[1].historical_context == "Similar event previously recorded at 03-01 10:00 (2nd occurrence)" and "Detected 3 times in past 48h" in out[2].historical_context
-    assert [r.alert_id for r in out][:2] == ["ALT-0001", "ALT-0002"]
+def test_ties_go_to_the_even_neighbour(spark):
+    values = [0.5, 1.5, 2.5, -0.5, -1.5, 0.125, 0.375, 2.675, None, -0.001]
+    out = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "row_id long, x double").withColumns({"none": half_even("x", 0), "two": half_even("x", 2)})
+    for digits, name in ((0, "none"), (2, "two")):
+        found = column(out, name)
+        assert found == [None if v is None else float(np.round(v, digits)) for v in values] and not any(str(v).startswith("-0.0") for v in found if v == 0)
+
+
+def brute_recurrence(rows, hours, log=()):
+    """rows and log: (station, row_id, ts, type, sensors); how many alike alerts came before each, and the last one's time."""
+    order = lambda r: (r[2], r[1])
+    out = {}
+    for r in rows:
+        timed = sorted((x for x in rows if x[2]), key=order)
+        before = [x for x in timed if x[0] == r[0] and order(x) < order(r)] if r[2] else []
+        before = [x for x in log if x[0] == r[0] and r[2] and x[2] <= r[2]] + before
+        alike = [x for x in before if x[2] >= r[2] - timedelta(hours=hours) and ((x[3] is not None and x[3] == r[3]) or set(x[4] or ()) & set(r[4] or ()))]
+        out[r[0], r[1]] = (len(alike), max((x[2] for x in alike), default=None))
+    return out
+
+
+@pytest.mark.parametrize("hours", [5, 72])
+def test_recurrence_against_brute_force(spark, hours):
+    rng = np.random.default_rng(hours)
+    day, kinds, names = datetime(2026, 5, 4), ["drift", "jump", "gap", None], [*CHANNELS]
+    make = lambda i, at: (int(rng.integers(0, 2)), i, at, kinds[rng.integers(4)], None if rng.random() < 0.05 else [str(x) for x in rng.choice(names, rng.integers(0, 3), replace=False)])
+    rows = [make(i, day + timedelta(minutes=int(rng.integers(0, 60 * 200)) // 7 * 7)) for i in range(150)] + [make(900, None), make(901, None)]
+    log = [make(1000 + i, day - timedelta(hours=int(rng.integers(1, 90)))) for i in range(40)]
+    schema = "station_id int, row_id long, ts timestamp, anomaly_type string, sensors array<string>"
+    known = stored(correction.number_alerts(spark.createDataFrame(log, schema)))
+    for history in (None, known):
+        numbered = stored(correction.number_alerts(spark.createDataFrame(rows, schema), history))
+        out = correction.recurrence(numbered, hours, history).collect()
+        expected = brute_recurrence(rows, hours, log if history is not None else ())
+        assert len(out) == len(rows)
+        for r in out:
+            n, last = expected[r.station_id, r.row_id]
+            text = correction.FIRST_TEXT if n == 0 else correction.SECOND_TEXT.format(time=f"{last:%m-%d %H:%M}") if n == 1 else correction.MORE_TEXT.format(n=n + 1, hours=hours)
+            assert (r.earlier, r.historical_context) == (n, text)
+        first = min(r.alert_seq for r in out if r.station_id == 0)
+        assert first == 1 + (sum(x[0] == 0 for x in log) if history is not None else 0) and all(r.alert_id == f"ALT-{r.alert_seq:04d}" for r in out)
+
+
+def test_exact_quantile(spark):
+    rng = np.random.default_rng(2)
+    for values in (rng.normal(-0.5, 0.1, 5000), np.repeat([-0.7, -0.3], 2500), np.full(3000, -0.25), rng.choice([-0.9, -0.1, -0.1000001], 4000), np.array([-0.5])):
+        df = spark.createDataFrame([(float(v),) for v in values], "x double")
+        for share in (0.04, 0.5, 0.0, 1.0):
+            assert iforest.quantile(df, "x", share, -1.0, 0.0, bins=16, few=50) == pytest.approx(np.quantile(values, share), abs=1e-12)
+
+
+def test_repeated_and_missing_keys_lose_no_reading(spark):
+    rows = [(0, 1, START, 20.0, 1000.0, 50.0, 3.0), (0, 1, START + timedelta(minutes=5), 20.5, 1000.0, 130.0, 3.0), (None, 2, START, 21.0, 1001.0, 51.0, -2.0), (None, None, START + timedelta(minutes=5), 21.0, 1001.0, 51.0, 2.0), (0, None, START + timedelta(minutes=9), None, None, None, None)]
+    df = spark.createDataFrame(rows, frame(spark, [1.0]).schema)
+    events = telemetry.detect(df, detectors=False)
+    key = lambda r: (str(r[0]), str(r[1]), r[2])
+    assert sorted(((r.station_id, r.row_id, r.ts) for r in events.collect()), key=key) == sorted(((r[0], r[1], r[2]) for r in rows), key=key)
+    out = telemetry.correct_and_alert(df, detectors=False)
+    assert out["corrected"].count() == 5 and out["alerts"].count() == 2 and out["tracked"].count() == 5
 
 
 def test_health_extremes(spark):

@@ -27,36 +27,82 @@ def column(df, name):
     return [r[name] for r in df.orderBy("row_id").collect()]
 
 
-def test_saturation_and_dew_point(spark):
-    df = spark.createDataFrame([(0.0, 100.0), (20.0, 50.0), (40.0, 100.0), (25.0, 100.0), (None, 50.0), (20.0, None)], "t double, rh double")
-    out = df.select(thermo.saturation_vapor_pressure(F.col("t")).alias("es"), thermo.dew_point(F.col("t"), F.col("rh")).alias("td"), thermo.vapor_pressure(F.col("t"), F.col("rh")).alias("e")).collect()
-    assert out[0].es == pytest.approx(6.112) and out[1].es == pytest.approx(23.37, abs=0.1) and out[2].es == pytest.approx(73.8, abs=0.5)
-    assert out[3].td == pytest.approx(25.0, abs=0.05) and out[1].td == pytest.approx(9.3, abs=0.5)
-    assert out[4].es is None and out[5].e is None and out[5].td is None
-
-
-def test_physics_flags(spark):
-    out = physics.check(frame(spark, [20.0, 25.0, 15.0, 75.0], [1013.25, 1013.25, 10.0, 1013.25], [50.0, 120.0, 60.0, 30.0], [5.0, -2.5, 48.0, 115.0]))
-    assert column(out, "flag_rh_out_of_bounds") == [False, True, False, False]
-    assert column(out, "flag_vapor_exceeds_pressure")[2] and column(out, "flag_temp_out_of_bounds")[3]
-    assert column(out, "flag_wind_negative") == [False, True, False, False]
-    assert column(out, "flag_wind_exceeds_typical")[3] and column(out, "flag_wind_exceeds_extreme")[3]
-    assert column(out, "flag_wind_physics_violation") == [False, True, False, True]
-    nulls = physics.check(frame(spark, [None, 20.0]))
-    assert all(v is not None for r in nulls.select(*physics.FLAGS).collect() for v in r)
-
-
-def test_missing(spark):
-    df = frame(spark, [15.0, -999.0, None, 22.0, -9999.0, 999.0, float("inf")])
-    assert column(df.withColumn("m", statistical.missing(F.col("temperature"), StatisticalThresholds().sentinels)), "m") == [False, True, True, False, True, True, True]
-
-
-def test_spike_and_stuck(spark):
-    out = statistical.check(frame(spark, [20.0, 20.2, 20.1, 35.0, 20.3, 20.2]))
-    assert column(out, "flag_temperature_spike")[3] and not column(out, "flag_temperature_spike")[1]
-    out = statistical.check(frame(spark, [20.0, 21.0, *[22.0] * 10, 23.0]), StatisticalThresholds(stuck_window=8))
-    stuck = column(out, "flag_temperature_stuck")
-    assert stuck[5] and stuck[9] and not stuck[0] and sum(stuck) == 10
+def grid(n=400, seed=12):
+    """Random readings well inside, at and far outside every limit, some of them missing."""
+    rng = np.random.default_rng(seed)
+    pick = lambda low, high, edges: [None if rng.random() < 0.06 else float(rng.choice(edges)) if rng.random() < 0.2 else float(rng.uniform(low, high)) for _ in range(n)]
+    return pick(-70, 80, [-50.0, -50.1, 60.0, 60.1, 0.0]), pick(5, 1200, [800.0, 799.9, 1090.0, 1090.1]), pick(-20, 140, [0.0, -0.1, 102.0, 102.1, 100.0]), pick(-10, 120, [0.0, -0.1, 50.0, 50.1, 90.0, 90.1])
+
+
+def magnus(t, rh):
+    """es, e and dew point in plain Python; None where an input is."""
+    es = None if t is None else 6.112 * np.exp(17.67 * t / (t + 243.5))
+    if t is None or rh is None:
+        return es, None, None
+    gamma = 17.67 * t / (243.5 + t) + np.log(min(max(rh / 100, 1e-4), 1.5))
+    return es, es * max(rh, 0.0) / 100, 243.5 * gamma / (17.67 - gamma)
+
+
+def test_thermodynamics_on_a_grid(spark):
+    t, _, rh, _ = grid()
+    df = spark.createDataFrame(list(zip(t, rh)), "t double, rh double")
+    out = df.select("t", "rh", thermo.saturation_vapor_pressure(F.col("t")).alias("es"), thermo.vapor_pressure(F.col("t"), F.col("rh")).alias("e"), thermo.dew_point(F.col("t"), F.col("rh")).alias("td")).collect()
+    for r in out:
+        for found, expected in zip((r.es, r.e, r.td), magnus(r.t, r.rh)):
+            assert (found is None) == (expected is None) and (found is None or found == pytest.approx(expected, rel=1e-9, abs=1e-9))
+        if r.t is not None and r.rh is not None and 1 <= r.rh <= 100:
+            assert r.td <= r.t + 1e-9 and 0 <= r.e <= r.es * (1 + 1e-12)  # air that isn't saturated has its dew point below it
+
+
+def test_physics_flags_on_a_grid(spark):
+    t, p, rh, ws = grid()
+    out = physics.check(frame(spark, t, p, rh, ws)).orderBy("row_id").collect()
+    less, more = lambda x, y: x is not None and y is not None and x < y, lambda x, y: x is not None and y is not None and x > y
+    seen = set()
+    for r, (a, b, c, d) in zip(out, zip(t, p, rh, ws)):
+        _, e, td = magnus(a, c)
+        ah = None if e is None else 216.7 * e / (a + 273.15)
+        expected = {
+            "flag_rh_out_of_bounds": less(c, 0) or more(c, 102), "flag_dew_point_exceeds_temp": a is not None and more(td, a + 0.5), "flag_vapor_exceeds_pressure": e is not None and b is not None and e >= b,
+            "flag_ah_unphysical": less(ah, 0) or more(ah, 60), "flag_temp_out_of_bounds": less(a, -50) or more(a, 60), "flag_pressure_out_of_bounds": less(b, 800) or more(b, 1090),
+            "flag_wind_negative": less(d, 0), "flag_wind_exceeds_typical": more(d, 50), "flag_wind_exceeds_extreme": more(d, 90)}
+        expected |= {"flag_t_p_rh_physics_violation": any(list(expected.values())[:6]), "flag_wind_physics_violation": less(d, 0) or more(d, 90)}
+        assert {k: r[k] for k in expected} == expected
+        seen |= {(k, v) for k, v in expected.items()}
+    assert len(seen) == 22  # every flag was up and down
+
+
+def test_what_counts_as_missing(spark):
+    limits = StatisticalThresholds()
+    rng = np.random.default_rng(5)
+    values = [None, float("inf"), float("-inf"), float("nan"), *limits.sentinels, *(s + 0.5 for s in limits.sentinels), *rng.normal(0, 500, 50).tolist()]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "row_id long, x double")
+    found = column(df.withColumn("m", statistical.missing(F.col("x"), limits.sentinels)), "m")
+    assert found == [v is None or not np.isfinite(v) or v in limits.sentinels for v in values] and sum(found) == 4 + len(limits.sentinels)
+
+
+def test_spikes_and_flatlines_on_random_walks(spark):
+    """Against loops over rows: steps from the neighbours, and windows without variance."""
+    rng = np.random.default_rng(21)
+    x = np.cumsum(rng.normal(0, 2.2, 300)).round(1)
+    for at in (40, 41, 120, 200):
+        x[at] += rng.choice([-1, 1]) * rng.uniform(4, 14)
+    for at, n in ((60, 7), (150, 9), (240, 30)):
+        x[at : at + n] = x[at]
+    values = [None if rng.random() < 0.03 else float(v) for v in x]
+    limits = StatisticalThresholds(stuck_window=8)
+    out = statistical.check(frame(spark, values), limits)
+    step = limits.max_step["temperature"]
+    spike, stuck = [], [False] * 300
+    for i, v in enumerate(values):
+        gap = lambda j: None if v is None or not 0 <= j < 300 or values[j] is None else abs(v - values[j])  # noqa: B023, E731
+        back, forth = gap(i - 1), gap(i + 1)
+        spike.append(back is not None and (back > 1.75 * step or (forth is not None and back > step and forth > step)))
+        window = values[max(0, i - 7) : i + 1]
+        if len(window) == 8 and None not in window and np.var(window, ddof=1) <= 1e-6:
+            stuck[i - 7 : i + 1] = [True] * 8
+    assert column(out, "flag_temperature_spike") == spike and column(out, "flag_temperature_stuck") == stuck
+    assert sum(spike) >= 2 and sum(stuck) > 30
 
 
 def noisy(n, seed=0):
