@@ -35,3 +35,22 @@ def agreement(df: DataFrame, flag: str, width: str = "1 hour") -> DataFrame:
     """By window of time, how many stations report and what share of them has a flagged reading."""
     by_station = df.groupBy(F.window("ts", width).alias("w"), "station_id").agg(F.max(F.col(flag).cast("int")).alias("hit"))
     return by_station.groupBy(F.col("w.start").alias("window_start")).agg(F.count("*").alias("stations"), F.round(F.avg("hit"), 4).alias("agreement"))
+
+
+def metrics(df: DataFrame, seconds: float, tracked: bool = True, forest: object = None, network: object = None) -> DataFrame:
+    """One row: how many readings were processed in the seconds, how fast, from how many stations, and which models are ready."""
+    ready = lambda model: F.lit("READY" if model is not None else "NOT_TRAINED")
+    n = F.col("total_inferences")
+    found = df.agg(F.count("*").alias("total_inferences"), F.count_distinct("station_id").alias("active_stations"))
+    return found.select(F.lit(round(seconds, 1)).alias("uptime_seconds"), "total_inferences", half_even(n / seconds, 1).alias("throughput_rps"), half_even(F.try_divide(F.lit(1000.0 * seconds), n), 3).alias("avg_latency_ms"),
+        F.lit("CONVERGED" if tracked else "IDLE").alias("kalman_filter_state"), ready(network).alias("lstm_model_status"), ready(forest).alias("iforest_model_status"), "active_stations")
+
+
+#: Scores from which a dashboard shows a sensor as good or fair, and the bias above which it is highlighted.
+GOOD, FAIR, NOTABLE_BIAS = 85.0, 60.0, 0.5
+
+
+def shaded(health: DataFrame) -> DataFrame:
+    """Health metrics with how a dashboard shows them: shade (good, fair, poor) and bias_highlighted."""
+    score = F.col("health_score")
+    return health.withColumns({"shade": F.when(score >= GOOD, "good").when(score >= FAIR, "fair").otherwise("poor"), "bias_highlighted": F.abs("current_bias") > NOTABLE_BIAS})

@@ -14,7 +14,7 @@ from skygauge.operators import clean, correction, features, health, iforest, inj
 from skygauge.plans import chunks, telemetry
 from skygauge.plans.oracles import ORACLES
 from skygauge.plans.scratch import folder, stored
-from skygauge.sources import readings, synthetic
+from skygauge.sources import readings, sinks, synthetic
 from skygauge.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -400,6 +400,25 @@ def station_agreement(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.unix_timestamp("window_start").alias("window_start"), "stations", "agreement")
 
 
+@query
+def service_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """As if the readings had been processed in ten seconds, without the learned detectors."""
+    return serving.metrics(readings.from_events(spark, d), 10.0)
+
+
+@query
+def health_shades(spark: SparkSession, d: str) -> DataFrame:
+    return serving.shaded(_health(spark, d)).select("station_id", "sensor", "health_score", "current_bias", "shade", "bias_highlighted")
+
+
+@query
+def tracking_export(spark: SparkSession, d: str) -> DataFrame:
+    """The tracking table of a drift experiment without noise."""
+    made = _calm_drift(spark, "step_jump")
+    found = sinks.tracking_table(kalman.track(made["observed"], made["references"]), made)
+    return found.select(*KEYS, F.unix_micros("timestamp").alias("timestamp"), *_rounded(5, *(c for c in found.columns if c not in (*KEYS, "timestamp", "nis"))), F.round("nis", 3).alias("nis"))
+
+
 def _injected(kind: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         c = injection.known(kind).channel

@@ -424,3 +424,11 @@ for _how, _name in (("interpolate", "impute_linear"), ("ffill", "impute_ffill"),
 ORACLES["cleaned_dataset"] = f"WITH {V}{fill('v', 'interpolate')} SELECT {KEYS}, {CLEANED} FROM f"
 _UNIFIED = ", ".join([*CHANNELS, *(f"{c}_cleaned" for c in CHANNELS), *FLAGS, *(f"flag_{c}_{k}" for c in CHANNELS for k in KINDS), *(f"is_valid_{c}" for c in CHANNELS)])
 ORACLES["unified_dataset"] = f"WITH {V}{fill('v', 'interpolate')} SELECT {KEYS}, epoch_us(ts) AS ts, {_UNIFIED}, {digits('es')} AS saturation_vapor_pressure_hpa, {digits('e')} AS actual_vapor_pressure_hpa, {digits('td')} AS dew_point_c, {digits('ah')} AS absolute_humidity_gm3, {each('is_valid_{c}', ' AND ')} AS is_all_valid FROM (SELECT *, {CLEANED} FROM f)"
+ORACLES["service_metrics"] = f"WITH {R} SELECT 10.0::DOUBLE AS uptime_seconds, count(*) AS total_inferences, {near('count(*) / 10.0::DOUBLE', 1)} AS throughput_rps, {near('10000.0::DOUBLE / count(*)', 3)} AS avg_latency_ms, 'CONVERGED' AS kalman_filter_state, 'NOT_TRAINED' AS lstm_model_status, 'NOT_TRAINED' AS iforest_model_status, count(DISTINCT station_id) AS active_stations FROM r"
+ORACLES["health_shades"] = f"WITH {HEALTH} SELECT station_id, sensor, {near('score', 1)} AS health_score, {near('bias', 3)} AS current_bias, CASE WHEN {near('score', 1)} >= 85 THEN 'good' WHEN {near('score', 1)} >= 60 THEN 'fair' ELSE 'poor' END AS shade, abs({near('bias', 3)}) > 0.5 AS bias_highlighted FROM h"
+_SIDE = {"true_ground_truth": "truth", "observed_drifted": "z", "true_estimated": "v", "bias_ground_truth": "tb", "bias_estimated": "b", "true_ci95_lower": "v - 1.96 * sqrt(greatest(vv, 0))", "true_ci95_upper": "v + 1.96 * sqrt(greatest(vv, 0))",
+    "bias_ci95_lower": "b - 1.96 * sqrt(greatest(bb, 0))", "bias_ci95_upper": "b + 1.96 * sqrt(greatest(bb, 0))", "innovation": "y", "post_fit_residual": "fit"}
+_FEW = ("true_ground_truth", "observed_drifted", "true_estimated", "bias_ground_truth", "bias_estimated", "post_fit_residual")
+_ROWS = " UNION ALL ".join(f"SELECT ks.*, {c} AS z, truth_{c} AS truth, tb_{c} AS tb FROM ks JOIN t USING (station_id, rn) WHERE sensor = '{c}'" for c in CHANNELS)
+ORACLES["tracking_export"] = EVALUATED[: EVALUATED.index("ev AS (")] + f"ex AS ({_ROWS}) SELECT station_id, rn - 1 AS row_id, any_value(1767225600000000 + (rn - 1) * 300000000) AS timestamp, " + ", ".join(
+    f"max(CASE WHEN sensor = '{c}' THEN round({x}, 5) END) AS {short}_{k}" for c, short in (("temperature", "temp"), ("pressure", "pres"), ("humidity", "rh"), ("wind_speed", "wind")) for k, x in _SIDE.items() if c == "temperature" or k in _FEW) + ", round(sum(nis), 3) AS nis FROM ex GROUP BY station_id, rn"

@@ -38,9 +38,12 @@ def quality_report(overall: DataFrame, channels: DataFrame, physics: DataFrame,
         f"## First {len(first)} incidents", markdown_table(first, ["ts", "sensor", "observed", "category", "rule", "description"])])
 
 
-def health_dashboard(metrics: DataFrame, station: int) -> str:
+def health_dashboard(metrics: DataFrame, station: int, text: bool = False) -> str:
     rows = [r.asDict() for r in metrics.where(F.col("station_id") == station).orderBy("ordinal").collect()]
     shown = [r | {"sensor": capitalised(r["sensor"]), "bar": bar(r["health_score"])} for r in rows]
+    if text:
+        return "\n".join(["SENSOR HEALTH", *(f"{r['sensor']:<12}{r['bar']} {r['health_score']:5.1f} {r['health_grade']:<10}bias {r['current_bias']:+.3f}  noise {r['noise_std']:.3f}  life {r['predicted_rul_days']:.1f} days  {r['maintenance_status']}" for r in shown),
+            *(f"  {r['sensor']}: {r['recommended_action']}" for r in shown if r["maintenance_status"] != "NORMAL")])
     table = markdown_table(shown, ["sensor", "instrument_model", "health_score", "bar", "health_grade", "completeness_pct", "current_bias", "noise_std", "calibration_status", "predicted_rul_days", "maintenance_status"])
     return "\n\n".join(["# Sensor health", table, *(f"- **{r['sensor']}**: {r['recommended_action']}" for r in shown)])
 

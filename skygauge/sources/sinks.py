@@ -39,3 +39,52 @@ def json_array(df: DataFrame) -> str:
 def to_parquet(df: DataFrame, path: str, mode: str = "overwrite", by: tuple[str, ...] = ()) -> None:
     """Parquet, in folders by the given columns: rows are dealt by them first, so that a folder has few files."""
     (df.repartition(*by).write.partitionBy(*by) if by else df.write).mode(mode).parquet(path)
+
+
+#: Short names of the channels in the tracking table, and what it has of each; the first channel has more.
+SHORT = {"temperature": "temp", "pressure": "pres", "humidity": "rh", "wind_speed": "wind"}
+TRACKED = ("true_ground_truth", "observed_drifted", "true_estimated", "bias_ground_truth", "bias_estimated", "post_fit_residual")
+TRACKED_MORE = ("true_ground_truth", "observed_drifted", "true_estimated", "true_ci95_lower", "true_ci95_upper", "bias_ground_truth", "bias_estimated", "bias_ci95_lower", "bias_ci95_upper", "innovation", "post_fit_residual")
+
+
+def tracking_table(tracked: DataFrame, experiment: dict[str, DataFrame]) -> DataFrame:
+    """Truth, observation and estimate of a drift experiment side by side, one row a reading, with station and row."""
+    from skygauge.operators.kalman import intervals
+
+    keys = ["station_id", "row_id"]
+    joined = intervals(tracked).join(experiment["true"].select(*keys, *(F.col(c).alias(f"{c}_truth") for c in SHORT)), keys).join(experiment["biases"].drop("ts"), keys)
+    columns = {"true_ground_truth": "truth", "observed_drifted": "observed", "true_estimated": "true", "bias_ground_truth": "true_bias", "bias_estimated": "bias"}
+    picked = [F.col(f"{c}_{columns.get(k, k)}").alias(f"{short}_{k}") for c, short in SHORT.items() for k in (TRACKED_MORE if c == "temperature" else TRACKED)]
+    return joined.select(*keys, F.col("ts").alias("timestamp"), *picked, "nis")
+
+
+def exports(frames: dict[str, DataFrame], folder: str, kind: str = "csv") -> list[str]:
+    """Each frame under its name in a folder, as csv, json or parquet; their paths."""
+    write = {"csv": to_csv, "json": to_json, "parquet": to_parquet}[kind]
+    for name, df in frames.items():
+        write(df, f"{folder}/{name}")
+    return [f"{folder}/{name}" for name in frames]
+
+
+def quality_exports(controlled: DataFrame) -> dict[str, DataFrame]:
+    """What quality control exports: raw and cleaned readings, flags, all of it, and the incident log."""
+    from skygauge.operators import clean, report
+
+    keys = ("station_id", "row_id", "ts")
+    whole = clean.unified(controlled)
+    channels = tuple(SHORT)
+    return {"raw": whole.select(*keys, *channels), "cleaned": whole.select(*keys, *(F.col(f"{c}_cleaned").alias(c) for c in channels)), "flags": whole.select(*keys, *(c for c in whole.columns if c.startswith(("flag_", "is_")))),
+        "full": whole, "incident_log": report.incidents(controlled)}
+
+
+def detection_exports(events: DataFrame) -> dict[str, DataFrame]:
+    """All fused events, and those that are anomalous."""
+    kept = events.drop("violations", "sensors", "lstm_errors")
+    return {"hybrid_results": kept, "hybrid_alerts": kept.where("is_anomaly")}
+
+
+def health_exports(metrics: DataFrame) -> dict[str, DataFrame]:
+    """Health metrics, and what needs doing."""
+    from skygauge.operators import health
+
+    return {"health_metrics": metrics, "maintenance_alerts": health.maintenance_alerts(metrics)}
