@@ -17,9 +17,10 @@ similarity are linked too. At 0.8 their fingerprints differ in about ten bits, w
 keys reach, so candidates are texts with a band of MinHash values in common: a pair at 0.8
 shares one of 20 bands of 6 with probability 0.998. In a bucket of up to BUCKET texts all pairs are
 candidates. In a larger one each text is first compared with LEADERS of them, which puts most of a group of
-near copies into one component; then all pairs that aren't in one component yet are candidates,
-those of the bucket's largest component with each other being settled. So no link between
-components is lost, and a bucket of one component takes linear work. Candidates are compared
+near copies into one component. The texts of buckets that hold several components then meet by their
+rarest shingles: two sets of that similarity must share one of the first |x| - similarity * |x| + 1 shingles in order
+of frequency, so a passage of very many texts brings none of them together, and only pairs of different components
+are candidates. So no link between components is lost. Candidates are compared
 exactly, by the hashes of their shingles.
 
 A text without words (empty or null) has fingerprint zero and links like any other. A null
@@ -38,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from skygauge.llm.common import materialize, schema, text_batches, utf8
 from skygauge.llm.components import components
@@ -171,19 +173,42 @@ def near_pairs(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     return left.join(right, ["key", "group"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)).select("a", "b").distinct()
 
 
-def similar(candidates: DataFrame, docs: DataFrame, text_col: str, similarity: float) -> DataFrame:
+def sets_of(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
+    """(u, set): the hashes of the shingles of the texts whose hash is in needed."""
+    wanted = docs.select(F.xxhash64(text_col).alias("u"), F.col(text_col).alias("text")).join(needed, "u", "left_semi").dropDuplicates(["u"])
+    return materialize(wanted.select("u", shingle_sets("text").alias("set")))
+
+
+def similar(candidates: DataFrame, docs: DataFrame, text_col: str, similarity: float, sets: DataFrame | None = None) -> DataFrame:
     """(ua, ub, a, b): hashes and fingerprints of the candidates (x, y: structs of u, fp and number of shingles) with that Jaccard similarity or more."""
     low, high = F.when(F.col("x.u") < F.col("y.u"), F.col("x")).otherwise(F.col("y")), F.when(F.col("x.u") < F.col("y.u"), F.col("y")).otherwise(F.col("x"))
     near = (F.col("x.fp") != F.col("y.fp")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n"))
     pairs = materialize(candidates.where(near).select(low["u"].alias("ua"), high["u"].alias("ub"), low["fp"].alias("a"), high["fp"].alias("b")).distinct())
-    needed = pairs.select(F.col("ua").alias("u")).union(pairs.select("ub")).distinct()
-    wanted = docs.select(F.xxhash64(text_col).alias("u"), F.col(text_col).alias("text")).join(needed, "u", "left_semi").dropDuplicates(["u"])
-    sets = materialize(wanted.select("u", shingle_sets("text").alias("set")))
+    if sets is None:
+        sets = sets_of(docs, text_col, pairs.select(F.col("ua").alias("u")).union(pairs.select("ub")).distinct())
     met = pairs.join(sets.select(F.col("u").alias("ua"), F.col("set").alias("sa")), "ua").join(sets.select(F.col("u").alias("ub"), F.col("set").alias("sb")), "ub")
     common = F.size(F.array_intersect("sa", "sb"))
     return materialize(met.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("ua", "ub", "a", "b"))
 
 
+def between_parts(rows: DataFrame, key: str) -> DataFrame:
+    """(x, y): pairs of rows (x, part) of one key that aren't of one part. The largest part of a key isn't paired with itself, nor are keys of one part."""
+    sizes = rows.groupBy(key, "part").agg(F.count("*").alias("n")).groupBy(F.col(key).alias("k")).agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
+    open_ = materialize(rows.join(sizes.where("parts > 1"), F.col(key) == F.col("k")).select(key, "x", "part", (F.col("part") == F.col("main")).alias("is_main")))
+    others, all_ = open_.where("NOT is_main").select(key, "x", "part"), open_.select(key, F.col("x").alias("y"), F.col("part").alias("other"))
+    return others.join(all_, key).where("part <> other").select("x", "y")
+
+
+def by_rare_shingles(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(x, y): pairs of texts (x, part) of different parts that share a shingle among their rarest, as any pair of that similarity does."""
+    tokens = texts.join(sets, F.col("x.u") == F.col("u")).select("x", "part", F.explode("set").alias("token"))
+    tokens = materialize(tokens)
+    counts = tokens.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("frequency"))
+    ranked = tokens.join(counts, F.col("token") == F.col("t")).withColumn("place", F.row_number().over(Window.partitionBy("x.u").orderBy("frequency", "token")))
+    first = ranked.where((F.col("place") <= F.col("x.n") - F.ceil(similarity * F.col("x.n") - 1e-9) + 1) & (F.col("frequency") > 1))
+    return between_parts(materialize(first.select("x", "part", "token")), "token")
+
+
 def similar_pairs(docs: DataFrame, prints: DataFrame, text_col: str, similarity: float, bucket: int = BUCKET) -> DataFrame:
     """(a, b), fingerprints of texts with that Jaccard similarity or more; prints has fp, sketch and u (a text's hash)."""
     texts = materialize(prints.where("sketch IS NOT NULL").select("u", "fp", "sketch").dropDuplicates(["u"]))
@@ -196,12 +221,12 @@ def similar_pairs(docs: DataFrame, prints: DataFrame, text_col: str, similarity:
     found = similar(among.union(large.select("x", F.explode("leaders").alias("y"))), docs, text_col, similarity)
     known = components(found, "ua", "ub")
     placed = materialize(large.join(known, F.col("x.u") == F.col("node"), "left").select("key", "x", F.coalesce("component", "x.u").alias("part")))
-    sizes = placed.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("k")).agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
-    open_ = materialize(placed.join(sizes.where("parts > 1"), F.col("key") == F.col("k")).select("key", "x", "part", (F.col("part") == F.col("main")).alias("is_main")))
-    if open_.isEmpty():
+    open_ = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
+    texts_left = materialize(placed.join(open_, "key", "left_semi").select("x", "part").distinct())
+    if texts_left.isEmpty():
         return found.select("a", "b")
-    others, all_ = open_.where("NOT is_main").select("key", "x", "part"), open_.select("key", F.col("x").alias("y"), F.col("part").alias("other"))
-    late = similar(others.join(all_, "key").where("part <> other").select("x", "y"), docs, text_col, similarity)
+    sets = sets_of(docs, text_col, texts_left.select("x.u"))
+    late = similar(by_rare_shingles(texts_left, sets, similarity), docs, text_col, similarity, sets)
     return found.union(late).select("a", "b")
 
 
