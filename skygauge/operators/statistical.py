@@ -49,9 +49,9 @@ def halo(limits: StatisticalThresholds) -> int:
     return max(2 * limits.window, 4 * limits.stuck_window, 2)
 
 
-def iqr_flags(df: DataFrame, limits: StatisticalThresholds, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
-    """df with the IQR flags. The fences are one row a station and join by size: broadcast if small."""
-    found = fences(df, limits, channels).withColumnRenamed("station_id", "_s").select("_s", *(f"{c}_{x}" for c in channels for x in ("lower", "upper")))
+def iqr_flags(df: DataFrame, limits: StatisticalThresholds, channels: tuple[str, ...] = CHANNELS, known: DataFrame | None = None) -> DataFrame:
+    """df with the IQR flags, by its own fences or known ones. They are one row a station and join by size: broadcast if small."""
+    found = (fences(df, limits, channels) if known is None else known).withColumnRenamed("station_id", "_s").select("_s", *(f"{c}_{x}" for c in channels for x in ("lower", "upper")))
     joined = df.join(found, F.col("station_id").eqNullSafe(F.col("_s")))
     flags = {flag(c, "iqr_outlier"): sure((present(c, limits) < F.col(f"{c}_lower")) | (present(c, limits) > F.col(f"{c}_upper"))) for c in channels}
     return joined.withColumns(flags).drop("_s", *(f"{c}_{x}" for c in channels for x in ("lower", "upper")))
@@ -89,10 +89,10 @@ def row_flags(df: DataFrame, limits: StatisticalThresholds, channels: tuple[str,
     return df.drop(*(f"_{c}{s}" for c in channels for s in ("", "_dev", "_scale", "_still")))
 
 
-def check(df: DataFrame, limits: StatisticalThresholds | None = None, channels: tuple[str, ...] = CHANNELS, chunk_rows: int = chunks.CHUNK_ROWS) -> DataFrame:
-    """df with rn, chunk and six flags a channel."""
+def check(df: DataFrame, limits: StatisticalThresholds | None = None, channels: tuple[str, ...] = CHANNELS, chunk_rows: int = chunks.CHUNK_ROWS, known: DataFrame | None = None) -> DataFrame:
+    """df with rn, chunk and six flags a channel. known: fences of a longer history, if df is a part of one."""
     limits = limits or StatisticalThresholds()
-    flagged = iqr_flags(chunks.numbered(df), limits, channels)
+    flagged = iqr_flags(chunks.numbered(df), limits, channels, known)
     reach = halo(limits)
     flagged = chunks.cores(row_flags(chunks.chunked(flagged, reach, max(chunk_rows, reach)), limits, channels))
     return flagged.withColumns({flag(c, "stat_anomaly"): any_of([F.col(flag(c, k)) for k in KINDS[1:5]]) & ~F.col(flag(c, "missing")) for c in channels})

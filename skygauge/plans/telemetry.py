@@ -21,16 +21,16 @@ class QualityConfig:
     cleaning: CleaningConfig = field(default_factory=CleaningConfig)
 
 
-def flagged(df: DataFrame, config: QualityConfig | None = None) -> DataFrame:
-    """Readings with derived quantities, all flags and validity."""
+def flagged(df: DataFrame, config: QualityConfig | None = None, fences: DataFrame | None = None) -> DataFrame:
+    """Readings with derived quantities, all flags and validity. fences: those of a longer history, if df is a part of one."""
     config = config or QualityConfig()
-    return clean.validity(statistical.check(physics.check(df, config.physics), config.statistical))
+    return clean.validity(statistical.check(physics.check(df, config.physics), config.statistical, known=fences))
 
 
-def quality_control(df: DataFrame, config: QualityConfig | None = None) -> DataFrame:
+def quality_control(df: DataFrame, config: QualityConfig | None = None, fences: DataFrame | None = None) -> DataFrame:
     """flagged() with the cleaned, imputed channels. The flags are stored, as gaps are looked up by chunk and then by row."""
     config = config or QualityConfig()
-    return clean.clean(stored(flagged(df, config)), config.cleaning)
+    return clean.clean(stored(flagged(df, config, fences)), config.cleaning)
 
 
 def keyed(df: DataFrame) -> DataFrame:

@@ -130,18 +130,26 @@ def recurrence_stream(alerts: DataFrame, hours: int = 72) -> DataFrame:
     return alerts.select("station_id", "row_id", "ts", "anomaly_type", "sensors").groupBy("station_id").transformWithStateInPandas(RecurrenceProcessor(hours), RECURRENCE, "Append", "None")
 
 
-def quality_batches(stored: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], back: str = "2 days") -> Callable[[DataFrame, int], None]:
+def quality_batches(stored: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], back: str = "2 days", fences: Callable[[], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: quality control of a batch's stations over the stored history from `back` before the
-    batch on. stored() gives all readings so far, the batch's among them; sink gets the flagged rows of that span."""
+    batch on. stored() gives all readings so far, the batch's among them; sink gets the flagged rows of that span.
+
+    IQR fences are those of the whole history: fences() reads them from a table that is kept up to date elsewhere
+    (statistical.fences() makes it); without it each batch makes them anew.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
+        from skygauge.functions.config import StatisticalThresholds
+        from skygauge.operators import statistical
         from skygauge.plans.telemetry import quality_control
 
         span = batch.agg(F.min("ts").alias("t")).first()["t"]
         if span is None:
             return
         stations = batch.select("station_id").distinct()
-        recent = stored().where(F.col("ts") >= F.lit(span) - F.expr(f"INTERVAL {back}")).join(stations, "station_id", "left_semi")
-        sink(quality_control(recent).where(F.col("ts") >= F.lit(span)), number)
+        own = stored().join(stations, "station_id", "left_semi")
+        known = fences() if fences else statistical.fences(own, StatisticalThresholds())
+        recent = own.where(F.col("ts") >= F.lit(span) - F.expr(f"INTERVAL {back}"))
+        sink(quality_control(recent, fences=known).where(F.col("ts") >= F.lit(span)), number)
 
     return run

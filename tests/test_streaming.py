@@ -5,7 +5,8 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from skygauge.operators import correction, kalman
+from skygauge.functions.config import StatisticalThresholds
+from skygauge.operators import correction, kalman, statistical
 from skygauge.plans import telemetry
 from skygauge.sources import synthetic
 from skygauge.streaming import live
@@ -46,13 +47,35 @@ def test_recurrence_state(spark, tmp_path):
     assert got == [r.historical_context for r in correction.recurrence(correction.number_alerts(alerts)).orderBy("row_id").collect()]
 
 
-def test_windows_duplicates_and_batches(spark, stored, tmp_path):
+def test_windows_and_sessions(spark, stored):
+    _, df = stored
+    counts = {(r.station_id, r.window_start): r.readings for r in live.windowed_counts(df, "2 hours").collect()}
+    assert len(counts) == 24 and set(counts.values()) == {12}
+    gap = df.where("row_id < 30 OR row_id >= 40")  # 100 minutes without a reading
+    spans = sorted((r.station_id, r.session_start, r.readings) for r in live.sessions(gap, "30 minutes").collect())
+    start = df.agg(F.min("ts")).first()[0]
+    assert spans == [(s, start + timedelta(minutes=m), n) for s in (0, 1) for m, n in ((0, 30), (400, 104))]
+
+
+def test_copies_within_the_delay_are_dropped(spark, tmp_path, stored):
+    _, df = stored
+    twice = df.withColumn("row_id", F.col("row_id") + 1000).where("row_id % 3 = 0")
+    df.union(twice).repartition(3).write.parquet(str(tmp_path / "twice"))
+    finish(live.without_duplicates(live.read_stream(spark, str(tmp_path / "twice"))).select("station_id", "ts"), tmp_path)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert twice.count() > 50 and out.count() == out.distinct().count() == 288
+
+
+def test_batches_flag_as_the_whole_history_does(spark, stored):
     path, df = stored
-    assert live.windowed_counts(df).agg(F.sum("readings")).first()[0] == 288
-    assert live.sessions(df).count() == 2
-    finish(live.without_duplicates(live.read_stream(spark, path)).select("station_id", "row_id"), tmp_path)
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 288
-    seen = []
-    run = live.quality_batches(lambda: spark.read.parquet(path), lambda out, n: seen.append(out.count()))
-    run(df.where("row_id >= 72"), 0)
-    assert seen == [144] and telemetry.quality_control(df).count() == 288
+    odd = df.withColumn("temperature", F.when(F.col("row_id") == 100, F.col("temperature") + 40).otherwise(F.col("temperature")))
+    whole = telemetry.quality_control(odd).where("row_id >= 72")
+    flags = [c for c in whole.columns if c.startswith(("flag_", "is_")) or c.endswith("_cleaned")]
+    expected = sorted(map(tuple, whole.select("station_id", "row_id", *flags).collect()))
+    table = statistical.fences(odd, StatisticalThresholds())
+    for fences in (None, lambda: table):
+        seen = []
+        run = live.quality_batches(lambda: odd, lambda out, n: seen.extend(out.select("station_id", "row_id", *flags).collect()), back="9 hours", fences=fences)
+        run(odd.where("row_id >= 72"), 0)
+        assert sorted(map(tuple, seen)) == expected and any(r.flag_temperature_iqr_outlier for r in seen)
+        run(odd.where("false"), 1)
