@@ -7,8 +7,10 @@ from the longest on, each goes into the fullest row that has room, which a segme
 the rooms finds in a logarithmic number of steps.
 
 Packing is done in blocks of about BLOCK_TOKENS ids, inside the partitions of the input, so
-nothing is shuffled and memory is bounded by a block (or by one longer document). A block's
-last rows may stay partly empty: under one in some hundreds of rows.
+nothing is shuffled and memory is bounded by a block (or by one longer document). Partitions of under BLOCK_BYTES of
+text are put together first, so that even a table of many small ones fills its blocks. A block's
+last rows may stay partly empty: under one in some hundreds of rows. Which documents share a block, and its number,
+follow the partitions: a table that is split otherwise gives other rows of the same documents.
 
 Null and empty texts have the end token alone. Ids may be null or repeated. Only the named
 columns are read. Equal lengths keep the order in which they came. An empty table gives no rows.
@@ -29,9 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skygauge.llm.bpe import ragged
-from skygauge.llm.common import exact_id, give_back, schema, text_batches
+from skygauge.llm.common import exact_id, give_back, parts_and_tasks, schema, text_batches
 
 BLOCK_TOKENS = 2_000_000
+BLOCK_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -146,6 +149,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     config = config or PackConfig()
     text_batches(docs.sparkSession)
     rows = docs.select(*exact_id(id_col), F.col(text_col).alias("text"))
+    rows = rows.coalesce(parts_and_tasks(rows, "text", BLOCK_BYTES, BLOCK_BYTES)[0])  # does nothing where there are fewer
     return rows.mapInPandas(lambda it: _pack(it, path, config), OUT)
 
 

@@ -105,3 +105,10 @@ def test_packed_rows_give_the_documents_back(spark, docs, tmp_path):
 
 def test_digest_is_of_little_endian_words():
     assert hashlib.sha256(np.array([1, 50256], "<u4").tobytes()).hexdigest() == hashlib.sha256(b"\x01\0\0\0\x50\xc4\0\0").hexdigest()
+
+
+def test_many_small_partitions_fill_their_rows(spark, docs):
+    rows = [(i, "some words of a text " * (1 + i % 40)) for i in range(600)]
+    out = packing.pack(docs(rows).repartition(60), tokenizer_path("byte_bpe_50k.tiktoken")).collect()
+    assert len({r.block for r in out}) == 1 and sum(r.n_tokens for r in out) / (2048 * len(out)) > 0.95
+    assert sorted(x for r in out for x in r.doc_ids) == list(range(600))
