@@ -181,7 +181,7 @@ def _by_chunk(batches: Iterator[pd.DataFrame], run: Callable[[list[pd.DataFrame]
     """run on lists of up to CHUNKS whole chunks of a partition that is sorted by chunk."""
     held: list[pd.DataFrame] = []
     whole: list[pd.DataFrame] = []
-    key = lambda f: (f["station_id"].iloc[0], f["chunk"].iloc[0])
+    key = lambda f: (None if pd.isna(f["station_id"].iloc[0]) else int(f["station_id"].iloc[0]), int(f["chunk"].iloc[0]))
     for batch in batches:
         for _, part in batch.groupby(["station_id", "chunk"], sort=False, dropna=False):
             if held and key(held[0]) != key(part):
@@ -260,8 +260,9 @@ def track(df: DataFrame, references: DataFrame | None = None, config: KalmanConf
     dealt = lambda rows: rows.repartition("station_id", "chunk").sortWithinPartitions("station_id", "chunk", "rn")
     elements = dealt(timed).mapInPandas(partial(_by_chunk, run=partial(_elements, config=config)), ELEMENTS)
     starts = elements.groupBy("station_id").applyInPandas(lambda found: _starts(found, config), STARTS)
-    # A chunk's start goes before its rows, with row number 0.
-    first = starts.select("station_id", "chunk", F.lit(0).cast("long").alias("rn"), "start")
+    # A chunk's start goes before its rows, with row number 0 (and an id, as pandas would round ids beside a null).
+    zero = F.lit(0).cast("long")
+    first = starts.select("station_id", zero.alias("row_id"), "chunk", zero.alias("rn"), "start")
     rows = timed.withColumn("rn", F.col("rn").cast("long")).unionByName(first, allowMissingColumns=True)
     return dealt(rows).mapInPandas(partial(_by_chunk, run=partial(_states, config=config)), OUTPUT)
 

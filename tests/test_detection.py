@@ -68,6 +68,17 @@ def test_kalman_equals_the_joint_filter(spark, chunk_rows):
     assert set(kalman.views(kalman.track(df))) == {"state", "bias", "residuals", "uncertainty"}
 
 
+def test_tracking_keeps_large_ids_and_stations_without_one(spark):
+    n, big = 60, (1 << 60) + 1
+    rows = [(s, big + i, START + timedelta(minutes=5 * i), 20.0 + i % 7, 1000.0, 50.0, 3.0) for s in (0, None) for i in range(n)]
+    df = spark.createDataFrame(rows, frame(spark, [1.0]).schema)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # chunks that span batches
+    out = kalman.track(df, chunk_rows=16).select("station_id", "row_id", "temperature_true").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    by = {(r.station_id, r.row_id): r.temperature_true for r in out}
+    assert set(by) == {(s, big + i) for s in (0, None) for i in range(n)} and all(by[0, big + i] == by[None, big + i] for i in range(n))
+
+
 def test_kalman_separates_bias_with_references(spark):
     config = synthetic.WeatherConfig(days=5, inject=False)
     made = synthetic.drift(spark, "step_jump", config)
