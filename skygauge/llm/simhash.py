@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from skygauge.llm.common import materialize, schema, text_batches, utf8
+from skygauge.llm.common import materialize, text_batches, utf8
 from skygauge.llm.components import components
 
 SHINGLE = 3

@@ -5,7 +5,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from skygauge.llm import embdedup, linededup, suffixdedup
 

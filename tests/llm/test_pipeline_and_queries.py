@@ -1,14 +1,18 @@
 """The registered queries, and the pipeline against its stages in plain Python."""
 
 import hashlib
+import re
+from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
+import tokenizers
 
 import corpus_pipeline
-from skygauge.llm.queries import ORACLES, QUERIES
+from skygauge.llm.queries import ORACLES, QUERIES, tokenizer_path
 from tests.llm.test_dedup import brute_substrings
+from tests.llm.test_mixing_and_chat import brute_targets
 from tests.llm.test_simhash import brute_components
 
 SF = "/root/testdata/sf0.001"
@@ -47,15 +51,31 @@ def test_stages_take_effect(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{i}")
         assert docs.columns == columns
         seen.append([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+        if i == 2:
+            sources = {r.doc_id: r.source for r in docs.collect()}
     good, distinct, cut, mixed = seen
     kept = {r.doc_id for r in QUERIES["op4_quality_rules"](spark, SF).where("kept").collect()}
     assert {d for d, _ in good} == kept
     assert {d for d, _ in distinct} == {c for *_, c in brute_components(good)}
     expected = {d: k.decode("utf-8", "ignore") for d, n, gone, _, k in brute_substrings(distinct) if k or not gone}
     assert dict(cut) == expected
-    assert {d for d, _ in mixed} <= set(expected) and len(mixed) > 0.5 * len(cut)
-    last = corpus_pipeline.run(spark, SF)
-    assert sorted(r.doc_id for r in last.collect()) == sorted(d for d, _ in mixed)
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes, taken = Counter(), Counter()
+    for d, t in cut:
+        sizes[sources[d]] += words(t)
+    for d, t in mixed:
+        assert expected[d] == t
+        taken[sources[d]] += words(t)
+    target = brute_targets(sizes)
+    assert set(taken) == set(sizes) and max(Counter(d for d, _ in mixed).values()) <= 3
+    for source in sizes:  # in a few dozen documents the longest ones don't divide evenly
+        assert taken[source] == pytest.approx(target[source], abs=0.02 * target[source] + max(words(t) for d, t in cut if sources[d] == source) / 2)
+    library = tokenizers.Tokenizer.from_file(tokenizer_path())
+    coded = []
+    for d, t in mixed:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        coded.append((d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == sorted(coded)
 
 
 def test_line_dedup_query_removes_short_lines_too(spark, tmp_path):
