@@ -191,22 +191,24 @@ def similar(candidates: DataFrame, docs: DataFrame, text_col: str, similarity: f
     return materialize(met.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("ua", "ub", "a", "b"))
 
 
-def between_parts(rows: DataFrame, key: str) -> DataFrame:
-    """(x, y): pairs of rows (x, part) of one key that aren't of one part. The largest part of a key isn't paired with itself, nor are keys of one part."""
-    sizes = rows.groupBy(key, "part").agg(F.count("*").alias("n")).groupBy(F.col(key).alias("k")).agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
-    open_ = materialize(rows.join(sizes.where("parts > 1"), F.col(key) == F.col("k")).select(key, "x", "part", (F.col("part") == F.col("main")).alias("is_main")))
-    others, all_ = open_.where("NOT is_main").select(key, "x", "part"), open_.select(key, F.col("x").alias("y"), F.col("part").alias("other"))
-    return others.join(all_, key).where("part <> other").select("x", "y")
-
-
 def by_rare_shingles(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(x, y): pairs of texts (x, part) of different parts that share a shingle among their rarest, as any pair of that similarity does."""
-    tokens = texts.join(sets, F.col("x.u") == F.col("u")).select("x", "part", F.explode("set").alias("token"))
-    tokens = materialize(tokens)
+    """(x, y): pairs of texts (x, part) of different parts that share one of their rarest shingles, early enough in both that the rest
+    could still make up that similarity, as any pair that has it does at the first shingle it shares.
+
+    The largest part of a shingle isn't paired with itself, nor are shingles of one part.
+    """
+    tokens = materialize(texts.join(sets, F.col("x.u") == F.col("u")).select("x", "part", F.explode("set").alias("token")))
     counts = tokens.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("frequency"))
     ranked = tokens.join(counts, F.col("token") == F.col("t")).withColumn("place", F.row_number().over(Window.partitionBy("x.u").orderBy("frequency", "token")))
     first = ranked.where((F.col("place") <= F.col("x.n") - F.ceil(similarity * F.col("x.n") - 1e-9) + 1) & (F.col("frequency") > 1))
-    return between_parts(materialize(first.select("x", "part", "token")), "token")
+    rows = materialize(first.select("x", "part", "token", (F.col("x.n") - F.col("place") + 1).alias("rest")))
+    sizes = rows.groupBy("token", "part").agg(F.count("*").alias("n")).groupBy(F.col("token").alias("k")).agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
+    open_ = materialize(rows.join(sizes.where("parts > 1"), F.col("token") == F.col("k")).select("token", "x", "part", "rest", (F.col("part") == F.col("main")).alias("is_main")))
+    others = open_.where("NOT is_main").select("token", "x", "part", "rest")
+    all_ = open_.select("token", F.col("x").alias("y"), F.col("part").alias("other"), F.col("rest").alias("rest_of_y"), "is_main")
+    needed = F.ceil(similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+    once = F.col("is_main") | (F.col("x.u") < F.col("y.u"))  # two that aren't of the largest part meet from both sides
+    return others.join(all_, "token").where((F.col("part") != F.col("other")) & once & (F.least("rest", "rest_of_y") >= needed)).select("x", "y")
 
 
 def similar_pairs(docs: DataFrame, prints: DataFrame, text_col: str, similarity: float, bucket: int = BUCKET) -> DataFrame:
