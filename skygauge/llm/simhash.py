@@ -15,10 +15,11 @@ fingerprints is compared as one. Components are those of the graph of fingerprin
 Where a similarity is asked for, texts whose sets of five-word shingles have that Jaccard
 similarity are linked too. At 0.8 their fingerprints differ in about ten bits, which no such
 keys reach, so candidates are texts with a band of MinHash values in common: a pair at 0.8
-shares one of 20 bands of 6 with probability 0.998. In a bucket of up to BUCKET texts all pairs are
+shares one of 20 bands of 6 with probability 0.998. Texts with the same set of shingles (copies but for white space and case, say)
+are linked by its digest, and one of them stands for all. Only texts of different components are compared. In a bucket of up to BUCKET texts all such pairs are
 candidates. In a larger one each text is first compared with LEADERS of them, which puts most of a group of
-near copies into one component. The texts of buckets that hold several components then meet by their
-rarest shingles: two sets of that similarity must share one of the first |x| - similarity * |x| + 1 shingles in order
+near copies into one component. The texts of buckets that still hold several components then meet by their
+rarest shingles (of which one task sorts those of one text): two sets of that similarity must share one of the first |x| - similarity * |x| + 1 shingles in order
 of frequency, so a passage of very many texts brings none of them together, and only pairs of different components
 are candidates. So no link between components is lost. Candidates are compared
 exactly, by the hashes of their shingles.
@@ -99,14 +100,14 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def sketch(text: str | None) -> np.ndarray | None:
-    """The number of distinct shingles and the key of each band; None for a text without words."""
+    """The number of distinct shingles, the key of each band and a digest of the whole set; None for a text without words."""
     hashes = shingle_set(text)
     if not len(hashes):
         return None
     factors, shifts = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
     least = np.min([(hashes[at : at + 2048, None] * (factors | np.uint64(1)) + shifts).min(axis=0) for at in range(0, len(hashes), 2048)], axis=0)
     keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array([len(hashes), *keys], np.uint64).astype(np.int64)
+    return np.array([len(hashes), *keys, xxhash.xxh64_intdigest(hashes.tobytes(), SEED)], np.uint64).astype(np.int64)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -180,15 +181,15 @@ def sets_of(docs: DataFrame, text_col: str, needed: DataFrame) -> DataFrame:
 
 
 def similar(candidates: DataFrame, docs: DataFrame, text_col: str, similarity: float, sets: DataFrame | None = None) -> DataFrame:
-    """(ua, ub, a, b): hashes and fingerprints of the candidates (x, y: structs of u, fp and number of shingles) with that Jaccard similarity or more."""
+    """(a, b): fingerprints of the candidates (x, y: structs of u, fp and number of shingles) with that Jaccard similarity or more."""
     low, high = F.when(F.col("x.u") < F.col("y.u"), F.col("x")).otherwise(F.col("y")), F.when(F.col("x.u") < F.col("y.u"), F.col("y")).otherwise(F.col("x"))
-    near = (F.col("x.fp") != F.col("y.fp")) & (F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n"))
+    near = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")
     pairs = materialize(candidates.where(near).select(low["u"].alias("ua"), high["u"].alias("ub"), low["fp"].alias("a"), high["fp"].alias("b")).distinct())
     if sets is None:
         sets = sets_of(docs, text_col, pairs.select(F.col("ua").alias("u")).union(pairs.select("ub")).distinct())
     met = pairs.join(sets.select(F.col("u").alias("ua"), F.col("set").alias("sa")), "ua").join(sets.select(F.col("u").alias("ub"), F.col("set").alias("sb")), "ub")
     common = F.size(F.array_intersect("sa", "sb"))
-    return materialize(met.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("ua", "ub", "a", "b"))
+    return materialize(met.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
 
 def by_rare_shingles(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -211,25 +212,42 @@ def by_rare_shingles(texts: DataFrame, sets: DataFrame, similarity: float) -> Da
     return others.join(all_, "token").where((F.col("part") != F.col("other")) & once & (F.least("rest", "rest_of_y") >= needed)).select("x", "y")
 
 
-def similar_pairs(docs: DataFrame, prints: DataFrame, text_col: str, similarity: float, bucket: int = BUCKET) -> DataFrame:
-    """(a, b), fingerprints of texts with that Jaccard similarity or more; prints has fp, sketch and u (a text's hash)."""
-    texts = materialize(prints.where("sketch IS NOT NULL").select("u", "fp", "sketch").dropDuplicates(["u"]))
-    members = texts.select(F.struct("u", "fp", F.element_at("sketch", 1).alias("n")).alias("x"), F.explode(F.slice("sketch", 2, BANDS)).alias("key"))
-    leaders = F.array(*(F.min(F.struct(F.xxhash64("x.u", F.lit(j)).alias("h"), "x"))["x"] for j in range(LEADERS)))
-    buckets = materialize(members.groupBy("key").agg(F.count("*").alias("size"), leaders.alias("leaders")).where("size > 1"))
-    shared = materialize(members.join(buckets, "key"))
-    small, large = shared.where(F.col("size") <= bucket).select("key", "x"), shared.where(F.col("size") > bucket)
-    among = small.join(small.withColumnRenamed("x", "y"), "key").where("x.u < y.u").select("x", "y")
-    found = similar(among.union(large.select("x", F.explode("leaders").alias("y"))), docs, text_col, similarity)
-    known = components(found, "ua", "ub")
-    placed = materialize(large.join(known, F.col("x.u") == F.col("node"), "left").select("key", "x", F.coalesce("component", "x.u").alias("part")))
-    open_ = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("key")
-    texts_left = materialize(placed.join(open_, "key", "left_semi").select("x", "part").distinct())
-    if texts_left.isEmpty():
-        return found.select("a", "b")
-    sets = sets_of(docs, text_col, texts_left.select("x.u"))
-    late = similar(by_rare_shingles(texts_left, sets, similarity), docs, text_col, similarity, sets)
-    return found.union(late).select("a", "b")
+def placed(texts: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts (x: a struct with fp) with their part, the component of their fingerprint by these edges; and the edges, as stars."""
+    stars = materialize(components(edges))
+    parts = texts.join(stars, F.col("x.fp") == F.col("node"), "left").withColumn("part", F.coalesce("component", "x.fp")).drop("node", "component")
+    return materialize(parts), stars.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def open_buckets(texts: DataFrame) -> DataFrame:
+    """(key, size, leaders) of the buckets whose texts (x, part, bands) are of several parts."""
+    members = texts.select("x", "part", F.explode("bands").alias("key"))
+    leaders = F.array(*(F.min(F.struct(F.xxhash64("x.u", F.lit(j)).alias("h"), F.col("x").alias("y"), F.col("part").alias("other"))) for j in range(LEADERS)))
+    return materialize(members.groupBy("key").agg(F.count("*").alias("size"), leaders.alias("leaders"), F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("key", "size", "leaders"))
+
+
+def similar_pairs(docs: DataFrame, prints: DataFrame, text_col: str, similarity: float, bucket: int = BUCKET, linked: DataFrame | None = None) -> DataFrame:
+    """(a, b), fingerprints of texts with that Jaccard similarity or more; prints has fp, sketch and u (a text's hash).
+
+    Of the texts with one set of shingles, however many and of whatever spacing and case, one is compared. linked: (a, b) of
+    fingerprints that are linked otherwise. Texts that links make one component already aren't compared, so together with linked the result gives
+    the same components as all pairs.
+    """
+    shown = materialize(prints.where("sketch IS NOT NULL").select("fp", "u", F.element_at("sketch", -1).alias("same"), F.element_at("sketch", 1).alias("n"), F.slice("sketch", 2, BANDS).alias("bands")))
+    one = materialize(shown.groupBy("same").agg(F.min_by(F.struct("u", "fp", "n"), "u").alias("x"), F.any_value("bands").alias("bands")))
+    edges = shown.select("fp", "same").distinct().join(one, "same").where("fp <> x.fp").select(F.col("fp").alias("a"), F.col("x.fp").alias("b"))
+    texts, stars = placed(one.drop("same"), edges if linked is None else edges.union(linked))
+    shared = materialize(texts.select("x", "part", F.explode("bands").alias("key")).join(open_buckets(texts), "key"))
+    small, large = shared.where(F.col("size") <= bucket).select("key", "x", "part"), shared.where(F.col("size") > bucket)
+    among = small.join(small.select("key", F.col("x").alias("y"), F.col("part").alias("other")), "key").where("x.u < y.u AND part <> other").select("x", "y")
+    led = large.select("x", "part", F.inline("leaders")).where("part <> other").select("x", "y")
+    texts, stars = placed(texts.drop("part"), stars.union(similar(among.union(led), docs, text_col, similarity)))
+    crowded = open_buckets(texts).where(F.col("size") > bucket).select("key")
+    late = materialize(texts.select("x", "part", F.explode("bands").alias("key")).join(crowded, "key", "left_semi").select("x", "part").distinct())
+    if late.isEmpty():
+        return stars
+    sets = sets_of(docs, text_col, late.select("x.u"))
+    return stars.union(similar(by_rare_shingles(late, sets, similarity), docs, text_col, similarity, sets))
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float | None) -> DataFrame:
@@ -238,7 +256,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float | No
     more = [] if similarity is None else [sketches(F.col(text_col)).alias("sketch")]
     prints = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("u"), fingerprints(F.col(text_col)).alias("fp"), *more))
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    pairs = near_pairs(nodes) if similarity is None else near_pairs(nodes).union(similar_pairs(docs, prints, text_col, similarity))
+    pairs = near_pairs(nodes)
+    if similarity is not None:
+        pairs = similar_pairs(docs, prints, text_col, similarity, linked=materialize(pairs))
     members = components(pairs).withColumnRenamed("node", "fp")
     grouped = nodes.join(members, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     grouped = materialize(grouped)

@@ -158,3 +158,19 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200), (None, 5)]
     out = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {out[i] for i in range(41)} == {0} and {out[i] for i in range(100, 160)} == {100} and out[201] == 200 and len(out) == 41 + 60 + 2
+
+
+def test_variants_of_one_text_are_compared_once(spark, docs, monkeypatch):
+    """Texts that differ in white space or case alone have one set of shingles: candidates don't grow with them."""
+    rng, made = random.Random(5), []
+    words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    other = [*words[:60], "other", *words[61:]]
+    rows = [(i, (" " * (1 + i)).join(words if i % 2 else [w.upper() for w in words])) for i in range(2000)] + [(5000 + i, (" " * (1 + i)).join(other)) for i in range(50)]
+    compare = simhash.similar
+
+    def counted(candidates, *rest):
+        made.append(candidates.count())
+        return compare(candidates, *rest)
+
+    monkeypatch.setattr(simhash, "similar", counted)
+    assert {r.doc_id for r in simhash.keep_first(docs(rows), similarity=0.8).collect()} == {0} and sum(made) < 100
