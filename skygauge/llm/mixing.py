@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skygauge.llm.carry import row_hash
 from skygauge.llm.common import exact_id, materialize, schema, word_count
 
 
@@ -160,9 +161,9 @@ def repeat_rows(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> Da
     mixed has a row for each document by its id. Documents that share an id share its copies
     evenly; a hash of the row settles what doesn't divide.
     """
-    copies = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_same"))
-    each = copies["_copies"] / copies["_same"]
-    drawn = F.xxhash64(*(docs[c] for c in docs.columns)).bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
-    own = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
-    joined = docs.join(copies, docs[id_col].eqNullSafe(copies["_id"])).select(own, F.floor(each + drawn).cast("int").alias("_take"))
-    return joined.where("_take > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_take")))).select("_row.*")
+    copies = mixed.groupBy(F.col("doc_id").alias("id")).agg(F.sum("copies").alias("copies"), F.count("*").alias("same"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    each = F.col("copies") / F.col("same")
+    drawn = row_hash(docs, "row").bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
+    taken = own.join(copies, F.col("row")[id_col].eqNullSafe(F.col("id"))).select("row", F.floor(each + drawn).cast("int").alias("take"))
+    return taken.where("take > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("take")))).select("row.*")

@@ -44,6 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skygauge.llm.carry import packed, unpacked
 from skygauge.llm.common import exact_id, give_back, materialize, parts_and_tasks, schema, text_batches, utf8
 
 LENGTH = 50
@@ -486,20 +487,16 @@ def _pair(run):  # noqa: ANN001, ANN202
     return wrapped
 
 
-#: Of carried columns as JSON: times with all their digits.
-JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), as_text: bool = False, stable: bool = False, limits: SuffixLimits | None = None) -> DataFrame:
     """doc_id, extra, n_bytes, starts and ends of removed spans, and kept bytes of each document.
 
-    extra holds the columns named in carry as a JSON object, or null. as_text: what is kept
+    extra holds the columns named in carry as one text (see carry.packed), or null. as_text: what is kept
     as a text, without characters that a cut has parted. stable: docs gives the same rows in the same
     order whenever it is read, as a scan of files does.
     """
     limits = limits or SuffixLimits()
     text_batches(docs.sparkSession)
-    extra = F.to_json(F.struct(*(F.col(f"`{c}`") for c in carry)), JSON) if carry else F.lit(None).cast("string")
+    extra = packed(docs, list(carry)) if carry else F.lit(None).cast("string")
     rows = docs.select(*exact_id(id_col), extra.alias("extra"), F.col(text_col).alias("text"))
     rows = rows if stable else materialize(rows)
     parts, tasks = parts_and_tasks(rows, "text", limits.part_bytes, limits.task_bytes)
@@ -538,8 +535,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     others = [c for c in docs.columns if c != text_col]
     cut = remove_repeats(docs, id_col, text_col, tuple(others), True, stable, limits)
-    kept = cut.where((F.size("starts") == 0) | (F.length("kept") > 0)).select(F.col("kept").alias("text"), F.from_json("extra", docs.select(*(f"`{c}`" for c in others)).schema, JSON).alias("x"))
-    columns = {c: F.col("x")[c] for c in others} | {text_col: F.col("text")}
+    kept = cut.where((F.size("starts") == 0) | (F.length("kept") > 0))
+    columns = unpacked("extra", docs, others) | {text_col: F.col("kept")}
     if count_col:
-        columns[count_col] = F.length("text").cast(docs.schema[count_col].dataType)
+        columns[count_col] = F.length("kept").cast(docs.schema[count_col].dataType)
     return kept.select(*(columns[c].alias(c) for c in docs.columns))
