@@ -4,6 +4,15 @@ Quality rules reject documents; of near duplicates the one with the smallest id
 substrings that an earlier document has are cut out, and a document goes if nothing is left
 of it; each remaining document is repeated or dropped as the mix of sources asks; and all
 are encoded, decoded and digested. All but the last stage return the columns of documents.
+
+Nulls: a null text has no words, so the quality rules reject it; a null id ranks after all
+others; a null source is a source of its own, the last by name; other columns may hold nulls
+and are passed on. Empty texts go the way of null ones. Very long texts are worked on whole,
+by each stage in pieces or blocks of its own. Ties: of near copies the smallest id stays, of
+those that share it the text with the least hash, of equal rows one. Repeated rows are copies
+of each other, so one stays. An empty table gives an empty result. Extra columns of any type
+and name, also of names that the operators use inside, come out of all stages but the last as
+they were (n_chars is counted anew in the stage that cuts texts).
 """
 
 from __future__ import annotations
