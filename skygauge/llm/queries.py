@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skygauge.llm import bpe, chat, embdedup, langid, linededup, mixing, packing, quality, simhash, suffixdedup
+from skygauge.llm import bpe, chat, embdedup, langid, linededup, mixing, packing, quality, runs, simhash, suffixdedup, toxicity, whitening
 from skygauge.llm.common import table
 
 
@@ -67,6 +67,23 @@ def op10_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("block", "row", "n_tokens", "doc_ids", "piece_starts", "cu_seqlens", F.sha2("input_ids", 256).alias("ids_sha256"), F.sha2("position_ids", 256).alias("positions_sha256"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(table(spark, sf_dir, "documents"), rearranged=runs.planted_tail)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    longest = runs.longest("runs")
+    exponent = F.floor(1000 * longest["length"] / longest["period"]).cast("long")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *(longest[x].alias(x) for x in ("start", "length", "period")), exponent.alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
@@ -78,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_preference_format": op9_preference_format,
     "op10_pack_tokens": op10_pack_tokens,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_toxicity": op12_toxicity,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLES: dict[str, str] = {
