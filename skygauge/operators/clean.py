@@ -45,7 +45,12 @@ def imputed(values: dict[str, Column], df: DataFrame, config: CleaningConfig) ->
     strategy = config.strategy.lower()
     if strategy == "none":
         return df.withColumns({f"{k}_filled": v for k, v in values.items()})
-    df = chunks.with_neighbours(df, values)
+    return fill_between(values, chunks.with_neighbours(df, values), config)
+
+
+def fill_between(values: dict[str, Column], df: DataFrame, config: CleaningConfig) -> DataFrame:
+    """df, with {name}_prev and {name}_next as chunks.with_neighbours() gives them, with {name}_filled instead."""
+    strategy = config.strategy.lower()
     rn, out = F.col("rn"), {}
     for k, v in values.items():
         before, after = F.col(f"{k}_prev"), F.col(f"{k}_next")

@@ -6,19 +6,20 @@ after Sarkka and Garcia-Fernandez's associative form of the filter:
 
 1. what a chunk does to whatever state it begins with is one element: a linear map, an offset and a covariance,
    and the information its readings hold on that state;
-2. a station's elements, one row a chunk, are applied in order to its first state, which gives the state each
-   chunk begins with;
+2. elements compose: those of GROUP chunks on end make one element, those of GROUP such groups one again, until a
+   station has no more than GROUP at the top. From its first state on these are applied in order, which gives the
+   state each group begins with, and so down to the state each chunk begins with;
 3. each chunk is filtered from that state.
 
 Steps 1 and 3 take many chunks and all channels at a time, as arrays, one row of each in turn. A
-station of any length is spread over all tasks; only step 2 is sequential, over one row a chunk.
+station of any length is spread over all tasks: no group of step 2 holds more than GROUP elements.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -150,9 +151,11 @@ class _Chunks:
                 a = [[a[i][j] - k[i] * h[j] for j in range(3)] for i in range(3)]
         return np.stack([*a[0], *a[1], *a[2], *b, *c, *eta, *info], axis=1)
 
-    def states(self, starts: np.ndarray) -> pd.DataFrame:
-        """OUTPUT of all rows, from the means (3) and covariances (6) each chunk and channel begins with."""
+    def states(self, starts: np.ndarray, snapshots: bool = False) -> pd.DataFrame:
+        """OUTPUT of all rows, from the means (3) and covariances (6) each chunk and channel begins with; with snapshots also
+        those after each row, as a column of arrays of all channels."""
         x, p = list(starts[:, :3].T), list(starts[:, 3:].T)
+        after = np.empty((len(self.dt), self.dt.shape[1], 9)) if snapshots else None
         out = np.full((len(ESTIMATES) + 1, *self.dt.shape), np.nan)
         for t in range(len(self.dt)):
             x, p = _forward(x, p, self.dt[t], self.q, self.qb)
@@ -162,6 +165,8 @@ class _Chunks:
             if checked.any():  # independent noise: one after the other is the joint update
                 x, p, z, s = _take_in(x, p, self.checked[t], checked, 0.0, self.ref)
                 nis = np.where(checked, np.nan_to_num(nis) + z * z / s, nis)
+            if snapshots:
+                after[t] = np.stack([*x, *p], axis=1)
             out[:, t] = (*x, np.sqrt(np.maximum(p[0], 0)), np.sqrt(np.maximum(p[5], 0)), np.where(has, y, np.nan), np.where(has, self.seen[t] - x[0] - x[2], np.nan), nis)
         parts = []
         out = out.reshape(len(out), len(self.dt), len(self.frames), len(CHANNELS))
@@ -173,8 +178,11 @@ class _Chunks:
                 columns |= {f"{c}_{name}": own[j, :, k] for j, name in enumerate(ESTIMATES)}
             some = ~np.isnan(own[-1]).all(axis=1)
             columns["nis"] = np.where(some, np.nansum(own[-1], axis=1), np.nan)
+            if snapshots:
+                n = len(CHANNELS)
+                columns["snapshot"] = list(after[: len(f), n * i : n * i + n].reshape(len(f), 9 * n))
             parts.append(pd.DataFrame(columns))
-        return pd.concat(parts)[OUTPUT.names]
+        return pd.concat(parts)[OUTPUT.names + ["snapshot"] * snapshots]
 
 
 def _by_chunk(batches: Iterator[pd.DataFrame], run: Callable[[list[pd.DataFrame]], pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,6 +204,8 @@ def _by_chunk(batches: Iterator[pd.DataFrame], run: Callable[[list[pd.DataFrame]
 
 
 ELEMENT = 27
+#: Elements that are composed, or applied one after another, in one task.
+GROUP = 256
 ELEMENTS = T.StructType([T.StructField("station_id", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("first", T.ArrayType(T.DoubleType())), T.StructField("element", T.ArrayType(T.DoubleType()))])
 STARTS = T.StructType([T.StructField("station_id", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("start", T.ArrayType(T.DoubleType()))])
 
@@ -211,34 +221,101 @@ def _square(p: np.ndarray) -> np.ndarray:
     return p[..., [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(*p.shape[:-1], 3, 3)
 
 
-def _starts(elements: pd.DataFrame, config: KalmanConfig) -> pd.DataFrame:
-    """The state each chunk of one station begins with."""
+def _parts(e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Map, offset, covariance, information vector and matrix of elements."""
+    return e[:, :9].reshape(-1, 3, 3), e[:, 9:12, None], _square(e[:, 12:18]), e[:, 18:21, None], _square(e[:, 21:])
+
+
+def _flat(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Vectors and the PAIRS of symmetric matrices side by side."""
+    return np.concatenate([x[:, :, 0], p[:, [i for i, _ in PAIRS], [j for _, j in PAIRS]]], axis=1)
+
+
+def first_state(first: np.ndarray, config: KalmanConfig) -> np.ndarray:
+    """Mean and covariance of each channel before its first reading."""
+    out = np.zeros((len(CHANNELS), 9))
+    out[:, 0] = first
+    out[:, 3], out[:, 6], out[:, 8] = [config.initial_value[c] ** 2 for c in CHANNELS], config.initial_rate**2, config.initial_bias**2
+    return out
+
+
+def applied(element: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """The state (a row a channel: mean, covariance) after what an element stands for."""
+    a, b, c, eta, info = _parts(element)
+    m, p = state[:, :3, None], _square(state[:, 3:])
+    through = a @ np.linalg.inv(np.eye(3) + p @ info)
+    p_after = through @ p @ a.transpose(0, 2, 1) + c
+    return _flat(through @ (m + p @ eta) + b, (p_after + p_after.transpose(0, 2, 1)) / 2)
+
+
+def composed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The element of two elements on end."""
+    (a1, b1, c1, eta1, info1), (a2, b2, c2, eta2, info2) = _parts(first), _parts(second)
+    through = a2 @ np.linalg.inv(np.eye(3) + c1 @ info2)
+    back = a1.transpose(0, 2, 1) @ np.linalg.inv(np.eye(3) + info2 @ c1)
+    c, info = through @ c1 @ a2.transpose(0, 2, 1) + c2, back @ info2 @ a1 + info1
+    half = lambda x: (x + x.transpose(0, 2, 1)) / 2
+    a = (through @ a1).reshape(-1, 9)
+    return np.concatenate([a, _flat(through @ (b1 + c1 @ eta2) + b2, half(c)), _flat(back @ (eta2 - info2 @ b1) + eta1, half(info))], axis=1)
+
+
+def _by_channel(numbers: object, width: int) -> np.ndarray:
+    return np.asarray(numbers, float).reshape(len(CHANNELS), width)
+
+
+def _folded(elements: pd.DataFrame, group: int) -> pd.DataFrame:
+    """One element of a group's."""
     elements = elements.sort_values("chunk")
-    n, out = len(CHANNELS), []
-    for k, (first, element) in enumerate(zip(elements["first"], elements["element"], strict=True)):
-        if not k:
-            m = np.zeros((n, 3))
-            m[:, 0] = first
-            p = np.zeros((n, 3, 3))
-            p[:, 0, 0] = [config.initial_value[c] ** 2 for c in CHANNELS]
-            p[:, 1, 1], p[:, 2, 2] = config.initial_rate**2, config.initial_bias**2
-        out.append(np.concatenate([m, p[:, [i for i, _ in PAIRS], [j for _, j in PAIRS]]], axis=1).ravel())
-        e = np.asarray(element, float).reshape(n, ELEMENT)
-        a, b, c, eta, info = e[:, :9].reshape(n, 3, 3), e[:, 9:12], _square(e[:, 12:18]), e[:, 18:21], _square(e[:, 21:])
-        through = a @ np.linalg.inv(np.eye(3) + p @ info)
-        m = (through @ (m[:, :, None] + p @ eta[:, :, None]))[:, :, 0] + b
-        p = through @ p @ a.transpose(0, 2, 1) + c
-        p = (p + p.transpose(0, 2, 1)) / 2
+    whole = reduce(composed, [_by_channel(e, ELEMENT) for e in elements["element"]])
+    one = elements.iloc[:1]
+    return pd.DataFrame({"station_id": one["station_id"], "chunk": one["chunk"] // group, "first": one["first"], "element": [whole.ravel()]})
+
+
+def _starts(elements: pd.DataFrame, start: np.ndarray | None, config: KalmanConfig) -> pd.DataFrame:
+    """The state each element of a group begins with; start: that of the first, if it isn't a station's first chunk."""
+    elements, out = elements.sort_values("chunk"), []
+    for first, element in zip(elements["first"], elements["element"], strict=True):
+        state = applied(before, state) if out else first_state(first, config) if start is None else start
+        before = _by_channel(element, ELEMENT)
+        out.append(state.ravel())
     return pd.DataFrame({"station_id": elements["station_id"], "chunk": elements["chunk"], "start": out})
 
 
+def starts_of(elements: DataFrame, config: KalmanConfig, group: int = GROUP) -> DataFrame:
+    """STARTS of all elements (stored), group by group from the top down."""
+    levels, top = [elements], elements.agg(F.max("chunk")).first()[0] or 0
+    while top >= group:
+        levels.append(stored(levels[-1].groupBy("station_id", F.floor(F.col("chunk") / group)).applyInPandas(lambda e: _folded(e, group), ELEMENTS)))
+        top //= group
+    found = levels.pop().groupBy("station_id").applyInPandas(lambda e: _starts(e, None, config), STARTS)
+    while levels:
+        def below(e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+            return _starts(e, _by_channel(s["start"].iloc[0], 9), config)
+
+        own = levels.pop().withColumn("group", F.floor(F.col("chunk") / group))
+        found = own.groupBy("station_id", "group").cogroup(found.withColumnRenamed("chunk", "group").groupBy("station_id", "group")).applyInPandas(below, STARTS)
+    return found
+
+
+def filter_rows(rows: pd.DataFrame, state: np.ndarray, config: KalmanConfig) -> pd.DataFrame:
+    """OUTPUT and snapshot of rows on end (station_id, row_id, ts, rn, dt, channels, references) from a state on. They are filtered in
+    about as many pieces as rows of a piece, side by side."""
+    length = max(1, math.isqrt(len(rows)))
+    pieces = [rows.iloc[i : i + length] for i in range(0, len(rows), length)]
+    made, starts = _Chunks(pieces, config), [state]
+    if len(pieces) > 1:
+        for element in made.elements().reshape(len(pieces), len(CHANNELS), ELEMENT)[:-1]:
+            starts.append(applied(element, starts[-1]))
+    return made.states(np.concatenate(starts), snapshots=True)
+
+
 def _states(frames: list[pd.DataFrame], config: KalmanConfig) -> pd.DataFrame:
     """Of chunks whose first row holds the state they begin with."""
     starts = np.concatenate([np.asarray(f["start"].iloc[0], float).reshape(len(CHANNELS), 9) for f in frames])
     return _Chunks([f.iloc[1:] for f in frames], config).states(starts)
 
 
-def track(df: DataFrame, references: DataFrame | None = None, config: KalmanConfig | None = None, sanitize: bool = False, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def track(df: DataFrame, references: DataFrame | None = None, config: KalmanConfig | None = None, sanitize: bool = False, chunk_rows: int = CHUNK_ROWS, group: int = GROUP) -> DataFrame:
     """All estimates of each reading. references: (station_id, row_id) and channels, null where there is no check.
 
     Sentinel values are measurements here unless sanitize is set; only null and infinite ones aren't.
@@ -258,8 +335,8 @@ def track(df: DataFrame, references: DataFrame | None = None, config: KalmanConf
         timed = timed.join(known, F.col("station_id").eqNullSafe(F.col("_s")) & F.col("row_id").eqNullSafe(F.col("_r")), "left").drop("_s", "_r")
     timed = stored(timed.select("station_id", "row_id", "ts", "rn", "chunk", "dt", *CHANNELS, *checks))
     dealt = lambda rows: rows.repartition("station_id", "chunk").sortWithinPartitions("station_id", "chunk", "rn")
-    elements = dealt(timed).mapInPandas(partial(_by_chunk, run=partial(_elements, config=config)), ELEMENTS)
-    starts = elements.groupBy("station_id").applyInPandas(lambda found: _starts(found, config), STARTS)
+    elements = stored(dealt(timed).mapInPandas(partial(_by_chunk, run=partial(_elements, config=config)), ELEMENTS))
+    starts = starts_of(elements, config, group)
     # A chunk's start goes before its rows, with row number 0 (and an id, as pandas would round ids beside a null).
     zero = F.lit(0).cast("long")
     first = starts.select("station_id", zero.alias("row_id"), "chunk", zero.alias("rn"), "start")

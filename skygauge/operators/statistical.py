@@ -92,7 +92,16 @@ def row_flags(df: DataFrame, limits: StatisticalThresholds, channels: tuple[str,
 def check(df: DataFrame, limits: StatisticalThresholds | None = None, channels: tuple[str, ...] = CHANNELS, chunk_rows: int = chunks.CHUNK_ROWS, known: DataFrame | None = None) -> DataFrame:
     """df with rn, chunk and six flags a channel. known: fences of a longer history, if df is a part of one."""
     limits = limits or StatisticalThresholds()
-    flagged = iqr_flags(chunks.numbered(df), limits, channels, known)
     reach = halo(limits)
-    flagged = chunks.cores(row_flags(chunks.chunked(flagged, reach, max(chunk_rows, reach)), limits, channels))
+    flagged = iqr_flags(chunks.numbered(df), limits, channels, known)
+    return _anomalies(chunks.cores(row_flags(chunks.chunked(flagged, reach, max(chunk_rows, reach)), limits, channels)), channels)
+
+
+def check_chunks(df: DataFrame, limits: StatisticalThresholds | None = None, channels: tuple[str, ...] = CHANNELS, known: DataFrame | None = None) -> DataFrame:
+    """check() of rows that are in chunks already, with copies of the neighbours within halo(): rn, chunk and core."""
+    limits = limits or StatisticalThresholds()
+    return _anomalies(chunks.cores(row_flags(iqr_flags(df, limits, channels, known), limits, channels)), channels)
+
+
+def _anomalies(flagged: DataFrame, channels: tuple[str, ...]) -> DataFrame:
     return flagged.withColumns({flag(c, "stat_anomaly"): any_of([F.col(flag(c, k)) for k in KINDS[1:5]]) & ~F.col(flag(c, "missing")) for c in channels})

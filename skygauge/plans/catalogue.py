@@ -15,7 +15,7 @@ from skygauge.plans import chunks, telemetry
 from skygauge.plans.oracles import ORACLES
 from skygauge.plans.scratch import folder, stored
 from skygauge.sources import readings, sinks, synthetic
-from skygauge.streaming import live
+from skygauge.streaming import live, lookahead
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -238,6 +238,10 @@ def _states(tracked: DataFrame) -> DataFrame:
     return tracked.select("station_id", "rn", F.inline(F.array(*(F.struct(F.lit(c).alias("sensor"), *(F.col(f"{c}_{k}").alias(k) for k in kalman.ESTIMATES)) for c in CHANNELS))))
 
 
+def _states_and_nis(tracked: DataFrame) -> DataFrame:
+    return tracked.select("station_id", "rn", "nis", F.inline(F.array(*(F.struct(F.lit(c).alias("sensor"), *(F.col(f"{c}_{k}").alias(k) for k in kalman.ESTIMATES)) for c in CHANNELS))))
+
+
 @query
 def kalman_states(spark: SparkSession, d: str) -> DataFrame:
     rows = _states(kalman.track(readings.from_events(spark, d)))
@@ -249,8 +253,7 @@ def kalman_with_references(spark: SparkSession, d: str) -> DataFrame:
     """Every fiftieth reading is checked against a reference that is 0.3 lower."""
     df = readings.from_events(spark, d)
     references = df.where("row_id % 50 = 0").select(*KEYS, *((F.col(c) - 0.3).alias(c) for c in CHANNELS))
-    tracked = kalman.track(df, references)
-    rows = tracked.select("station_id", "rn", "nis", F.inline(F.array(*(F.struct(F.lit(c).alias("sensor"), *(F.col(f"{c}_{k}").alias(k) for k in kalman.ESTIMATES)) for c in CHANNELS))))
+    rows = _states_and_nis(kalman.track(df, references))
     return rows.select("station_id", "sensor", "rn", F.round("true", 5).alias("true_value"), F.round("rate", 6).alias("rate"), *_rounded(5, "bias", "true_std", "bias_std", "innovation"), F.round("nis", 3).alias("nis"))
 
 
@@ -492,28 +495,107 @@ def drift_evaluation(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _streamed(spark: SparkSession, d: str, plan: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
-    """The result of a stream over the stored readings, run to its end and kept as a table in the shared folder."""
+def _parts(df: DataFrame, n: int = 3, arrival: Column | None = None) -> list[DataFrame]:
+    """df in n parts by time of arrival (by itself that of the reading), each as long as the others."""
+    at = F.unix_micros("ts") if arrival is None else arrival
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    if low is None:
+        return [df]
+    part = F.least(F.floor((at - low) * n / max(1, high - low)), F.lit(n - 1))
+    return [df.where(part == k) for k in range(n)]
+
+
+#: A station that doesn't exist: its reading, long after all others, tells a stream how far time has come.
+CLOCK = -1
+
+
+def _later(df: DataFrame) -> DataFrame:
+    return df.limit(1).withColumns({"station_id": F.lit(CLOCK), "ts": F.lit(df.agg(F.max("ts")).first()[0]) + F.expr("INTERVAL 90 DAYS")} | {c: F.lit(None).cast("double") for c in CHANNELS})
+
+
+def _streamed(spark: SparkSession, inputs: dict[str, list[DataFrame]], plan: Callable[..., DataFrame], each: Callable[[DataFrame, int], None] | None = None, complete: bool = False) -> tuple[DataFrame | None, str]:
+    """The result of a stream that gets the parts of its inputs one after another, kept as a table in the shared folder. For each part the query is started anew from its
+    checkpoint, so its state outlives it; each: what to do with a batch instead."""
     root = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
-    readings.from_events(spark, d).write.parquet(f"{root}/in")
-    out = plan(live.read_stream(spark, f"{root}/in"))
-    writer = out.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
-    if mode == "complete":
-        writer = writer.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out"))
-    else:
-        writer = writer.outputMode("append").format("parquet").option("path", f"{root}/out")
-    running = writer.start()
-    running.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{root}/out")
+    for k in range(max(map(len, inputs.values()))):
+        for name, parts in inputs.items():
+            if k < len(parts):
+                parts[k].write.mode("append").parquet(f"{root}/in/{name}")
+        out = plan(*(spark.readStream.schema(parts[0].schema).parquet(f"{root}/in/{name}") for name, parts in inputs.items()))
+        writer = out.writeStream.option("checkpointLocation", f"{root}/state").trigger(availableNow=True)
+        if complete:
+            writer = writer.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out"))
+        elif each is not None:
+            writer = writer.outputMode("append").foreachBatch(each)
+        else:
+            writer = writer.outputMode("append").format("parquet").option("path", f"{root}/out")
+        writer.start().awaitTermination()
+    return (None if each else spark.read.schema(out.schema).parquet(f"{root}/out")), root
 
 
 @query
 def stream_hourly_counts(spark: SparkSession, d: str) -> DataFrame:
-    found = _streamed(spark, d, live.windowed_counts, "complete")
+    found, _ = _streamed(spark, {"readings": _parts(readings.from_events(spark, d))}, live.windowed_counts, complete=True)
     return found.select(F.unix_timestamp("window_start").alias("window_start"), "station_id", "readings", "thermo_violations", "wind_violations")
 
 
 @query
 def stream_kalman(spark: SparkSession, d: str) -> DataFrame:
-    rows = _states(_streamed(spark, d, live.track_stream, "append"))
+    """Tracked in three batches, in order of time."""
+    rows = _states(_streamed(spark, {"readings": _parts(readings.from_events(spark, d))}, live.track_stream)[0])
     return rows.select("station_id", "sensor", "rn", F.round("true", 4).alias("true_value"), F.round("bias", 4).alias("bias"))
+
+
+#: Readings arrive up to so many hours after they were taken: by a number made of their id.
+LATE_HOURS = 60
+
+
+@query
+def stream_kalman_late(spark: SparkSession, d: str) -> DataFrame:
+    """Tracked in three batches of readings in disorder; the last revision of each."""
+    df = readings.from_events(spark, d)
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("row_id"), F.lit(LATE_HOURS)) * 3_600_000_000
+    found, _ = _streamed(spark, {"readings": _parts(df, arrival=arrival)}, lambda s: live.track_stream(s, delay=f"{LATE_HOURS} hours"))
+    rows = _states(live.latest(found))
+    return rows.select("station_id", "sensor", "rn", F.round("true", 5).alias("true_value"), F.round("rate", 6).alias("rate"), F.round("bias", 5).alias("bias"), *_rounded(5, "true_std", "bias_std", "innovation"), F.round("post_fit_residual", 5).alias("post_fit"))
+
+
+@query
+def stream_kalman_references(spark: SparkSession, d: str) -> DataFrame:
+    """As kalman_with_references, with readings and checks as two streams; a check comes half an hour after its reading."""
+    df = readings.from_events(spark, d)
+    checks = df.where("row_id % 50 = 0").select(*KEYS, (F.col("ts") + F.expr("INTERVAL 30 MINUTES")).alias("ts"), *((F.col(c) - 0.3).alias(c) for c in CHANNELS))
+    plan = lambda stream, references: live.track_stream(live.with_references(stream, references, "2 hours"), watermarked=True)
+    found, _ = _streamed(spark, {"readings": [*_parts(df), _later(df)], "references": [*_parts(checks), _later(checks)]}, plan)
+    rows = _states_and_nis(live.latest(found.where(F.col("station_id") != CLOCK)))
+    return rows.select("station_id", "sensor", "rn", F.round("true", 5).alias("true_value"), F.round("rate", 6).alias("rate"), *_rounded(5, "bias", "true_std", "bias_std", "innovation"), F.round("nis", 3).alias("nis"))
+
+
+@query
+def stream_alert_recurrence(spark: SparkSession, d: str) -> DataFrame:
+    """As alert_recurrence_72h, with the alerts in three batches."""
+    found, _ = _streamed(spark, {"alerts": _parts(_alerts(spark, d).select(*KEYS, "ts", "anomaly_type", "sensors"))}, live.recurrence_stream)
+    return found.select(*KEYS, "earlier", "historical_context")
+
+
+def _flagged_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The flagged readings of three batches, let go by the flags' stream, one table a batch."""
+    df = readings.from_events(spark, d)
+    fences, at = stored(statistical.fences(df, LIMITS)), f"{folder(spark)}/flags-{uuid.uuid4().hex}"
+    # A batch that is run again writes its own folder again.
+    keep = lambda out, n: out.write.mode("overwrite").parquet(f"{at}/batch={n}")
+    _streamed(spark, {"readings": [*_parts(df), _later(df)]}, lambda s: lookahead.released(s, close_after="30 days"), each=lookahead.flag_batches(keep, lambda: fences))
+    return spark.read.parquet(at).where(F.col("station_id") != CLOCK)
+
+
+@query
+def stream_flags(spark: SparkSession, d: str) -> DataFrame:
+    return _flagged_stream(spark, d).select(*KEYS, *(x for k in ("missing", "zscore_outlier", "spike", "stuck", "iqr_outlier") for x in _flags(k)), *clean.VALID, "is_all_valid")
+
+
+@query
+def stream_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Gaps filled by a second stream, over what the flags' stream has let go, in three batches of its own."""
+    flagged = stored(_flagged_stream(spark, d).select(*KEYS, "ts", *CHANNELS, *clean.VALID, "rn"))
+    found, _ = _streamed(spark, {"flagged": [*_parts(flagged), _later(flagged)]}, lambda s: lookahead.filled(s, close_after="30 days"))
+    return found.where(F.col("station_id") != CLOCK).select(*KEYS, *(f"{c}_cleaned" for c in CHANNELS))

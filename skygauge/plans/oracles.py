@@ -432,3 +432,6 @@ _FEW = ("true_ground_truth", "observed_drifted", "true_estimated", "bias_ground_
 _ROWS = " UNION ALL ".join(f"SELECT ks.*, {c} AS z, truth_{c} AS truth, tb_{c} AS tb FROM ks JOIN t USING (station_id, rn) WHERE sensor = '{c}'" for c in CHANNELS)
 ORACLES["tracking_export"] = EVALUATED[: EVALUATED.index("ev AS (")] + f"ex AS ({_ROWS}) SELECT station_id, rn - 1 AS row_id, any_value(1767225600000000 + (rn - 1) * 300000000) AS timestamp, " + ", ".join(
     f"max(CASE WHEN sensor = '{c}' THEN round({x}, 5) END) AS {short}_{k}" for c, short in (("temperature", "temp"), ("pressure", "pres"), ("humidity", "rh"), ("wind_speed", "wind")) for k, x in _SIDE.items() if c == "temperature" or k in _FEW) + ", round(sum(nis), 3) AS nis FROM ex GROUP BY station_id, rn"
+ORACLES["stream_kalman_late"], ORACLES["stream_kalman_references"], ORACLES["stream_cleaned"] = ORACLES["kalman_states"], ORACLES["kalman_with_references"], ORACLES["cleaned_dataset"]
+ORACLES["stream_alert_recurrence"] = f"WITH {RECURRENCE} SELECT {KEYS}, earlier, historical_context FROM rc"
+ORACLES["stream_flags"] = f"WITH {V} SELECT {KEYS}, {', '.join(CELLS(k) for k in ('missing', 'zscore_outlier', 'spike', 'stuck', 'iqr_outlier'))}, {each('is_valid_{c}')}, {each('is_valid_{c}', ' AND ')} AS is_all_valid FROM v"

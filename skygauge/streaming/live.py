@@ -2,25 +2,26 @@
 
 Flags that look at one row, windowed counts and duplicate removal are plain streaming plans.
 The Kalman filter and alert recurrence keep state for each station. Flags whose frames reach
-forward need later rows; quality_batches() computes them for each micro-batch over a stored
-history that reaches back far enough.
+forward need later rows: lookahead.py holds readings back until those are there.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from datetime import timedelta
+import json
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ListState
 
 from skygauge.functions.config import CHANNELS, KalmanConfig
 from skygauge.operators import physics
-from skygauge.operators.correction import FIRST_TEXT, MORE_TEXT, SECOND_TEXT
-from skygauge.operators.kalman import OUTPUT, ChannelFilter
+from skygauge.operators.correction import context
+from skygauge.operators.kalman import OUTPUT, filter_rows, first_state
 
 READINGS = T.StructType([T.StructField("station_id", T.IntegerType()), T.StructField("row_id", T.LongType()), T.StructField("ts", T.TimestampType()), *(T.StructField(c, T.DoubleType()) for c in CHANNELS)])
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -51,105 +52,196 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", delay: str = "1 hour")
     return stream.groupBy(F.session_window("ts", gap).alias("w"), "station_id").agg(F.count("*").alias("readings")).select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "station_id", "readings")
 
 
+#: Keys without nulls, as pandas would round large ids beside one.
+KEYS = "coalesce(station_id, 0) AS station", "station_id IS NULL AS no_station", "coalesce(row_id, 0L) AS row", "row_id IS NULL AS no_row"
+STATION = ("station", "no_station")
+
+
+def _keyed(stream: DataFrame, *columns: str | Column) -> DataFrame:
+    """station, row, at (microseconds) and ts, with marks of null ones, and the columns."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return stream.select(*map(F.expr, KEYS), F.unix_micros("ts").alias("at"), "ts", *columns)
+
+
+def _named(out: DataFrame) -> DataFrame:
+    """out with station_id, row_id and ts again."""
+    known = lambda x: F.when(~F.col(f"no_{x}"), F.col(x)).alias(f"{x}_id")
+    return out.select(known("station"), known("row"), F.timestamp_micros("at").alias("ts"), *(c for c in out.columns if c not in ("station", "no_station", "row", "no_row", "at", "ts")))
+
+
+#: Order of a station's readings: by time, those without an id first, then by id.
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["at", "no_row", "row"], ascending=[True, False, True], kind="stable", ignore_index=True)
+
+
+def keep(state: ListState, rows: list[tuple]) -> None:
+    """Make rows, or nothing, the state."""
+    if rows:
+        state.put(rows)
+    else:
+        state.clear()
+
+
+REFERENCES = tuple(f"{c}_reference" for c in CHANNELS)
+SEEN = (*CHANNELS, *REFERENCES)
+HELD = "at long, row long, no_row boolean, numbers array<double>"
+TRACKED = T.StructType([T.StructField("station", T.IntegerType()), T.StructField("no_station", T.BooleanType()), T.StructField("row", T.LongType()), T.StructField("no_row", T.BooleanType()), T.StructField("at", T.LongType()),
+    T.StructField("rn", T.LongType()), *(f for f in OUTPUT.fields if f.name not in ("station_id", "row_id", "ts", "rn")), T.StructField("revision", T.LongType())])
+
+
 class KalmanProcessor(StatefulProcessor):
-    """The filters of one station, kept between batches: last time, row number, and each channel's state and covariance."""
+    """The filters of one station, kept between batches.
 
-    def __init__(self, config: KalmanConfig | None = None) -> None:
-        self.config = config or KalmanConfig()
+    `base` is the filters' state after the last row that can't be preceded by a late one any more. Rows after it are held
+    with a snapshot of the state after each. A late row is put in its place and the filters run again from the snapshot before
+    it; what they change is given again, with a higher revision. Without a watermark no row is late,
+    and only the last one is held.
+    """
+
+    def __init__(self, config: KalmanConfig | None = None, late: bool = False) -> None:
+        self.config, self.late = config or KalmanConfig(), late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("filters", "seconds double, rn long, numbers array<double>")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802
-        config, none = self.config, lambda v: None if v is None or v != v else float(v)
-        whole = pd.concat(list(rows)).sort_values(["ts", "row_id"])
-        held = self.state.get() if self.state.exists() else None
-        last, rn, filters, out = (held[0], held[1], None, []) if held else (None, 0, None, [])
-        for row in whole.itertuples(index=False):
-            seen = [none(getattr(row, c)) for c in CHANNELS]
-            if filters is None:
-                filters = [ChannelFilter(c, z, config) for c, z in zip(CHANNELS, seen, strict=True)]
-                if held:
-                    for i, f in enumerate(filters):
-                        f.x, f.p = list(held[2][9 * i : 9 * i + 3]), list(held[2][9 * i + 3 : 9 * i + 9])
-            now = row.ts.timestamp()
-            gap = None if last is None else now - last
-            dt = max(0.1, gap / 60.0) if gap is not None and gap > 0 else config.default_minutes
-            last, rn, values, total = now, rn + 1, [], None
-            for f, z in zip(filters, seen, strict=True):
-                found, nis = f.step(dt, z, None)
-                values += [z, *found]
-                total = total if nis is None else (total or 0.0) + nis
-            out.append((int(key[0]), int(row.row_id), row.ts, rn, *values, total))
-        if filters:
-            self.state.update((last, rn, [x for f in filters for x in (*f.x, *f.p)]))
-        yield pd.DataFrame(out, columns=OUTPUT.names)
+        self.base = handle.getValueState("base", "at long, rn long, revision long, filters array<double>")
+        self.rows = handle.getListState("rows", HELD)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        came = _in_order(pd.concat([r[["at", "row", "no_row", *SEEN]] for r in rows], ignore_index=True))
+        at, rn, revision, filters = self.base.get() if self.base.exists() else (None, 0, 0, None)
+        held = pd.DataFrame([(t, r, n, *numbers[: len(SEEN)], np.array(numbers[len(SEEN) :])) for t, r, n, numbers in self.rows.get()], columns=["at", "row", "no_row", *SEEN, "snapshot"])
+        everything = _in_order(pd.concat([held, came], ignore_index=True)) if len(held) else came.assign(snapshot=None)
+        since = int(np.flatnonzero(everything["snapshot"].isna().to_numpy())[0])  # all before it is as it was
+        before = everything["snapshot"].iloc[since - 1] if since else filters
+        if before is None:
+            start = first_state(np.nan_to_num(everything[list(CHANNELS)].iloc[0].to_numpy(float), nan=0.0, posinf=0.0, neginf=0.0), self.config)
+        else:
+            start = np.asarray(before, float).reshape(len(CHANNELS), 9)
+        again = everything.iloc[since:].drop(columns="snapshot").reset_index(drop=True)
+        last = everything["at"].iloc[since - 1] if since else at
+        gap = np.diff(again["at"].to_numpy(np.int64), prepend=again["at"].iloc[0] if last is None else last) / 1e6
+        again["dt"] = np.where(gap > 0, np.maximum(0.1, gap / 60.0), self.config.default_minutes)
+        again["station_id"], again["row_id"], again["ts"] = 0, again["row"], again["at"]
+        again["rn"] = rn + since + np.arange(1, len(again) + 1)
+        found = filter_rows(again, start, self.config).reset_index(drop=True)
+        everything["snapshot"] = [*everything["snapshot"].iloc[:since], *found["snapshot"]]
+        final = int((everything["at"] <= timerValues.getCurrentWatermarkInMs() * 1000).sum()) if self.late else len(everything) - 1
+        if final:
+            edge = everything.iloc[final - 1]
+            at, rn, filters = int(edge["at"]), rn + final, [float(x) for x in edge["snapshot"]]
+        kept = everything.iloc[final:]
+        keep(self.rows, [(int(t), int(r), bool(n), [*map(float, numbers), *map(float, x)]) for t, r, n, numbers, x in zip(kept["at"], kept["row"], kept["no_row"], kept[list(SEEN)].to_numpy(float), kept["snapshot"], strict=True)])
+        self.base.update((at, rn, revision + 1, filters))
+        found = found.assign(station=key[0], no_station=key[1], row=again["row"], no_row=again["no_row"], at=again["at"], revision=revision + 1)
+        yield found[TRACKED.names]
 
     def close(self) -> None:
         pass
 
 
-def track_stream(stream: DataFrame, config: KalmanConfig | None = None) -> DataFrame:
-    """kalman.track() on a stream: state goes on from batch to batch, so the estimates are the same, given rows in order."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return stream.select(*READINGS.names).groupBy("station_id").transformWithStateInPandas(KalmanProcessor(config), OUTPUT, "Append", "None")
+def track_stream(stream: DataFrame, config: KalmanConfig | None = None, delay: str | None = None, watermarked: bool = False) -> DataFrame:
+    """kalman.track() on a stream: state goes on from batch to batch, so the estimates are the same.
+
+    Without a delay each reading is estimated once, and rows are taken in the order of batches. With one, a row that is late by
+    no more than it takes its place: it and those after it are estimated again, so a reading has one row a revision, and
+    latest() of them is what the whole history gives. watermarked: the stream has its delay already, as with_references() gives it. Columns
+    {channel}_reference are checks, if the stream has them. Null
+    stations and row ids are kept as they are; rows without a time aren't tracked.
+    """
+    checks = [F.col(c) if c in stream.columns else F.lit(None).cast("double").alias(c) for c in REFERENCES]
+    stream = stream.where("ts IS NOT NULL")
+    keyed = _keyed(stream.withWatermark("ts", delay) if delay else stream, *CHANNELS, *checks)
+    return _named(keyed.groupBy(*STATION).transformWithStateInPandas(KalmanProcessor(config, bool(delay) or watermarked), TRACKED, "Append", "EventTime" if delay or watermarked else "None"))
+
+
+def latest(tracked: DataFrame) -> DataFrame:
+    """The last revision of each reading of a stored result of track_stream(). A late reading changes the numbers of all after it, which are given again, so
+    the last revision of each number is the one that holds."""
+    rows = F.struct(*(F.col(c) for c in tracked.columns if c not in ("station_id", "rn")))
+    return tracked.groupBy("station_id", "rn").agg(F.max_by(rows, "revision").alias("r")).select("station_id", "rn", "r.*")
+
 
+def with_references(stream: DataFrame, references: DataFrame, delay: str = "1 hour", within: str = "1 hour") -> DataFrame:
+    """A stream of readings with {channel}_reference from a stream of checks (station_id, row_id, ts of the check, channels), null
+    where none comes. A check is found if its time is no more than `within` from its reading's; delay: how late either may arrive."""
+    named = references.withWatermark("ts", delay).select(F.col("station_id").alias("_s"), F.col("row_id").alias("_r"), F.col("ts").alias("_t"), *(F.col(c).alias(f"{c}_reference") for c in CHANNELS))
+    near = F.expr(f"_t >= ts - INTERVAL {within} AND _t <= ts + INTERVAL {within}")
+    own = F.col("station_id").eqNullSafe(F.col("_s")) & F.col("row_id").eqNullSafe(F.col("_r"))
+    return stream.withWatermark("ts", delay).join(named, own & near, "leftOuter").drop("_s", "_r", "_t")
 
-RECURRENCE = T.StructType([T.StructField("station_id", T.IntegerType()), T.StructField("row_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("anomaly_type", T.StringType()), T.StructField("earlier", T.LongType()), T.StructField("historical_context", T.StringType())])
+
+RECURRENCE = T.StructType([T.StructField("station", T.IntegerType()), T.StructField("no_station", T.BooleanType()), T.StructField("row", T.LongType()), T.StructField("no_row", T.BooleanType()), T.StructField("at", T.LongType()), T.StructField("anomaly_type", T.StringType()), T.StructField("earlier", T.LongType()), T.StructField("last", T.LongType())])
+HOUR = 3_600_000_000
 
 
 class RecurrenceProcessor(StatefulProcessor):
-    """A station's alerts of the last hours, as state; older ones are dropped as time goes on."""
+    """How often a station's alerts of each kind (a type and sensors) came, by hour of their time.
+
+    An alert counts the kinds that it is like: the hours that lie wholly within the span by their number alone, the first one by its
+    times. A batch reads the counters of its station once and writes those that changed; hours before the span of the
+    newest alert are removed, so what is kept doesn't grow with the history. An alert that comes late counts those before it
+    by time; what was given for later ones isn't given again.
+    """
 
     def __init__(self, hours: int = 72) -> None:
         self.hours = hours
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.history = handle.getListState("history", "ts timestamp, type string, sensors string")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:  # noqa: N802
-        held = [(pd.Timestamp(t), kind, sensors) for t, kind, sensors in self.history.get()]
-        whole, out = pd.concat(list(rows)).sort_values(["ts", "row_id"]), []
-        for row in whole.itertuples(index=False):
-            since, sensors = row.ts - timedelta(hours=self.hours), set(row.sensors)
-            alike = [h for h in held if h[0] >= since and (h[1] == row.anomaly_type or sensors & set(filter(None, h[2].split(","))))]
-            n = len(alike)
-            text = FIRST_TEXT if not n else SECOND_TEXT.format(time=f"{alike[-1][0]:%m-%d %H:%M}") if n == 1 else MORE_TEXT.format(n=n + 1, hours=self.hours)
-            held = [h for h in held if h[0] >= since] + [(row.ts, row.anomaly_type, ",".join(row.sensors))]
-            out.append((int(key[0]), int(row.row_id), row.ts, row.anomaly_type, n, text))
-        self.history.put([(t.to_pydatetime(), kind, sensors) for t, kind, sensors in held])
-        yield pd.DataFrame(out, columns=RECURRENCE.names)
+        self.times = handle.getMapState("times", "kind string, hour long", "at array<long>, row array<long>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        came = _in_order(pd.concat(list(rows), ignore_index=True))
+        came["row"] = np.where(came["no_row"], np.iinfo(np.int64).min, came["row"])
+        came["hour"] = came["at"] // HOUR
+        known = {tuple(k): v for k, v in self.times.iterator()}
+        changed: dict[tuple[str, int], tuple[list[int], list[int]]] = {}
+        for (kind, hour), own in came.groupby(["kind", "hour"], sort=False):
+            at, row = known.get((kind, hour), ([], []))
+            order = np.lexsort((np.r_[np.array(row, np.int64), own["row"]], np.r_[np.array(at, np.int64), own["at"]]))
+            changed[kind, int(hour)] = np.r_[np.array(at, np.int64), own["at"]][order].tolist(), np.r_[np.array(row, np.int64), own["row"]][order].tolist()
+        known |= changed
+        by_kind: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for (kind, _), (at, row) in sorted(known.items(), key=lambda x: x[0][1]):
+            by_kind.setdefault(kind, []).append((np.asarray(at, np.int64), np.asarray(row, np.int64)))
+        lines = {kind: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for kind, parts in by_kind.items()}  # in order of time
+        alike = {kind: [other for other in lines if kinds_alike(kind, other)] for kind in came["kind"].unique()}
+        earlier, last, span = np.zeros(len(came), np.int64), np.full(len(came), np.iinfo(np.int64).min), self.hours * HOUR
+        for kind, own in came.groupby("kind", sort=False):
+            at, row, place = own["at"].to_numpy(np.int64), own["row"].to_numpy(np.int64), own.index.to_numpy()
+            for other in alike[kind]:
+                times, ids = lines[other]
+                upto, least = before(times, ids, at, row), np.searchsorted(times, at - span, "left")
+                earlier[place] += upto - np.minimum(least, upto)
+                last[place] = np.maximum(last[place], np.where(upto > 0, times[np.maximum(upto - 1, 0)], last[place]))
+        oldest = max(hour for _, hour in known) - self.hours - 1
+        for k in known:
+            if k[1] < oldest:
+                if k not in changed:
+                    self.times.removeKey(k)
+            elif k in changed:
+                self.times.updateValue(k, changed[k])
+        out = came.assign(station=key[0], no_station=key[1], earlier=earlier, last=last, row=np.where(came["no_row"], 0, came["row"]))
+        yield out[RECURRENCE.names]
 
     def close(self) -> None:
         pass
 
 
-def recurrence_stream(alerts: DataFrame, hours: int = 72) -> DataFrame:
-    """correction.recurrence() on a stream of (station_id, row_id, ts, anomaly_type, sensors)."""
-    alerts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return alerts.select("station_id", "row_id", "ts", "anomaly_type", "sensors").groupBy("station_id").transformWithStateInPandas(RecurrenceProcessor(hours), RECURRENCE, "Append", "None")
+def before(times: np.ndarray, ids: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """How many of (times, ids), in order, come before each (at, row)."""
+    low, high = np.searchsorted(times, at, "left"), np.searchsorted(times, at, "right")
+    return low + np.array([np.searchsorted(ids[a:b], r, "left") if b > a else 0 for a, b, r in zip(low.tolist(), high.tolist(), row.tolist(), strict=True)], np.int64).reshape(len(at))
 
 
-def quality_batches(stored: Callable[[], DataFrame], sink: Callable[[DataFrame, int], None], back: str = "2 days", fences: Callable[[], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: quality control of a batch's stations over the stored history from `back` before the
-    batch on. stored() gives all readings so far, the batch's among them; sink gets the flagged rows of that span.
+def kinds_alike(a: str, b: str) -> bool:
+    """Whether two kinds (JSON of type and sensors) share their type or a sensor; nulls are like nothing."""
+    (type_a, sensors_a), (type_b, sensors_b) = (((x := json.loads(k)).get("anomaly_type"), set(filter(None, x.get("sensors") or []))) for k in (a, b))
+    return type_a is not None and type_a == type_b or bool(sensors_a & sensors_b)
 
-    IQR fences are those of the whole history: fences() reads them from a table that is kept up to date elsewhere
-    (statistical.fences() makes it); without it each batch makes them anew.
-    """
 
-    def run(batch: DataFrame, number: int) -> None:
-        from skygauge.functions.config import StatisticalThresholds
-        from skygauge.operators import statistical
-        from skygauge.plans.telemetry import quality_control
-
-        span = batch.agg(F.min("ts").alias("t")).first()["t"]
-        if span is None:
-            return
-        stations = batch.select("station_id").distinct()
-        own = stored().join(stations, "station_id", "left_semi")
-        known = fences() if fences else statistical.fences(own, StatisticalThresholds())
-        recent = own.where(F.col("ts") >= F.lit(span) - F.expr(f"INTERVAL {back}"))
-        sink(quality_control(recent, fences=known).where(F.col("ts") >= F.lit(span)), number)
-
-    return run
+def recurrence_stream(alerts: DataFrame, hours: int = 72) -> DataFrame:
+    """correction.recurrence() on a stream of (station_id, row_id, ts, anomaly_type, sensors), which come in order; any of them may be null. An alert without a
+    time isn't given."""
+    kind = F.to_json(F.struct("anomaly_type", "sensors"), {"ignoreNullFields": "false"}).alias("kind")
+    keyed = _keyed(alerts.where("ts IS NOT NULL"), "anomaly_type", kind).drop("ts")
+    found = _named(keyed.groupBy(*STATION).transformWithStateInPandas(RecurrenceProcessor(hours), RECURRENCE, "Append", "None"))
+    return found.withColumn("historical_context", context(F.col("earlier"), F.timestamp_micros("last"), hours)).drop("last")
