@@ -198,6 +198,7 @@ class RecurrenceProcessor(StatefulProcessor):
             at, row = known.get((kind, hour), ([], []))
             order = np.lexsort((np.r_[np.array(row, np.int64), own["row"]], np.r_[np.array(at, np.int64), own["at"]]))
             changed[kind, int(hour)] = np.r_[np.array(at, np.int64), own["at"]][order].tolist(), np.r_[np.array(row, np.int64), own["row"]][order].tolist()
+        kept = set(known)
         known |= changed
         by_kind: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
         for (kind, _), (at, row) in sorted(known.items(), key=lambda x: x[0][1]):
@@ -215,7 +216,7 @@ class RecurrenceProcessor(StatefulProcessor):
         oldest = max(hour for _, hour in known) - self.hours - 1
         for k in known:
             if k[1] < oldest:
-                if k not in changed:
+                if k in kept:
                     self.times.removeKey(k)
             elif k in changed:
                 self.times.updateValue(k, changed[k])

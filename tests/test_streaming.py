@@ -5,11 +5,11 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from skygauge.functions.config import StatisticalThresholds
-from skygauge.operators import correction, kalman, statistical
+from skygauge.functions.config import CHANNELS, StatisticalThresholds
+from skygauge.operators import clean, correction, kalman, statistical
 from skygauge.plans import telemetry
 from skygauge.sources import synthetic
-from skygauge.streaming import live
+from skygauge.streaming import live, lookahead
 
 
 @pytest.fixture
@@ -66,16 +66,45 @@ def test_copies_within_the_delay_are_dropped(spark, tmp_path, stored):
     assert twice.count() > 50 and out.count() == out.distinct().count() == 288
 
 
-def test_batches_flag_as_the_whole_history_does(spark, stored):
+def test_a_stream_of_chunks_is_flagged_and_filled_as_the_whole_history(spark, tmp_path, stored):
+    """A spike at the border of two batches; nothing is given twice when a batch is run again."""
     path, df = stored
-    odd = df.withColumn("temperature", F.when(F.col("row_id") == 100, F.col("temperature") + 40).otherwise(F.col("temperature")))
-    whole = telemetry.quality_control(odd).where("row_id >= 72")
-    flags = [c for c in whole.columns if c.startswith(("flag_", "is_")) or c.endswith("_cleaned")]
-    expected = sorted(map(tuple, whole.select("station_id", "row_id", *flags).collect()))
-    table = statistical.fences(odd, StatisticalThresholds())
-    for fences in (None, lambda: table):
-        seen = []
-        run = live.quality_batches(lambda: odd, lambda out, n: seen.extend(out.select("station_id", "row_id", *flags).collect()), back="9 hours", fences=fences)
-        run(odd.where("row_id >= 72"), 0)
-        assert sorted(map(tuple, seen)) == expected and any(r.flag_temperature_iqr_outlier for r in seen)
-        run(odd.where("false"), 1)
+    odd = df.withColumn("temperature", F.when(F.col("row_id").isin(71, 72, 100), F.col("temperature") + 40).otherwise(F.col("temperature")))
+    clock = df.limit(1).withColumns({"station_id": F.lit(-1), "ts": F.col("ts") + F.expr("INTERVAL 90 DAYS")})
+    for i, part in enumerate((odd.where("row_id < 72"), odd.where("row_id >= 72"), clock)):
+        part.select(*live.READINGS.names).coalesce(1).write.mode("append").parquet(f"{tmp_path}/readings")
+    whole = telemetry.quality_control(odd)
+    flags = [c for c in whole.columns if c.startswith(("flag_", "is_"))]
+    fences = statistical.fences(odd, StatisticalThresholds())
+
+    def keep(out, n):
+        for _ in range(2):
+            out.write.mode("overwrite").parquet(f"{tmp_path}/flagged/batch={n}")
+
+    chunks = lookahead.released(live.read_stream(spark, f"{tmp_path}/readings", files_per_trigger=1), close_after="1 day")
+    chunks.writeStream.foreachBatch(lookahead.flag_batches(keep, lambda: fences)).option("checkpointLocation", f"{tmp_path}/s1").trigger(availableNow=True).start().awaitTermination()
+    flagged = spark.read.parquet(f"{tmp_path}/flagged").where("station_id >= 0")
+    key = lambda d, *c: sorted(map(tuple, d.select("station_id", "row_id", *c).collect()))
+    assert key(flagged, *flags) == key(whole, *flags) and flagged.where("flag_temperature_spike").count() >= 2
+    for i in range(2):
+        flagged.where(F.col("rn") > 100 if i else F.col("rn") <= 100).select("station_id", "row_id", "ts", *CHANNELS, *clean.VALID, "rn").coalesce(1).write.mode("append").parquet(f"{tmp_path}/f")
+    schema = spark.read.parquet(f"{tmp_path}/f").schema
+    clock.withColumns({c: F.lit(True) for c in clean.VALID} | {"rn": F.lit(1).cast("long")}).select(*schema.names).coalesce(1).write.mode("append").parquet(f"{tmp_path}/f")
+    finish(lookahead.filled(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/f"), close_after="1 day"), tmp_path)
+    cleaned = [f"{c}_cleaned" for c in CHANNELS]
+    assert key(spark.read.parquet(f"{tmp_path}/out").where("station_id >= 0"), *cleaned) == key(whole, *cleaned)
+
+
+def test_checks_come_by_a_stream_of_their_own(spark, tmp_path, stored):
+    path, df = stored
+    checks = df.where("row_id % 20 = 0").select("station_id", "row_id", (F.col("ts") + F.expr("INTERVAL 10 MINUTES")).alias("ts"), *((F.col(c) - 0.5).alias(c) for c in CHANNELS))
+    end = lambda d: d.limit(1).withColumns({"station_id": F.lit(-1), "ts": F.col("ts") + F.expr("INTERVAL 9 DAYS")})
+    for part in (df, end(df)):
+        part.select(*live.READINGS.names).coalesce(1).write.mode("append").parquet(f"{tmp_path}/r")
+    for part in (checks, end(checks)):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/c")
+    read = lambda name, schema: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}")
+    finish(live.track_stream(live.with_references(read("r", live.READINGS), read("c", checks.schema)), watermarked=True), tmp_path)
+    got = live.latest(spark.read.parquet(f"{tmp_path}/out").where("station_id >= 0")).orderBy("station_id", "rn").toPandas()
+    expected = kalman.track(df, checks).orderBy("station_id", "rn").toPandas()
+    assert len(got) == len(expected) == 288 and all((got[c] - expected[c]).abs().max() < 1e-8 for c in ("temperature_bias", "pressure_true", "nis"))
