@@ -113,3 +113,10 @@ def incidents(df: DataFrame) -> DataFrame:
 def top_incidents(log: DataFrame, n: int = 25) -> DataFrame:
     """The first n incidents: a limit is what this is for."""
     return log.orderBy("ts", "row_id", "seq").limit(n)
+
+
+def roll_up(df: DataFrame) -> DataFrame:
+    """Readings and faults by station and sensor, by station, and in all: level says which (0, 1, 3 as in grouping_id), keys that were rolled up are null."""
+    parts = [F.struct(F.lit(c).alias("sensor"), F.col(flag(c, "missing")).alias("missing"), any_of([F.col(x) for x in COUNTED[c]]).alias("physics"), F.col(flag(c, "stat_anomaly")).alias("statistical")) for c in CHANNELS]
+    cells = df.select("station_id", F.inline(F.array(*parts)))
+    return cells.rollup("station_id", "sensor").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("readings"), F.count_if("missing").alias("missing"), F.count_if("physics").alias("physics"), F.count_if("statistical").alias("statistical"))

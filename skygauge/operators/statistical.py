@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skygauge.functions.config import CHANNELS, StatisticalThresholds
+from skygauge.operators import quantiles
 from skygauge.operators.physics import any_of, sure
 from skygauge.plans import chunks
 
@@ -32,10 +33,9 @@ def present(channel: str, limits: StatisticalThresholds) -> Column:
 def fences(df: DataFrame, limits: StatisticalThresholds, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
     """A row a station: q1, q3, lower and upper of each channel.
 
-    percentile() is exact and keeps a count for each distinct value, of which a sensor's
-    resolution leaves few, however long the history is.
+    Quartiles are exact, linear between neighbours, whatever the resolution and length of the history.
     """
-    quartiles = df.groupBy("station_id").agg(*(F.percentile(present(c, limits), F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in channels))
+    quartiles = quantiles.exact(df, ["station_id"], {c: present(c, limits) for c in channels}, (0.25, 0.75))
     out = [F.col("station_id")]
     for c in channels:
         q1, q3 = F.col(c)[0], F.col(c)[1]

@@ -158,6 +158,19 @@ def statistical_counts(spark: SparkSession, d: str) -> DataFrame:
     return report.statistical_counts(_flagged(spark, d))
 
 
+@query
+def quality_roll_up(spark: SparkSession, d: str) -> DataFrame:
+    return report.roll_up(_flagged(spark, d))
+
+
+@query
+def readings_json(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of one JSON array of all readings, read back, and whether each has its bracket or comma."""
+    lines = sinks.json_parts(readings.from_events(spark, d).select(*KEYS, *CHANNELS))
+    record = F.regexp_replace("line", r"^[\[,]|\]$", "")
+    return lines.select(*(F.get_json_object(record, f"$.{c}").cast(kind).alias(c) for c, kind in (("station_id", "int"), ("row_id", "long"), *((c, "double") for c in CHANNELS))), F.substring("line", 1, 1).isin("[", ",").alias("marked"))
+
+
 @query
 def overall_quality(spark: SparkSession, d: str) -> DataFrame:
     df = _flagged(spark, d)
@@ -414,14 +427,6 @@ def health_shades(spark: SparkSession, d: str) -> DataFrame:
     return serving.shaded(_health(spark, d)).select("station_id", "sensor", "health_score", "current_bias", "shade", "bias_highlighted")
 
 
-@query
-def tracking_export(spark: SparkSession, d: str) -> DataFrame:
-    """The tracking table of a drift experiment without noise."""
-    made = _calm_drift(spark, "step_jump")
-    found = sinks.tracking_table(kalman.track(made["observed"], made["references"]), made)
-    return found.select(*KEYS, F.unix_micros("timestamp").alias("timestamp"), *_rounded(5, *(c for c in found.columns if c not in (*KEYS, "timestamp", "nis"))), F.round("nis", 3).alias("nis"))
-
-
 def _injected(kind: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         c = injection.known(kind).channel
@@ -434,11 +439,22 @@ def _injected(kind: str) -> Query:
 QUERIES |= {f"inject_{k}": _injected(k) for k in injection.INJECTIONS}
 
 
+#: Experiments whose truth is the readings themselves: their drift without noise, and with it. All take five days, however long the history is.
+CALM = synthetic.WeatherConfig(days=5.0, inject=False, noise=0.0, noon_minutes=60)
+NOISY = synthetic.WeatherConfig(days=5.0, inject=False, noon_minutes=60)
+
+
+def _axis(spark: SparkSession, d: str) -> DataFrame:
+    return synthetic.axis_of(readings.from_events(spark, d))
+
+
+def _experiment(spark: SparkSession, d: str, scenario: str, config: synthetic.WeatherConfig = CALM) -> dict[str, DataFrame]:
+    return synthetic.experiment(stored(_axis(spark, d)), scenario, config)
+
+
 def _drift(scenario: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        config = synthetic.WeatherConfig(inject=False)
-        found = synthetic.biases(synthetic.axis(spark, config), scenario, config)
-        return found.select("row_id", *_rounded(6, *(f"{c}_true_bias" for c in CHANNELS)))
+        return synthetic.biases(_axis(spark, d), scenario, NOISY).select(*KEYS, *_rounded(6, *(f"{c}_true_bias" for c in CHANNELS)))
 
     return run
 
@@ -447,42 +463,51 @@ QUERIES |= {"drift_ramp": _drift("linear_ramp"), "drift_step": _drift("step_jump
 
 
 @query
-def synthetic_readings(spark: SparkSession, d: str) -> DataFrame:
-    return synthetic.weather(spark)
+def drift_multi_fault_without_noise(spark: SparkSession, d: str) -> DataFrame:
+    return synthetic.biases(_axis(spark, d), "multi_fault", CALM).select(*KEYS, *_rounded(6, *(f"{c}_true_bias" for c in CHANNELS)))
 
 
-CALM = synthetic.WeatherConfig(noise=0.0)
+@query
+def synthetic_readings(spark: SparkSession, d: str) -> DataFrame:
+    """The generator's weather, with noise and faults, at the stations and times of the readings."""
+    return synthetic.weather(spark, on=_axis(spark, d))
 
 
 @query
 def synthetic_without_noise(spark: SparkSession, d: str) -> DataFrame:
-    """The generator's cycles and injected faults, with its noise switched off."""
-    return synthetic.weather(spark, CALM).select(*KEYS, F.unix_micros("ts").alias("ts"), *_rounded(6, *CHANNELS))
-
-
-def _calm_drift(spark: SparkSession, scenario: str) -> dict[str, DataFrame]:
-    return synthetic.drift(spark, scenario, synthetic.WeatherConfig(days=5.0, inject=False, noise=0.0))
+    """The generator's cycles and injected faults at the stations and times of the readings, with its noise switched off."""
+    made = synthetic.weather(spark, synthetic.WeatherConfig(noise=0.0), stored(_axis(spark, d)))
+    return made.select(*KEYS, F.unix_micros("ts").alias("ts"), *_rounded(6, *CHANNELS))
 
 
 @query
 def drift_observed_without_noise(spark: SparkSession, d: str) -> DataFrame:
     """Two faults at once, without noise: truth with bias, the bias, and the references at noon."""
-    made = _calm_drift(spark, "multi_fault")
-    noon = made["references"].select("row_id", *(F.round(c, 6).alias(f"{c}_reference") for c in CHANNELS))
-    bias = made["biases"].select("row_id", *_rounded(6, *(f"{c}_true_bias" for c in CHANNELS)))
-    return made["observed"].select(*KEYS, *_rounded(6, *CHANNELS)).join(bias, "row_id").join(noon, "row_id")
+    made = _experiment(spark, d, "multi_fault")
+    noon = made["references"].select(*KEYS, *(F.round(c, 6).alias(f"{c}_reference") for c in CHANNELS))
+    bias = made["biases"].select(*KEYS, *_rounded(6, *(f"{c}_true_bias" for c in CHANNELS)))
+    return made["observed"].select(*KEYS, *_rounded(6, *CHANNELS)).join(bias, list(KEYS)).join(noon, list(KEYS))
 
 
 @query
 def drift_evaluation_without_noise(spark: SparkSession, d: str) -> DataFrame:
-    made = _calm_drift(spark, "step_jump")
+    made = _experiment(spark, d, "step_jump")
     found = kalman.evaluation(kalman.track(made["observed"], made["references"]), made["true"], made["biases"])
     return found.select(*KEYS[:1], "sensor", *_rounded(4, *(x for x in found.columns if x not in ("station_id", "sensor"))))
 
 
+@query
+def tracking_export(spark: SparkSession, d: str) -> DataFrame:
+    """The tracking table of a step without noise."""
+    made = _experiment(spark, d, "step_jump")
+    found = sinks.tracking_table(kalman.track(made["observed"], made["references"]), made)
+    return found.select(*KEYS, F.unix_micros("timestamp").alias("timestamp"), *_rounded(5, *(c for c in found.columns if c not in (*KEYS, "timestamp", "nis"))), F.round("nis", 3).alias("nis"))
+
+
 @query
 def synthetic_faults(spark: SparkSession, d: str) -> DataFrame:
-    return synthetic.faults(spark)
+    """Where the generator puts its faults in each station's readings."""
+    return synthetic.faults_on(_axis(spark, d))
 
 
 @query
@@ -490,7 +515,7 @@ def drift_evaluation(spark: SparkSession, d: str) -> DataFrame:
     """Errors of tracking in the three published scenarios, raw and filtered."""
     parts = []
     for scenario in synthetic.SCENARIOS[:3]:
-        made = synthetic.drift(spark, scenario, synthetic.WeatherConfig(days=5.0, inject=False))
+        made = _experiment(spark, d, scenario, NOISY)
         parts.append(kalman.evaluation(kalman.track(made["observed"], made["references"]), made["true"], made["biases"]).withColumn("scenario", F.lit(scenario)))
     return reduce(DataFrame.unionByName, parts)
 

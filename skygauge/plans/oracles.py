@@ -306,42 +306,50 @@ for _c in CHANNELS:
 LOG = S + """,
 l AS (""" + " UNION ALL ".join(f"SELECT station_id, row_id, ts, {i} AS seq, '{sensor}' AS sensor, {observed} AS observed, {cat} AS category, '{rule}' AS rule, {text} AS description FROM s WHERE {f}" for i, (f, sensor, cat, rule, observed, text) in enumerate(_LOG)) + ")"
 
-#: The generator without noise: axis, cycles, faults. n is a row number from 0, d the days since the start.
-def calm(steps: int) -> str:  # noqa: E302
-    return f"""
-g0 AS (SELECT row_id, TIMESTAMP '2026-01-01' + row_id * INTERVAL 5 MINUTE AS ts, row_id * (5 / 1440.0::DOUBLE) AS d, (hour(TIMESTAMP '2026-01-01' + row_id * INTERVAL 5 MINUTE) + minute(TIMESTAMP '2026-01-01' + row_id * INTERVAL 5 MINUTE) / 60.0)::DOUBLE AS h FROM range({steps}) AS t(row_id)),
+#: Readings with their place in the station, from 0, and the station's number of rows.
+X = R + """,
+x AS (SELECT *, rn - 1 AS place, count(*) OVER (PARTITION BY station_id) AS steps FROM n)"""
+#: The generator without noise at the times of readings: cycles, then faults. d is days since the first of the year.
+CALM = X + """,
+g0 AS (SELECT station_id, row_id, ts, place, steps, epoch_us(ts - TIMESTAMP '2026-01-01') / 86400e6 AS d, (hour(ts) + minute(ts) / 60.0)::DOUBLE AS h FROM x),
 g1 AS (SELECT *, 22.0 + 8.0 * cos((h - 14.0) * 2.0 * pi() / 24.0) + 3.0 * sin(2.0 * pi() * d / 3.5) AS t, 1013.25 + 12.0 * cos(2.0 * pi() * d / 4.0) + 1.2 * sin(4.0 * pi() * (h - 9.0) / 24.0) AS p FROM g0),
 g2 AS (SELECT *, least(14.0 + 2.0 * sin(2.0 * pi() * d / 2.0), t - 1.5) AS td FROM g1),
-g AS (SELECT 0 AS station_id, row_id, ts, t AS temperature, p AS pressure, least(98.0, greatest(10.0, 100.0 * (6.112 * exp(17.67 * td / (td + 243.5))) / (6.112 * exp(17.67 * t / (t + 243.5))))) AS humidity,
+g AS (SELECT station_id, row_id, ts, place, steps, t AS temperature, p AS pressure, least(98.0, greatest(10.0, 100.0 * (6.112 * exp(17.67 * td / (td + 243.5))) / (6.112 * exp(17.67 * t / (t + 243.5))))) AS humidity,
   least(35.0, greatest(0.0, 5.5 * pow(-ln(0.5::DOUBLE), 0.5) * (1.0 + 0.4 * greatest(0.0, sin((h - 8.0) * pi() / 12.0))))) AS wind_speed FROM g2)"""
-
-
-#: Rows of each injected fault among 2016, as (first, number).
-_AT = {"t_gap": (161, 3), "p_gap": (504, 5), "rh_high": (302, 1), "rh_low": (907, 1), "w_low": (705, 1), "w_high": (1310, 1), "t_high": (1451, 1), "p_low": (1774, 1), "t_spike": (1048, 1), "p_spike": (1209, 1), "held": (1612, 17)}
-_IN = {k: f"row_id BETWEEN {a} AND {a + n - 1}" for k, (a, n) in _AT.items()}
-FAULTY = "WITH " + calm(2016).lstrip() + f""" SELECT station_id, row_id, epoch_us(ts) AS ts,
-  round(CASE WHEN {_IN['held']} THEN (SELECT temperature FROM g WHERE row_id = 1612) WHEN {_IN['t_gap']} THEN -999.0 WHEN {_IN['t_high']} THEN 78.5 WHEN {_IN['t_spike']} THEN temperature + 14.0 ELSE temperature END, 6) AS temperature,
+#: Each injected fault as (place, rows, sensor, type, description).
+_FAULTS = {"t_gap": (0.08, 3, "temperature", "MISSING", "Sentinel -999.0"), "p_gap": (0.25, 5, "pressure", "MISSING", "Sensor dropout NaN gap"), "rh_high": (0.15, 1, "humidity", "PHYSICS_VIOLATION", "RH exceeds 100% (118.5%)"),
+    "rh_low": (0.45, 1, "humidity", "PHYSICS_VIOLATION", "Negative RH (-12%)"), "w_low": (0.35, 1, "wind_speed", "PHYSICS_VIOLATION", "Negative wind speed (-4.5 m/s)"), "w_high": (0.65, 1, "wind_speed", "PHYSICS_VIOLATION", "Extreme unphysical wind speed (108 m/s)"),
+    "t_high": (0.72, 1, "temperature", "PHYSICS_VIOLATION", "Climatological high temperature (78.5°C)"), "p_low": (0.88, 1, "pressure", "PHYSICS_VIOLATION", "Pressure below physical surface limits (720 hPa)"),
+    "t_spike": (0.52, 1, "temperature", "SPIKE", "Transient +14°C spike"), "p_spike": (0.60, 1, "pressure", "SPIKE", "Step spike in pressure (+9.5 hPa)"), "held": (0.80, 17, "temperature", "STUCK", "Frozen temperature sensor for 16 intervals")}
+_AT = lambda k: f"floor(steps * {_FAULTS[k][0]}::DOUBLE)"
+_IN = {k: f"(steps > 200 AND place BETWEEN {_AT(k)} AND {_AT(k)} + {f[1] - 1})" for k, f in _FAULTS.items()}
+FAULTY = "WITH " + CALM.lstrip() + f""", held AS (SELECT station_id, temperature AS held FROM g WHERE place = {_AT('held')}) SELECT station_id, row_id, epoch_us(ts) AS ts,
+  round(CASE WHEN {_IN['held']} THEN held WHEN {_IN['t_gap']} THEN -999.0 WHEN {_IN['t_high']} THEN 78.5 WHEN {_IN['t_spike']} THEN temperature + 14.0 ELSE temperature END, 6) AS temperature,
   round(CASE WHEN {_IN['p_gap']} THEN NULL WHEN {_IN['p_low']} THEN 720.0 WHEN {_IN['p_spike']} THEN pressure + 9.5 ELSE pressure END, 6) AS pressure,
   round(CASE WHEN {_IN['rh_high']} THEN 118.5 WHEN {_IN['rh_low']} THEN -12.0 ELSE humidity END, 6) AS humidity,
-  round(CASE WHEN {_IN['w_low']} THEN -4.5 WHEN {_IN['w_high']} THEN 108.0 ELSE wind_speed END, 6) AS wind_speed FROM g"""
-FAULT_ROWS = """SELECT * FROM (VALUES (161, 'temperature', 'MISSING', 'Sentinel -999.0'), (504, 'pressure', 'MISSING', 'Sensor dropout NaN gap'), (302, 'humidity', 'PHYSICS_VIOLATION', 'RH exceeds 100% (118.5%)'),
-  (907, 'humidity', 'PHYSICS_VIOLATION', 'Negative RH (-12%)'), (705, 'wind_speed', 'PHYSICS_VIOLATION', 'Negative wind speed (-4.5 m/s)'), (1310, 'wind_speed', 'PHYSICS_VIOLATION', 'Extreme unphysical wind speed (108 m/s)'),
-  (1451, 'temperature', 'PHYSICS_VIOLATION', 'Climatological high temperature (78.5°C)'), (1774, 'pressure', 'PHYSICS_VIOLATION', 'Pressure below physical surface limits (720 hPa)'), (1048, 'temperature', 'SPIKE', 'Transient +14°C spike'),
-  (1209, 'pressure', 'SPIKE', 'Step spike in pressure (+9.5 hPa)'), (1612, 'temperature', 'STUCK', 'Frozen temperature sensor for 16 intervals')) AS t(idx, sensor, type, "desc")"""
-_MULTI = {"temperature": "0.3 * (row_id * (5.0::DOUBLE / 1439))", "pressure": "CASE WHEN row_id >= 720 THEN -2.5 ELSE 0.0 END::DOUBLE", "humidity": "0.0::DOUBLE", "wind_speed": "0.0::DOUBLE"}
-_STEP = {"temperature": "CASE WHEN row_id >= 604 THEN 2.2 ELSE 0.0 END::DOUBLE", "pressure": "CASE WHEN row_id >= 604 THEN -3.0 ELSE 0.0 END::DOUBLE", "humidity": "CASE WHEN row_id >= 604 THEN 6.5 ELSE 0.0 END::DOUBLE", "wind_speed": "0.0::DOUBLE"}
+  round(CASE WHEN {_IN['w_low']} THEN -4.5 WHEN {_IN['w_high']} THEN 108.0 ELSE wind_speed END, 6) AS wind_speed FROM g JOIN held USING (station_id)"""
+FAULT_ROWS = f"WITH {X.lstrip()} " + " UNION ALL ".join(f"SELECT DISTINCT station_id, {_AT(k)}::INT AS idx, '{f[2]}' AS sensor, '{f[3]}' AS type, '{f[4]}' AS \"desc\" FROM x WHERE steps > 200" for k, f in _FAULTS.items())
+_DAYS = "(place * (5.0::DOUBLE / greatest(1, steps - 1)))"
+_LATER = lambda share: f"place >= floor(steps * {share}::DOUBLE)"
+_RAMP = {c: f"{k}::DOUBLE * {_DAYS}" for c, k in {"temperature": 0.25, "pressure": -0.40, "humidity": 0.80, "wind_speed": 0.15}.items()}
+_MULTI = {"temperature": f"0.3::DOUBLE * {_DAYS}", "pressure": f"CASE WHEN {_LATER(0.5)} THEN -2.5 ELSE 0.0 END::DOUBLE", "humidity": "0.0::DOUBLE", "wind_speed": "0.0::DOUBLE"}
+_STEP = {c: f"CASE WHEN {_LATER(0.42)} THEN {k} ELSE 0.0 END::DOUBLE" for c, k in {"temperature": 2.2, "pressure": -3.0, "humidity": 6.5, "wind_speed": 0.0}.items()}
+
+
+def biased(bias: dict[str, str]) -> str:
+    return f"WITH {X.lstrip()} SELECT station_id, row_id, " + ", ".join(f"round({x}, 6) AS {c}_true_bias" for c, x in bias.items()) + " FROM x"
 
 
 def seen(bias: dict[str, str]) -> str:
     """Each channel with its bias, where the instrument can show it."""
     shown = {c: f"{c} + {bias[c]}" for c in CHANNELS}
-    shown |= {"humidity": f"least(100.0, greatest(0.0, {shown['humidity']}))", "wind_speed": f"greatest(0.0, {shown['wind_speed']})"}
-    return ", ".join(f"{x} AS z_{c}, {bias[c]} AS tb_{c}, CASE WHEN hour(ts) = 12 AND minute(ts) = 0 THEN {c} END AS ref_{c}" for c, x in shown.items())
+    shown |= {"humidity": f"least(100.0, greatest(0.0, {shown['humidity']}))", "wind_speed": f"CASE WHEN wind_speed IS NOT NULL THEN greatest(0.0, {shown['wind_speed']}) END"}
+    return ", ".join(f"{x} AS z_{c}, {bias[c]} AS tb_{c}, CASE WHEN hour(ts) = 12 THEN {c} END AS ref_{c}" for c, x in shown.items())
 
 
-CALM_DRIFT = "WITH " + calm(1440).lstrip() + f""" SELECT station_id, row_id, {each("round(z_{c}, 6) AS {c}, round(tb_{c}, 6) AS {c}_true_bias, round(ref_{c}, 6) AS {c}_reference")} FROM (SELECT *, {seen(_MULTI)} FROM g)"""
-EVALUATED = kalman(calm(1440) + f""",
-t AS (SELECT station_id, row_id, row_id + 1 AS rn, 5.0::DOUBLE AS dt, {each("{c} AS truth_{c}, z_{c} AS {c}, tb_{c}, ref_{c}")} FROM (SELECT *, {seen(_STEP)} FROM g))""", True) + ",\n" + "ev AS (" + " UNION ALL ".join(
+CALM_DRIFT = "WITH " + X.lstrip() + f""" SELECT station_id, row_id, {each("round(z_{c}, 6) AS {c}, round(tb_{c}, 6) AS {c}_true_bias, round(ref_{c}, 6) AS {c}_reference")} FROM (SELECT *, {seen(_MULTI)} FROM x)"""
+EVALUATED = kalman(X + f""",
+t AS (SELECT station_id, row_id, ts, rn, CASE WHEN sec > 0 THEN greatest(0.1, sec / 60.0) ELSE 5.0 END::DOUBLE AS dt, {each("{c} AS truth_{c}, z_{c} AS {c}, tb_{c}, ref_{c}")} FROM (SELECT *, epoch_us(ts - lag(ts) OVER ({O})) / 1e6 AS sec, {seen(_STEP)} FROM x))""", True) + ",\n" + "ev AS (" + " UNION ALL ".join(
     f"SELECT ks.station_id, sensor, ks.rn, {c} AS z, v AS x, truth_{c} AS t, b, tb_{c} AS tb FROM ks JOIN t USING (station_id, rn) WHERE sensor = '{c}'" for c in CHANNELS) + """)
 SELECT station_id, sensor, round(raw_rmse, 4) AS raw_rmse, round(filtered_rmse, 4) AS filtered_rmse, round(bias_rmse, 4) AS bias_rmse, round(true_final_bias, 4) AS true_final_bias, round(estimated_final_bias, 4) AS estimated_final_bias,
   round(100.0 * (raw_rmse - filtered_rmse) / nullif(raw_rmse, 0), 4) AS reduction_percent
@@ -356,7 +364,6 @@ _ODD = " OR ".join([*FLAGS, *(f"flag_{c}_{k}" for c in CHANNELS for k in KINDS[1
 
 CELLS = lambda kind: each("flag_{c}_" + kind)
 KEYS = "station_id, row_id"
-DRIFT_AXIS = "FROM range(2016) AS t(row_id)"
 
 ORACLES: dict[str, str] = {
     "readings": f"WITH {R} SELECT station_id, row_id, {ALL} FROM r",
@@ -403,8 +410,9 @@ ORACLES: dict[str, str] = {
     "inject_rh_violation": f"WITH {R} SELECT {KEYS}, CASE WHEN rn = 50 THEN 122.0 ELSE humidity END AS humidity_raw, CASE WHEN rn = 50 THEN 122.0 ELSE humidity END AS humidity_corrected, rn = 50 AS is_anomaly, CASE WHEN rn = 50 THEN 'CRITICAL' ELSE 'NORMAL' END AS anomaly_severity FROM n",
     "inject_wind_negative": f"WITH {R} SELECT {KEYS}, CASE WHEN rn = 50 THEN -6.5 ELSE wind_speed END AS wind_speed_raw, CASE WHEN rn = 50 THEN -6.5 ELSE wind_speed END AS wind_speed_corrected, rn = 50 AS is_anomaly, CASE WHEN rn = 50 THEN 'WARNING' ELSE 'NORMAL' END AS anomaly_severity FROM n",
     "inject_bias_jump": f"WITH {R} SELECT {KEYS}, CASE WHEN rn BETWEEN 50 AND 70 THEN pressure + 8 ELSE pressure END AS pressure_raw, pressure AS pressure_corrected, rn BETWEEN 50 AND 70 AS is_anomaly, CASE WHEN rn BETWEEN 50 AND 70 THEN 'CRITICAL' ELSE 'NORMAL' END AS anomaly_severity FROM n",
-    "drift_ramp": f"SELECT row_id, round(0.25 * row_id * 7.0 / 2015, 6)::DOUBLE AS temperature_true_bias, round(-0.40 * row_id * 7.0 / 2015, 6)::DOUBLE AS pressure_true_bias, round(0.80 * row_id * 7.0 / 2015, 6)::DOUBLE AS humidity_true_bias, round(0.15 * row_id * 7.0 / 2015, 6)::DOUBLE AS wind_speed_true_bias {DRIFT_AXIS}",
-    "drift_step": f"SELECT row_id, CASE WHEN row_id >= 846 THEN 2.2 ELSE 0 END::DOUBLE AS temperature_true_bias, CASE WHEN row_id >= 846 THEN -3.0 ELSE 0 END::DOUBLE AS pressure_true_bias, CASE WHEN row_id >= 846 THEN 6.5 ELSE 0 END::DOUBLE AS humidity_true_bias, 0::DOUBLE AS wind_speed_true_bias {DRIFT_AXIS}",
+    "drift_ramp": biased(_RAMP),
+    "drift_step": biased(_STEP),
+    "drift_multi_fault_without_noise": biased(_MULTI),
     "stream_hourly_counts": f"WITH {P} SELECT epoch(date_trunc('hour', ts))::BIGINT AS window_start, station_id, count(*) AS readings, count(*) FILTER (WHERE flag_t_p_rh_physics_violation) AS thermo_violations, count(*) FILTER (WHERE flag_wind_physics_violation) AS wind_violations FROM p GROUP BY ALL",
     "fusion_with_detectors": f"WITH {DETECTED} SELECT {KEYS}, is_anomaly, anomaly_type, severity, confidence, affected_sensors, recommended_action, description, {near('ic', 3)} AS iforest_conf, {near('lc', 3)} AS lstm_conf FROM u",
     "alert_recurrence_over_log": f"WITH {RECURRENCE} SELECT {KEYS}, alert_seq, {ALERT_ID} AS alert_id, earlier, historical_context FROM rc WHERE day(ts) >= 16",
@@ -429,9 +437,11 @@ ORACLES["health_shades"] = f"WITH {HEALTH} SELECT station_id, sensor, {near('sco
 _SIDE = {"true_ground_truth": "truth", "observed_drifted": "z", "true_estimated": "v", "bias_ground_truth": "tb", "bias_estimated": "b", "true_ci95_lower": "v - 1.96 * sqrt(greatest(vv, 0))", "true_ci95_upper": "v + 1.96 * sqrt(greatest(vv, 0))",
     "bias_ci95_lower": "b - 1.96 * sqrt(greatest(bb, 0))", "bias_ci95_upper": "b + 1.96 * sqrt(greatest(bb, 0))", "innovation": "y", "post_fit_residual": "fit"}
 _FEW = ("true_ground_truth", "observed_drifted", "true_estimated", "bias_ground_truth", "bias_estimated", "post_fit_residual")
-_ROWS = " UNION ALL ".join(f"SELECT ks.*, {c} AS z, truth_{c} AS truth, tb_{c} AS tb FROM ks JOIN t USING (station_id, rn) WHERE sensor = '{c}'" for c in CHANNELS)
-ORACLES["tracking_export"] = EVALUATED[: EVALUATED.index("ev AS (")] + f"ex AS ({_ROWS}) SELECT station_id, rn - 1 AS row_id, any_value(1767225600000000 + (rn - 1) * 300000000) AS timestamp, " + ", ".join(
+_ROWS = " UNION ALL ".join(f"SELECT ks.*, t.row_id, t.ts, {c} AS z, truth_{c} AS truth, tb_{c} AS tb FROM ks JOIN t USING (station_id, rn) WHERE sensor = '{c}'" for c in CHANNELS)
+ORACLES["tracking_export"] = EVALUATED[: EVALUATED.index("ev AS (")] + f"ex AS ({_ROWS}) SELECT station_id, any_value(row_id) AS row_id, any_value(epoch_us(ts)) AS timestamp, " + ", ".join(
     f"max(CASE WHEN sensor = '{c}' THEN round({x}, 5) END) AS {short}_{k}" for c, short in (("temperature", "temp"), ("pressure", "pres"), ("humidity", "rh"), ("wind_speed", "wind")) for k, x in _SIDE.items() if c == "temperature" or k in _FEW) + ", round(sum(nis), 3) AS nis FROM ex GROUP BY station_id, rn"
 ORACLES["stream_kalman_late"], ORACLES["stream_kalman_references"], ORACLES["stream_cleaned"] = ORACLES["kalman_states"], ORACLES["kalman_with_references"], ORACLES["cleaned_dataset"]
 ORACLES["stream_alert_recurrence"] = f"WITH {RECURRENCE} SELECT {KEYS}, earlier, historical_context FROM rc"
 ORACLES["stream_flags"] = f"WITH {V} SELECT {KEYS}, {', '.join(CELLS(k) for k in ('missing', 'zscore_outlier', 'spike', 'stuck', 'iqr_outlier'))}, {each('is_valid_{c}')}, {each('is_valid_{c}', ' AND ')} AS is_all_valid FROM v"
+ORACLES["readings_json"] = f"WITH {R} SELECT station_id, row_id, {ALL}, TRUE AS marked FROM r"
+ORACLES["quality_roll_up"] = f"WITH {S}, cells AS (" + " UNION ALL ".join(f"SELECT station_id, '{c}' AS sensor, flag_{c}_missing AS m, ({_COUNTED[c]}) AS ph, flag_{c}_stat_anomaly AS st FROM s" for c in CHANNELS) + ") SELECT station_id, sensor, grouping_id(station_id, sensor)::BIGINT AS level, count(*) AS readings, count(*) FILTER (WHERE m) AS missing, count(*) FILTER (WHERE ph) AS physics, count(*) FILTER (WHERE st) AS statistical FROM cells GROUP BY ROLLUP (station_id, sensor)"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skygauge.plans.scratch import stored
+
 
 def flat(df: DataFrame, separator: str = ", ") -> DataFrame:
     """df as CSV can hold it: arrays of values joined, structs and arrays of structs as JSON."""
@@ -29,11 +31,33 @@ def to_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSS").json(path)
 
 
-def json_array(df: DataFrame) -> str:
-    """One JSON array of the records, for small results: it is gathered by the driver."""
+def json_parts(df: DataFrame) -> DataFrame:
+    """One JSON array of the records as lines of text (part, place, line), whose order makes it valid: `[` before the first record, a comma before
+    each other, `]` after the last. Records are dealt and ordered by nothing but where they are."""
+    records = df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS"}).alias("record"))
+    placed = stored(records.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}))
+    ends = placed.agg(F.min("place").alias("first"), F.max("place").alias("last")).first()
+    if ends["first"] is None:
+        return df.sparkSession.range(1).select(F.lit(0).alias("part"), F.col("id").alias("place"), F.lit("[]").alias("line"))
+    line = F.concat(F.when(F.col("place") == ends["first"], "[").otherwise(","), "record", F.when(F.col("place") == ends["last"], "]").otherwise(""))
+    return placed.select("part", "place", line.alias("line"))
+
+
+def to_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One JSON array in a folder of text files: put end to end in order of their names they are valid JSON. Each task writes its own part."""
+    parts = json_parts(df)
+    n = parts.agg(F.max("part")).first()[0] + 1
+    parts.repartitionByRange(n, "part", "place").sortWithinPartitions("place").select("line").write.mode(mode).text(path)
+
+
+def json_array(df: DataFrame, most: int = 10_000) -> str:
+    """One JSON array of up to `most` records, for reports; more are an error: to_json_array() writes any number."""
     import json
 
-    return json.dumps([json.loads(r) for r in df.toJSON().collect()], ensure_ascii=False, indent=2)
+    rows = df.limit(most + 1).toJSON().collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} records; write them with to_json_array()")
+    return json.dumps([json.loads(r) for r in rows], ensure_ascii=False, indent=2)
 
 
 def to_parquet(df: DataFrame, path: str, mode: str = "overwrite", by: tuple[str, ...] = ()) -> None:

@@ -1,4 +1,8 @@
-"""Synthetic weather with injected faults, and drift experiments, at any length and for any number of stations."""
+"""Synthetic weather with injected faults, and drift experiments, at any length and for any number of stations.
+
+A series runs along an axis: even steps (axis()), or the readings of a table (axis_of()), whose times, numbers and
+lengths it then has; an experiment can take those readings themselves for the truth.
+"""
 
 from __future__ import annotations
 
@@ -30,6 +34,8 @@ class WeatherConfig:
     seed: int = 42
     stations: int = 1
     noise: float = 1.0
+    #: Minutes of the hour of noon in which there are references.
+    noon_minutes: int = 1
 
     @property
     def steps(self) -> int:
@@ -69,14 +75,28 @@ def _uniform(seed: int, salt: int) -> Column:
 def axis(spark: SparkSession, config: WeatherConfig) -> DataFrame:
     n = config.steps
     ids = spark.range(n * config.stations).select(F.floor(F.col("id") / n).cast("int").alias("station_id"), (F.col("id") % n).alias("row_id"))
-    return ids.withColumn("ts", F.timestamp_seconds(F.unix_timestamp(F.lit(config.start)) + F.col("row_id") * config.minutes * 60))
+    timed = ids.withColumn("ts", F.timestamp_seconds(F.unix_timestamp(F.lit(config.start)) + F.col("row_id") * config.minutes * 60))
+    return timed.withColumns({"place": F.col("row_id"), "steps": F.lit(n)})
+
+
+def axis_of(readings: DataFrame) -> DataFrame:
+    """readings with place, the row's number in its station from 0, and steps, how many rows the station has."""
+    df = chunks.numbered(readings)
+    counts = df.groupBy(F.col("station_id").alias("_s")).agg(F.count("*").alias("steps"))
+    return df.join(counts, F.col("station_id").eqNullSafe(F.col("_s"))).withColumn("place", F.col("rn") - 1).drop("_s", "rn")
+
+
+AXIS = ("place", "steps")
+
 
+def weather(spark: SparkSession, config: WeatherConfig | None = None, on: DataFrame | None = None) -> DataFrame:
+    """Readings with daily and synoptic cycles, on an axis of their own or a given one; with faults if they are to be injected, in stations of more than 200 steps."""
+    return _weather(axis(spark, config or WeatherConfig()) if on is None else on.select("station_id", "row_id", "ts", *AXIS), config or WeatherConfig()).drop(*AXIS)
 
-def weather(spark: SparkSession, config: WeatherConfig | None = None) -> DataFrame:
-    """Readings with daily and synoptic cycles; with faults if they are to be injected and there are more than 200 steps."""
-    config = config or WeatherConfig()
-    df = axis(spark, config)
-    h, d, pi, s = F.hour("ts") + F.minute("ts") / 60.0, F.col("row_id") * (config.minutes / 1440.0), F.pi(), config.seed
+
+def _weather(df: DataFrame, config: WeatherConfig) -> DataFrame:
+    days = (F.unix_micros("ts") - F.unix_micros(F.lit(config.start).cast("timestamp"))) / 86_400e6
+    h, d, pi, s = F.hour("ts") + F.minute("ts") / 60.0, days, F.pi(), config.seed
     t = config.mean_temperature + config.daily_amplitude * F.cos((h - 14.0) * 2.0 * pi / 24.0) + 3.0 * F.sin(2.0 * pi * d / 3.5) + _normal(s, 1, 0.4 * config.noise)
     p = config.mean_pressure + config.synoptic_amplitude * F.cos(2.0 * pi * d / 4.0) + 1.2 * F.sin(4.0 * pi * (h - 9.0) / 24.0) + _normal(s, 2, 0.15 * config.noise)
     df = df.withColumns({"temperature": t, "pressure": p})
@@ -84,17 +104,17 @@ def weather(spark: SparkSession, config: WeatherConfig | None = None) -> DataFra
     rh = 100.0 * thermo.saturation_vapor_pressure(td) / thermo.saturation_vapor_pressure(F.col("temperature")) + _normal(s, 4, 0.5 * config.noise)
     wind = config.wind_scale * F.pow(-F.ln(1.0 - _even(s, 5, config.noise)), F.lit(1.0 / config.wind_shape)) * (1.0 + 0.4 * F.greatest(F.lit(0.0), F.sin((h - 8.0) * pi / 12.0)))
     df = df.withColumns({"humidity": thermo.clamp(rh, 10.0, 98.0), "wind_speed": thermo.clamp(wind, 0.0, 35.0)})
-    return inject_faults(df, config.steps) if config.inject and config.steps > 200 else df
+    return inject_faults(df) if config.inject else df
 
 
-def inject_faults(df: DataFrame, steps: int) -> DataFrame:
-    """df (row_id from 0) with FAULTS at their places. A held reading joins back by station: one row each."""
+def inject_faults(df: DataFrame) -> DataFrame:
+    """df (with place and steps) with FAULTS at their places, in stations of more than 200 steps. A held reading joins back by station: one row each."""
     for part, rows, channel, value, added, *_ in FAULTS:
-        at = int(steps * part)
-        here = F.col("row_id").between(at, at + rows - 1)
+        at = F.floor(F.col("steps") * F.lit(part))
+        here = (F.col("steps") > 200) & F.col("place").between(at, at + rows - 1)
         if value == "held":
-            first = df.where(F.col("row_id") == at).select(F.col("station_id").alias("_s"), F.col(channel).alias("_held"))
-            df = df.join(first, F.col("station_id") == F.col("_s"), "left").withColumn(channel, F.when(here, F.col("_held")).otherwise(F.col(channel))).drop("_s", "_held")
+            first = df.where(F.col("place") == at).select(F.col("station_id").alias("_s"), F.col(channel).alias("_held"))
+            df = df.join(first, F.col("station_id").eqNullSafe(F.col("_s")), "left").withColumn(channel, F.when(here, F.col("_held")).otherwise(F.col(channel))).drop("_s", "_held")
         else:
             new = F.lit(value).cast("double") if not added else F.col(channel) + value
             df = df.withColumn(channel, F.when(here, new).otherwise(F.col(channel)))
@@ -103,9 +123,14 @@ def inject_faults(df: DataFrame, steps: int) -> DataFrame:
 
 def faults(spark: SparkSession, config: WeatherConfig | None = None) -> DataFrame:
     """The injected faults: idx, sensor, type, desc."""
-    n = (config or WeatherConfig()).steps
-    rows = [(int(n * part), channel, kind, text) for part, _, channel, _, _, kind, text in FAULTS] if n > 200 else []
-    return spark.createDataFrame(rows, "idx int, sensor string, type string, desc string")
+    return faults_on(axis(spark, config or WeatherConfig()).where("station_id = 0")).drop("station_id")
+
+
+def faults_on(df: DataFrame) -> DataFrame:
+    """The faults of each station of an axis: station_id, idx, sensor, type, desc."""
+    stations = df.groupBy("station_id").agg(F.max("steps").alias("steps")).where("steps > 200")
+    rows = (F.struct(F.floor(F.col("steps") * F.lit(part)).cast("int").alias("idx"), F.lit(channel).alias("sensor"), F.lit(kind).alias("type"), F.lit(text).alias("desc")) for part, _, channel, _, _, kind, text in FAULTS)
+    return stations.select("station_id", F.inline(F.array(*rows)))
 
 
 #: Bias a day of a ramp, bias after a step and where it is, deviation a step of a random walk.
@@ -118,12 +143,12 @@ SCENARIOS = ("linear_ramp", "step_jump", "brownian_drift", "multi_fault")
 
 def ramp(config: WeatherConfig) -> Column:
     """Days, from 0 in the first row to the whole duration in the last."""
-    return F.col("row_id") * (config.days / max(1, config.steps - 1))
+    return F.col("place") * (config.days / F.greatest(F.lit(1), F.col("steps") - 1))
 
 
 def biases(df: DataFrame, scenario: str, config: WeatherConfig) -> DataFrame:
     """df with {channel}_true_bias of a scenario; for one that isn't known no bias at all."""
-    after = lambda share, x: F.when(F.col("row_id") >= int(config.steps * share), F.lit(x)).otherwise(0.0)
+    after = lambda share, x: F.when(F.col("place") >= F.floor(F.col("steps") * F.lit(share)), F.lit(x)).otherwise(0.0)
     none = {c: F.lit(0.0) for c in CHANNELS}
     walks: dict[str, float] = {}
     if scenario == "linear_ramp":
@@ -146,10 +171,14 @@ def biases(df: DataFrame, scenario: str, config: WeatherConfig) -> DataFrame:
 def drift(spark: SparkSession, scenario: str = "linear_ramp", config: WeatherConfig | None = None) -> dict[str, DataFrame]:
     """true, observed (truth, bias and noise), biases and references (the truth at noon, else null) of an experiment."""
     config = config or WeatherConfig(inject=False)
-    truth = weather(spark, config)
+    return experiment(_weather(axis(spark, config), config), scenario, config)
+
+
+def experiment(truth: DataFrame, scenario: str, config: WeatherConfig) -> dict[str, DataFrame]:
+    """drift() with readings (with place and steps) for the truth."""
     whole = biases(truth, scenario, config)
     seen = {c: F.col(c) + F.col(f"{c}_true_bias") + _normal(config.seed, 10 + i, NOISE[c] * config.noise) for i, c in enumerate(CHANNELS)}
     seen |= {"humidity": thermo.clamp(seen["humidity"], 0.0, 100.0), "wind_speed": thermo.at_least(seen["wind_speed"], 0.0)}
-    keys, noon = ("station_id", "row_id", "ts"), (F.hour("ts") == 12) & (F.minute("ts") == 0)
-    return {"true": truth, "observed": whole.select(*keys, *(seen[c].alias(c) for c in CHANNELS)), "biases": whole.select(*keys, *(f"{c}_true_bias" for c in CHANNELS)),
+    keys, noon = ("station_id", "row_id", "ts"), (F.hour("ts") == 12) & (F.minute("ts") < config.noon_minutes)
+    return {"true": truth.drop(*AXIS), "observed": whole.select(*keys, *(seen[c].alias(c) for c in CHANNELS)), "biases": whole.select(*keys, *(f"{c}_true_bias" for c in CHANNELS)),
         "references": truth.select(*keys, *(F.when(noon, F.col(c)).alias(c) for c in CHANNELS))}
