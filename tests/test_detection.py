@@ -161,11 +161,38 @@ def test_autoencoder_baseline_is_of_all_sequences(spark):
     t = [float(20 + 5 * np.sin(i / 10)) for i in range(400)]
     t[300] = 45.0
     df = frame(spark, t)
-    fitted = sequence.fit(df, sequence.SequenceConfig(epochs=2, sample_rows=50))
+    fitted = sequence.fit(df, sequence.SequenceConfig(epochs=2))
     errors = [r.lstm_error for r in sequence.predict(df, fitted).collect() if r.row_id >= 11]
     assert len(errors) == 389 and fitted.base_mean == pytest.approx(np.mean(errors)) and fitted.base_std == pytest.approx(np.std(errors))
 
 
+def test_shards_are_averaged_whatever_the_split(spark):
+    """Weights are those of a plain loop over shards; the loss over all sequences falls as that of one shard with all of them."""
+    rng = np.random.default_rng(2)
+    df = frame(spark, [float(20 + 5 * np.sin(i / 10) + rng.normal(0, 0.1)) for i in range(700)])
+    config = sequence.SequenceConfig(hidden=6, latent=3, epochs=6, rounds=3, shard_rows=200)
+    windows = sequence._windows(df, config)
+    one, many = (sequence._trained(df, windows.repartition(n), config) for n in (1, 5))
+    assert np.array_equal(one.numbers(), many.numbers())
+    rows = [(r.place % 4, r.place, tuple(r.window)) for r in windows.where("window IS NOT NULL").collect()]
+    plain = sequence.Autoencoder(mean=one.mean, scale=one.scale, config=config)
+    plain.start(4)
+    x = plain.scaled([w for *_, w in rows])
+    loss = lambda m: float(m.errors(x).mean())
+    before = loss(plain)
+    for done in (0, 32, 64):
+        found = []
+        for shard in range(4):
+            own = sequence.Autoencoder(dict(plain.params), one.mean, one.scale, config=config)
+            own.steps(own.scaled([w for s, _, w in sorted(rows) if s == shard]), done, done + 32, np.random.default_rng([config.seed, done, shard]))
+            found.append(own.numbers())
+        plain.take(sum(found) / 4)
+    assert len(rows) == 689 and np.array_equal(plain.numbers(), one.numbers())
+    longer = {"hidden": 6, "latent": 3, "epochs": 30, "rate": 0.01}
+    shared, alone = (sequence._trained(df, windows, sequence.SequenceConfig(**longer, **x)) for x in ({"rounds": 6, "shard_rows": 200}, {"rounds": 1}))
+    assert loss(shared) < 0.5 * before and loss(shared) < 2 * loss(alone), (before, loss(shared), loss(alone))
+
+
 def test_corrected_columns_of_random_readings(spark):
     rng = np.random.default_rng(31)
     n = 200
