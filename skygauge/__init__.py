@@ -12,7 +12,7 @@ _NAMES = {
     "PhysicsThresholds": "functions.config", "StatisticalThresholds": "functions.config", "CleaningConfig": "functions.config", "KalmanConfig": "functions.config", "RuleLimits": "functions.config", "SensorProfile": "functions.config",
     # quality control and its reports
     "QualityConfig": "plans.telemetry", "flagged": "plans.telemetry", "quality_control": "plans.telemetry", "unified": "operators.clean", "channel_summary": "operators.report", "physics_counts": "operators.report",
-    "statistical_counts": "operators.report", "overall": "operators.report", "incidents": "operators.report", "top_incidents": "operators.report",
+    "statistical_counts": "operators.report", "overall": "operators.report", "incidents": "operators.report", "roll_up": "operators.report", "channel_parts": "operators.incremental", "health_parts": "operators.incremental", "health_measures": "operators.incremental", "top_incidents": "operators.report",
     # tracking
     "track": "operators.kalman", "intervals": "operators.kalman", "views": "operators.kalman", "evaluation": "operators.kalman",
     # detection, correction, alerts
@@ -24,9 +24,9 @@ _NAMES = {
     "live_buffer": "operators.serving", "history": "operators.serving", "overview": "operators.serving", "metrics": "operators.serving", "shaded": "operators.serving", "agreement": "operators.serving",
     # streams
     "read_stream": "streaming.live", "track_stream": "streaming.live", "recurrence_stream": "streaming.live", "windowed_counts": "streaming.live", "with_references": "streaming.live", "latest": "streaming.live",
-    "released": "streaming.lookahead", "flag_batches": "streaming.lookahead", "filled": "streaming.lookahead",
+    "released": "streaming.lookahead", "flag_batches": "streaming.lookahead", "filled": "streaming.lookahead", "append_alerts": "streaming.alertlog", "read_log": "streaming.alertlog", "compacted": "streaming.alertlog",
     # results out
-    "to_csv": "sources.sinks", "to_json": "sources.sinks", "to_parquet": "sources.sinks", "exports": "sources.sinks", "tracking_table": "sources.sinks", "quality_report": "render", "health_dashboard": "render", "alert_dashboard": "render",
+    "to_csv": "sources.sinks", "to_json": "sources.sinks", "to_json_array": "sources.sinks", "to_parquet": "sources.sinks", "exports": "sources.sinks", "tracking_table": "sources.sinks", "quality_report": "render", "health_dashboard": "render", "alert_dashboard": "render",
     # storage between steps
     "stored": "plans.scratch", "release": "plans.scratch",
 }

@@ -32,21 +32,41 @@ def measures(df: DataFrame, step_minutes: float = 5.0) -> DataFrame:
     _innovation) and the flags. Drift is the bias's slope over the place among known biases.
     Noise without residuals is the deviation of differences of successive received readings over sqrt(2).
     """
-    bias = {c: _choice(df, c, ("bias", "true_bias")) for c in CHANNELS}
-    rest = {c: _choice(df, c, ("post_fit_residual", "innovation")) for c in CHANNELS}
-    flags = {c: any_of([F.col(x) for x in (*(flag(c, k) for k in KINDS), *INCIDENTS[c]) if x in df.columns]) for c in CHANNELS}
-    rows = df.select("station_id", "row_id", "ts", *CHANNELS, *(["rn"] if "rn" in df.columns else []), *(bias[c].alias(f"{c}_b") for c in CHANNELS), *(rest[c].alias(f"{c}_e") for c in CHANNELS), *(flags[c].alias(f"{c}_f") for c in CHANNELS))
+    rows = _given(df, *(["rn"] if "rn" in df.columns else []), "row_id", "ts")
     rows = chunks.in_chunks(rows)
     rows = chunks.with_neighbours(rows, {f"{c}_r": F.when(received(F.col(c)), F.col(c)) for c in CHANNELS})
     rows = chunks.running_sums(rows, {f"{c}_k": F.when(F.col(f"{c}_b").isNotNull(), 1).otherwise(0) for c in CHANNELS})
-    parts = [F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("sensor"), received(F.col(c)).alias("ok"), F.col(f"{c}_b").alias("b"), F.col(f"{c}_e").alias("e"), F.col(f"{c}_f").alias("f"), F.col(f"{c}_k").alias("k"),
-        F.when(received(F.col(c)), F.col(c) - F.col(f"{c}_r_prior")["x"]).alias("d")) for i, c in enumerate(CHANNELS)]
-    long_ = rows.select("station_id", "rn", F.inline(F.array(*parts)))
+    more = {c: (F.col(f"{c}_k").alias("k"), F.when(received(F.col(c)), F.col(c) - F.col(f"{c}_r_prior")["x"]).alias("d")) for c in CHANNELS}
+    long_ = _cells(rows, more, "rn")
     known = F.col("b").isNotNull()
     found = long_.groupBy("station_id", "ordinal", "sensor").agg(
         F.count("*").alias("total_expected"), F.count_if("ok").alias("total_received"), F.count_if("f").alias("anomaly_incidents"),
         F.max_by("b", F.when(known, F.col("rn"))).alias("last_bias"), F.count("b").alias("n_bias"), F.regr_slope("b", F.when(known, F.col("k").cast("double"))).alias("per_row"),
         F.stddev_samp("e").alias("e_std"), F.var_samp("e").alias("e_var"), F.count("e").alias("n_e"), F.stddev_samp("d").alias("d_std"))
+    return measured(found, step_minutes)
+
+
+def _given(df: DataFrame, *keys: str) -> DataFrame:
+    """station_id, keys, readings, and of each channel bias _b, residual _e and incident _f, as far as df has them."""
+    bias = {c: _choice(df, c, ("bias", "true_bias")) for c in CHANNELS}
+    rest = {c: _choice(df, c, ("post_fit_residual", "innovation")) for c in CHANNELS}
+    flags = {c: any_of([F.col(x) for x in (*(flag(c, k) for k in KINDS), *INCIDENTS[c]) if x in df.columns]) for c in CHANNELS}
+    return df.select("station_id", *keys, *CHANNELS, *(bias[c].alias(f"{c}_b") for c in CHANNELS), *(rest[c].alias(f"{c}_e") for c in CHANNELS), *(flags[c].alias(f"{c}_f") for c in CHANNELS))
+
+
+def _cells(rows: DataFrame, more: dict[str, tuple[Column, ...]], *keys: str) -> DataFrame:
+    """A row for each reading and channel: station_id, keys, ordinal, sensor, ok, bias b, residual e, incident f and more."""
+    parts = [F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("sensor"), received(F.col(c)).alias("ok"), F.col(f"{c}_b").alias("b"), F.col(f"{c}_e").alias("e"), F.col(f"{c}_f").alias("f"), *more[c]) for i, c in enumerate(CHANNELS)]
+    return rows.select("station_id", *keys, F.inline(F.array(*parts)))
+
+
+def cells(df: DataFrame, *keys: str) -> DataFrame:
+    """_cells() of readings with x, the reading if it was received."""
+    return _cells(_given(df, *keys), {c: (F.when(received(F.col(c)), F.col(c)).alias("x"),) for c in CHANNELS}, *keys)
+
+
+def measured(found: DataFrame, step_minutes: float) -> DataFrame:
+    """measures() from sums over each station and sensor."""
     span = F.col("n_bias") * step_minutes / 1440.0
     slope = F.when(F.col("n_bias") > 10, F.try_divide(F.col("per_row"), F.try_divide(span, F.col("n_bias") - 1)))
     noise = F.when(F.col("n_e") > 0, F.col("e_std")).otherwise(F.coalesce(F.col("d_std") / F.sqrt(F.lit(2.0)), F.lit(0.0)))

@@ -42,15 +42,19 @@ def _long(df: DataFrame, keys: list[str], rows: list[tuple]) -> DataFrame:
     return df.select(*keys, F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).alias("n")) for n, c in rows))))
 
 
-def channel_summary(df: DataFrame, keys: tuple[str, ...] = ("station_id",)) -> DataFrame:
-    """For each station and sensor: share of valid readings in per cent, and counts by kind of fault."""
+def channel_cells(df: DataFrame, keys: tuple[str, ...] = ("station_id",)) -> DataFrame:
+    """keys, sensor, and whether each reading of a channel is bad, and by which kind of fault."""
     parts = []
     for c in CHANNELS:
         bad = any_of([F.col(flag(c, "missing")), F.col(flag(c, "stat_anomaly")), *(F.col(x) for x in INVALID[c])])
         parts.append(F.struct(F.lit(c).alias("sensor"), bad.alias("bad"), F.col(flag(c, "missing")).alias("missing"), any_of([F.col(x) for x in COUNTED[c]]).alias("physics"),
             *(F.col(flag(c, k)).alias(k) for k in KINDS[1:5])))
-    long_ = df.select(*keys, F.inline(F.array(*parts)))
-    return long_.groupBy(*keys, "sensor").agg(
+    return df.select(*keys, F.inline(F.array(*parts)))
+
+
+def channel_summary(df: DataFrame, keys: tuple[str, ...] = ("station_id",)) -> DataFrame:
+    """For each station and sensor: share of valid readings in per cent, and counts by kind of fault."""
+    return channel_cells(df, keys).groupBy(*keys, "sensor").agg(
         F.round(100.0 * F.avg((~F.col("bad")).cast("int")), 4).alias("valid_percent"), F.count_if("missing").alias("missing"), F.count_if("physics").alias("physics_violations"),
         F.count_if("iqr_outlier").alias("iqr_outliers"), F.count_if("zscore_outlier").alias("zscore_outliers"), F.count_if("spike").alias("spikes"), F.count_if("stuck").alias("stuck"))
 

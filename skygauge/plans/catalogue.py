@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skygauge.functions.config import CHANNELS, CleaningConfig, StatisticalThresholds
-from skygauge.operators import clean, correction, features, health, iforest, injection, kalman, physics, report, rules, sequence, serving, statistical
+from skygauge.operators import clean, correction, features, health, iforest, incremental, injection, kalman, physics, report, rules, sequence, serving, statistical
 from skygauge.plans import chunks, telemetry
 from skygauge.plans.oracles import ORACLES
 from skygauge.plans.scratch import folder, stored
 from skygauge.sources import readings, sinks, synthetic
-from skygauge.streaming import live, lookahead
+from skygauge.streaming import alertlog, live, lookahead
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -306,6 +306,38 @@ def health_metrics(spark: SparkSession, d: str) -> DataFrame:
     return _health(spark, d).drop("ordinal")
 
 
+def _by_days(spark: SparkSession, df: DataFrame, parts: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Parts of a history that comes in three spans of days: each adds its own to the table, the others aren't read again."""
+    at = f"{folder(spark)}/parts-{uuid.uuid4().hex}"
+    for days in ("dayofmonth(ts) < 9", "dayofmonth(ts) BETWEEN 9 AND 18", "dayofmonth(ts) > 18"):
+        parts(df.where(days)).write.mode("append").parquet(at)
+    return spark.read.parquet(at)
+
+
+@query
+def channel_summary_by_days(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.channel_summary(_by_days(spark, stored(_flagged(spark, d)), incremental.channel_parts))
+
+
+@query
+def health_metrics_by_days(spark: SparkSession, d: str) -> DataFrame:
+    parts = _by_days(spark, stored(_flagged(spark, d).drop("rn", "chunk")), incremental.health_parts)
+    return health.score(incremental.health_measures(parts), readings.profiles(spark)).drop("ordinal")
+
+
+@query
+def health_noise_by_days(spark: SparkSession, d: str) -> DataFrame:
+    """Noise from successive readings, the steps between days among them."""
+    return incremental.health_measures(_by_days(spark, readings.from_events(spark, d), incremental.health_parts)).select("station_id", "sensor", F.round("noise", 6).alias("noise"))
+
+
+@query
+def drift_slope_by_days(spark: SparkSession, d: str) -> DataFrame:
+    df = readings.from_events(spark, d).withColumn("temperature_bias", F.col("temperature"))
+    found = incremental.health_measures(_by_days(spark, df, incremental.health_parts))
+    return found.where("sensor = 'temperature'").select("station_id", F.round("drift", 5).alias("drift"))
+
+
 @query
 def maintenance_alerts(spark: SparkSession, d: str) -> DataFrame:
     return health.maintenance_alerts(_health(spark, d)).drop("ordinal")
@@ -603,6 +635,19 @@ def stream_alert_recurrence(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*KEYS, "earlier", "historical_context")
 
 
+@query
+def stream_alert_log(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts in three batches into a log, which is compacted in between; the last batch is put in once more."""
+    parts, at = _parts(_alerts(spark, d).select(*KEYS, "ts", "anomaly_type", "sensors")), f"{folder(spark)}/log-{uuid.uuid4().hex}"
+    put = alertlog.append_alerts(at)
+    for n, part in enumerate(parts):
+        put(part, n)
+        if n == 1:
+            alertlog.compacted(spark, at, 1)
+    put(parts[-1], len(parts) - 1)
+    return alertlog.read_log(spark, at).select(*KEYS, F.col("alert_seq").cast("long").alias("alert_seq"), "alert_id", "earlier", "historical_context")
+
+
 def _flagged_stream(spark: SparkSession, d: str) -> DataFrame:
     """The flagged readings of three batches, let go by the flags' stream, one table a batch."""
     df = readings.from_events(spark, d)
