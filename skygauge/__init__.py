@@ -23,7 +23,7 @@ _NAMES = {
     # dashboards
     "live_buffer": "operators.serving", "history": "operators.serving", "overview": "operators.serving", "metrics": "operators.serving", "shaded": "operators.serving", "agreement": "operators.serving",
     # streams
-    "read_stream": "streaming.live", "track_stream": "streaming.live", "recurrence_stream": "streaming.live", "windowed_counts": "streaming.live", "with_references": "streaming.live", "latest": "streaming.live",
+    "read_stream": "streaming.live", "track_stream": "streaming.live", "recurrence_stream": "streaming.live", "windowed_counts": "streaming.live", "with_references": "streaming.live", "latest": "streaming.live", "buffer_stream": "streaming.live",
     "released": "streaming.lookahead", "flag_batches": "streaming.lookahead", "filled": "streaming.lookahead", "append_alerts": "streaming.alertlog", "read_log": "streaming.alertlog", "compacted": "streaming.alertlog",
     # results out
     "to_csv": "sources.sinks", "to_json": "sources.sinks", "to_json_array": "sources.sinks", "to_parquet": "sources.sinks", "exports": "sources.sinks", "tracking_table": "sources.sinks", "quality_report": "render", "health_dashboard": "render", "alert_dashboard": "render",

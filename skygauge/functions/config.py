@@ -1,4 +1,8 @@
-"""Thresholds and tuning of every stage; the fixed values are the station network's defaults."""
+"""Thresholds and tuning of every stage.
+
+Fixed values: all defaults here are those of the station network, in PhysicsThresholds, StatisticalThresholds, CleaningConfig,
+KalmanConfig, RuleLimits and SensorProfile.
+"""
 
 from __future__ import annotations
 

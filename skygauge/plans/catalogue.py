@@ -628,6 +628,15 @@ def stream_kalman_references(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("station_id", "sensor", "rn", F.round("true", 5).alias("true_value"), F.round("rate", 6).alias("rate"), *_rounded(5, "bias", "true_std", "bias_std", "innovation"), F.round("nis", 3).alias("nis"))
 
 
+@query
+def stream_live_buffer(spark: SparkSession, d: str) -> DataFrame:
+    """Each station's last 60 readings, after three batches in disorder of some hours."""
+    df = readings.from_events(spark, d)
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("row_id"), F.lit(5)) * 3_600_000_000
+    found, _ = _streamed(spark, {"readings": _parts(df, arrival=arrival)}, live.buffer_stream)
+    return live.shown(found).select(*KEYS, "place", *CHANNELS)
+
+
 @query
 def stream_alert_recurrence(spark: SparkSession, d: str) -> DataFrame:
     """As alert_recurrence_72h, with the alerts in three batches."""

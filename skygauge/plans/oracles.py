@@ -447,3 +447,4 @@ ORACLES["readings_json"] = f"WITH {R} SELECT station_id, row_id, {ALL}, TRUE AS
 ORACLES["quality_roll_up"] = f"WITH {S}, cells AS (" + " UNION ALL ".join(f"SELECT station_id, '{c}' AS sensor, flag_{c}_missing AS m, ({_COUNTED[c]}) AS ph, flag_{c}_stat_anomaly AS st FROM s" for c in CHANNELS) + ") SELECT station_id, sensor, grouping_id(station_id, sensor)::BIGINT AS level, count(*) AS readings, count(*) FILTER (WHERE m) AS missing, count(*) FILTER (WHERE ph) AS physics, count(*) FILTER (WHERE st) AS statistical FROM cells GROUP BY ROLLUP (station_id, sensor)"
 ORACLES |= {f"{k}_by_days": ORACLES[k] for k in ("channel_summary", "health_metrics", "drift_slope")} | {"health_noise_by_days": ORACLES["health_noise_fallback"]}
 ORACLES["stream_alert_log"] = f"WITH {RECURRENCE} SELECT {KEYS}, alert_seq, {ALERT_ID} AS alert_id, earlier, historical_context FROM rc"
+ORACLES["stream_live_buffer"] = f"WITH {R}, m AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY rn DESC) AS back, count(*) OVER (PARTITION BY station_id) AS total FROM n) SELECT station_id, row_id, (least(total, 60) - back)::INT AS place, {ALL} FROM m WHERE back <= 60"

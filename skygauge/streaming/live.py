@@ -246,3 +246,42 @@ def recurrence_stream(alerts: DataFrame, hours: int = 72) -> DataFrame:
     keyed = _keyed(alerts.where("ts IS NOT NULL"), "anomaly_type", kind).drop("ts")
     found = _named(keyed.groupBy(*STATION).transformWithStateInPandas(RecurrenceProcessor(hours), RECURRENCE, "Append", "None"))
     return found.withColumn("historical_context", context(F.col("earlier"), F.timestamp_micros("last"), hours)).drop("last")
+
+
+BUFFERED = T.StructType([*(f for f in TRACKED.fields if f.name in ("station", "no_station", "row", "no_row", "at")), *(T.StructField(c, T.DoubleType()) for c in CHANNELS), T.StructField("place", T.IntegerType()), T.StructField("revision", T.LongType())])
+
+
+class BufferProcessor(StatefulProcessor):
+    """The last readings of a station, in order of time."""
+
+    def __init__(self, rows: int) -> None:
+        self.most = rows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getListState("rows", "at long, row long, no_row boolean, numbers array<double>")
+        self.revision = handle.getValueState("revision", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = pd.DataFrame([(t, r, n, *x) for t, r, n, x in self.rows.get()], columns=["at", "row", "no_row", *CHANNELS])
+        came = pd.concat([r[held.columns] for r in rows], ignore_index=True)
+        last = _in_order(pd.concat([held, came], ignore_index=True) if len(held) else came).iloc[-self.most :]
+        n = (self.revision.get()[0] if self.revision.exists() else 0) + 1
+        self.revision.update((n,))
+        keep(self.rows, [(int(t), int(r), bool(x), list(map(float, numbers))) for t, r, x, numbers in zip(last["at"], last["row"], last["no_row"], last[list(CHANNELS)].to_numpy(float), strict=True)])
+        yield last.assign(station=key[0], no_station=key[1], place=np.arange(len(last), dtype=np.int32), revision=n)[BUFFERED.names]
+
+    def close(self) -> None:
+        pass
+
+
+def buffer_stream(stream: DataFrame, rows: int = 60) -> DataFrame:
+    """What a dashboard shows of each station as readings arrive: after each batch that has any of it, its last `rows` readings (place from 0, oldest first), under a higher
+    revision. Late readings take their place while it is among the last."""
+    keyed = _keyed(stream.where("ts IS NOT NULL"), *CHANNELS).drop("ts")
+    return _named(keyed.groupBy(*STATION).transformWithStateInPandas(BufferProcessor(rows), BUFFERED, "Append", "None"))
+
+
+def shown(buffered: DataFrame) -> DataFrame:
+    """The newest buffer of each station in a stored result of buffer_stream()."""
+    newest = buffered.groupBy(F.col("station_id").alias("_s")).agg(F.max("revision").alias("_n"))
+    return buffered.join(newest, F.col("station_id").eqNullSafe(F.col("_s")) & (F.col("revision") == F.col("_n"))).drop("_s", "_n", "revision")

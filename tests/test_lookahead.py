@@ -240,3 +240,15 @@ def test_no_group_of_a_long_history_is_large(spark, station, monkeypatch):
     expected = kalman.track(station).orderBy("rn").toPandas()
     got = kalman.track(station, chunk_rows=8, group=4).orderBy("rn").toPandas()
     assert len(got) == len(expected) == 384 and max(abs(got[c] - expected[c]).max() for c in ("temperature_true", "humidity_bias", "pressure_true_std")) < 1e-7
+
+
+def test_a_buffer_holds_the_last_readings(station):
+    rows, rng = as_rows(station), random.Random(3)
+    came = rows.iloc[np.argsort(rows["at"] + np.array([rng.randrange(20 * live.HOUR) for _ in range(len(rows))]))].reset_index(drop=True)
+    for n in (1, 8):
+        batches = splits(came, rng, n)
+        out, handle = drive(live.BufferProcessor(25), batches)
+        last = out[out["revision"] == out["revision"].max()]
+        assert last["row"].tolist() == rows["row"].tolist()[-25:] and last["place"].tolist() == list(range(25)) and len(handle.cells["rows"].get()) == 25
+    first = out[out["revision"] == 1]
+    assert first["row"].tolist() == sorted(next(b for b in batches if len(b))["row"])[-25:]
