@@ -13,7 +13,8 @@ Tables that name no pairs still hold preferences of a kind: a conversation's own
 one than a reply from elsewhere. replies() makes such pairs: chosen is the conversation, rejected its turns
 before the last assistant turn and the last assistant turn of another conversation.
 
-Turns are ordered by number, then role and text; repeated rows of a turn are turns of their own. Null roles count as `user`, null texts as
+Turns are ordered by number, then role and text; repeated rows of a turn are turns of their own, so a conversation that is there twice
+has each turn twice, one after the other, in its prompt and completions. Null roles count as `user`, null texts as
 empty. A pair of equal conversations has two empty completions. A conversation without a
 partner has a null one, an empty completion and no common prefix. A turn without conversation id
 belongs to none. Extra columns are ignored. A conversation, however long, is gathered into one row,

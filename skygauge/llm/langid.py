@@ -14,7 +14,9 @@ BUCKETS x languages, of fixed size for given languages, which goes to the worker
 A null text, or one without letters, gets `und` with score 0. With no labelled rows every
 text does. With one language every text with letters gets it. A null id belongs to the rows
 that may be learned from. Repeated rows each give a row. Only named columns are read; of
-them only the text enters a prediction.
+them only the text enters a prediction. A very long text is read whole, in pieces of PIECE
+characters: a word that a piece's end parts counts as two. An empty table gives no rows. Ties between languages go to
+the first by name.
 """
 
 from __future__ import annotations

@@ -124,3 +124,20 @@ def test_predictions_against_brute_force(spark, docs):
         z = np.mean([model.table[b] for b in brute_buckets(text)], axis=0) + model.bias
         p = np.exp(z / model.temperature) / np.exp(z / model.temperature).sum()
         assert out[i].lang_pred == model.languages[int(p.argmax())] and out[i].score == pytest.approx(p.max(), rel=1e-4) and out[i].rejected == (out[i].score < model.cutoff)
+
+
+def test_a_very_long_text_is_read_whole(spark, docs, monkeypatch):
+    """In pieces: what a piece's end parts counts as two words, all else as in one piece. An empty table gives no rows."""
+    text = "aé bc " * 60
+    whole = np.sort(np.concatenate(list(langid.subwords(text))))
+    monkeypatch.setattr(langid, "PIECE", 30)  # ends between words
+    assert np.array_equal(np.sort(np.concatenate(list(langid.subwords(text)))), whole)
+    monkeypatch.setattr(langid, "PIECE", 31)
+    parted = "".join(text[i : i + 31] + " " for i in range(0, len(text), 31))
+    pieces = np.sort(np.concatenate(list(langid.subwords(text))))
+    monkeypatch.setattr(langid, "PIECE", 1 << 20)
+    assert np.array_equal(np.sort(np.concatenate(list(langid.subwords(parted)))), pieces)
+    long_ = "the cat and the hat " * 100_000  # two million characters: two pieces
+    rows = [(i, "the cat and the hat" if i % 2 else "le chat et le chapeau", "en" if i % 2 else "fr") for i in range(60)]
+    out = {r.doc_id: r.lang_pred for r in langid.identify(docs([*rows, (1000, long_)])).collect()}
+    assert out[1000] == "en" and langid.identify(docs([])).count() == 0

@@ -144,3 +144,15 @@ def test_replies_against_brute_force(spark):
             spans = [tuple(map(int, x.split(":"))) for x in mask.split(",") if x]
             assert "".join(text[a:b] for a, b in spans).count("<|end|>") == text.count("<|assistant|>") == len(spans)
     assert chat.replies(df.where("false")).count() == 0
+
+
+def test_very_long_texts_and_conversations(spark, docs):
+    words = 200_000
+    mixed = {r.doc_id: r for r in mixing.mix(docs([(i, "w " * (words if i == 0 else 50), "en", "s") for i in range(200)])).collect()}
+    assert mixed[0].size == words and all(r.copies <= 3 for r in mixed.values())
+    turns = [(0, i, "user" if i % 2 == 0 else "assistant", "x" * 2000) for i in range(1000)] + [(1, i, "user" if i % 2 == 0 else "assistant", "x" * 2000 if i < 999 else "other") for i in range(1000)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    out = {r.pair_id: r for r in chat.preferences(df, chat.neighbours(df)).collect()}
+    assert out[0].n_prompt_turns == 999 and len(out[0].prompt) > 2_000_000 and out[0].rejected.endswith("other<|end|>\n")
+    twice = spark.createDataFrame([*turns[:2], *turns[:2]], df.schema)
+    assert chat.conversations(twice).first().turns == [("user", "x" * 2000)] * 2 + [("assistant", "x" * 2000)] * 2
