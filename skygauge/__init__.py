@@ -28,7 +28,7 @@ _NAMES = {
     # results out
     "to_csv": "sources.sinks", "to_json": "sources.sinks", "to_json_array": "sources.sinks", "to_parquet": "sources.sinks", "exports": "sources.sinks", "tracking_table": "sources.sinks", "quality_report": "render", "health_dashboard": "render", "alert_dashboard": "render",
     # storage between steps
-    "stored": "plans.scratch", "release": "plans.scratch",
+    "stored": "plans.scratch", "release": "plans.scratch", "temporary": "plans.scratch",
 }
 __all__ = sorted(_NAMES)
 

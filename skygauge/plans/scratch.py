@@ -1,7 +1,8 @@
 """Tables that a plan reads more than once, written between in the folder all executors share.
 
 Tables go to a subfolder of that folder of their own for each run of the driver, which is
-removed when the driver's process ends, or at once by release().
+removed when the driver's process ends, or at once by release(). What is stored inside a temporary() block goes at its end:
+a long session that writes its results inside such blocks holds nothing in between.
 """
 
 from __future__ import annotations
@@ -10,12 +11,16 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _RUN = f"skygauge-{uuid.uuid4().hex}"
 _used: dict[str, SparkSession] = {}
+#: Tables stored by the temporary() blocks that are open, the innermost last.
+_open: list[list[str]] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -30,20 +35,37 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration() if spark._jsc else jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+    except (OSError, Py4JError, AttributeError, TypeError):  # the JVM has ended already: nothing can reach the folder from here
+        pass
+
+
 def release() -> None:
     """Remove all tables that this run has stored; frames that read them can't be used afterwards."""
     while _used:
         path, spark = _used.popitem()
-        try:
-            jvm = spark._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration() if spark._jsc else jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
-        except (OSError, Py4JError, AttributeError, TypeError):  # the JVM has ended already: nothing can reach the folder from here
-            pass
+        _remove(spark, path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what was stored inside; frames made inside are written there too, as they can't be used afterwards."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _remove(spark, path)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df, computed once: what reads it later doesn't repeat the work below, and a lost executor costs a file read."""
     path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

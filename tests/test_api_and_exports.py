@@ -41,6 +41,19 @@ def test_the_public_names_make_a_whole_run(spark, tmp_path):
         assert all(name in shown for name in ("Temperature", "Pressure", "Humidity", "Wind_speed")) and shown.count("█") > 4
 
 
+def test_what_is_stored_in_a_block_goes_with_it(spark, tmp_path):
+    import os
+
+    outside = scratch.stored(spark.range(5))
+    with skygauge.temporary(spark):
+        inside = scratch.stored(spark.range(7))
+        with skygauge.temporary(spark):
+            nested = scratch.stored(inside)
+            nested.write.parquet(str(tmp_path / "kept"))
+        assert inside.count() == 7 and not os.path.exists(nested.inputFiles()[0].removeprefix("file://"))
+    assert not os.path.exists(inside.inputFiles()[0].removeprefix("file://")) and outside.count() == 5 and spark.read.parquet(str(tmp_path / "kept")).count() == 7
+
+
 def test_tracking_table(spark):
     made = synthetic.drift(spark, "linear_ramp", synthetic.WeatherConfig(days=0.5, inject=False))
     out = sinks.tracking_table(kalman.track(made["observed"], made["references"]), made)
