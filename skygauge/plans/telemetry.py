@@ -78,10 +78,10 @@ def correct_and_alert(df: DataFrame, references: DataFrame | None = None, config
         named = references.select(F.col("station_id").alias("_s"), F.col("row_id").alias("_r"), *(F.col(c).alias(f"_{c}") for c in CHANNELS))
         references = base.select("station_id", "row_id", "_row_id").join(named, F.col("station_id").eqNullSafe(F.col("_s")) & F.col("_row_id").eqNullSafe(F.col("_r"))).select("station_id", "row_id", *(F.col(f"_{c}").alias(c) for c in CHANNELS))
     tracked = stored(kalman.track(base, references, config))
-    estimates = tracked.select("station_id", "row_id", *(f"{c}_{k}" for c in CHANNELS for k in ("bias", "true_std", "bias_std", "post_fit_residual")))
-    seen = stored(by_reading(base, estimates))
+    # What was observed is a column of the estimates, so they needn't be joined to the readings.
+    seen = tracked.select("station_id", "row_id", "ts", "rn", *(F.col(f"{c}_observed").alias(c) for c in CHANNELS), *(f"{c}_{k}" for c in CHANNELS for k in ("bias", "true_std", "bias_std", "post_fit_residual")))
     metrics = stored(health.score(health.measures(seen), profiles if profiles is not None else readings.profiles(df.sparkSession)))
-    event = _events(base, None, detectors, None, None).select("station_id", "row_id", "is_anomaly", "severity", "anomaly_type", "confidence", "sensors", "recommended_action")
+    event = _events(base, None, detectors, None, None).select("station_id", "row_id", "_row_id", "is_anomaly", "severity", "anomaly_type", "confidence", "sensors", "recommended_action")
     whole = stored(_own_ids(by_reading(correction.correct(seen), event)).drop("rn"))
     columns = [f"{c}_{k}" for c in CHANNELS for k in ("raw", "corrected", "bias_est", "uncertainty_std", "ci95_lower", "ci95_upper", "ci99_lower", "ci99_upper")]
     corrected = whole.select("station_id", "row_id", "ts", *columns, "is_anomaly", F.col("severity").alias("anomaly_severity"), "anomaly_type", F.col("confidence").alias("anomaly_confidence"))
