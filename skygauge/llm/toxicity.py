@@ -327,20 +327,23 @@ def _features(sample: DataFrame, terms: dict[str, float]) -> Column:
     return F.pandas_udf(run, "array<double>")("text")
 
 
+def _share(rows: DataFrame, config: ToxicityConfig) -> Column:
+    """Whether a row (toxic, place: a hash) is among about max_docs of its label."""
+    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    share = F.when(F.col("toxic") == 1, min(1.0, config.max_docs / counts.get(1, 1))).otherwise(min(1.0, config.max_docs / counts.get(0, 1)))
+    return F.col("place").bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31) < share
+
+
 def fit(rows: DataFrame, config: ToxicityConfig | None = None) -> ToxicityModel:
     """A model from rows id, toxic (0 or 1) and text: two thirds of a bounded sample for the terms, the rest for the factors."""
     config = config or ToxicityConfig()
     rows = rows.where(F.col("toxic").isin(0, 1) & F.col("text").isNotNull())
-    counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    place = F.xxhash64(F.lit(config.seed), "text")
-    share = F.when(F.col("toxic") == 1, min(1.0, config.max_docs / counts.get(1, 1))).otherwise(min(1.0, config.max_docs / counts.get(0, 1)))
-    drawn = rows.where(place.bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31) < share).select(F.col("toxic").cast("int").alias("toxic"), place.alias("place"), "text")
+    rows = rows.select(F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.lit(config.seed), "text").alias("place"), "text")
     keys = F.pandas_udf(_near_copy_keys, schema("k0 long, k1 long, k2 long"))
-    drawn = drawn.select("toxic", "place", "text", keys("text").alias("k")).select("toxic", "place", "text", "k.*")
+    taken = rows.where(_share(rows, config)).select("toxic", "place", "text", keys("text").alias("k")).select("toxic", "place", "text", "k.*")
     for key in ("k0", "k1", "k2"):  # which of the copies stays depends on hashes alone
-        first = drawn.groupBy(key).agg(F.min_by(F.struct(*drawn.columns), F.struct("place", "toxic")).alias("r"))
-        drawn = first.select("r.*")
-    sample = materialize(drawn.select("toxic", "place", "text", (F.pmod("place", F.lit(3)) == 0).alias("for_factors")))
+        taken = taken.groupBy(key).agg(F.min_by(F.struct(*taken.columns), F.struct("place", "toxic")).alias("r")).select("r.*")
+    sample = materialize(taken.select("toxic", "place", "text", (F.pmod("place", F.lit(3)) == 0).alias("for_factors")))
     terms = learn_terms(sample.where("NOT for_factors"), config)
     model = ToxicityModel(terms, smoothing=config.smoothing)
     found = sample.where("for_factors").select("toxic", "place", _features(sample, terms).alias("x")).orderBy("place", "toxic").limit(2 * config.max_docs).collect()
@@ -373,10 +376,18 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def drawn(labels: DataFrame, config: ToxicityConfig) -> DataFrame:
+    """labelled (a document's id) and toxic of the documents to learn from: by hash, about max_docs of each label and never more than twice that of both
+    together, so that the texts are looked up without being dealt."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max("toxic").alias("toxic"))
+    known = materialize(known.withColumn("place", F.xxhash64(F.lit(config.seed), "labelled")))
+    return known.where(_share(known, config)).orderBy("place", "labelled").limit(2 * config.max_docs).select("labelled", "toxic")
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", config: ToxicityConfig | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from 0.5 on) and the columns of score(), learned from the labels (doc_id, toxic) of documents that aren't held out."""
     text_batches(docs.sparkSession)
-    known = labels.where(F.col("toxic").isNotNull() & ~is_held_out("doc_id")).groupBy(F.col("doc_id").cast("long").alias("labelled")).agg(F.max("toxic").alias("toxic"))
-    rows = docs.select(F.col(id_col).cast("long").alias("labelled"), F.col(text_col).alias("text")).join(known, "labelled").select("toxic", "text")
+    config = config or ToxicityConfig()
+    rows = docs.select(F.col(id_col).cast("long").alias("labelled"), F.col(text_col).alias("text")).join(F.broadcast(drawn(labels, config)), "labelled").select("toxic", "text")
     found = score(docs, fit(materialize(rows), config), id_col, text_col)
     return found.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *SCORED.names[3:])
