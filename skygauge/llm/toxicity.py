@@ -173,7 +173,7 @@ def pattern(marks: int) -> int:
 class Lexicon(dict):
     """Codes of words: a class, or from CLASSES on an entry with a weight of its own. Words that were met are kept, up to a number."""
 
-    KEPT = 400_000
+    KEPT = 50_000
 
     def __init__(self, terms: dict[str, float]) -> None:
         super().__init__()
@@ -253,18 +253,36 @@ def seeds() -> dict[str, float]:
     return dict.fromkeys(WORDS[INSULT].split(), SEED_WEIGHT)
 
 
-def _near_copy_keys(texts: pd.Series) -> pd.DataFrame:
-    """Three least hashes of each text's five-word shingles under three mappings; near copies agree in most."""
-    out = []
-    for text in texts:
-        h = np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, 5)])
-        out.append([int((h * np.uint64(m)).min().astype(np.int64)) if len(h) else 0 for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)])
-    return pd.DataFrame(out, columns=["k0", "k1", "k2"])
+KEYED = schema("toxic int, place long, text string, k0 long, k1 long, k2 long")
+
+
+def _near_copy_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts with three least hashes of their five-word shingles under three mappings; near copies agree in most."""
+    for batch in batches:
+        out = []
+        for text in batch["text"]:
+            h = np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, 5)])
+            out.append([int((h * np.uint64(m)).min().astype(np.int64)) if len(h) else 0 for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)])
+        keys = np.array(out, np.int64).reshape(-1, 3)
+        yield batch.assign(k0=keys[:, 0], k1=keys[:, 1], k2=keys[:, 2])
+    give_back()
+
+
+COUNTED = schema("term string, toxic int, tokens long, texts long")
+#: Terms that a task counts at a time.
+TERMS = 50_000
 
 
 def _counted(batches: Iterator[pd.DataFrame], lengths: tuple[int, ...]) -> Iterator[pd.DataFrame]:
-    """By term and label the tokens and texts it has; the empty term has all tokens."""
+    """By term and label the tokens and texts it has, in parts of about TERMS terms; the empty term has all tokens."""
     tokens, texts = (Counter(), Counter()), (Counter(), Counter())
+
+    def flush() -> pd.DataFrame:
+        rows = [(t, toxic, n, texts[toxic][t]) for toxic in (0, 1) for t, n in tokens[toxic].items()]
+        for counter in (*tokens, *texts):
+            counter.clear()
+        return pd.DataFrame(rows, columns=COUNTED.names)
+
     for batch in batches:
         for text, toxic in zip(batch["text"], batch["toxic"].tolist(), strict=True):
             found: Counter[str] = Counter()
@@ -278,14 +296,16 @@ def _counted(batches: Iterator[pd.DataFrame], lengths: tuple[int, ...]) -> Itera
                         terms[f"{word[:k]}*"] += n
             tokens[toxic].update(terms)
             texts[toxic].update(terms.keys())
-    rows = [(t, toxic, n, texts[toxic][t]) for toxic in (0, 1) for t, n in tokens[toxic].items()]
-    yield pd.DataFrame(rows, columns=["term", "toxic", "tokens", "texts"])
+            if len(tokens[0]) + len(tokens[1]) >= TERMS:
+                yield flush()
+    yield flush()
+    give_back()
 
 
 def learn_terms(sample: DataFrame, config: ToxicityConfig) -> dict[str, float]:
     """Weights of the terms of labelled texts, seeds among them; no more than max_terms reach the driver."""
     lengths = (*config.beginnings, max(config.beginnings, default=0) + 1)  # the longest ones' ways to go on too
-    counts = sample.mapInPandas(lambda it: _counted(it, lengths), schema("term string, toxic int, tokens long, texts long"))
+    counts = sample.mapInPandas(lambda it: _counted(it, lengths), COUNTED)
     part = lambda x, toxic: F.coalesce(F.sum(F.when(F.col("toxic") == toxic, F.col(x))), F.lit(0)).cast("double")
     counts = materialize(counts.groupBy("term").agg(part("tokens", 1).alias("p"), part("tokens", 0).alias("q"), part("texts", 1).alias("d"), part("texts", 0).alias("e")))
     whole = counts.where("term = ''").first()  # of one row
@@ -319,12 +339,11 @@ def fit_factors(x: np.ndarray, y: np.ndarray, config: ToxicityConfig) -> np.ndar
     return factors
 
 
-def _features(sample: DataFrame, terms: dict[str, float]) -> Column:
-    def run(texts: pd.Series) -> pd.Series:
-        lexicon = Lexicon(terms)
-        return pd.Series([features(x, lexicon) for x in texts], index=texts.index, dtype=object)
-
-    return F.pandas_udf(run, "array<double>")("text")
+def _featured(batches: Iterator[pd.DataFrame], terms: dict[str, float]) -> Iterator[pd.DataFrame]:
+    lexicon = Lexicon(terms)
+    for batch in batches:
+        yield pd.DataFrame({"toxic": batch["toxic"], "place": batch["place"], "x": [features(x, lexicon) for x in batch["text"]]})
+    give_back()
 
 
 def _share(rows: DataFrame, config: ToxicityConfig) -> Column:
@@ -339,14 +358,14 @@ def fit(rows: DataFrame, config: ToxicityConfig | None = None) -> ToxicityModel:
     config = config or ToxicityConfig()
     rows = rows.where(F.col("toxic").isin(0, 1) & F.col("text").isNotNull())
     rows = rows.select(F.col("toxic").cast("int").alias("toxic"), F.xxhash64(F.lit(config.seed), "text").alias("place"), "text")
-    keys = F.pandas_udf(_near_copy_keys, schema("k0 long, k1 long, k2 long"))
-    taken = rows.where(_share(rows, config)).select("toxic", "place", "text", keys("text").alias("k")).select("toxic", "place", "text", "k.*")
+    taken = rows.where(_share(rows, config)).mapInPandas(_near_copy_keys, KEYED)
     for key in ("k0", "k1", "k2"):  # which of the copies stays depends on hashes alone
         taken = taken.groupBy(key).agg(F.min_by(F.struct(*taken.columns), F.struct("place", "toxic")).alias("r")).select("r.*")
     sample = materialize(taken.select("toxic", "place", "text", (F.pmod("place", F.lit(3)) == 0).alias("for_factors")))
     terms = learn_terms(sample.where("NOT for_factors"), config)
     model = ToxicityModel(terms, smoothing=config.smoothing)
-    found = sample.where("for_factors").select("toxic", "place", _features(sample, terms).alias("x")).orderBy("place", "toxic").limit(2 * config.max_docs).collect()
+    found = sample.where("for_factors").select("toxic", "place", "text").mapInPandas(lambda it: _featured(it, terms), schema("toxic int, place long, x double[]"))
+    found = found.orderBy("place", "toxic").limit(2 * config.max_docs).collect()
     if len({r["toxic"] for r in found}) == 2:
         model.factors = fit_factors(model.rates(np.array([r["x"] for r in found])), np.array([float(r["toxic"]) for r in found]), config)
     return model
