@@ -572,8 +572,18 @@ def _later(df: DataFrame) -> DataFrame:
 
 def _streamed(spark: SparkSession, inputs: dict[str, list[DataFrame]], plan: Callable[..., DataFrame], each: Callable[[DataFrame, int], None] | None = None, complete: bool = False) -> tuple[DataFrame | None, str]:
     """The result of a stream that gets the parts of its inputs one after another, kept as a table in the shared folder. For each part the query is started anew from its
-    checkpoint, so its state outlives it; each: what to do with a batch instead."""
-    root = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    checkpoint, so its state outlives it; each: what to do with a batch instead. State is by station: more partitions than stations would be empty stores."""
+    root, key = f"{folder(spark)}/stream-{uuid.uuid4().hex}", "spark.sql.shuffle.partitions"
+    usual, stations = spark.conf.get(key), sum(parts[0].select("station_id").distinct().count() for parts in list(inputs.values())[:1])
+    if not complete:
+        spark.conf.set(key, max(1, min(int(usual), stations)))
+    try:
+        return _run_parts(spark, root, inputs, plan, each, complete)
+    finally:
+        spark.conf.set(key, usual)
+
+
+def _run_parts(spark: SparkSession, root: str, inputs: dict[str, list[DataFrame]], plan: Callable[..., DataFrame], each: Callable[[DataFrame, int], None] | None, complete: bool) -> tuple[DataFrame | None, str]:
     for k in range(max(map(len, inputs.values()))):
         for name, parts in inputs.items():
             if k < len(parts):

@@ -68,4 +68,12 @@ def stored(df: DataFrame) -> DataFrame:
     if _open:
         _open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path  # for discard()
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables as stored() gave them, once all that reads them has been stored itself."""
+    for table in tables:
+        _remove(table.sparkSession, table._stored_at)

@@ -10,7 +10,7 @@ from skygauge.plans.catalogue import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["physics_counts_by_station", "cleaned_dataset", "fusion_rules_only", "kalman_summary", "health_metrics", "alert_recurrence_over_log", "alerts_by_rules", "health_from_kalman", "kalman_with_references", "fusion_with_detectors", "drift_evaluation_without_noise", "thermo_derived", "stream_hourly_counts"])
+@pytest.mark.parametrize("name", ["physics_counts_by_station", "cleaned_dataset", "fusion_rules_only", "kalman_summary", "health_metrics", "alert_recurrence_over_log", "alerts_by_rules", "health_from_kalman", "kalman_with_references", "fusion_with_detectors", "drift_evaluation_without_noise", "thermo_derived", "stream_hourly_counts", "stream_kalman_late", "stream_alert_log", "channel_summary_by_days", "quality_roll_up", "tracking_export"])
 def test_query_matches_oracle(spark, tmp_path, name):
     QUERIES[name](spark, SF).write.parquet(f"{tmp_path}/out")
     db = duckdb.connect()
