@@ -7,6 +7,7 @@ A byte goes if a string of `length` bytes that covers it also starts in a docume
 2. Every window of `length` bytes has an anchor, the GRAM bytes in it with the least hash.
    Equal windows have equal anchors. Anchors of all documents meet by hash, packed; an
    anchor that only one document has can hold no shared window and is dropped there.
+   A block sends each of its anchors once, with the number of its documents that have it.
 3. For the others, the runs of windows with the same anchor meet, as snippets. Anchors in a crowd of
    documents meet by a tree: a block sorts its own crowded snippets first, and only the windows that no smaller id
    has there go on; `fan` blocks meet at a time, and their survivors again, up to one group. So a
@@ -326,31 +327,28 @@ def _pack_firsts(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _block_anchors(texts: pd.DataFrame, info: pd.DataFrame, parts: int, limits: SuffixLimits) -> pd.DataFrame:
-    """A block's anchors by part: hashes, sorted, and places of their documents."""
+    """A block's distinct anchors by part: hashes, sorted, and in how many of its documents they are."""
     if not len(texts):
         return pd.DataFrame(columns=PACKED.names)
     block, _, docs = _documents(texts)
     firsts = _firsts(info, docs)
-    found = [(h, np.full(len(h), i, "<u2")) for i, d in enumerate(docs) if firsts[i] and len(d) >= LENGTH for h in [np.unique(document_anchors(d, limits.piece)[0])]]
-    hashes = np.concatenate([np.zeros(0, np.uint64), *(x[0] for x in found)])
-    places = np.concatenate([np.zeros(0, "<u2"), *(x[1] for x in found)])
-    order = np.argsort(hashes, kind="stable")
-    hashes, places = hashes[order], places[order]
-    rows = [(block, int(hashes[at[0]] % np.uint64(parts)), _packed(hashes[at], places[at])) for at in _by_part(hashes, np.uint64(parts))]
+    found = [np.unique(document_anchors(d, limits.piece)[0]) for i, d in enumerate(docs) if firsts[i] and len(d) >= LENGTH]
+    hashes, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+    rows = [(block, int(hashes[at[0]] % np.uint64(parts)), _packed(hashes[at], counts[at].astype("<u4"))) for at in _by_part(hashes, np.uint64(parts))]
     return pd.DataFrame(rows, columns=PACKED.names)
 
 
 def _shared_anchors(group: pd.DataFrame, limits: SuffixLimits) -> pd.DataFrame:
-    """Of one part: for each block the anchors that other documents have too, and which are in a crowd."""
-    found = [_unpacked(x)[0] for x in group["payload"]]
-    _, inverse, counts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-    counts = counts[inverse]
+    """Of one part: for each block the anchors that other documents have too, and which are in a crowd. An anchor is one entry a block, however many documents have it."""
+    found, weights = zip(*map(_unpacked, group["payload"]), strict=True)
+    _, inverse = np.unique(np.concatenate(found), return_inverse=True)
+    counts = np.bincount(inverse, np.concatenate(weights).astype(float))[inverse]
     rows, at = [], 0
     for block, part, own in zip(group["block"], group["part"], found, strict=True):
         n = counts[at : at + len(own)]
         at += len(own)
         if (shared := n > 1).any():
-            rows.append((block, part, _packed(np.unique(own[shared]), np.unique(own[n > limits.crowd]))))
+            rows.append((block, part, _packed(own[shared], own[n > limits.crowd])))
     return pd.DataFrame(rows, columns=PACKED.names)
 
 
