@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skygauge.plans.scratch import discard
 from skygauge.plans.scratch import stored as materialize
 
-__all__ = ["TEXT_ROWS", "WORD", "exact_id", "give_back", "materialize", "parts_and_tasks", "schema", "table", "text_batches", "utf8", "word_count"]
+__all__ = ["TEXT_ROWS", "WORD", "discard", "exact_id", "give_back", "materialize", "parts_and_tasks", "schema", "table", "text_batches", "utf8", "word_count"]
 
 #: A word is a run of characters other than the six ASCII white-space ones.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from skygauge.llm.common import materialize, text_batches, utf8
+from skygauge.llm.common import discard, materialize, text_batches, utf8
 from skygauge.llm.components import components
 
 SHINGLE = 3
@@ -185,15 +185,18 @@ def similar(candidates: DataFrame, docs: DataFrame, text_col: str, similarity: f
     low, high = F.when(F.col("x.u") < F.col("y.u"), F.col("x")).otherwise(F.col("y")), F.when(F.col("x.u") < F.col("y.u"), F.col("y")).otherwise(F.col("x"))
     near = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n")
     pairs = materialize(candidates.where(near).select(low["u"].alias("ua"), high["u"].alias("ub"), low["fp"].alias("a"), high["fp"].alias("b")).distinct())
-    if sets is None:
+    own = sets is None
+    if own:
         sets = sets_of(docs, text_col, pairs.select(F.col("ua").alias("u")).union(pairs.select("ub")).distinct())
     met = pairs.join(sets.select(F.col("u").alias("ua"), F.col("set").alias("sa")), "ua").join(sets.select(F.col("u").alias("ub"), F.col("set").alias("sb")), "ub")
     common = F.size(F.array_intersect("sa", "sb"))
-    return materialize(met.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+    found = materialize(met.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+    discard(pairs, *[sets] * own)
+    return found
 
 
-def by_rare_shingles(texts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(x, y): pairs of texts (x, part) of different parts that share one of their rarest shingles, early enough in both that the rest
+def by_rare_shingles(texts: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(x, y), and the stored tables that are read for it: pairs of texts (x, part) of different parts that share one of their rarest shingles, early enough in both that the rest
     could still make up that similarity, as any pair that has it does at the first shingle it shares.
 
     The largest part of a shingle isn't paired with itself, nor are shingles of one part.
@@ -203,13 +206,14 @@ def by_rare_shingles(texts: DataFrame, sets: DataFrame, similarity: float) -> Da
     ranked = tokens.join(counts, F.col("token") == F.col("t")).withColumn("place", F.row_number().over(Window.partitionBy("x.u").orderBy("frequency", "token")))
     first = ranked.where((F.col("place") <= F.col("x.n") - F.ceil(similarity * F.col("x.n") - 1e-9) + 1) & (F.col("frequency") > 1))
     rows = materialize(first.select("x", "part", "token", (F.col("x.n") - F.col("place") + 1).alias("rest")))
+    discard(tokens)
     sizes = rows.groupBy("token", "part").agg(F.count("*").alias("n")).groupBy(F.col("token").alias("k")).agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
     open_ = materialize(rows.join(sizes.where("parts > 1"), F.col("token") == F.col("k")).select("token", "x", "part", "rest", (F.col("part") == F.col("main")).alias("is_main")))
     others = open_.where("NOT is_main").select("token", "x", "part", "rest")
     all_ = open_.select("token", F.col("x").alias("y"), F.col("part").alias("other"), F.col("rest").alias("rest_of_y"), "is_main")
     needed = F.ceil(similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9)
     once = F.col("is_main") | (F.col("x.u") < F.col("y.u"))  # two that aren't of the largest part meet from both sides
-    return others.join(all_, "token").where((F.col("part") != F.col("other")) & once & (F.least("rest", "rest_of_y") >= needed)).select("x", "y")
+    return others.join(all_, "token").where((F.col("part") != F.col("other")) & once & (F.least("rest", "rest_of_y") >= needed)).select("x", "y"), [rows, open_]
 
 
 def placed(texts: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -227,27 +231,31 @@ def open_buckets(texts: DataFrame) -> DataFrame:
 
 
 def similar_pairs(docs: DataFrame, prints: DataFrame, text_col: str, similarity: float, bucket: int = BUCKET, linked: DataFrame | None = None) -> DataFrame:
-    """(a, b), fingerprints of texts with that Jaccard similarity or more; prints has fp, sketch and u (a text's hash).
+    """(a, b): each fingerprint that texts with that Jaccard similarity or more link, and the smallest of its component; prints has fp, sketch and u (a text's hash).
 
     Of the texts with one set of shingles, however many and of whatever spacing and case, one is compared. linked: (a, b) of
-    fingerprints that are linked otherwise. Texts that links make one component already aren't compared, so together with linked the result gives
-    the same components as all pairs.
+    fingerprints that are linked otherwise, which count too. Late texts of one component aren't compared.
     """
     shown = materialize(prints.where("sketch IS NOT NULL").select("fp", "u", F.element_at("sketch", -1).alias("same"), F.element_at("sketch", 1).alias("n"), F.slice("sketch", 2, BANDS).alias("bands")))
     one = materialize(shown.groupBy("same").agg(F.min_by(F.struct("u", "fp", "n"), "u").alias("x"), F.any_value("bands").alias("bands")))
     edges = shown.select("fp", "same").distinct().join(one, "same").where("fp <> x.fp").select(F.col("fp").alias("a"), F.col("x.fp").alias("b"))
-    texts, stars = placed(one.drop("same"), edges if linked is None else edges.union(linked))
+    texts = one.drop("same").withColumn("part", F.col("x.fp"))
     shared = materialize(texts.select("x", "part", F.explode("bands").alias("key")).join(open_buckets(texts), "key"))
     small, large = shared.where(F.col("size") <= bucket).select("key", "x", "part"), shared.where(F.col("size") > bucket)
     among = small.join(small.select("key", F.col("x").alias("y"), F.col("part").alias("other")), "key").where("x.u < y.u AND part <> other").select("x", "y")
     led = large.select("x", "part", F.inline("leaders")).where("part <> other").select("x", "y")
-    texts, stars = placed(texts.drop("part"), stars.union(similar(among.union(led), docs, text_col, similarity)))
+    found = edges.union(similar(among.union(led), docs, text_col, similarity))
+    texts, stars = placed(texts.drop("part"), found if linked is None else found.union(linked))
+    discard(shared, shown, one)
     crowded = open_buckets(texts).where(F.col("size") > bucket).select("key")
     late = materialize(texts.select("x", "part", F.explode("bands").alias("key")).join(crowded, "key", "left_semi").select("x", "part").distinct())
     if late.isEmpty():
         return stars
     sets = sets_of(docs, text_col, late.select("x.u"))
-    return stars.union(similar(by_rare_shingles(late, sets, similarity), docs, text_col, similarity, sets))
+    candidates, read = by_rare_shingles(late, sets, similarity)
+    found = similar(candidates, docs, text_col, similarity, sets)
+    discard(late, sets, texts, *read)
+    return components(stars.union(found)).toDF("a", "b")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float | None) -> DataFrame:
@@ -257,9 +265,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float | No
     prints = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("u"), fingerprints(F.col(text_col)).alias("fp"), *more))
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     pairs = near_pairs(nodes)
-    if similarity is not None:
-        pairs = similar_pairs(docs, prints, text_col, similarity, linked=materialize(pairs))
-    members = components(pairs).withColumnRenamed("node", "fp")
+    members = components(pairs) if similarity is None else similar_pairs(docs, prints, text_col, similarity, linked=materialize(pairs))
+    members = members.toDF("fp", "component")
     grouped = nodes.join(members, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     grouped = materialize(grouped)
     least = grouped.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("component_id"))
