@@ -197,3 +197,19 @@ def test_normalise_and_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).first().id == 1 and '"names"' in sinks.json_array(wide)
     sinks.to_parquet(frame(spark, [1.0, 2.0]), str(tmp_path / "p"), by=("station_id",))
     assert readings.read(spark, str(tmp_path / "p")).count() == 2
+
+
+def test_numbers_in_texts_are_rounded_by_their_exact_value(spark):
+    from skygauge.functions.rounding import fixed
+
+    numbers = [24.65, -24.65, 0.25, -0.04, -0.0, 0.95, 99.995, 2.675, 0.125, -0.049999999999999996, 2.0**52 + 0.5, -999.0, None]
+    rows = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", fixed("x", 1).alias("one"), fixed("x", 2).alias("two")).collect()
+    assert [(r.one, r.two) for r in rows] == [(None, None) if r.x is None else (f"{r.x:.1f}", f"{r.x:.2f}") for r in rows]
+
+
+def test_violations_name_the_exact_reading(spark):
+    from skygauge.operators import rules
+
+    df = spark.createDataFrame([(0, 1, 24.65, 1013.0, 118.5, 2.0)], "station_id int, row_id long, temperature double, pressure double, humidity double, wind_speed double")
+    found = rules.violations(df, statistical=False).first().violations
+    assert found[0].description == "Thermodynamic violation: Calculated Dew Point (27.5°C) exceeds Dry Bulb Temp (24.6°C)"
