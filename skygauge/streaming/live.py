@@ -21,7 +21,7 @@ from pyspark.sql.streaming.stateful_processor import ListState
 from skygauge.functions.config import CHANNELS, KalmanConfig
 from skygauge.operators import physics
 from skygauge.operators.correction import context
-from skygauge.operators.kalman import OUTPUT, filter_rows, first_state
+from skygauge.operators.kalman import OUTPUT, filtered, first_state
 
 READINGS = T.StructType([T.StructField("station_id", T.IntegerType()), T.StructField("row_id", T.LongType()), T.StructField("ts", T.TimestampType()), *(T.StructField(c, T.DoubleType()) for c in CHANNELS)])
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -82,9 +82,44 @@ def keep(state: ListState, rows: list[tuple]) -> None:
         state.clear()
 
 
+#: Rows held in a state are records, so many to an entry; one entry a row would take an object for each of its numbers.
+ENTRY = "rows binary"
+ENTRY_ROWS = 4096
+
+
+def records(*numbers: str) -> np.dtype:
+    return np.dtype([("at", "<i8"), ("row", "<i8"), ("no_row", "?"), *((c, "<f8") for c in numbers)])
+
+
+def taken(frames: Iterator[pd.DataFrame], kind: np.dtype) -> np.ndarray:
+    """The rows of frames as records."""
+    parts = [np.zeros(0, kind)]
+    for f in frames:
+        parts.append(np.empty(len(f), kind))
+        for c in kind.names:
+            parts[-1][c] = f[c].to_numpy(kind[c])
+    return np.concatenate(parts)
+
+
+def ordered(rows: np.ndarray) -> np.ndarray:
+    """Places of records in the order of _in_order()."""
+    return np.lexsort((rows["row"], ~rows["no_row"], rows["at"]))
+
+
+def held(state: ListState, kind: np.dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(entry, kind) for entry, in state.get())])
+
+
+def hold(state: ListState, rows: np.ndarray) -> None:
+    """Make records, or nothing, the state."""
+    keep(state, [(rows[i : i + ENTRY_ROWS].tobytes(),) for i in range(0, len(rows), ENTRY_ROWS)])
+
+
 REFERENCES = tuple(f"{c}_reference" for c in CHANNELS)
 SEEN = (*CHANNELS, *REFERENCES)
-HELD = "at long, row long, no_row boolean, numbers array<double>"
+SEEN_ROW = records(*SEEN)
+#: Rows that are filtered at a time.
+SPAN = 1 << 16
 TRACKED = T.StructType([T.StructField("station", T.IntegerType()), T.StructField("no_station", T.BooleanType()), T.StructField("row", T.LongType()), T.StructField("no_row", T.BooleanType()), T.StructField("at", T.LongType()),
     T.StructField("rn", T.LongType()), *(f for f in OUTPUT.fields if f.name not in ("station_id", "row_id", "ts", "rn")), T.StructField("revision", T.LongType())])
 
@@ -92,10 +127,10 @@ TRACKED = T.StructType([T.StructField("station", T.IntegerType()), T.StructField
 class KalmanProcessor(StatefulProcessor):
     """The filters of one station, kept between batches.
 
-    `base` is the filters' state after the last row that can't be preceded by a late one any more. Rows after it are held
-    with a snapshot of the state after each. A late row is put in its place and the filters run again from the snapshot before
-    it; what they change is given again, with a higher revision. Without a watermark no row is late,
-    and only the last one is held.
+    `base` is the filters' state after the last row that can't be preceded by a late one any more. Rows after it are held. A late
+    row is put in its place, the filters run again from the base, and what it changes is given again, with a higher
+    revision. Without a watermark no row is late, and only the last one is held. Beside the rows of a batch a task holds
+    no more than SPAN of them with their estimates.
     """
 
     def __init__(self, config: KalmanConfig | None = None, late: bool = False) -> None:
@@ -103,36 +138,39 @@ class KalmanProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.base = handle.getValueState("base", "at long, rn long, revision long, filters array<double>")
-        self.rows = handle.getListState("rows", HELD)
+        self.rows = handle.getListState("rows", ENTRY)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        came = _in_order(pd.concat([r[["at", "row", "no_row", *SEEN]] for r in rows], ignore_index=True))
+        known = held(self.rows, SEEN_ROW)
+        everything = np.concatenate([known, taken(rows, SEEN_ROW)])
+        order = ordered(everything)
+        since = int(np.argmax(order >= len(known)))  # all before it is as it was
+        everything = everything[order]
+        del order
         at, rn, revision, filters = self.base.get() if self.base.exists() else (None, 0, 0, None)
-        held = pd.DataFrame([(t, r, n, *numbers[: len(SEEN)], np.array(numbers[len(SEEN) :])) for t, r, n, numbers in self.rows.get()], columns=["at", "row", "no_row", *SEEN, "snapshot"])
-        everything = _in_order(pd.concat([held, came], ignore_index=True)) if len(held) else came.assign(snapshot=None)
-        since = int(np.flatnonzero(everything["snapshot"].isna().to_numpy())[0])  # all before it is as it was
-        before = everything["snapshot"].iloc[since - 1] if since else filters
-        if before is None:
-            start = first_state(np.nan_to_num(everything[list(CHANNELS)].iloc[0].to_numpy(float), nan=0.0, posinf=0.0, neginf=0.0), self.config)
+        if filters is None:
+            state = first_state(np.nan_to_num(np.array([everything[c][0] for c in CHANNELS]), nan=0.0, posinf=0.0, neginf=0.0), self.config)
         else:
-            start = np.asarray(before, float).reshape(len(CHANNELS), 9)
-        again = everything.iloc[since:].drop(columns="snapshot").reset_index(drop=True)
-        last = everything["at"].iloc[since - 1] if since else at
-        gap = np.diff(again["at"].to_numpy(np.int64), prepend=again["at"].iloc[0] if last is None else last) / 1e6
-        again["dt"] = np.where(gap > 0, np.maximum(0.1, gap / 60.0), self.config.default_minutes)
-        again["station_id"], again["row_id"], again["ts"] = 0, again["row"], again["at"]
-        again["rn"] = rn + since + np.arange(1, len(again) + 1)
-        found = filter_rows(again, start, self.config).reset_index(drop=True)
-        everything["snapshot"] = [*everything["snapshot"].iloc[:since], *found["snapshot"]]
+            state = np.asarray(filters, float).reshape(len(CHANNELS), 9)
         final = int((everything["at"] <= timerValues.getCurrentWatermarkInMs() * 1000).sum()) if self.late else len(everything) - 1
-        if final:
-            edge = everything.iloc[final - 1]
-            at, rn, filters = int(edge["at"]), rn + final, [float(x) for x in edge["snapshot"]]
-        kept = everything.iloc[final:]
-        keep(self.rows, [(int(t), int(r), bool(n), [*map(float, numbers), *map(float, x)]) for t, r, n, numbers, x in zip(kept["at"], kept["row"], kept["no_row"], kept[list(SEEN)].to_numpy(float), kept["snapshot"], strict=True)])
-        self.base.update((at, rn, revision + 1, filters))
-        found = found.assign(station=key[0], no_station=key[1], row=again["row"], no_row=again["no_row"], at=again["at"], revision=revision + 1)
-        yield found[TRACKED.names]
+        last, base = at, (at, rn, revision + 1, filters)
+        borders = sorted({*range(0, len(everything), SPAN), final, len(everything)})
+        for low, high in zip(borders, borders[1:], strict=False):
+            some = everything[low:high]
+            gap = np.diff(some["at"], prepend=some["at"][0] if last is None else last) / 1e6
+            last = int(some["at"][-1])
+            frame = pd.DataFrame({c: some[c] for c in SEEN_ROW.names})
+            frame["dt"] = np.where(gap > 0, np.maximum(0.1, gap / 60.0), self.config.default_minutes)
+            frame["station_id"], frame["row_id"], frame["ts"] = 0, frame["row"], frame["at"]
+            frame["rn"] = rn + low + np.arange(1, len(frame) + 1)
+            found, state = filtered(frame, state, self.config)
+            if high == final:
+                base = (last, rn + final, revision + 1, [float(x) for x in state.ravel()])
+            if high > since:
+                found = found.reset_index(drop=True).assign(station=key[0], no_station=key[1], row=frame["row"], no_row=frame["no_row"], at=frame["at"], revision=revision + 1)
+                yield found[TRACKED.names].iloc[max(0, since - low) :]
+        hold(self.rows, everything[final:])
+        self.base.update(base)
 
     def close(self) -> None:
         pass

@@ -27,7 +27,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from skygauge.functions.config import CHANNELS, CleaningConfig, StatisticalThresholds
 from skygauge.operators import clean, physics, statistical
 from skygauge.plans.telemetry import QualityConfig
-from skygauge.streaming.live import STATION, _in_order, _keyed, _named, keep
+from skygauge.plans.chunks import CHUNK_ROWS
+from skygauge.streaming.live import ENTRY, STATION, _keyed, _named, held, hold, keep, ordered, records, taken
 
 _KEY = [T.StructField("station", T.IntegerType()), T.StructField("no_station", T.BooleanType()), T.StructField("row", T.LongType()), T.StructField("no_row", T.BooleanType()), T.StructField("at", T.LongType())]
 CHUNKS = T.StructType([*_KEY, *(T.StructField(c, T.DoubleType()) for c in CHANNELS), T.StructField("rn", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("core", T.BooleanType())])
@@ -37,6 +38,9 @@ def micros(interval: str | None) -> int | None:
     return None if interval is None else pd.Timedelta(interval).value // 1000
 
 
+HELD_ROW = records(*CHANNELS)
+
+
 class ReleaseProcessor(StatefulProcessor):
     """A station's readings that wait for later ones, and the last `halo` of those that have gone, which the next will need as neighbours."""
 
@@ -45,44 +49,42 @@ class ReleaseProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "at long, row long, no_row boolean, numbers array<double>")
+        self.rows = handle.getListState("rows", ENTRY)
         self.place = handle.getValueState("place", "gone long, before long, chunk long")  # of the rows held; in all; chunks so far
 
-    def _held(self) -> pd.DataFrame:
-        return pd.DataFrame([(t, r, n, *numbers) for t, r, n, numbers in self.rows.get()], columns=["at", "row", "no_row", *CHANNELS])
-
-    def _let_go(self, key: tuple, rows: pd.DataFrame, watermark: int) -> Iterator[pd.DataFrame]:
-        """Those rows, of all that are held in order, whose neighbours are there."""
+    def _let_go(self, key: tuple, rows: np.ndarray, watermark: int) -> Iterator[pd.DataFrame]:
+        """Those rows, of all that are held in order, whose neighbours are there, in chunks of CHUNK_ROWS at most."""
         gone, before, chunk = self.place.get() if self.place.exists() else (0, 0, 0)
         settled = int((rows["at"] <= watermark).sum())  # nothing can come before them any more
-        closing = self.close_after is not None and len(rows) > gone and watermark >= int(rows["at"].iloc[-1]) + self.close_after
+        closing = self.close_after is not None and len(rows) > gone and watermark >= int(rows["at"][-1]) + self.close_after
         until = settled if closing else max(gone, settled - self.halo)
-        if until > gone:
-            low, high = max(0, gone - self.halo), min(settled, until + self.halo)
-            out = rows.iloc[low:high].assign(station=key[0], no_station=key[1], chunk=chunk)
+        for first in range(gone, until, CHUNK_ROWS):
+            end = min(until, first + CHUNK_ROWS)
+            low, high = max(0, first - self.halo), min(settled, end + self.halo)
+            out = pd.DataFrame({c: rows[c][low:high] for c in HELD_ROW.names}).assign(station=key[0], no_station=key[1], chunk=chunk)
             place = np.arange(low, high)
-            out["core"], out["rn"] = (place >= gone) & (place < until), before - gone + place + 1
-            before, chunk = before + until - gone, chunk + 1
-            low = max(0, until - self.halo)
-            rows, gone = rows.iloc[low:], until - low
+            out["core"], out["rn"] = (place >= first) & (place < end), before - gone + place + 1
+            chunk += 1
             yield out[CHUNKS.names]
-        keep(self.rows, [(int(t), int(r), bool(n), list(map(float, numbers))) for t, r, n, numbers in zip(rows["at"], rows["row"], rows["no_row"], rows[list(CHANNELS)].to_numpy(float), strict=True)])
+        if until > gone:
+            low = max(0, until - self.halo)
+            before, rows, gone = before + until - gone, rows[low:], until - low
+        hold(self.rows, rows)
         self.place.update((gone, before, chunk))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if len(rows) > gone:
-            last = int(rows["at"].iloc[-1])
+            last = int(rows["at"][-1])
             for after in (last, *([] if self.close_after is None else [last + self.close_after])):
                 if after > watermark:
                     self.handle.registerTimer(after // 1000 + 1)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        came = pd.concat([r[["at", "row", "no_row", *CHANNELS]] for r in rows], ignore_index=True)
-        held = self._held()
-        yield from self._let_go(key, _in_order(pd.concat([held, came], ignore_index=True) if len(held) else came), timerValues.getCurrentWatermarkInMs() * 1000)
+        everything = np.concatenate([held(self.rows, HELD_ROW), taken(rows, HELD_ROW)])
+        yield from self._let_go(key, everything[ordered(everything)], timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield from self._let_go(key, self._held(), timerValues.getCurrentWatermarkInMs() * 1000)
+        yield from self._let_go(key, held(self.rows, HELD_ROW), timerValues.getCurrentWatermarkInMs() * 1000)
 
     def close(self) -> None:
         pass

@@ -182,6 +182,31 @@ def test_late_rows_are_filtered_in_their_place(spark, station):
         assert len(handle.cells["rows"].get()) <= (80 if late else 1)
 
 
+def test_held_rows_are_few_entries_and_spans_go_on(station, monkeypatch):
+    """What a station holds is no object a row, and rows filtered span by span are as those of the whole history."""
+    expected = kalman.track(station).orderBy("rn").toPandas()
+    rows = as_rows(station, *(F.lit(None).cast("double").alias(c) for c in live.REFERENCES))
+    monkeypatch.setattr(live, "SPAN", 50)
+    for late, batches in ((True, [rows.iloc[::2], rows.iloc[1::2]]), (False, [rows.iloc[:170], rows.iloc[170:]])):
+        out, handle = drive(live.KalmanProcessor(KalmanConfig(), late), [b.reset_index(drop=True) for b in batches], 10**15)
+        last = out.sort_values("revision", kind="stable").drop_duplicates("rn", keep="last").sort_values("rn")
+        assert last["row"].tolist() == rows["row"].tolist() and len(handle.cells["rows"].get()) == 1
+        for c in ("temperature_true", "pressure_bias", "wind_speed_true_std"):
+            assert np.allclose(last[c].astype(float), expected[c].astype(float), atol=1e-8, equal_nan=True)
+
+
+def test_long_batches_are_let_go_in_bounded_chunks(monkeypatch):
+    n = 1000
+    rows = pd.DataFrame({"at": np.arange(n) * 1_000_000, "row": np.arange(n), "no_row": False} | {c: np.arange(n) * 1.0 for c in CHANNELS})
+    monkeypatch.setattr(lookahead, "CHUNK_ROWS", 128)
+    out, handle = drive(lookahead.ReleaseProcessor(24, 1_000_000), [rows], end=10**15)
+    cores = out[out["core"]]
+    assert cores["rn"].tolist() == list(range(1, n + 1)) and cores.groupby("chunk").size().max() == 128
+    for _, chunk in out.groupby("chunk"):
+        low, high = chunk.loc[chunk["core"], "rn"].min(), chunk.loc[chunk["core"], "rn"].max()
+        assert chunk["rn"].tolist() == list(range(max(1, low - 24), min(n, high + 24) + 1))
+
+
 def brute_recurrence(rows, hours=72):
     out = []
     for i, (at, _, kind, sensors) in enumerate(rows):
