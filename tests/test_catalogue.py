@@ -42,3 +42,15 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() == 32
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_parts_of_a_stream_are_bounded(spark, monkeypatch):
+    from skygauge.plans import catalogue
+    from skygauge.sources import readings
+
+    df = readings.from_events(spark, SF)
+    assert len(catalogue._parts(df)) == 3
+    monkeypatch.setattr(catalogue, "PART_ROWS", 100)
+    parts = catalogue._parts(df)
+    assert len(parts) == 10 and sum(p.count() for p in parts) == df.count()
+    assert len(catalogue._parts(df, shortest=5 * 86_400_000_000)) == 5
