@@ -320,3 +320,37 @@ def test_generators_are_repeatable(spark, scenario):
     one, two = (synthetic.drift(spark, scenario, config)["observed"].orderBy("station_id", "row_id").collect() for _ in range(2))
     assert one == two and len(one) == 576
     assert column(synthetic.weather(spark, synthetic.WeatherConfig(days=0.5)), "humidity")[0] is not None
+
+
+def test_layer_and_its_gradient_are_those_of_one_step_after_another():
+    """A layer whose inputs and gradients are multiplied for all steps at once, against one that takes each step by itself."""
+    model, rng = sequence.Autoencoder(config=sequence.SequenceConfig(hidden=5, latent=2)), np.random.default_rng(8)
+    model.start(4)
+    x, dout = rng.standard_normal((7, 12, 4)).astype(np.float32), rng.standard_normal((7, 12, 5)).astype(np.float32)
+    out, kept = sequence._lstm(model.params, "e1", x)
+    w, u, b = (model.params[f"e1.{k}"] for k in "wub")
+    h = c = np.zeros((7, 5), np.float32)
+    for t in range(12):
+        i, f, o, g = np.split(x[:, t] @ w + h @ u + b, 4, axis=1)
+        i, f, o = (1 / (1 + np.exp(-k)) for k in (i, f, o))
+        c = f * c + i * np.tanh(g)
+        h = o * np.tanh(c)
+        assert np.allclose(out[:, t], h, atol=1e-6)
+    grads = {k: np.zeros_like(v) for k, v in model.params.items()}
+    dx = sequence._lstm_back(model.params, grads, "e1", x, kept, dout)
+    for array, gradient in ((x, dx), *((model.params[f"e1.{k}"], grads[f"e1.{k}"]) for k in "wub")):
+        place, step = tuple(rng.integers(n) for n in array.shape), np.float32(1e-2)
+        old, ends = array[place], []
+        for k in (1, -1):
+            array[place] = old + k * step
+            ends.append(float((sequence._lstm(model.params, "e1", x)[0] * dout).sum(dtype=float)))
+        array[place] = old
+        assert abs((ends[0] - ends[1]) / (2 * step) - gradient[place]) < 1e-2
+
+
+def test_scoring_takes_few_sequences_at_a_time(monkeypatch):
+    model, sizes = sequence.Autoencoder(config=sequence.SequenceConfig(hidden=3, latent=2)), []
+    model.start(4)
+    forward = model.forward
+    monkeypatch.setattr(model, "forward", lambda b: sizes.append(len(b)) or forward(b))
+    assert model.errors(np.zeros((1500, 12, 4), np.float32)).shape == (1500, 4) and sum(sizes) == 1500 and max(sizes) <= 512
