@@ -2,8 +2,12 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from skygauge.functions.config import CHANNELS, StatisticalThresholds
+from skygauge.operators import statistical
 from skygauge.plans import chunks
 from skygauge.sources import synthetic
 
@@ -44,3 +48,39 @@ def test_totals_come_with_numbers_and_without_a_shuffle_by_station(spark):
     assert found == {0: (10, 1, 10, 10), 1: (1000, 1, 1000, 1000), 2: (1000, 1, 1000, 1000)}
     plan = spark._jvm.PythonSQLUtils.explainString(synthetic.axis_of(rows)._jdf.queryExecution(), "simple")
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def plan_of(df):
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple")
+
+
+@pytest.mark.parametrize("robust", [True, False])
+def test_flags_of_frames_are_those_of_windows_without_windows(spark, robust):
+    limits = StatisticalThresholds(robust=robust, zscore=2.0)
+    df = synthetic.weather(spark, synthetic.WeatherConfig(days=2, stations=2))
+    df = chunks.in_chunks(df.withColumns({c: F.when(F.col("row_id") % 40 != 0, F.round(c, 1)) for c in CHANNELS})).withColumn("core", F.lit(True))
+    got = statistical.row_flags(df, limits)
+    assert "Window" not in plan_of(got.drop("rn")).split("FlatMapGroupsInArrow")[0]
+    w = Window.partitionBy("station_id", "chunk").orderBy("rn")
+    centred, held = w.rowsBetween(-12, 11), w.rowsBetween(-11, 0)
+    x = statistical.present("temperature", limits)
+    middle = lambda v: F.when(F.count(v).over(centred) >= 6, F.percentile(v, F.lit(0.5)).over(centred))
+    mean = F.when(F.count("x").over(centred) >= 6, F.avg("x").over(centred))
+    want = df.withColumn("x", x).withColumn("dev", F.abs(F.col("x") - (middle(F.col("x")) if robust else mean)))
+    scale = 1.4826 * middle(F.col("dev")) if robust else F.when(F.count("x").over(centred) >= 6, F.stddev_samp("x").over(centred))
+    want = want.withColumn("scale", scale).withColumn("z", F.coalesce((F.col("scale") > 0) & (F.try_divide("dev", "scale") > 2.0), F.lit(False)))
+    want = want.withColumn("still", F.coalesce((F.count("x").over(held) == 12) & (F.var_samp("x").over(held) <= 1e-6), F.lit(False))).withColumn("s", F.max("still").over(w.rowsBetween(0, 11)))
+    keys = ("station_id", "row_id")
+    a = {(r[0], r[1]): (r[2], r[3], r[4]) for r in got.select(*keys, *(statistical.flag("temperature", k) for k in ("missing", "zscore_outlier", "stuck"))).collect()}
+    b = {(r[0], r[1]): (r[2], r[3], r[4]) for r in want.select(*keys, F.col("x").isNull(), "z", "s").collect()}
+    assert a == b and any(v[1] for v in a.values()) and any(v[2] for v in a.values())
+
+
+def test_fences_shuffle_no_rows_by_station_and_tasks_are_bounded(spark):
+    df = synthetic.weather(spark, synthetic.WeatherConfig(days=2, stations=2))
+    plan = plan_of(statistical.iqr_flags(df, StatisticalThresholds()))
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    rows = spark.range(0, 100_000, 10).select((F.col("id") % 2).alias("station_id"), F.col("id").alias("chunk"), F.col("id").alias("rn"), F.when(F.col("id") % 70 == 0, F.col("id")).alias("x"))
+    found = chunks.with_neighbours(rows, {"v": F.col("x")})
+    assert found.rdd.getNumPartitions() == 10_000 // chunks.TASK_CHUNKS
+    assert found.where(F.col("v_prev")["x"] != F.col("rn") - F.col("rn") % 70).isEmpty()
