@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skygauge.functions.config import CHANNELS, StatisticalThresholds
-from skygauge.operators import statistical
+from skygauge.operators import correction, statistical
 from skygauge.plans import chunks
+from skygauge.plans.scratch import stored
 from skygauge.sources import synthetic
 
 
@@ -84,3 +85,23 @@ def test_fences_shuffle_no_rows_by_station_and_tasks_are_bounded(spark):
     found = chunks.with_neighbours(rows, {"v": F.col("x")})
     assert found.rdd.getNumPartitions() == 10_000 // chunks.TASK_CHUNKS
     assert found.where(F.col("v_prev")["x"] != F.col("rn") - F.col("rn") % 70).isEmpty()
+
+
+@pytest.mark.parametrize("options", [{}, {"chunk_rows": 7}])
+def test_recurrence_by_chunks_and_without_a_row_for_each_alike_kind(spark, options):
+    """All of 40 kinds are alike, at times that repeat; log and alerts, and a station without an id."""
+    rows = spark.range(800).select(F.when(F.col("id") % 4 > 0, F.lit(1)).alias("station_id"), F.col("id").alias("row_id"), F.timestamp_seconds(F.floor(F.col("id") / 12) * 7200).alias("ts"),
+        F.concat(F.lit('é"'), F.col("id") % 40).alias("anomaly_type"), F.array(F.lit("humidity"), F.lit(None)).alias("sensors"))
+    log = stored(correction.number_alerts(rows.where("row_id < 200")))
+    later = stored(correction.number_alerts(rows.where("row_id >= 200"), log))
+    out = correction.recurrence(later, 24, log, **options)
+    plan = plan_of(out)
+    assert plan.count("Join") == 1 and "REPARTITION_BY_NUM" in plan
+    steps = {r: (s, r // 12) for s, r in rows.select("station_id", "row_id").collect()}
+    want = {r: sum(s == at[0] and at[1] - 12 <= t and (t, q) < (at[1], r) for q, (s, t) in steps.items()) for r, at in steps.items() if r >= 200}
+    assert {r: n for r, n in out.select("row_id", "earlier").collect()} == want and max(want.values()) > 100
+
+
+def test_kinds_are_alike_by_type_or_sensor_and_null_by_neither():
+    made = [correction.json.dumps({"anomaly_type": t, "sensors": s}) for t, s in ((None, None), ("a", ["x", None]), ("a", []), (None, ["x"]), ("b", [None]), (None, []))]
+    assert correction._alike(made).astype(int).tolist() == [[0] * 6, [0, 1, 1, 1, 0, 0], [0, 1, 1, 0, 0, 0], [0, 1, 0, 1, 0, 0], [0, 0, 0, 0, 1, 0], [0] * 6]
