@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skygauge.functions.config import CHANNELS, StatisticalThresholds
-from skygauge.operators import correction, statistical
+from skygauge.operators import correction, rules, statistical
 from skygauge.plans import chunks
 from skygauge.plans.scratch import stored
 from skygauge.sources import synthetic
@@ -105,3 +105,14 @@ def test_recurrence_by_chunks_and_without_a_row_for_each_alike_kind(spark, optio
 def test_kinds_are_alike_by_type_or_sensor_and_null_by_neither():
     made = [correction.json.dumps({"anomaly_type": t, "sensors": s}) for t, s in ((None, None), ("a", ["x", None]), ("a", []), (None, ["x"]), ("b", [None]), (None, []))]
     assert correction._alike(made).astype(int).tolist() == [[0] * 6, [0, 1, 1, 1, 0, 0], [0, 1, 1, 0, 0, 0], [0, 1, 0, 1, 0, 0], [0, 0, 0, 0, 1, 0], [0] * 6]
+
+
+def test_anomalies_are_chosen_by_one_copy_of_the_rules(spark):
+    df = synthetic.weather(spark, synthetic.WeatherConfig(days=2, stations=2))
+    share = lambda n: F.when(F.col("row_id") % n > 0, F.col("row_id") % n / n)
+    marks = {"iforest_flag": share(3) > 0.5, "iforest_conf": share(7), "lstm_flag": share(5) > 0.5, "lstm_conf": share(11)}
+    for found in (rules.fuse(rules.violations(df)), rules.fuse(rules.violations(df).withColumns(marks))):
+        plan = found.where("is_anomaly")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Negative wind speed measured") == 2  # one chooses rows, one shows them
+        assert found.where("is_anomaly <> (severity <> 'NORMAL') OR is_anomaly IS NULL").isEmpty()
+        assert 0 < found.where("is_anomaly").count() < found.count()
