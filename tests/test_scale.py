@@ -116,3 +116,20 @@ def test_anomalies_are_chosen_by_one_copy_of_the_rules(spark):
         assert plan.count("Negative wind speed measured") == 2  # one chooses rows, one shows them
         assert found.where("is_anomaly <> (severity <> 'NORMAL') OR is_anomaly IS NULL").isEmpty()
         assert 0 < found.where("is_anomaly").count() < found.count()
+
+
+@pytest.mark.parametrize("name", ["station_overview", "health_metrics"])
+def test_readings_are_flagged_and_numbered_once(spark, monkeypatch, name):
+    from skygauge.plans import catalogue
+
+    found, check, numbered = [], statistical.check, chunks.numbered
+    monkeypatch.setattr(statistical, "check", lambda *a, **k: found.append("flagged") or check(*a, **k))
+    monkeypatch.setattr(chunks, "numbered", lambda df, *a, **k: found.extend(["numbered"] * ("rn" not in df.columns)) or numbered(df, *a, **k))
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() == (4 if name == "station_overview" else 16)
+    assert sorted(found) == ["flagged", "numbered"]
+
+
+def test_a_row_of_each_level_is_looked_for_once(spark):
+    df = synthetic.weather(spark, synthetic.WeatherConfig(days=2, stations=2))
+    plan = rules.fuse(rules.violations(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("= HIGH)") == 1
