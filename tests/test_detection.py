@@ -193,6 +193,45 @@ def test_shards_are_averaged_whatever_the_split(spark):
     assert loss(shared) < 0.5 * before and loss(shared) < 2 * loss(alone), (before, loss(shared), loss(alone))
 
 
+def test_an_epoch_goes_through_all_sequences_of_a_shard(spark):
+    """Of shards with more batches than an epoch has steps at least: the weights are those of a plain loop that goes through each shard once an epoch."""
+    rng = np.random.default_rng(4)
+    df = frame(spark, [float(20 + 5 * np.sin(i / 10) + rng.normal(0, 0.1)) for i in range(700)])
+    config = sequence.SequenceConfig(hidden=4, latent=2, epochs=4, rounds=2, shard_rows=400, batch=16)
+    windows = sequence._windows(df, config)
+    fitted = sequence._trained(df, windows, config)
+    rows = sorted((r.place % 2, r.place, tuple(r.window)) for r in windows.where("window IS NOT NULL").collect())
+    plain, seen = sequence.Autoencoder(mean=fitted.mean, scale=fitted.scale, config=config), {}
+    plain.start(4)
+    for number in range(2):
+        found = []
+        for shard in range(2):
+            own = sequence.Autoencoder(dict(plain.params), fitted.mean, fitted.scale, config=config)
+            x, forward = own.scaled([w for s, _, w in rows if s == shard]), own.forward
+            own.forward = lambda b, r=None, f=forward, s=shard: [seen.update({(s, v.tobytes()): seen.get((s, v.tobytes()), 0) + 1}) for v in b] and f(b, r)
+            steps = -(-len(x) // 16)
+            assert steps > sequence.EPOCH_STEPS
+            own.steps(x, 2 * number * steps, 2 * (number + 1) * steps, np.random.default_rng([config.seed, 2 * number * steps, shard]))
+            found.append(own.numbers())
+        plain.take(sum(found) / 2)
+    assert len(seen) == len(rows) == 689 and set(seen.values()) == {config.epochs}
+    assert np.array_equal(plain.numbers(), fitted.numbers())
+
+
+def test_scores_of_missing_and_broken_sequences(spark):
+    """Rows without a whole sequence have no errors, and take none of their neighbours'."""
+    rng = np.random.default_rng(5)
+    whole = [[float(x) for x in rng.normal(size=48)] for _ in range(40)]
+    rows = [(i % 2, i, None if i % 7 == 0 else [None, *w[1:]] if i % 5 == 0 else [*w[:-1], float("nan")] if i % 3 == 0 else w) for i, w in enumerate(whole)]
+    model = sequence.Autoencoder(mean=np.zeros(4), scale=np.ones(4))
+    model.start(4)
+    out = {r.row_id: r for r in sequence._scored(spark.createDataFrame(rows, "station_id int, row_id long, window array<double>"), model).collect()}
+    for station, i, w in rows:
+        assert (out[i].station_id, out[i].short) == (station, w is None)
+        expected = None if any(i % k == 0 for k in (7, 5, 3)) else model.errors(model.scaled([w]))[0]
+        assert out[i].lstm_errors is None if expected is None else np.allclose(out[i].lstm_errors, expected, atol=1e-5)
+
+
 def test_corrected_columns_of_random_readings(spark):
     rng = np.random.default_rng(31)
     n = 200
